@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -106,3 +107,10 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
 def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary Arrow column over one byte array."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data, np.uint8).tobytes())])
+
+
+def released(df: DataFrame) -> DataFrame:
+    """Let go of the shuffle files behind a written table: nothing refers to them any more, and Spark drops such files when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df

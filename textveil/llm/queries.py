@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, huffman, packing, shuffle, urls
+from . import chat, huffman, jaccard, packing, shuffle, substrings, urls
 from .common import table
 
 
@@ -21,6 +21,14 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shuffle.shuffled(table(spark, sf_dir, "documents"), 40)
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,5 +59,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_pattern_packing, op4_url_rules, op9_external_shuffle, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_pattern_packing, op4_url_rules, op6_repeated_strings, op8_jaccard_classes, op9_external_shuffle, op10_chat_format)}
 ORACLE_SQL = {"op10_chat_format": _OP10_SQL}
