@@ -114,31 +114,18 @@ def decode_block(payload: bytes, checkpoints: bytes, n: int, table: tuple[np.nda
     return out.T.ravel()[:n]
 
 
-def token_table(docs: DataFrame, path: str | None = None, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, with ``end_id`` last) of each whole text; a null text is empty."""
+def token_table(docs: DataFrame, path: str | None = None, end_id: int = 1, kind: str = "<u4") -> DataFrame:
+    """(doc_id, n_tokens, ids as integers of ``kind``, with ``end_id`` last) of each whole text; a null text is empty."""
     path = path or T.default_path()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = T.encoder(path).encode
         for part in chunks(batches):
-            buf, off = text_bytes(column(part, "text"))
-            raw = buf.tobytes()
-            got = [x + end for x in encode([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])]
-            yield rows(_TOKENS, doc_id=column(part, "doc_id"), n_tokens=np.fromiter(map(len, got), np.int64, len(got)) // 4, ids=pa.array(got, pa.binary()))
+            got, off = encode(*text_bytes(column(part, "text")), end_id)
+            data = got.astype(kind)
+            yield rows(_TOKENS, doc_id=column(part, "doc_id"), n_tokens=np.diff(off), ids=binaries(data.view(np.uint8), data.itemsize * off))
 
-    return docs.select(id_key(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
-def _halved(tokens: DataFrame) -> DataFrame:
-    """16-bit ids, for vocabularies that allow it."""
-
-    def run(batches):
-        for b in batches:
-            raw = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in column(b, "ids").to_pylist()]
-            yield rows(_TOKENS, doc_id=column(b, "doc_id"), n_tokens=column(b, "n_tokens"), ids=pa.array(raw, pa.binary()))
-
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(id_key().alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
@@ -173,8 +160,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     wide = T.vocabulary(tokenizer or T.default_path()) > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
-    tokens = token_table(docs, tokenizer, end_id)
-    tokens = written(tokens if wide else _halved(tokens), "ids")
+    tokens = written(token_table(docs, tokenizer, end_id, kind), "ids")
     counts = id_counts(tokens, kind)
     bits = code_lengths(counts, max_bits)
     code = canonical(bits)

@@ -30,19 +30,20 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 def pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and ``end_id``; only longer ones are cut, every ``max_tokens`` ids."""
     path = path or T.default_path()
-    end = np.array([end_id], "<u4").tobytes()
-    step = 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = T.encoder(path).encode
         for part in chunks(batches):
-            buf, off = text_bytes(column(part, "text"))
-            raw = buf.tobytes()
-            out: list[tuple] = []
-            for key, got in zip(column(part, "doc_id").to_pylist(), encode([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]), strict=True):
-                got += end
-                out += [(key, k, at // 4, len(x := got[at : at + step]) // 4, zlib.crc32(x)) for k, at in enumerate(range(0, len(got), step))]
-            yield rows(_PIECES, **dict(zip(_PIECES.names, map(list, zip(*out, strict=True)), strict=True)))
+            got, off = encode(*text_bytes(column(part, "text")), end_id)
+            n = np.diff(off)
+            cuts = -(-n // max_tokens)
+            row = np.repeat(np.arange(len(n)), cuts)
+            piece = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start = piece * max_tokens
+            length = np.minimum(n[row] - start, max_tokens)
+            data, at = memoryview(got.tobytes()), 4 * (off[row] + start)
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            yield rows(_PIECES, doc_id=column(part, "doc_id").take(pa.array(row)), piece=piece.astype(np.int32), start=start, length=length, ids_crc32=crc)
 
     return docs.select(id_key().alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
