@@ -1,8 +1,72 @@
-"""Corpus pipeline: the stages that follow one another over documents."""
+"""Corpus pipeline over documents: each stage works on what the stage before it kept.
 
-STAGES: list = []
+1. quality classifier: documents judged low in quality or toxic go;
+2. n-gram Jaccard join: of each group of near duplicates the document of the least doc_id stays;
+3. suffix-array dedup: repeated 100-byte strings are cut out, all but the first;
+4. benchmark decontamination: documents that hold a benchmark item go;
+5. best-fit packing: the rest becomes pieces in sequences of 4096 tokens.
+
+All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textveil.llm import jaccard, leaks, packing, quality, substrings
+from textveil.llm.common import id_key, table, written
+
+
+def _as_documents(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.judge(docs, table(spark, sf_dir, "labels")).where("__keep").select(*_as_documents(docs))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that share a doc_id are one document: they stay or go together, and repeated rows stay as often as they stand."""
+    classes = jaccard.near_classes(docs)
+    gone = classes.where("NOT (doc_id <=> component_id)").select(id_key().alias("__key")).distinct()
+    return docs.withColumn("__key", id_key()).join(gone, "__key", "left_anti").select(*_as_documents(docs))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A cut within a character takes the whole character. n_chars follows the text; a null text stays null."""
+    got = substrings.remove_repeats(docs, as_text=True)
+    text = F.when(F.col("text").isNull(), F.col("text")).when(F.size("__spans") == 0, F.col("text")).otherwise(F.col("__kept"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    new = got.select(*columns, text.alias("text"), *([F.col("n_chars")] if "n_chars" in docs.columns else []))
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return new.select(*_as_documents(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(docs, table(spark, sf_dir, "benchmark")).select(id_key().alias("__key")).distinct()
+    return docs.withColumn("__key", id_key()).join(found, "__key", "left_anti").select(*_as_documents(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("jaccard_join", jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The stages' models and hashes are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

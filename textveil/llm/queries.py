@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, huffman, jaccard, packing, shuffle, substrings, urls
+from . import chat, fingerprint, huffman, jaccard, leaks, packing, quality, shuffle, substrings, urls
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", F.col("__low").alias("low_quality"), F.col("__toxic").alias("toxic"), F.col("__site_low").alias("site_low_quality"), F.col("__site_toxic").alias("site_toxic"), F.col("__keep").alias("keep"))
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -21,10 +26,18 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op5_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
 
@@ -59,5 +72,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_pattern_packing, op4_url_rules, op6_repeated_strings, op8_jaccard_classes, op9_external_shuffle, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_site_quality, op3_pattern_packing, op4_url_rules, op5_consistent_parsing, op6_repeated_strings, op7_latent_leaks, op8_jaccard_classes, op9_external_shuffle, op10_chat_format)}
 ORACLE_SQL = {"op10_chat_format": _OP10_SQL}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 #: Base of the polynomial hash modulo 2**64 (odd, so that it has an inverse).
@@ -20,19 +18,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(2)
-def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(16, int(n + 1).bit_length()), base)
+    """base**k and base**-k modulo 2**64 for k up to ``n``, kept for the next call."""
+    if base not in _powers or len(_powers[base][0]) <= n:
+        size = 1 << max(20, int(n + 1).bit_length())
+        made = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(size, b, np.uint64)
+            x[0] = 1
+            made.append(np.multiply.accumulate(x))
+        _powers[base] = made[0], made[1]
+    up, down = _powers[base]
     return up[: n + 1], down[: n + 1]
 
 

@@ -144,8 +144,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return released(written(spans, "spans"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, with ``__n_bytes``, ``__kept`` (the bytes that stay) and ``__spans`` (removed runs: start and end in bytes).
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, with ``__n_bytes``, ``__kept`` (the bytes that stay; as text: without cut characters) and ``__spans`` (removed runs: start and end in bytes).
 
     A byte goes if a 100-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same text.
     Null texts are empty; texts under 100 bytes stay as they are; null ids count as one id less than all others; rows that share
@@ -177,10 +177,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(x[~gone].tobytes())
                 spans_.append([{"start": s, "end": e} for s, e in edge.tolist()])
             data = [column(part, c) for c in names]
-            yield pa.RecordBatch.from_arrays([*data, pa.array(np.diff(off)), pa.array(kept, pa.binary()), pa.array(spans_, run_type)], names=[*names, "__n_bytes", "__kept", "__spans"])
+            stay = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*data, pa.array(np.diff(off)), stay, pa.array(spans_, run_type)], names=[*names, "__n_bytes", "__kept", "__spans"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return joined.select(*names, "starts", "ends").mapInArrow(run, f"{ddl}, __n_bytes long, __kept binary, __spans array<struct<start:long,end:long>>")
+    return joined.select(*names, "starts", "ends").mapInArrow(run, f"{ddl}, __n_bytes long, __kept {'string' if as_text else 'binary'}, __spans array<struct<start:long,end:long>>")
 
 
 def digests(docs: DataFrame) -> DataFrame:
