@@ -139,8 +139,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     many = max(1, -(-n // BUCKET_ROWS))
     cuts = base.select(F.percentile_approx("doc_id", [k / many for k in range(1, many)] or [0.5], 100 * many).alias("p")).first().p or []
     inner = sorted({float(x) for x in cuts}) if many > 1 else []
-    at = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="__at", outputCol="bucket")
-    placed = at.transform(base.withColumn("__at", F.col("doc_id").cast("double"))).select(F.col("bucket").cast("int").alias("bucket"), "doc_id", "text")
+    placed = base.select(F.lit(0).alias("bucket"), "doc_id", "text")
+    if inner:
+        at = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="__at", outputCol="bucket")
+        placed = at.transform(base.withColumn("__at", F.col("doc_id").cast("double"))).select(F.col("bucket").cast("int").alias("bucket"), "doc_id", "text")
     firsts = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("f")).orderBy("bucket").collect()  # one row for each bucket
     before = [(r.bucket, r.f.doc_id, r.f.h, firsts[k - 1].bucket) for k, r in enumerate(firsts)]
     small = spark.createDataFrame(before, "bucket int, f_id long, f_h long, previous int")
