@@ -1,6 +1,530 @@
-"""The registered queries on the reference's own operators, and their SQL."""
+"""The registered queries on the reference's operators, each over whole tables, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import checks
+from ..operators import corpus as P
+from ..operators import detectors as D
+from ..operators import evaluate as E
+from ..operators import mask as M
+from ..operators import resolve as R
+from ..sources import corpora as S
+from . import planner as G
+from . import quality as Q
+from .derived import CASES, GOLD_SQL, PRED_SQL, corpus, corpus_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_CORPUS = f"({corpus_sql()})"
+_GOLD = GOLD_SQL.replace("{corpus}", f"{_CORPUS} c0")
+_PRED = PRED_SQL.replace("{gold}", _GOLD)
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spans(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    s = df.select(key, F.explode("spans").alias("s"))
+    return s.select(key, "s.entity_type", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"), F.round("s.score", 2).alias("score"))
+
+
+_KNOWN = f"SELECT doc_id, entity AS entity_type, CAST(length(before) AS BIGINT) AS start_at, CAST(length(before) + length(value) AS BIGINT) AS end_at, score FROM {_CORPUS} c WHERE entity IS NOT NULL"
+
+# --- detection ---------------------------------------------------------------
+
+
+@query(_KNOWN)
+def detect_all(spark, sf_dir):
+    return _spans(D.detect(corpus(spark, sf_dir)))
+
+
+def _detect_type(entity: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _spans(D.detect(corpus(spark, sf_dir), entities=[entity]))
+
+    QUERIES[name := f"detect_{entity.lower()}"] = run
+    ORACLE_SQL[name] = f"SELECT * FROM ({_KNOWN}) k WHERE entity_type = '{entity}'"
+
+
+for _entity in sorted({x[3] for x in CASES if x[3]}):
+    _detect_type(_entity)
+
+
+@query(f"SELECT * FROM ({_KNOWN}) k WHERE score >= 0.9")
+def detect_min_score(spark, sf_dir):
+    return _spans(D.detect(corpus(spark, sf_dir), min_score=0.9))
+
+
+_MAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+_CARD = r"\b\d(?:[ \-]?\d){12,18}\b"
+_LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 1 THEN CASE WHEN 2 * CAST(d[i] AS INT) > 9 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END ELSE CAST(d[i] AS INT) END)) % 10 = 0"
+
+
+@query(f"""
+SELECT 'EMAIL' AS entity_type, CAST(sum(len(regexp_extract_all(text, '{_MAIL}'))) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{_MAIL}') HAVING n > 0
+UNION ALL SELECT 'BANK_CARD_NUMBER', count(*) FROM (SELECT regexp_replace(unnest(regexp_extract_all(text, '{_CARD}')), '[^0-9]', '', 'g') AS d FROM documents) t WHERE {_LUHN} HAVING count(*) > 0
+""")
+def findings_by_type(spark, sf_dir):
+    return R.findings_by_type(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.CARD, D.EMAIL)))
+
+
+@query(f"""
+SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start_at, m[i] AS snippet
+FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS m, regexp_split_to_array(text, '{_MAIL}') AS g FROM documents) a) b
+""")
+def email_places(spark, sf_dir):
+    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.EMAIL,)))
+    return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
+
+
+@query()
+def findings_all_types(spark, sf_dir):
+    """All rules over all documents, masked: the whole of the first workload."""
+    found = M.mask(D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", F.size("spans").alias("n"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
+@query(f"SELECT doc_id, 'NAME' AS entity_type, CAST(0 AS BIGINT) AS start_at, CAST(length(before) - 1 AS BIGINT) AS end_at, CAST(0.85 AS DOUBLE) AS score FROM {_CORPUS} c WHERE doc_id % 5 = 0 UNION ALL {_KNOWN}")
+def detect_with_external(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    given = docs.where("doc_id % 5 = 0").selectExpr("doc_id", "'NAME' AS entity_type", "0 AS start", "length(before) - 1 AS end")
+    return _spans(D.detect(docs, external=given))
+
+
+_NUMBER = "regexp_replace(text, '[^0-9]', '', 'g')"
+
+
+@query(f"""
+SELECT doc_id, c IN (0, 2, 3) AS inn, c = 5 AS snils, c = 6 AS ogrn, c = 7 AS ogrnip FROM {_CORPUS} t WHERE c IN (0, 1, 2, 3, 5, 6, 7)
+""")
+def check_digits(spark, sf_dir):
+    v = F.col("value")
+    return corpus(spark, sf_dir).where("c IN (0, 1, 2, 3, 5, 6, 7)").select("doc_id", checks.is_valid_inn(v).alias("inn"), checks.is_valid_snils(v).alias("snils"), checks.is_valid_ogrn(v).alias("ogrn"), checks.is_valid_ogrnip(v).alias("ogrnip"))
+
+
+@query("SELECT c_custkey, round(-list_sum(list_transform(list_distinct(string_split(c_name, '')), lambda x: (length(c_name) - length(replace(c_name, x, ''))) / length(c_name) * log2((length(c_name) - length(replace(c_name, x, ''))) / length(c_name)))), 9) AS entropy FROM customer")
+def name_entropy(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(checks.entropy(F.col("c_name")), 9).alias("entropy"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN s % 10 = 0 THEN n ELSE substr(n, 1, 15) || CAST((10 - (s - CAST(substr(n, 16, 1) AS INT)) % 10) % 10 AS STRING) END AS fixed
+FROM (SELECT o_orderkey, n, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * CAST(n[i] AS INT) > 9 THEN 2 * CAST(n[i] AS INT) - 9 ELSE 2 * CAST(n[i] AS INT) END ELSE CAST(n[i] AS INT) END)) AS s
+  FROM (SELECT o_orderkey, '4276' || lpad(CAST((o_orderkey * 104729) % 1000000000000 AS STRING), 12, '0') AS n FROM orders) a) b
+""")
+def luhn_fixed(spark, sf_dir):
+    n = F.concat(F.lit("4276"), F.lpad((F.col("o_orderkey") * 104729 % 1000000000000).cast("string"), 12, "0"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", checks.luhn_fixed(n).alias("fixed"))
+
+
+# --- resolution ----------------------------------------------------------------
+
+_MANY = "SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'NAME' WHEN 1 THEN 'ADDRESS' WHEN 2 THEN 'TOKEN' ELSE 'CVC' END AS entity_type, CAST(o_orderkey * 7 % 40 AS INT) AS s, CAST(o_orderkey * 7 % 40 + o_orderkey % 13 + 4 AS INT) AS e, CAST(o_orderkey * 31 % 100 AS DOUBLE) / 100 AS score FROM {orders}"
+
+
+def _many_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.struct("ord", F.struct("entity_type", F.col("s").alias("start"), F.col("e").alias("end"), "score").alias("x"))
+    rows = spark.sql(_MANY, orders=_table(spark, sf_dir, "orders"))
+    return rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["x"]).cast(D.SPANS).alias("spans"))
+
+
+_ONE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s, e ORDER BY score DESC, ord) AS rn FROM ({_MANY.replace('{orders}', 'orders')}) m) q WHERE rn = 1"
+_FOLD = """
+SELECT doc_id, x.t AS entity_type, CAST(x.s AS BIGINT) AS start_at, CAST(x.e AS BIGINT) AS end_at, round(x.p, 2) AS score
+FROM (SELECT doc_id, unnest(list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda k: {drops})) > 0 THEN a ELSE list_concat(a, b) END)) AS x
+  FROM (SELECT doc_id, list([struct_pack(t := entity_type, s := s, e := e, p := score)] ORDER BY {order}) AS l FROM ({one}) o GROUP BY doc_id) g) r
+"""
+
+
+@query(f"SELECT doc_id, entity_type, CAST(s AS BIGINT) AS start_at, CAST(e AS BIGINT) AS end_at, round(score, 2) AS score FROM ({_ONE}) o")
+def best_of_equal_spans(spark, sf_dir):
+    return _spans(_many_spans(spark, sf_dir).withColumn("spans", R.best_of_equal(F.col("spans"))))
+
+
+@query(_FOLD.format(drops="k.s <= b[1].s AND k.e >= b[1].e AND (k.t = b[1].t OR k.p >= b[1].p)", order="e - s DESC, score DESC, ord", one=_ONE))
+def contained_spans_out(spark, sf_dir):
+    return _spans(_many_spans(spark, sf_dir).withColumn("spans", R.contained_out(R.best_of_equal(F.col("spans")))))
+
+
+@query(_FOLD.format(drops="k.s < b[1].e AND b[1].s < k.e", order="score DESC, e - s DESC, s, entity_type", one=_ONE))
+def best_disjoint_spans(spark, sf_dir):
+    return _spans(_many_spans(spark, sf_dir).withColumn("spans", R.best_disjoint(R.best_of_equal(F.col("spans")))))
+
+
+_LABELLED = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Адрес доставки' WHEN 1 THEN 'ключ' WHEN 2 THEN 'г.' WHEN 3 THEN 'a@b.ru' ELSE 'Невский проспект' END AS word, CASE WHEN doc_id % 5 = 1 THEN 'TOKEN' WHEN doc_id % 5 = 3 THEN 'NAME' ELSE 'ADDRESS' END AS kind FROM {corpus}"
+
+
+@query(f"SELECT doc_id, 'ADDRESS' AS entity_type, CAST(0 AS BIGINT) AS start_at, CAST(length(word) AS BIGINT) AS end_at, CAST(0.85 AS DOUBLE) AS score FROM ({_LABELLED.replace('{corpus}', _CORPUS + ' c')}) l WHERE doc_id % 5 = 4")
+def labels_and_mail_out(spark, sf_dir):
+    df = spark.sql(_LABELLED, corpus=corpus(spark, sf_dir))
+    one = F.array(F.struct(F.col("kind").alias("entity_type"), F.lit(0).alias("start"), F.length("word").alias("end"), F.lit(0.85).alias("score"))).cast(D.SPANS)
+    return _spans(df.withColumn("spans", R.resolved(one, F.col("word"))))
+
+
+# --- masking -------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, before || CASE WHEN entity IS NULL THEN value ELSE '<' || entity || '>' END || after AS masked FROM {_CORPUS} c")
+def masked_texts(spark, sf_dir):
+    return M.mask(D.detect(corpus(spark, sf_dir))).select("doc_id", "masked")
+
+
+@query(f"SELECT doc_id, 'replace' AS operator, entity AS entity_type, CAST(length(before) AS BIGINT) AS start_at, CAST(length(before) + length(entity) + 2 AS BIGINT) AS end_at, '<' || entity || '>' AS placeholder FROM {_CORPUS} c WHERE entity IS NOT NULL")
+def masked_places(spark, sf_dir):
+    got = M.mask(D.detect(corpus(spark, sf_dir)), items=True).select("doc_id", F.explode("items").alias("i"))
+    return got.select("doc_id", "i.operator", "i.entity_type", F.col("i.start").cast("long").alias("start_at"), F.col("i.end").cast("long").alias("end_at"), F.col("i.text").alias("placeholder"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<NAME>' || substr(before || value || after, 4) ELSE before || value || after END AS masked FROM {_CORPUS} c")
+def masked_with_given(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    given = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "'NAME' AS entity_type", "0 AS start", "3 AS end", "CAST(1 AS DOUBLE) AS score")
+    return M.mask_with(docs, given).select("doc_id", "masked")
+
+
+_POLICY = {t: "BLOCK" if t in ("BANK_CARD_NUMBER", "CVC", "TOKEN") else "MASK" for t in D.TYPES}
+_BLOCKED = "('BANK_CARD_NUMBER', 'CVC', 'TOKEN')"
+
+
+def _policy(spark, sf_dir):
+    docs = corpus(spark, sf_dir).withColumns({"request_id": F.col("doc_id"), "text": F.concat("text", F.lit(" И ещё раз "), "value")})
+    return M.apply_policy(D.detect(docs), _POLICY)
+
+
+@query(f"SELECT doc_id AS request_id FROM {_CORPUS} c WHERE entity IN {_BLOCKED}")
+def policy_rejected(spark, sf_dir):
+    return _policy(spark, sf_dir)[1].select("request_id")
+
+
+@query(f"SELECT doc_id AS request_id, '<' || entity || '_1>' AS placeholder, value FROM {_CORPUS} c WHERE entity IS NOT NULL AND entity NOT IN {_BLOCKED}")
+def policy_vault(spark, sf_dir):
+    return _policy(spark, sf_dir)[2]
+
+
+@query(f"SELECT doc_id AS request_id, before || value || after || ' И ещё раз ' || value AS restored FROM {_CORPUS} c WHERE entity IS NULL OR entity NOT IN {_BLOCKED}")
+def policy_restored(spark, sf_dir):
+    passed, _, vault = _policy(spark, sf_dir)
+    return M.restore(passed.select("request_id", F.col("masked").alias("text")), vault).select("request_id", "restored")
+
+
+@query("SELECT conv_id, turn, role, text AS masked FROM conversations")
+def policy_by_role(spark, sf_dir):
+    """Chats hold nothing to mask, and answers are never searched."""
+    turns = _table(spark, sf_dir, "conversations")
+    found = D.detect(turns, detectors=(D.EMAIL, D.CARD), key="conv_id")
+    return M.apply_policy(found, {"EMAIL": "MASK", "BANK_CARD_NUMBER": "BLOCK"}, key="conv_id", role="role")[0].select("conv_id", "turn", "role", "masked")
+
+
+# --- evaluation ----------------------------------------------------------------
+
+_LABELS = sorted({x[3] for x in CASES if x[3]}) + ["NAME"]
+
+
+def _sides(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    gold = spark.sql(GOLD_SQL, corpus=c)
+    pred = spark.sql(PRED_SQL.replace("({gold}) g", "{gold}"), gold=gold)
+    return tuple(d.withColumnsRenamed({"s": "start", "e": "end"}) for d in (gold, pred))
+
+
+_GRID = "(VALUES " + ", ".join(f"('{x}')" for x in _LABELS) + ") l(label)"
+
+
+def _metrics_sql(counts: str, digits: int) -> str:
+    return f"""
+WITH k AS ({counts}), every AS (SELECT * FROM k UNION ALL SELECT 'COMBINED', label, TP, FP, FN FROM k),
+f AS (SELECT s.subset, l.label, CAST(coalesce(sum(TP), 0) AS BIGINT) AS TP, CAST(coalesce(sum(FP), 0) AS BIGINT) AS FP, CAST(coalesce(sum(FN), 0) AS BIGINT) AS FN
+  FROM (SELECT DISTINCT subset FROM every) s CROSS JOIN {_GRID} LEFT JOIN every e ON e.subset = s.subset AND e.label = l.label GROUP BY ALL),
+p AS (SELECT *, CASE WHEN TP + FP = 0 THEN 0 ELSE TP / (TP + FP) END AS p, CASE WHEN TP + FN = 0 THEN 0 ELSE TP / (TP + FN) END AS r FROM f),
+m AS (SELECT subset, label, TP, FP, FN, round(p, {digits}) AS "Precision", round(r, {digits}) AS "Recall", round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, {digits}) AS "F1" FROM p)
+SELECT * FROM m UNION ALL SELECT subset, 'MACRO', CAST(sum(TP) AS BIGINT), CAST(sum(FP) AS BIGINT), CAST(sum(FN) AS BIGINT),
+  round(avg("Precision") FILTER (TP + FP + FN > 0), {digits}), round(avg("Recall") FILTER (TP + FP + FN > 0), {digits}), round(avg("F1") FILTER (TP + FP + FN > 0), {digits}) FROM m GROUP BY subset
+"""
+
+
+def _match_sql(keys: str, distinct: bool) -> str:
+    side = lambda q: f"SELECT {keys}, {'1' if distinct else 'count(*)'} AS n FROM (SELECT subset, doc_id, label, s, e, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM ({q}) q) w GROUP BY {keys}"
+    return f"""SELECT subset, label, CAST(sum(least(g, p)) AS BIGINT) AS TP, CAST(sum(greatest(p - g, 0)) AS BIGINT) AS FP, CAST(sum(greatest(g - p, 0)) AS BIGINT) AS FN
+FROM (SELECT {keys}, coalesce(a.n, 0) AS g, coalesce(b.n, 0) AS p FROM ({side(_GOLD)}) a FULL JOIN ({side(_PRED)}) b USING ({keys})) j GROUP BY subset, label"""
+
+
+@query(_metrics_sql(_match_sql("subset, doc_id, label, text", False), 3))
+def bag_scores(spark, sf_dir):
+    return E.metrics(E.bag_match(*_sides(spark, sf_dir), _LABELS), _LABELS)
+
+
+@query(_metrics_sql(_match_sql("subset, doc_id, label, s, e", True), 4))
+def exact_scores(spark, sf_dir):
+    return E.metrics(E.exact_match(*_sides(spark, sf_dir), _LABELS), _LABELS, 4)
+
+
+_CHARS = f"""
+SELECT subset, label, CAST(coalesce(sum(tp), 0) AS BIGINT) AS TP, CAST(coalesce(sum(p), 0) - coalesce(sum(tp), 0) AS BIGINT) AS FP, CAST(coalesce(sum(g), 0) - coalesce(sum(tp), 0) AS BIGINT) AS FN
+FROM (SELECT subset, label, e - s AS g, 0 AS p, 0 AS tp FROM (SELECT subset, doc_id, label, min(s) AS s, max(e) AS e FROM ({_GOLD}) a GROUP BY ALL) x
+  UNION ALL SELECT subset, label, 0, e - s, 0 FROM (SELECT subset, doc_id, label, min(s) AS s, max(e) AS e FROM ({_PRED}) a GROUP BY ALL) y
+  UNION ALL SELECT subset, label, 0, 0, least(a.e, b.e) - greatest(a.s, b.s) FROM (SELECT subset, doc_id, label, min(s) AS s, max(e) AS e FROM ({_GOLD}) a GROUP BY ALL) a
+    JOIN (SELECT subset, doc_id, label, min(s) AS s, max(e) AS e FROM ({_PRED}) a GROUP BY ALL) b USING (subset, doc_id, label)) u GROUP BY subset, label
+"""
+
+
+@query(_metrics_sql(_CHARS, 4))
+def char_scores(spark, sf_dir):
+    return E.metrics(E.char_match(*_sides(spark, sf_dir), _LABELS), _LABELS, 4)
+
+
+@query(f"SELECT label, count(p.doc_id) AS found, count(*) AS total, round(count(p.doc_id) / count(*), 4) AS recall FROM ({_GOLD}) g LEFT JOIN (SELECT DISTINCT doc_id, s, e FROM ({_PRED}) q) p USING (doc_id, s, e) GROUP BY label")
+def recall_of_any_type(spark, sf_dir):
+    return E.recall_any_type(*_sides(spark, sf_dir))
+
+
+@query(f"SELECT 'FP' AS kind, subset, doc_id, label, s, e, text FROM ({_PRED}) p WHERE NOT EXISTS (SELECT 1 FROM ({_GOLD}) g WHERE g.doc_id = p.doc_id AND g.label = p.label AND g.s = p.s AND g.e = p.e) UNION ALL SELECT 'FN', subset, doc_id, label, s, e, text FROM ({_GOLD}) g WHERE NOT EXISTS (SELECT 1 FROM ({_PRED}) p WHERE g.doc_id = p.doc_id AND g.label = p.label AND g.s = p.s AND g.e = p.e)")
+def error_list(spark, sf_dir):
+    return E.errors(*_sides(spark, sf_dir)).withColumnsRenamed({"start": "s", "end": "e"})
+
+
+@query(f"SELECT doc_id, CASE label WHEN 'EMAIL' THEN 'private_email' ELSE 'private_phone' END AS label FROM ({_GOLD}) g WHERE label IN ('EMAIL', 'PHONE_NUMBER')")
+def mapped_labels(spark, sf_dir):
+    mapping = spark.createDataFrame([("EMAIL", "private_email"), ("PHONE_NUMBER", "private_phone")], "label string, to string")
+    return E.map_labels(_sides(spark, sf_dir)[0], mapping).select("doc_id", "label")
+
+
+_F1 = f"SELECT label, \"F1\" FROM ({_metrics_sql('{counts}', 4)}) m WHERE subset = 'COMBINED' AND label <> 'MACRO'"
+
+
+@query(f"WITH x AS ({_F1.replace('{counts}', _match_sql('subset, doc_id, label, s, e', True))}), y AS ({_F1.replace('{counts}', _CHARS)}), w AS (SELECT label, x.\"F1\" AS places, y.\"F1\" AS chars FROM x JOIN y USING (label)) SELECT * FROM w UNION ALL SELECT 'MACRO', round(avg(places), 4), round(avg(chars), 4) FROM w")
+def compared_models(spark, sf_dir):
+    gold, pred = _sides(spark, sf_dir)
+    one = lambda counts, name: E.metrics(counts, _LABELS, 4, by_subset=False).where("label <> 'MACRO'").select("label", F.lit(name).alias("model"), "F1")
+    return E.compare_models(one(E.exact_match(gold, pred, _LABELS), "places").union(one(E.char_match(gold, pred, _LABELS), "chars")), ["places", "chars"])
+
+
+_INTERVALS = "SELECT o_custkey AS doc_id, CAST(o_orderkey * 13 % 300 AS BIGINT) AS start, CAST(o_orderkey * 13 % 300 + o_orderkey % 19 + 1 AS BIGINT) AS end FROM {orders}"
+
+
+@query(f"""
+SELECT doc_id, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+  FROM ({_INTERVALS.replace('{orders}', 'orders').replace('AS end', 'AS "end"')}) i) n) s GROUP BY doc_id, island
+""")
+def united_intervals(spark, sf_dir):
+    return E.union_intervals(spark.sql(_INTERVALS, orders=_table(spark, sf_dir, "orders")), ["doc_id"])
+
+
+# --- corpus preparation --------------------------------------------------------
+
+_MIXED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN before || value || after WHEN 1 THEN 'Їжак ' || before WHEN 2 THEN 'only latin here ' || before ELSE '12345' END AS text FROM {corpus}"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, len(regexp_extract_all(text, '[а-яА-ЯёЁ]')) AS c, len(regexp_extract_all(text, '[a-zA-Zа-яА-ЯёЁ]')) AS n, regexp_matches(text, '[ЇїЄєІі]') AS u FROM ({_MIXED.replace('{corpus}', _CORPUS + ' c')}) m) t WHERE n > 0 AND c / n >= 0.7 AND NOT u")
+def russian_texts(spark, sf_dir):
+    return spark.sql(_MIXED, corpus=corpus(spark, sf_dir)).where(P.is_russian(F.col("text"))).select("doc_id")
+
+
+_SOURCE_LABELS = "CASE o_orderkey % 6 WHEN 0 THEN 'First_Name' WHEN 1 THEN 'last_name' WHEN 2 THEN 'address_city' WHEN 3 THEN 'ADDRESS' WHEN 4 THEN 'email' ELSE 'date' END"
+
+
+@query(f"SELECT CASE WHEN lower(l) IN ('first_name', 'last_name') THEN 'NAME' WHEN lower(l) IN ('address_city', 'address') THEN 'ADDRESS' ELSE l END AS label, count(*) AS n FROM (SELECT {_SOURCE_LABELS} AS l FROM orders) t GROUP BY 1")
+def normalized_label_counts(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").select(F.array(F.expr(_SOURCE_LABELS)).alias("labels"))
+    return P.label_counts(df.withColumn("labels", P.normalize_labels(F.col("labels"))), "labels")
+
+
+_PAIRS = {  # tokens and tags of a case; the entities they make
+    0: ([("Иван", "B-FIRST_NAME"), ("Петров", "L-LAST_NAME"), ("тут", "O")], [("NAME", "Иван Петров")]),
+    1: ([("Иван", "U-FIRST_NAME"), ("Петров", "U-LAST_NAME"), ("Олег", "U-FIRST_NAME")], [("NAME", "Иван Петров"), ("NAME", "Олег")]),
+    2: ([("Москва", "U-CITY"), (",", "O"), ("ул", "O"), ("Мира", "U-STREET"), ("дом", "O"), ("5", "U-HOUSE")], [("ADDRESS", "Москва , ул Мира дом 5")]),
+    3: ([("Мира", "I-STREET"), (" ", "O"), ("весна", "B-EMAIL"), ("пришла", "O")], [("ADDRESS", "Мира")]),
+}
+_PAIR_TEXT = {k: " ".join(t.strip() for t, _ in v[0] if t.strip()) for k, v in _PAIRS.items()}
+
+
+@query("SELECT c_custkey AS doc_id, x.label AS label, x.value AS value FROM (SELECT c_custkey, unnest(CASE c_custkey % 4 " + " ".join(f"WHEN {k} THEN [" + ", ".join(f"{{'label': '{a}', 'value': '{b}'}}" for a, b in v[1]) + "]" for k, v in _PAIRS.items()) + " END) AS x FROM customer) t")
+def token_annotations(spark, sf_dir):
+    """Tags of other kinds than names and addresses are normalised away first."""
+    pairs = F.array(*[F.array(*[F.struct(F.lit(t).alias("token"), F.lit(g).alias("tag")) for t, g in v[0]]) for v in _PAIRS.values()])
+    df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.element_at(pairs, (F.col("c_custkey") % 4 + 1).cast("int")).alias("pairs"))
+    tags = P.normalize_tags(F.transform("pairs", lambda p: p["tag"]))
+    df = df.withColumn("pairs", F.zip_with("pairs", tags, lambda p, t: F.struct(p["token"].alias("token"), t.alias("tag"))))
+    got = P.annotate_tokens(df).select("doc_id", "text", F.explode("ents").alias("e"))
+    return got.select("doc_id", F.col("e.label").alias("label"), F.substr("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("value"))
+
+
+_SPLIT_HASH = "CAST(('0x' || substr(md5(CAST({k} AS STRING) || '/42'), 1, 8)) AS BIGINT)"
+
+
+@query(f"SELECT c_custkey, CASE WHEN {_SPLIT_HASH.format(k='c_custkey')} < {int(0.9 * 2**32)} THEN 'train' ELSE 'test' END AS split FROM customer")
+def hash_split(spark, sf_dir):
+    return P.split(_table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "split")
+
+
+@query("SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY md5(CAST(c_custkey AS STRING) || '/42'), c_custkey) <= floor(0.9 * (SELECT count(*) FROM customer)) THEN 'train' ELSE 'test' END AS split FROM customer")
+def exact_split(spark, sf_dir):
+    return P.split(_table(spark, sf_dir, "customer"), "c_custkey", exact=True).select("c_custkey", "split")
+
+
+def _annotated(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    ents = F.when(F.col("entity").isNotNull(), F.array(F.struct(F.length("before").alias("start"), F.length(F.concat("before", "value")).alias("end"), F.col("entity").alias("label")))).otherwise(F.array()).cast(P.ENTS)
+    return c.select("doc_id", "text", ents.alias("ents"), F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"), F.when(F.col("doc_id") % 2 == 0, "base").otherwise("synth").alias("source"))
+
+
+@query(f"SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS docs, count(entity) AS with_entities, round(100 * count(entity) / count(*), 1) AS percent, count(entity) AS entities, count(*) - count(entity) AS negatives FROM {_CORPUS} c GROUP BY 1")
+def split_statistics(spark, sf_dir):
+    return P.split_stats(_annotated(spark, sf_dir))
+
+
+@query(f"SELECT entity AS label, CAST(min(length(value)) AS BIGINT) AS least, CAST(list_sort(list(length(value)))[len(list(length(value))) // 2 + 1] AS BIGINT) AS median, CAST(max(length(value)) AS BIGINT) AS most FROM {_CORPUS} c WHERE entity IS NOT NULL GROUP BY entity")
+def length_statistics(spark, sf_dir):
+    got = P.length_stats(_annotated(spark, sf_dir))
+    return got.select("label", *[F.col(c).cast("long").alias(c) for c in ("least", "median", "most")])
+
+
+@query(f"SELECT label, n, value, CAST(rank AS BIGINT) AS rank FROM (SELECT entity AS label, CAST(length(value) AS BIGINT) AS n, value, row_number() OVER (PARTITION BY entity ORDER BY length(value) DESC, encode(value)) AS rank FROM {_CORPUS} c WHERE entity IS NOT NULL) t WHERE rank <= 5")
+def longest_entities(spark, sf_dir):
+    return P.longest(_annotated(spark, sf_dir)).select("label", F.col("n").cast("long").alias("n"), "value", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT c_custkey FROM customer ORDER BY md5(CAST(c_custkey AS STRING) || '/42'), c_custkey LIMIT 20")
+def sampled_docs(spark, sf_dir):
+    return P.sample_docs(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 20)
+
+
+@query(f"SELECT doc_id, substr(before || CASE WHEN entity IS NULL THEN value ELSE '>>' || entity || ':' || value || '<<' END || after, 1, 300) AS shown FROM {_CORPUS} c")
+def highlighted(spark, sf_dir):
+    return _annotated(spark, sf_dir).select("doc_id", M.highlight(F.col("text"), F.col("ents")).alias("shown"))
+
+
+_RECORDS = "SELECT doc_id, before || value || after || ' ' || value AS text, CASE doc_id % 4 WHEN 0 THEN CAST(NULL AS STRING) ELSE value END AS word FROM {corpus}"
+
+
+@query(f"SELECT doc_id, CAST(length(before) AS BIGINT) AS s, CAST(length(before) + length(value) AS BIGINT) AS e FROM {_CORPUS} c WHERE doc_id % 4 <> 0 AND c IN (0, 1, 2, 3, 8, 14, 17) UNION ALL SELECT doc_id, length(before || value || after) + 1, length(before || value || after || value) + 1 FROM {_CORPUS} c WHERE doc_id % 4 <> 0 AND c IN (0, 1, 2, 3, 8, 14, 17)")
+def substring_annotations(spark, sf_dir):
+    recs = spark.sql(_RECORDS, corpus=corpus(spark, sf_dir).where("c IN (0, 1, 2, 3, 8, 14, 17)"))
+    good, _ = P.annotate_substrings(recs.withColumn("entities", F.array(F.struct(F.col("word").alias("text"), F.lit("NAME").alias("type")))))
+    return good.select("doc_id", F.explode("ents").alias("x")).select("doc_id", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"))
+
+
+@query(f"SELECT doc_id FROM {_CORPUS} c WHERE doc_id % 4 = 0")
+def rejected_records(spark, sf_dir):
+    recs = spark.sql(_RECORDS, corpus=corpus(spark, sf_dir))
+    return P.annotate_substrings(recs.withColumn("entities", F.array(F.struct(F.col("word").alias("text"), F.lit("NAME").alias("type")))))[1].select("doc_id")
+
+
+@query(f"SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'synth' END AS source, count(*) AS n FROM {_CORPUS} c GROUP BY 1, 2")
+def pooled_sources(spark, sf_dir):
+    a = _annotated(spark, sf_dir)
+    return S.source_counts(S.pool(a.where("source = 'base'"), a.where("source = 'synth'")))
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS BIGINT) AS turn, role, text AS content FROM conversations")
+def chat_round_trip(spark, sf_dir):
+    got = S.chat_turns(S.chat_texts(_table(spark, sf_dir, "conversations")), "conv_id")
+    return got.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "content")
+
+
+# --- plans and their checks ----------------------------------------------------
+
+
+def _drawn_sql(dimension: str, weights: dict[str, float], key: str) -> str:
+    total, upto, tests = sum(weights.values()), 0.0, []
+    for value, w in weights.items():
+        upto += w
+        tests.append(f"WHEN u_{dimension} * {total!r} < {upto!r} THEN '{value}'")
+    return f"CASE {' '.join(tests)} ELSE '{list(weights)[-1]}' END"
+
+
+def _uniform_sql(dimension: str, key: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({key} AS STRING) || '/{dimension}/42'), 1, 8)) AS BIGINT)::DOUBLE / 4294967296"
+
+
+_PLAIN = ("entity_type", "style", "length", "expression")
+_PLAN_SQL = "SELECT row, " + ", ".join(f"{_drawn_sql(d, G.WEIGHTS[d], 'row')} AS {d}" for d in _PLAIN) + " FROM (SELECT row, " + ", ".join(f"{_uniform_sql(d, 'row')} AS u_{d}" for d in _PLAIN) + " FROM (SELECT row_number() OVER () - 1 AS row FROM customer) r) u"
+
+
+def _plans(spark, sf_dir):
+    return G.plans(spark, _table(spark, sf_dir, "customer").count())
+
+
+@query(f"SELECT CAST(row AS BIGINT) AS row, entity_type, style, length, expression FROM ({_PLAN_SQL}) p")
+def plan_choices(spark, sf_dir):
+    return _plans(spark, sf_dir).select("row", *_PLAIN)
+
+
+@query()
+def plan_rows(spark, sf_dir):
+    return _plans(spark, sf_dir)
+
+
+@query(f"SELECT 'style' AS dimension, t.value, coalesce(s.n, 0) AS n, round(coalesce(s.n, 0) / (SELECT count(*) FROM customer), 6) AS share, round(t.w, 6) AS target, round(coalesce(s.n, 0) / (SELECT count(*) FROM customer) - t.w, 6) AS difference FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in G.WEIGHTS["style"].items()) + f") t(value, w) LEFT JOIN (SELECT style AS value, count(*) AS n FROM ({_PLAN_SQL}) p GROUP BY 1) s USING (value)")
+def plan_mix(spark, sf_dir):
+    return G.mix_audit(_plans(spark, sf_dir), G.weight_table(spark), ["style"])
+
+
+_FORMS = list(G.WEIGHTS["addr_form"])
+_ADDRESS = {"ADDR_FULL": "'г. Тверь, ул. Мира, д. ' || h || ', кв. ' || a", "ADDR_CSH": "'Тверь, ул. Мира ' || h", "ADDR_SHA": "'ул. Мира ' || h || ' кв. ' || a", "ADDR_SH": "'ул. Мира ' || h", "ADDR_SHAP": "'ул. Мира ' || h || ' кв. ' || a || ' подъезд 2'", "ADDR_ABBR": "'тве, Мира ' || h || ' кв ' || a", "ADDR_WORDS": "'улица Мира дом ' || h || ' квартира ' || a", "ADDR_REGION": "'Тверская область, Тверь, ул. Мира ' || h", "ADDR_LOW": "'ул. мира ' || h || ' кв. ' || a", "ADDR_INDEX": "'170100, г. Тверь, ул. Мира, д. ' || h"}
+
+
+@query(f"SELECT k, CASE k % 10 {' '.join(f'WHEN {i} THEN {_ADDRESS[f]}' for i, f in enumerate(_FORMS))} END AS address FROM (SELECT c_custkey AS k, CAST(c_custkey % 200 + 1 AS STRING) AS h, CAST(c_custkey % 400 + 1 AS STRING) AS a FROM customer) t")
+def composed_addresses(spark, sf_dir):
+    k = F.col("c_custkey")
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), (k % 10 + 1).cast("int"))
+    text = G.compose_address(form, F.lit(None).cast("string"), F.lit("Тверь"), F.lit("ул."), F.lit("Мира"), (k % 200 + 1).cast("string"), (k % 400 + 1).cast("string"), F.lit("2"), F.lit("170100"), F.lit("Тверская область"), F.lit(0.0))
+    return _table(spark, sf_dir, "customer").select(k.alias("k"), text.alias("address"))
+
+
+@query("SELECT k, CASE k % 8 WHEN 0 THEN 'Петров Иван' WHEN 1 THEN 'Иван Петров' WHEN 2 THEN 'Петров Иван Ильич' WHEN 3 THEN 'Иван Ильич Петров' WHEN 4 THEN 'Иван Ильич' WHEN 5 THEN 'Иван' WHEN 6 THEN 'И. И. Петров' ELSE 'Петров И. И.' END AS name FROM (SELECT c_custkey AS k FROM customer) t")
+def composed_names(spark, sf_dir):
+    k = F.col("c_custkey")
+    forms = ["NAME_FI", "NAME_IF", "NAME_FIO", "NAME_IFO", "NAME_IO", "NAME_I", "NAME_INITF", "NAME_FINIT"]
+    name = G.compose_name(F.element_at(F.array(*map(F.lit, forms)), (k % 8 + 1).cast("int")), F.lit(None).cast("string"), F.lit("Петров"), F.lit("Иван"), F.lit("Ильич"), F.lit("Сидоров"))
+    return _table(spark, sf_dir, "customer").select(k.alias("k"), name.alias("name"))
+
+
+@query("SELECT c_custkey AS id, rule FROM customer, (VALUES (1, 'entity_in_text'), (2, 'types_agree'), (3, 'multi_has_two'), (4, 'position'), (5, 'length')) r(c, rule) WHERE c_custkey % 6 = c")
+def record_checks(spark, sf_dir):
+    c = F.col("c_custkey") % 6
+    ent = F.struct(F.when(c == 1, "Олег").otherwise("Иван").alias("text"), F.when(c == 2, "ADDRESS").otherwise("NAME").alias("type"))
+    df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("Иван пришёл сегодня рано утром.").alias("text"), F.array(ent).alias("entities"), F.lit("NAME_ONLY").alias("entity_type"), (c == 3).alias("multi_entity"), F.when(c == 4, "end").when(c == 1, "mixed").otherwise("beginning").alias("position"), F.when(c == 5, "long").otherwise("short").alias("length"))
+    return Q.check_records(df)
+
+
+@query("SELECT count(*) FILTER (c_custkey % 3 = 0) AS expression, count(*) FILTER (c_custkey % 5 = 0) AS position FROM customer")
+def missing_fields(spark, sf_dir):
+    k = F.col("c_custkey")
+    return Q.missing_fields(_table(spark, sf_dir, "customer").select(F.when(k % 3 != 0, "joy").alias("expression"), F.when(k % 5 != 0, "end").alias("position")), ["expression", "position"])
+
+
+# --- streams -------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, before || CASE WHEN entity IS NULL THEN value ELSE '<' || entity || '_1>' END || after AS masked FROM {_CORPUS} c WHERE entity IS NULL OR entity NOT IN {_BLOCKED}")
+def guarded_stream(spark, sf_dir):
+    """The corpus as files of messages, through the guard until all are done, and read back."""
+    import uuid
+
+    from ..sources.shared import shared_folder
+    from ..streaming.guard import guard
+
+    base = f"{shared_folder(spark)}/guard-{uuid.uuid4().hex}"
+    corpus(spark, sf_dir).select("doc_id", "text").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 64).parquet(f"{base}/in")
+    guard(stream, _POLICY, f"{base}/out", f"{base}/state", key="doc_id", role=None).awaitTermination()
+    return spark.read.parquet(f"{base}/out/passed").select("doc_id", "masked")
