@@ -3,9 +3,13 @@
 Documents with equal sets are one class. Two small sets meet on a whole common subset of the size that a link between sets of
 their sizes needs, so a meeting is a link. A pair with a large set meets on the inverted list of a prefix shingle: in any one
 order of all shingles, linked sets share one of the first n - ceil(0.8 n) + 1. The order puts frequent shingles last, by
-counters over all documents, which keeps lists short; it never decides a link. Lists with the same members are one. The sets
-of a list's members are compared in one matrix product, or, where a list is too large for a task, block by block. Links become
-components by least labels.
+counters over all documents, which keeps lists short; it never decides a link. Lists with the same members are one.
+
+A list's members are first compared by sketches: counts of a set's hashes in about as many cells as it has members. The sum of
+two sketches' differences is at most the sets' symmetric difference, so a pair beyond what a link allows is none. What is left
+of the lists hangs together in pieces, and pieces that share a document in clusters. A cluster's documents are compared by the
+sets themselves, in one matrix product, so that each set moves once. A list or cluster too large for a task goes block by block.
+Links become components by least labels.
 """
 
 from __future__ import annotations
@@ -110,9 +114,24 @@ def _subsets(u: np.ndarray, small: int) -> list[int]:
     return np.unique(np.concatenate(out)).astype(np.int64).tolist() if out else []
 
 
+def _cells(n: np.ndarray) -> np.ndarray:
+    """Cells of a sketch: the power of two from n/2 on, 16 at least."""
+    return 1 << np.maximum(4, np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64))
+
+
+def _sketches(u: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's counts by the low bits of its hashes, one byte each (255: that or more), with offsets."""
+    n = np.diff(off)
+    cells = _cells(n)
+    to = np.concatenate(([0], np.cumsum(cells)))
+    row = np.repeat(np.arange(len(n)), n)
+    at = to[row] + (u & (cells[row] - 1).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=to[-1]), 255).astype(np.uint8), to
+
+
 def _described(docs: DataFrame, levels: np.ndarray, small: int) -> DataFrame:
-    """(doc_id, n, class, tokens, meets): set size and fingerprint, prefix shingles, and a small set's subsets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("tokens", pa.list_(pa.int64())), ("meets", pa.list_(pa.int64()))])
+    """(doc_id, n, class, tokens, meets, sketch): set size and fingerprint, prefix shingles, a small set's subsets, counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("tokens", pa.list_(pa.int64())), ("meets", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -126,9 +145,10 @@ def _described(docs: DataFrame, levels: np.ndarray, small: int) -> DataFrame:
             to = np.concatenate(([0], np.cumsum(count)))
             at = np.repeat(off[:-1] - to[:-1], count) + np.arange(to[-1])
             meets = [_subsets(u[a:b], small) if 0 < b - a <= small else [] for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield rows(schema, doc_id=column(part, "doc_id"), n=n, **{"class": binaries(_fingerprint(u, off).view(np.uint8).ravel(), 16 * np.arange(len(n) + 1))}, tokens=lists(u[order[at]].astype(np.int64), to, pa.int64()), meets=pa.array(meets, pa.list_(pa.int64())))
+            name = binaries(_fingerprint(u, off).view(np.uint8).ravel(), 16 * np.arange(len(n) + 1))
+            yield rows(schema, doc_id=column(part, "doc_id"), n=n, **{"class": name}, tokens=lists(u[order[at]].astype(np.int64), to, pa.int64()), meets=pa.array(meets, pa.list_(pa.int64())), sketch=binaries(*_sketches(u, off)))
 
-    return docs.mapInArrow(run, "doc_id long, n long, class binary, tokens array<long>, meets array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, class binary, tokens array<long>, meets array<long>, sketch binary")
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
@@ -174,37 +194,121 @@ def linked_groups(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     return first
 
 
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]] | None]:
+    """Rows of sorted batches by (list, i, j): the key and the rows' other columns. None at the end of each batch."""
+    key, held = None, []
+    for b in batches:
+        for one, i, j, *rest in zip(*(column(b, c).to_pylist() for c in ("list", "i", "j", *names)), strict=True):
+            if (one, i, j) != key:
+                if len(held) > 1:
+                    yield key, held
+                key, held = (one, i, j), []
+            held.append(rest)
+        yield None
+    if len(held) > 1:
+        yield key, held
+    yield None
+
+
+def _joined(first: np.ndarray, a: int, b: np.ndarray) -> None:
+    """Union of a with all of b; each component is named by its least member."""
+    names = np.unique(np.append(first[b], first[a]))
+    first[np.isin(first, names)] = names[0]
+
+
+def alike(n: np.ndarray, sketch: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """For each set the first set of its piece, under pairs whose sketches allow a link."""
+    first = np.arange(len(n))
+    cells = np.fromiter(map(len, sketch), np.int64, len(sketch))
+    for size in np.unique(cells):
+        mine = np.flatnonzero(cells == size)
+        more = np.flatnonzero(cells == 2 * size)
+        at = np.concatenate((mine, more))
+        if len(at) < 2:
+            continue
+        # a sketch of twice the cells has its halves added up: the lower bits of the hashes stay
+        table = np.array([*(sketch[k].astype(np.int32) for k in mine), *(sketch[k].astype(np.int32).reshape(2, size).sum(0) for k in more)])
+        for k in range(len(mine)):
+            with_ = at[k + 1 :]
+            fits = (NUM * np.maximum(n[with_], n[mine[k]]) <= DEN * np.minimum(n[with_], n[mine[k]])) & (first[with_] != first[mine[k]])
+            fits &= ~((side[with_] == side[mine[k]]) & (side[with_] > 0))
+            if fits.any():
+                apart = np.abs(table[k + 1 :][fits] - table[k]).sum(1)
+                with_ = with_[fits]
+                # a link: intersection >= NUM/(NUM+DEN) of both sizes, so symmetric difference <= (DEN-NUM)/(DEN+NUM) of them
+                with_ = with_[(NUM + DEN) * apart <= (DEN - NUM) * (n[with_] + n[mine[k]])]
+                if len(with_):
+                    _joined(first, mine[k], with_)
+    return first
+
+
+def _pieces(members: DataFrame) -> DataFrame:
+    """What is left of the lists of ``members`` (list, i, j, side, doc_id, n, sketch): (list, i, j, piece, doc_id, n)."""
+    schema = pa.schema([("list", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("piece", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in _groups(batches, ("side", "doc_id", "n", "sketch")):
+            if group is None:
+                if out:
+                    yield rows(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
+                out = []
+                continue
+            key, held = group
+            n = np.array([x[2] for x in held])
+            first = alike(n, [np.frombuffer(x[3], np.uint8) for x in held], np.array([x[0] for x in held]))
+            size = np.bincount(first, minlength=len(held))
+            out += [(*key, held[f][1], held[k][1], held[k][2]) for k, f in enumerate(first.tolist()) if size[f] > 1]
+
+    return members.mapInArrow(run, "list long, i int, j int, piece long, doc_id long, n long")
+
+
 def _list_links(members: DataFrame) -> DataFrame:
     """(a, b) edges within each list of ``members`` (list, i, j, side, doc_id, hashes): a star for each component found there."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def links() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            if len(held) == 2:
-                (_, x, a), (_, y, b) = held
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                return [(a, b)] if (NUM + DEN) * common >= NUM * (len(x) + len(y)) else []
-            first = linked_groups([h for _, h, _ in held], np.array([s for s, _, _ in held]))
-            return [(held[f][2], held[k][2]) for k, f in enumerate(first) if f != k]
+    def links(held: list) -> list[tuple[int, int]]:
+        if len(held) == 2:
+            (_, a, x), (_, b, y) = held
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(x) + len(y) - len(np.union1d(x, y))
+            return [(a, b)] if (NUM + DEN) * common >= NUM * (len(x) + len(y)) else []
+        first = linked_groups([np.frombuffer(x[2], np.uint64) for x in held], np.array([x[0] for x in held]))
+        return [(held[f][1], held[k][1]) for k, f in enumerate(first) if f != k]
 
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for one, i, j, side, doc, h in zip(*(column(b, c).to_pylist() for c in ("list", "i", "j", "side", "doc_id", "hashes")), strict=True):
-                if (one, i, j) != key:
-                    out += links()
-                    key, held = (one, i, j), []
-                held.append((side, np.frombuffer(h, np.uint64), doc))
-            yield rows(schema, a=[x for x, _ in out], b=[y for _, y in out])
-        out = links()
-        yield rows(schema, a=[x for x, _ in out], b=[y for _, y in out])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, ("side", "doc_id", "hashes")):
+            if group is None:
+                yield rows(schema, a=[x for x, _ in out], b=[y for _, y in out])
+                out = []
+            else:
+                out += links(group[1])
 
     return members.mapInArrow(run, "a long, b long")
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """Lists (list, doc_id, n, more) of two or more; of lists with the same members one."""
+    one = Window.partitionBy("list")
+    found = members.withColumns({"members": F.count("*").over(one), "names": F.bit_xor(F.xxhash64("doc_id")).over(one), "least": F.min("doc_id").over(one), "total": F.sum("n").over(one)})
+    same = Window.partitionBy("members", "names", "least")
+    return found.where("members > 1").withColumn("first", F.min("list").over(same)).where("list = first").select("list", "doc_id", "n", "total").distinct()
+
+
+def _in_blocks(members: DataFrame, bytes_each: int) -> DataFrame:
+    """(list, i, j, side, doc_id, n): each list whole (i = j = 0), or, where its data are too large for a task, by pairs of blocks."""
+    blocks = F.ceil(bytes_each * F.col("total") / BLOCK_BYTES).cast("int")
+    placed = members.withColumns({"blocks": blocks, "at": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
+    side = F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("at") == F.col("p.i"), 1).otherwise(2)
+    return placed.select("list", "doc_id", "n", "at", F.explode(pair).alias("p")).select("list", "p.i", "p.j", side.alias("side"), "doc_id", "n")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.repartition(partitions(members.sparkSession), "list", "i", "j").sortWithinPartitions("list", "i", "j", "doc_id")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``: the least doc_id that its links reach.
 
@@ -219,21 +323,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     chosen = full.select("doc_id", "class", "tokens", "meets").join(classes, ["class", "doc_id"])
 
+    # a list of small sets alone has nothing to find: it takes a large one
     spread = chosen.select("doc_id", "n", (F.col("n") > small).alias("large"), F.explode("tokens").alias("list"))
-    one = Window.partitionBy("list")
-    found = spread.withColumns({"members": F.count("*").over(one), "large_ones": F.count(F.when(F.col("large"), 1)).over(one), "names": F.bit_xor(F.xxhash64("doc_id")).over(one), "least": F.min("doc_id").over(one), "bytes": 8 * F.sum("n").over(one)})
-    found = found.where("members > 1 and large_ones > 0")
-    same = Window.partitionBy("members", "names", "least")
-    found = found.withColumn("first", F.min("list").over(same)).where("list = first").select("list", "doc_id", "n", "bytes").distinct()
-    found = released(written(found, "lists"))
-
-    blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
-    placed = found.withColumns({"blocks": blocks, "at": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
-    placed = placed.select("list", "doc_id", "at", F.explode(pair).alias("p")).select("list", "doc_id", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("at") == F.col("p.i"), 1).otherwise(2).alias("side"))
-    wanted = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    members = placed.join(_set_rows(wanted), "doc_id").repartition(partitions(spark), "list", "i", "j").sortWithinPartitions("list", "i", "j", "doc_id")
-    by_list = _list_links(members)
+    large = F.max("large").over(Window.partitionBy("list"))
+    found = released(written(_once(spread.withColumn("large", large).where("large").drop("large")), "lists"))
+    counts = told.where("n > 0").select("doc_id", F.col("sketch"), "class").join(classes.select("class", "doc_id"), ["class", "doc_id"]).drop("class")
+    left = released(written(_pieces(_dealt(_in_blocks(found, 1).join(counts, "doc_id"))), "pieces"))
+    clusters = components(left.select(F.col("piece").alias("a"), F.col("doc_id").alias("b")))
+    sizes = left.groupBy("doc_id").agg(F.min("n").alias("n"))
+    clusters = clusters.select(F.col("component").alias("list"), F.col("v").alias("doc_id")).join(sizes, "doc_id")
+    totals = clusters.groupBy("list").agg(F.sum("n").alias("total"))
+    clusters = released(written(clusters.join(totals, "list"), "clusters"))
+
+    wanted = docs.join(clusters.select("doc_id"), "doc_id", "left_semi")
+    by_list = _list_links(_dealt(_in_blocks(clusters, 8).join(_set_rows(wanted), "doc_id")))
 
     meets = chosen.select("doc_id", F.explode("meets").alias("meet"))
     by_subset = meets.join(meets.groupBy("meet").agg(F.min("doc_id").alias("a")), "meet").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
