@@ -43,12 +43,21 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later step reads."""
     spark = df.sparkSession
+    bare = lambda x: x.split(":", 1)[1].lstrip("/") if ":" in x else x.lstrip("/")
+    inside = bare(shared_folder(spark))
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_folder(spark).replace("file:///", "file:/").rstrip("/")) or path.startswith(shared_folder(spark)):
+        if bare(path).startswith(inside):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows_: int = 2000) -> None:
+    """Whole texts go to Python in Arrow batches of few rows: batches of 10,000 rows would hold tens of MB for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows_:
+        spark.conf.set(name, str(rows_))
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

@@ -6,9 +6,11 @@ trigger (the leftmost of equals). Neighbouring strings with one trigger make a p
 
 Dictionary and parse. Only phrases whose trigger gram occurs again can repeat. Their fingerprints give the dictionary of
 distinct phrases with the place of each one's first occurrence: all of a later occurrence is removed. What remains are the
-suffixes of the dictionary's phrases. They are ordered by the 128-bit fingerprint of their first 100 bytes, then by the parse,
-that is by the place of their phrase's first occurrence; in that order all but the first of equals are removed. The full
-lexicographic order isn't needed, as only equality over 100 bytes counts.
+suffixes of the dictionary's phrases that share a gram with another one. They are ordered by the 128-bit fingerprint of their
+first 100 bytes, then by the parse, that is by the place of their phrase's first occurrence; in that order all but the first
+of equals are removed. The full lexicographic order isn't needed, as only equality over 100 bytes counts. Before that, suffixes
+go by zones of their distance to the trigger: all strings of a zone hold the same core around it, and where no other phrase
+has that core, none of the zone's strings can repeat.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import chunks, column, id_key, released, rows, text_bytes, written
+from .common import chunks, column, discard, id_key, released, rows, text_bytes, written
 
 LENGTH, GRAM = 100, 32
+#: Strings of one zone begin less than ZONE bytes apart.
+ZONE = 12
 _BASES = (scan.BASE, 0xD6E8FEB86659FD93)
 
 
@@ -83,7 +87,7 @@ def _grams(docs: DataFrame) -> DataFrame:
 
 def _phrases(docs: DataFrame) -> DataFrame:
     """Phrases of documents (doc_id, text, grams) whose gram is among the document's ``grams``."""
-    schema = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("strings", pa.int64()), ("phrase", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("strings", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -98,16 +102,67 @@ def _phrases(docs: DataFrame) -> DataFrame:
             for k in range(part.num_rows):
                 live[ends[k] : ends[k + 1]] = np.isin(gram[ends[k] : ends[k + 1]], names[at[k] : at[k + 1]])
             row, first, strings, gram = row[live], first[live], strings[live], gram[live]
-            end = first + strings + LENGTH - 1
-            f1, f2 = _fingerprints(buf, first, end)
+            f1, f2 = _fingerprints(buf, first, first + strings + LENGTH - 1)
+            yield rows(schema, gram=gram, f1=f1, f2=f2, doc_id=column(part, "doc_id").to_numpy()[row], first=first - off[row], strings=strings)
+
+    return docs.mapInArrow(run, "gram long, f1 long, f2 long, doc_id long, first long, strings long")
+
+
+def _cut_out(docs: DataFrame) -> DataFrame:
+    """Bytes of the phrases that documents (doc_id, text, firsts, sizes, grams) are asked for."""
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("strings", pa.int64()), ("phrase", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            buf, off = text_bytes(column(part, "text"))
             raw = buf.tobytes()
-            yield rows(schema, gram=gram, f1=f1, f2=f2, doc_id=column(part, "doc_id").to_numpy()[row], first=first - off[row], strings=strings, phrase=pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary()))
+            n = column(part, "firsts").value_lengths().to_numpy()
+            first, strings, gram = (column(part, c).flatten().to_numpy() for c in ("firsts", "sizes", "grams"))
+            base = np.repeat(off[:-1], n)
+            fits = base + first + strings + LENGTH - 1 <= np.repeat(off[1:], n)  # false only for another text of the same id
+            first, strings, gram, base, row = first[fits], strings[fits], gram[fits], base[fits], np.repeat(np.arange(len(n)), n)[fits]
+            begin = base + first
+            bytes_ = [raw[a:b] for a, b in zip(begin.tolist(), (begin + strings + LENGTH - 1).tolist(), strict=True)]
+            yield rows(schema, gram=gram, doc_id=column(part, "doc_id").to_numpy()[row], first=first, strings=strings, phrase=pa.array(bytes_, pa.binary()))
+
+    return docs.mapInArrow(run, "gram long, doc_id long, first long, strings long, phrase binary")
+
+
+def _triggers(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where in each phrase its trigger stands: all its strings hold it."""
+    row, first, _, _ = parse(buf, off)
+    s, down = scan.prefix_sums(buf, scan.byte_values(False))
+    gram = scan.mixed((s[GRAM:] - s[:-GRAM]) * down[: len(buf) - GRAM + 1])
+    out = np.empty(len(off) - 1, np.int64)
+    for k, at in zip(row.tolist(), first.tolist(), strict=True):
+        out[k] = at - off[k] + int(np.argmin(gram[at : at + LENGTH - GRAM + 1] >> np.uint64(32)))
+    return out
+
+
+def _zones(phrases: DataFrame) -> DataFrame:
+    """(core, doc_id, first, zone): fingerprint of what all strings of a zone of a phrase hold."""
+    schema = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("zone", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "phrase"):
+            buf, off = text_bytes(column(part, "phrase"))
+            strings, trigger = column(part, "strings").to_numpy(), _triggers(buf, off)
+            doc, place = column(part, "doc_id").to_numpy(), column(part, "first").to_numpy()
+            for zone in range(-(-(LENGTH - GRAM + 1) // ZONE)):
+                # strings whose trigger is zone * ZONE ... (zone + 1) * ZONE - 1 bytes from their start
+                low, high = trigger - (zone + 1) * ZONE + 1, trigger - zone * ZONE
+                live = np.flatnonzero((high >= 0) & (low < strings))
+                begin, end = high[live], low[live] + LENGTH
+                inside = (begin >= 0) & (end <= np.diff(off)[live])
+                # a core that sticks out of the phrase isn't whole here: such zones are taken as shared
+                core, _ = _fingerprints(buf, off[live][inside] + begin[inside], off[live][inside] + end[inside])
+                yield rows(schema, core=core + zone, doc_id=doc[live][inside], first=place[live][inside], zone=np.full(inside.sum(), zone, np.int32))
 
-    return docs.mapInArrow(run, "gram long, f1 long, f2 long, doc_id long, first long, strings long, phrase binary")
+    return phrases.mapInArrow(run, "core long, doc_id long, first long, zone int")
 
 
 def _suffixes(phrases: DataFrame) -> DataFrame:
-    """Fingerprints of the first 100 bytes of each suffix of phrases (doc_id, first, strings, phrase)."""
+    """Fingerprints of the first 100 bytes of each suffix of phrases (doc_id, first, strings, phrase, dull); ``dull`` lists zones without repeats."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +170,15 @@ def _suffixes(phrases: DataFrame) -> DataFrame:
             buf, off = text_bytes(column(part, "phrase"))
             n = column(part, "strings").to_numpy()
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(off[:-1], n) + within
+            row = np.repeat(np.arange(len(n)), n)
+            dull = np.zeros((len(n), -(-(LENGTH - GRAM + 1) // ZONE)), bool)
+            lists_ = column(part, "dull")
+            dull[np.repeat(np.arange(len(n)), lists_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists_.flatten().to_numpy()] = True
+            live = ~dull[row, (_triggers(buf, off)[row] - within) // ZONE]
+            row, within = row[live], within[live]
+            at = off[row] + within
             k1, k2 = _fingerprints(buf, at, at + LENGTH)
-            yield rows(schema, k1=k1, k2=k2, doc_id=np.repeat(column(part, "doc_id").to_numpy(), n), first=np.repeat(column(part, "first").to_numpy(), n) + within)
+            yield rows(schema, k1=k1, k2=k2, doc_id=column(part, "doc_id").to_numpy()[row], first=column(part, "first").to_numpy()[row] + within)
 
     return phrases.mapInArrow(run, "k1 long, k2 long, doc_id long, first long")
 
@@ -128,20 +189,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_gram = Window.partitionBy("gram")
     again = _grams(docs).withColumn("n", F.count("*").over(by_gram)).where("n > 1")
     wanted = released(written(again.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "grams"))
-    found = released(written(_phrases(docs.join(wanted, "doc_id")), "phrases"))
-
-    names = ["gram", "f1", "f2"]
-    place = F.struct("doc_id", "first")
-    entries = found.groupBy(*names).agg(F.min(F.struct("doc_id", "first", "strings", "phrase")).alias("e"))
-    entries = released(written(entries.select(*names, "e.*", F.count("*").over(by_gram).alias("alike")), "dictionary"))
-    later = found.select(*names, "doc_id", "first", "strings").join(entries.select(*names, place.alias("least")), names).where(place != F.col("least"))
-    later = later.select("doc_id", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end"))
-
-    suffixes = _suffixes(entries.where("alike > 1").select("doc_id", "first", "strings", "phrase"))
-    least = suffixes.groupBy("k1", "k2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
-    equal = suffixes.join(least, ["k1", "k2"]).where(place != F.col("least")).select("doc_id", "first", (F.col("first") + LENGTH).alias("end"))
+    nth = F.row_number().over(Window.partitionBy("gram", "f1", "f2").orderBy("doc_id", "first"))
+    found = released(written(_phrases(docs.join(wanted, "doc_id")).withColumn("nth", nth).drop("f1", "f2"), "phrases"))
+    discard(wanted)
+
+    entries = found.where("nth = 1").withColumn("alike", F.count("*").over(by_gram)).where("alike > 1")
+    asked = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "strings", "gram"))).alias("p"))
+    asked = asked.select("doc_id", F.col("p.first").alias("firsts"), F.col("p.strings").alias("sizes"), F.col("p.gram").alias("grams"))
+    phrases = released(written(_cut_out(docs.join(asked, "doc_id")), "bytes"))
+    alone = _zones(phrases).groupBy("core").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("first"), F.min("zone").alias("zone"), F.count("*").alias("n")).where("n = 1")
+    dull = alone.groupBy("doc_id", "first").agg(F.collect_list("zone").alias("dull"))
+    pruned = released(written(phrases.join(dull, ["doc_id", "first"], "left"), "pruned"))
+    discard(phrases)
+    order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc_id", "first"))
+    equal = _suffixes(pruned).withColumn("nth", order).where("nth > 1").select("doc_id", "first", (F.col("first") + LENGTH).alias("end"))
+    equal = released(written(equal, "equal"))
+    discard(pruned)
+    later = found.where("nth > 1").select("doc_id", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end"))
     spans = later.union(equal).groupBy("doc_id").agg(F.collect_list("first").alias("starts"), F.collect_list("end").alias("ends"))
-    return released(written(spans, "spans"))
+    spans = released(written(spans, "spans"))
+    discard(found)
+    discard(equal)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
