@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import chunks, column, released, rows, text_bytes, written
+from .common import chunks, column, released, rows, small_batches, text_bytes, written
 
 BUCKETS = 1 << 18
 #: At most about this many labelled documents are fitted on, chosen by a hash of their ids.
@@ -109,7 +109,7 @@ def evidence(model: Model, text: Column) -> Column:
     def run(series: pa.Array) -> pa.Array:
         out = []
         batch = pa.RecordBatch.from_arrays([series.combine_chunks() if isinstance(series, pa.ChunkedArray) else series], names=["text"])
-        for part in chunks(iter([batch])):
+        for part in chunks(iter([batch]), size=1 << 18):
             row, feature = features(*text_bytes(column(part, "text")))
             hit = live[feature]
             key = np.unique(row[hit] * BUCKETS + feature[hit])
@@ -153,6 +153,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     Null hosts and paths are groups of their own. Rows that repeat are judged each. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, fit_rows)
     names = docs.columns
     told = docs.withColumn("__e", evidence(model, F.col("text")))
