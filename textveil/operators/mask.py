@@ -59,11 +59,14 @@ def numbered(text: Column, spans: Column) -> Column:
     """Spans in order with their value and number: one number for each distinct value of a type, by first appearance in the message."""
     full = F.transform(resolve.best_disjoint(spans), lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), piece(text, s["start"], s["end"]).alias("value")))
 
-    def shown(s: Column) -> Column:
-        values = F.array_distinct(F.transform(F.filter(full, lambda t: t["entity_type"] == s["entity_type"]), lambda t: t["value"]))
+    def shown(all_: Column, s: Column) -> Column:
+        values = F.array_distinct(F.transform(F.filter(all_, lambda t: t["entity_type"] == s["entity_type"]), lambda t: t["value"]))
         return F.concat(F.lit("<"), s["entity_type"], F.lit("_"), F.array_position(values, s["value"]).cast("string"), F.lit(">"))
 
-    return F.transform(full, lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), shown(s).alias("placeholder")))
+    def every(all_: Column) -> Column:  # the list is bound once, not made again for each of its spans
+        return F.transform(all_, lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), shown(all_, s).alias("placeholder")))
+
+    return F.element_at(F.transform(F.array(full), every), 1)
 
 
 def apply_policy(df: DataFrame, policy: dict[str, str], text: str = "text", key: str = "request_id", role: str | None = None, roles: tuple[str, ...] = ("user",)) -> tuple[DataFrame, DataFrame, DataFrame]:

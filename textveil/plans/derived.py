@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_folder
+
 
 def digit(s: str, k: int) -> str:
     return f"CAST(substr({s}, {k}, 1) AS INT)"
@@ -21,30 +25,28 @@ def padded(number: str, n: int) -> str:
     return f"lpad({text_of(number)}, {n}, '0')"
 
 
-_INN9, _INN10, _SNILS9, _OGRN, _OGRNIP, _CARD = "('7' || n8)", "('5001' || substr(n8, 3, 6))", "('1' || n8)", "('1027' || n8)", "('304770' || n8)", "('4276' || n8 || substr(n8, 2, 3))"
-_C10 = f"({weighted(_INN9, [2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10)"
-_C11 = f"({weighted(_INN10, [7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10)"
-_INN11 = f"({_INN10} || {text_of(_C11)})"
-_C12 = f"({weighted(_INN11, [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10)"
-_SUM = f"({weighted(_SNILS9, list(range(9, 0, -1)))} % 101)"
-_LUHN = "(" + " + ".join((f"CASE WHEN {digit(_CARD, k)} > 4 THEN 2 * {digit(_CARD, k)} - 9 ELSE 2 * {digit(_CARD, k)} END" if k % 2 else digit(_CARD, k)) for k in range(1, 16)) + ")"
-_CARD16 = f"({_CARD} || {text_of(f'((10 - {_LUHN} % 10) % 10)')})"
+#: Numbers without their check digits, and what the check digits come from, as columns of nested selects.
+_NUMBERS = {"inn9": "'7' || n8", "inn10": "'5001' || substr(n8, 3, 6)", "snils9": "'1' || n8", "ogrn12": "'1027' || n8", "ogrnip14": "'304770' || n8", "card15": "'4276' || n8 || substr(n8, 2, 3)"}
+_LUHN = " + ".join((f"CASE WHEN {digit('card15', k)} > 4 THEN 2 * {digit('card15', k)} - 9 ELSE 2 * {digit('card15', k)} END" if k % 2 else digit("card15", k)) for k in range(1, 16))
+_SUMS = {"c10": f"{weighted('inn9', [2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10", "c11": f"{weighted('inn10', [7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10", "csn": f"{weighted('snils9', list(range(9, 0, -1)))} % 101", "luhn": _LUHN}
+_MORE = {"inn11": f"inn10 || {text_of('c11')}", "card16": f"card15 || {text_of('(10 - luhn % 10) % 10')}"}
+_LAST = {"c12": f"{weighted('inn11', [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10"}
 
 #: (text before, value, text after, entity type or None, score): the value of row k is case k % len(CASES).
 CASES: list[tuple[str, str, str, str | None, float]] = [
-    ("Реквизиты: ИНН ", f"{_INN9} || {text_of(_C10)}", ", оплата по счёту.", "INN", 0.9),
-    ("Реквизиты: ИНН ", f"{_INN9} || {text_of(f'(({_C10} + 1) % 10)')}", ", оплата по счёту.", None, 0),
-    ("ИНН этой организации указан в большом письме номер пять: ", f"{_INN9} || {text_of(_C10)}", ".", "INN", 0.7),
-    ("Клиент ИНН ", f"{_INN11} || {text_of(_C12)}", ".", "INN", 0.9),
+    ("Реквизиты: ИНН ", f"inn9 || {text_of('c10')}", ", оплата по счёту.", "INN", 0.9),
+    ("Реквизиты: ИНН ", f"inn9 || {text_of('(c10 + 1) % 10')}", ", оплата по счёту.", None, 0),
+    ("ИНН этой организации указан в большом письме номер пять: ", f"inn9 || {text_of('c10')}", ".", "INN", 0.7),
+    ("Клиент ИНН ", f"inn11 || {text_of('c12')}", ".", "INN", 0.9),
     ("СНИЛС ", "'1' || substr(n8, 1, 2) || '-' || substr(n8, 3, 3) || '-' || substr(n8, 6, 3) || ' ' || substr(n8, 2, 2)", " в базе.", "SNILS", 0.9),
-    ("СНИЛС ", f"{_SNILS9} || {padded(f'(CASE WHEN {_SUM} >= 100 THEN 0 ELSE {_SUM} END)', 2)}", " в базе.", "SNILS", 1.0),
-    ("ОГРН ", f"{_OGRN} || {text_of(f'(CAST({_OGRN} AS BIGINT) % 11 % 10)')}", " от 2020 года.", "OGRN", 1.0),
-    ("ОГРНИП ", f"{_OGRNIP} || {text_of(f'(CAST({_OGRNIP} AS BIGINT) % 13 % 10)')}", ".", "OGRNIP", 1.0),
+    ("СНИЛС ", f"snils9 || {padded('(CASE WHEN csn >= 100 THEN 0 ELSE csn END)', 2)}", " в базе.", "SNILS", 1.0),
+    ("ОГРН ", f"ogrn12 || {text_of('CAST(ogrn12 AS BIGINT) % 11 % 10')}", " от 2020 года.", "OGRN", 1.0),
+    ("ОГРНИП ", f"ogrnip14 || {text_of('CAST(ogrnip14 AS BIGINT) % 13 % 10')}", ".", "OGRNIP", 1.0),
     ("КПП ", "'7' || n8", " в договоре.", "KPP", 0.9),
     ("КПП ", "'77' || substr(n8, 1, 2) || '-' || substr(n8, 3, 2) || '-' || substr(n8, 6, 3)", ".", "KPP", 1.0),
     ("Паспорт ", "'45 1' || substr(n8, 1, 1) || ' ' || substr(n8, 3, 6)", ", выдан.", "PASSPORT_NUMBER", 1.0),
     ("Пишите на ", "'user' || CAST(k AS STRING) || '@mail.example.com'", ", ждём.", "EMAIL", 0.9),
-    ("Оплата картой ", f"substr({_CARD16}, 1, 4) || ' ' || substr({_CARD16}, 5, 4) || ' ' || substr({_CARD16}, 9, 4) || ' ' || substr({_CARD16}, 13, 4)", ".", "BANK_CARD_NUMBER", 1.0),
+    ("Оплата картой ", "substr(card16, 1, 4) || ' ' || substr(card16, 5, 4) || ' ' || substr(card16, 9, 4) || ' ' || substr(card16, 13, 4)", ".", "BANK_CARD_NUMBER", 1.0),
     ("CVV ", "substr(n8, 3, 3)", " на обороте.", "CVC", 0.7),
     ("Код подтверждения ", text_of("(1000 + k % 9000)"), ".", "TOKEN", 0.8),
     ("token: ", "md5(CAST(k AS STRING)) || substr(md5(CAST(k + 1 AS STRING)), 1, 8)", ".", "TOKEN", 0.9),
@@ -60,16 +62,28 @@ def _case(values: list[str]) -> str:
 def corpus_sql(customer: str = "customer") -> str:
     """(doc_id, c, before, value, after, entity, score)"""
     s = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"
+    inner = f"SELECT c_custkey AS k, CAST(c_custkey % {len(CASES)} AS INT) AS c, {padded('(c_custkey * 7919 + 10000019) % 100000000', 8)} AS n8 FROM {customer}"
+    for level, columns in enumerate((_NUMBERS, _SUMS, _MORE, _LAST)):
+        inner = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM ({inner}) t{level}"
     return f"""
 SELECT k AS doc_id, c, {_case([s(x[0]) for x in CASES])} AS before, {_case([x[1] for x in CASES])} AS value, {_case([s(x[2]) for x in CASES])} AS after,
   {_case([s(x[3]) for x in CASES])} AS entity, {_case([f"CAST({x[4]} AS DOUBLE)" for x in CASES])} AS score
-FROM (SELECT c_custkey AS k, CAST(c_custkey % {len(CASES)} AS INT) AS c, {padded("(c_custkey * 7919 + 10000019) % 100000000", 8)} AS n8 FROM {customer}) t
+FROM ({inner}) t
 """
 
 
+_written: dict[tuple, str] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus with its text; the known span goes from length(before) to length(before || value)."""
-    return spark.sql(corpus_sql("{customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet")).selectExpr("*", "before || value || after AS text")
+    """The corpus with its text, written once for each session and table; the known span goes from length(before) to length(before || value)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        made = spark.sql(corpus_sql("{customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet")).selectExpr("*", "before || value || after AS text")
+        path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+        made.write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
 
 
 #: Gold and predicted spans (subset, doc_id, label, start, end, text) from the corpus: some predictions are missing, moved, renamed or twice.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators import evaluate as E
 from ..operators import mask as M
 from ..operators import resolve as R
 from ..sources import corpora as S
+from ..sources.shared import shared_folder
 from . import planner as G
 from . import quality as Q
 from .derived import CASES, GOLD_SQL, PRED_SQL, corpus, corpus_sql
@@ -48,6 +50,13 @@ def _spans(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 _KNOWN = f"SELECT doc_id, entity AS entity_type, CAST(length(before) AS BIGINT) AS start_at, CAST(length(before) + length(value) AS BIGINT) AS end_at, score FROM {_CORPUS} c WHERE entity IS NOT NULL"
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several results need: written once, so that detection doesn't run for each."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- detection ---------------------------------------------------------------
 
 
@@ -206,7 +215,7 @@ _BLOCKED = "('BANK_CARD_NUMBER', 'CVC', 'TOKEN')"
 
 def _policy(spark, sf_dir):
     docs = corpus(spark, sf_dir).withColumns({"request_id": F.col("doc_id"), "text": F.concat("text", F.lit(" И ещё раз "), "value")})
-    return M.apply_policy(D.detect(docs), _POLICY)
+    return M.apply_policy(_kept(D.detect(docs), "policy"), _POLICY)
 
 
 @query(f"SELECT doc_id AS request_id FROM {_CORPUS} c WHERE entity IN {_BLOCKED}")
@@ -297,7 +306,8 @@ def recall_of_any_type(spark, sf_dir):
 
 @query(f"SELECT 'FP' AS kind, subset, doc_id, label, s, e, text FROM ({_PRED}) p WHERE NOT EXISTS (SELECT 1 FROM ({_GOLD}) g WHERE g.doc_id = p.doc_id AND g.label = p.label AND g.s = p.s AND g.e = p.e) UNION ALL SELECT 'FN', subset, doc_id, label, s, e, text FROM ({_GOLD}) g WHERE NOT EXISTS (SELECT 1 FROM ({_PRED}) p WHERE g.doc_id = p.doc_id AND g.label = p.label AND g.s = p.s AND g.e = p.e)")
 def error_list(spark, sf_dir):
-    return E.errors(*_sides(spark, sf_dir)).withColumnsRenamed({"start": "s", "end": "e"})
+    got = E.errors(*_sides(spark, sf_dir))
+    return got.select("kind", "subset", "doc_id", "label", F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), "text")
 
 
 @query(f"SELECT doc_id, CASE label WHEN 'EMAIL' THEN 'private_email' ELSE 'private_phone' END AS label FROM ({_GOLD}) g WHERE label IN ('EMAIL', 'PHONE_NUMBER')")
@@ -518,9 +528,6 @@ def missing_fields(spark, sf_dir):
 @query(f"SELECT doc_id, before || CASE WHEN entity IS NULL THEN value ELSE '<' || entity || '_1>' END || after AS masked FROM {_CORPUS} c WHERE entity IS NULL OR entity NOT IN {_BLOCKED}")
 def guarded_stream(spark, sf_dir):
     """The corpus as files of messages, through the guard until all are done, and read back."""
-    import uuid
-
-    from ..sources.shared import shared_folder
     from ..streaming.guard import guard
 
     base = f"{shared_folder(spark)}/guard-{uuid.uuid4().hex}"
