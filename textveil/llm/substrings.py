@@ -189,7 +189,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_gram = Window.partitionBy("gram")
     again = _grams(docs).withColumn("n", F.count("*").over(by_gram)).where("n > 1")
     wanted = released(written(again.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "grams"))
-    nth = F.row_number().over(Window.partitionBy("gram", "f1", "f2").orderBy("doc_id", "first"))
+    nth = F.rank().over(Window.partitionBy("gram", "f1", "f2").orderBy("doc_id", "first"))
     found = released(written(_phrases(docs.join(wanted, "doc_id")).withColumn("nth", nth).drop("f1", "f2"), "phrases"))
     discard(wanted)
 
@@ -201,7 +201,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dull = alone.groupBy("doc_id", "first").agg(F.collect_list("zone").alias("dull"))
     pruned = released(written(phrases.join(dull, ["doc_id", "first"], "left"), "pruned"))
     discard(phrases)
-    order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc_id", "first"))
+    order = F.rank().over(Window.partitionBy("k1", "k2").orderBy("doc_id", "first"))
     equal = _suffixes(pruned).withColumn("nth", order).where("nth > 1").select("doc_id", "first", (F.col("first") + LENGTH).alias("end"))
     equal = released(written(equal, "equal"))
     discard(pruned)
