@@ -3,7 +3,7 @@
 Evidence. A document's features are its words and punctuation runs (hashed) and steps of three shares: distinct words, words
 equal to the one before, distinct lines. For each of two judgements, low quality and toxic, counts over labelled documents
 (grouped sums over all their partitions) give each feature's log-odds; what counts is the lower confidence bound, of
-features that are significantly more frequent in documents so judged. Equal labelled texts count once.
+features that are significantly more frequent in documents so judged. Copies and most near copies count once in the fit.
 
 Sites. The mean posterior of a site (host) is shrunk to the global mean, that of a path to its site's, each with a prior strength
 that the method of moments takes from the spread between groups: groups of few documents move little. The path's posterior
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from . import scan
 from .common import chunks, column, released, rows, small_batches, text_bytes, written
 
-BUCKETS = 1 << 18
 #: At most about this many labelled documents are fitted on, chosen by a hash of their ids.
 FIT_ROWS = 12_000
 MIN_Z = 7.0
+#: And a feature needs this share of the best feature's: words of a few near copies are no evidence.
+BY_BEST = 0.2
 #: A judgement needs this posterior.
 REJECT = 0.8
 HEADS = ("low", "toxic")
@@ -51,17 +52,45 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lines = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=n) / np.maximum(scan.row_counts(rl, n), 1)
     steps = np.stack((np.floor(10 * again), 20 + np.where(count >= 20, np.floor(10 * kinds), 10), 40 + np.floor(10 * lines)), 1).astype(np.int64).ravel()
     every = np.repeat(np.arange(n), 3)
-    return np.concatenate((row, every)), np.concatenate(((h >> np.uint64(46)).astype(np.int64), (steps * 3 + np.tile(np.arange(3), n)) % 192))
+    steps = scan.mixed((steps * 3 + np.tile(np.arange(3), n)).astype(np.uint64) + np.uint64(1 << 20))
+    return np.concatenate((row, every)), np.concatenate((h, steps))
+
+
+def _distinct(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((feature, row))
+    row, feature = row[order], feature[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (feature[1:] != feature[:-1])
+    return row[new], feature[new]
 
 
 @dataclass
 class Model:
-    """weights: (BUCKETS, 2) log-odds; prior: log-odds of each judgement."""
+    """features: hashes in order; weights: log-odds of each for both judgements; prior: log-odds of each judgement."""
 
+    features: np.ndarray
     weights: np.ndarray
     prior: np.ndarray
 
 
+def _keyed(seen: DataFrame) -> DataFrame:
+    """Adds ``key``: the least hash of a text's runs of five words. Copies have equal keys, and most near copies too."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("low", pa.int32()), ("toxic", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            buf, off = text_bytes(column(part, "text"))
+            h, _, _, row = scan.words(buf, off)
+            s, to = scan.shingles(h, row, part.num_rows)
+            key = np.zeros(part.num_rows, np.uint64)
+            full = to[:-1] < to[1:]
+            key[full] = np.minimum.reduceat(s, to[:-1][full]) if full.any() else 0
+            yield rows(schema, key=key.view(np.int64), **{c: column(part, c) for c in ("doc_id", "text", "low", "toxic")})
+
+    typed = seen.select(F.col("doc_id").cast("long"), "text", F.col("low").cast("int"), F.col("toxic").cast("int"))
+    return typed.mapInArrow(run, "key long, doc_id long, text string, low int, toxic int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_z: float = MIN_Z) -> Model:
     """Labelled rows with a null id or judgement take no part; with no labelled rows, nothing is evidence."""
     told = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("toxic"))
@@ -70,50 +99,57 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_z: flo
     told = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     seen = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")  # bounded by fit_rows
     schema = pa.schema([("feature", pa.int64()), *[(f"n{k}", pa.int64()) for k in range(4)]])
-    seen = seen.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("low").alias("low"), F.max("toxic").alias("toxic"))
+    one = F.min(F.struct("doc_id", "text", "low", "toxic")).alias("d")
+    seen = _keyed(seen).groupBy("key").agg(one).select("d.text", "d.low", "d.toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS + 1, 4), np.int64)
         for part in chunks(batches):
             judged = 2 * column(part, "low").to_numpy().astype(np.int64) + column(part, "toxic").to_numpy().astype(np.int64)
-            row, feature = features(*text_bytes(column(part, "text")))
-            key = np.unique(row * BUCKETS + feature)
-            total += np.bincount(np.append(key % BUCKETS * 4 + judged[key // BUCKETS], 4 * BUCKETS), minlength=4 * BUCKETS + 4).reshape(-1, 4) - np.eye(1, 4, dtype=np.int64) * (np.arange(BUCKETS + 1) == BUCKETS)[:, None]
-            total[BUCKETS] += np.bincount(judged, minlength=4)
-        used = np.flatnonzero(total.any(1))
-        yield rows(schema, feature=used, **{f"n{k}": total[used, k] for k in range(4)})
+            row, feature = _distinct(*features(*text_bytes(column(part, "text"))))
+            used, which = np.unique(feature, return_inverse=True)
+            n = np.bincount(which * 4 + judged[row], minlength=4 * len(used)).reshape(-1, 4)
+            n = np.concatenate((np.bincount(judged, minlength=4)[None], n))  # feature 0: all documents
+            yield rows(schema, feature=np.append(np.zeros(1, np.int64), used.view(np.int64)), **{f"n{k}": n[:, k] for k in range(4)})
 
     got = seen.mapInArrow(count, "feature long, n0 long, n1 long, n2 long, n3 long").groupBy("feature").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
-    got = got.where("n0 + n1 + n2 + n3 >= 5").toPandas()  # at most BUCKETS rows
-    table = np.zeros((BUCKETS + 1, 4))
-    table[got.feature.to_numpy()] = got[["n0", "n1", "n2", "n3"]].to_numpy()
-    weights, prior = np.zeros((BUCKETS, 2), np.float32), np.zeros(2)
+    got = got.where("feature = 0 OR n0 + n1 + n2 + n3 >= 8").toPandas()  # bounded by fit_rows documents' words
+    got["feature"] = got.feature.astype("uint64") if len(got) else got.feature
+    got = got.sort_values("feature")
+    table = got[["n0", "n1", "n2", "n3"]].to_numpy(float).reshape(-1, 4)
+    names = got.feature.to_numpy(np.uint64)
+    whole, table, names = (table[0], table[1:], names[1:]) if len(names) else (np.zeros(4), table, names)
+    weights, prior = np.zeros((len(names), 2)), np.zeros(2)
     for head, yes in enumerate(([2, 3], [1, 3])):
         no = [k for k in range(4) if k not in yes]
-        a, b = table[:-1, yes].sum(1), table[:-1, no].sum(1)
-        na, nb = table[-1, yes].sum(), table[-1, no].sum()
+        a, b = table[:, yes].sum(1), table[:, no].sum(1)
+        na, nb = whole[yes].sum(), whole[no].sum()
         prior[head] = np.log((na + 1) / (nb + 1))
-        if na and nb:
+        if na and nb and len(names):
             p = (a + b) / (na + nb)
             z = (a / na - b / nb) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / na + 1 / nb))
             odds = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)) - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            weights[:, head] = np.where(z >= min_z, np.maximum(odds, 0), 0)
-    return Model(weights, prior)
+            weights[:, head] = np.where(z >= max(min_z, BY_BEST * z.max()), np.maximum(odds, 0), 0)
+    live = weights.any(1)
+    names, weights = names[live], weights[live]
+    return Model(names, weights, prior)
 
 
 def evidence(model: Model, text: Column) -> Column:
     """struct<low, toxic>: summed log-odds of a text's distinct features. A null text has none."""
     schema = pa.struct([(h, pa.float64()) for h in HEADS])
-    live = model.weights.any(1)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(model.features >> np.uint64(48)).astype(np.int64)] = True
 
     def run(series: pa.Array) -> pa.Array:
         out = []
         batch = pa.RecordBatch.from_arrays([series.combine_chunks() if isinstance(series, pa.ChunkedArray) else series], names=["text"])
         for part in chunks(iter([batch]), size=1 << 18):
             row, feature = features(*text_bytes(column(part, "text")))
-            hit = live[feature]
-            key = np.unique(row[hit] * BUCKETS + feature[hit])
-            score = np.stack([np.bincount(key // BUCKETS, model.weights[key % BUCKETS, k], part.num_rows) for k in range(2)], 1) if len(key) else np.zeros((part.num_rows, 2))
+            hit = maybe[(feature >> np.uint64(48)).astype(np.int64)]
+            row, feature = _distinct(row[hit], feature[hit])
+            at = np.minimum(np.searchsorted(model.features, feature), max(0, len(model.features) - 1))
+            weight = model.weights[at] * (model.features[at] == feature)[:, None] if len(feature) else np.zeros((0, 2))
+            score = np.stack([np.bincount(row, weight[:, k], part.num_rows) for k in range(2)], 1)
             out.append(score)
         both = np.concatenate(out) if out else np.zeros((0, 2))
         return pa.StructArray.from_arrays([pa.array(both[:, k]) for k in range(2)], fields=list(schema))
