@@ -150,7 +150,7 @@ def evidence(model: Model, text: Column) -> Column:
             at = np.minimum(np.searchsorted(model.features, feature), max(0, len(model.features) - 1))
             weight = model.weights[at] * (model.features[at] == feature)[:, None] if len(feature) else np.zeros((0, 2))
             score = np.stack([np.bincount(row, weight[:, k], part.num_rows) for k in range(2)], 1)
-            out.append(score)
+            out.append(score.astype(np.float64))  # bincount of nothing makes integers
         both = np.concatenate(out) if out else np.zeros((0, 2))
         return pa.StructArray.from_arrays([pa.array(both[:, k]) for k in range(2)], fields=list(schema))
 
