@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import binaries, chunks, column, id_key, id_value, ids, lists, partitions, released, rows, text_bytes, written
+from .common import binaries, chunks, column, id_key, id_value, lists, partitions, released, rows, text_bytes, written
 from .graph import components
 
 #: A link: NUM * union <= DEN * intersection, that is a Jaccard similarity of 0.8 or more.

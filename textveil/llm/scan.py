@@ -24,7 +24,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**k and base**-k modulo 2**64 for k up to ``n``, kept for the next call."""
     if base not in _powers or len(_powers[base][0]) <= n:
-        size = 1 << max(20, int(n + 1).bit_length())
+        size = 1 << max(19, int(n + 1).bit_length())
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(size, b, np.uint64)

@@ -10,7 +10,7 @@ import numpy as np
 from . import scan
 
 #: Words kept in a worker's memo, some 40 bytes each. A full memo is emptied: results never depend on it.
-MEMO_WORDS = 2_000_000
+MEMO_WORDS = 1_000_000
 #: Words sent to the tokenizer at once.
 BATCH = 2048
 
