@@ -178,9 +178,14 @@ def linked_groups(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
         i, j = np.searchsorted(token, (a, a + step))
         m = np.zeros((len(sets), min(step, int(token[-1]) + 1 - a)), np.float32)
         m[owner[i:j], token[i:j] - a] = 1
-        common += m @ m.T
-    link = (NUM + DEN) * common.astype(np.int64) >= NUM * (n[:, None] + n[None, :])
-    link &= ~((side[:, None] == side[None, :]) & (side[:, None] > 0))
+        for k in range(0, len(sets), 256):  # by stripes, so that no second matrix of this size is made
+            common[k : k + 256] += m[k : k + 256] @ m.T
+    link = np.zeros((len(sets), len(sets)), bool)
+    for k in range(0, len(sets), 256):
+        rows_ = slice(k, k + 256)
+        link[rows_] = (NUM + DEN) * common[rows_].astype(np.int64) >= NUM * (n[rows_, None] + n[None, :])
+        link[rows_] &= ~((side[rows_, None] == side[None, :]) & (side[rows_, None] > 0))
+    del common
     first = np.arange(len(sets))
     seen = np.zeros(len(sets), bool)
     for k in range(len(sets)):
