@@ -233,6 +233,54 @@ def test_leaks(spark, table, none):
     assert leaks.leaks(none.select("doc_id", "text"), bench).count() == 0 and leaks.leaks(docs, bench.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items):
+    """Windows of every block, each by its longest common subsequence with every item that has 0.6 of its words there at all."""
+    out = set()
+    said = {i: (leaks.item_words(t), leaks.item_words(leaks.answer_of(t))) for i, t in items}
+    flat, starts = np.concatenate([x for x, _ in said.values()]), np.cumsum([0] + [len(x) for x, _ in said.values()])
+    for d, text in docs:
+        w = leaks.item_words(text)
+        for b in range(0, len(w), 32):
+            there = np.add.reduceat(np.isin(flat, w[max(0, b - 32) : b + 200]).astype(int), starts[:-1])
+            for i in np.flatnonzero(there >= 0.6 * np.diff(starts)).tolist():
+                x, answer = said[i]
+                window = w[max(0, b - 32) : max(b + len(x), b + 96)]
+                share, told = leaks.lcs(x, window) / len(x), leaks.lcs(answer, window) / len(answer)
+                if share >= 0.6 and (share >= 0.85 or told >= 0.5):
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_of_many_items(spark):
+    """1,000 items of few and of many words, planted whole, with words missing or replaced: more items than the space has dimensions."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(1500)]
+    often = words[:12]
+    say = lambda n: " ".join(r.choice(often if r.random() < 0.4 else words) for _ in range(n))
+    items = [(k, say(r.randint(8, 80)) + ". " + say(6) + ".") for k in range(1000)]
+    items[7] = (7, " ".join(r.choice(often) for _ in range(20)))
+    docs = []
+    for k, text in items[7::8]:
+        w = text.split()
+        docs.append((3 * k, say(70) + " " + text + " " + say(90)))
+        docs.append((3 * k + 1, say(33) + " " + " ".join(x if r.random() > 0.25 else r.choice(words) for x in w) + " " + say(40)))
+        docs.append((3 * k + 2, say(20) + " " + " ".join(x for x in w if r.random() > 0.35)))
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want) > 250
+    whole = [x.cosine for x in got if x.lcs == x.item_words and x.doc_id == 3 * x.item_id]
+    assert len(whole) == 125
+
+
+def test_an_item_keeps_its_cosine():
+    r = np.random.default_rng(5)
+    items = [r.choice(900, 20, replace=False) for _ in range(48)]
+    idf = r.uniform(1, 5, 900)
+    x = leaks._Targets(0, items, items, idf, np.ones(900), r.standard_normal((900, leaks.RANK)))
+    near = x.cosines(np.repeat(np.arange(48), 20), np.concatenate([np.sort(t) for t in items]), idf, 48)
+    assert np.allclose(np.diag(near), 1, atol=1e-3)
+
+
 def test_lcs():
     r = np.random.default_rng(1)
     for _ in range(100):

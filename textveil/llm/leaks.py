@@ -3,9 +3,12 @@
 Documents are passages of two blocks of 32 words, one block apart. Passages and benchmark items are TF-IDF vectors over the
 words of the items, with document frequencies counted over all passages; words that more than MAX_SHARE of the passages hold
 say nothing and have no weight. A randomised SVD of the passages' and items' matrix A (Gaussian sketch of A'A, summed over
-Spark's partitions, then a Nystrom decomposition) gives the latent space. A passage is a candidate for an item where its unit
-vector, projected, has a cosine of MIN_COSINE or more with the projected item. For candidates the longest common subsequence of
-words decides, with the item's answer (its own column, else its last sentence) held to a share of its own.
+Spark's partitions, then a Nystrom decomposition) gives the latent directions. RANK/2 items at a time have a space of their own:
+their span, so that each keeps its length, and the leading directions. A passage is a candidate for an item where both, projected,
+have a cosine of MIN_COSINE or more. The rest has an exact way: the window about a block is a candidate too if it holds so many of
+the item's words that their longest common subsequence may be long enough, by an inverted index of the item's rarer words. So no
+window of any block is missed, whatever its cosine. For candidates the longest common subsequence of words decides, with the
+item's answer (its own column, else its last sentence) held to a share of its own.
 
 Items are a stated query set: they are taken in blocks, each against all passages.
 """
@@ -182,40 +185,127 @@ def latent_space(located: DataFrame, items: list[np.ndarray], idf: np.ndarray, r
     return (q @ vector[:, np.argsort(-value)[:k]]).astype(np.float32)
 
 
+class _Targets:
+    """Some of the items, with a space of RANK that holds each of them whole, and their index for the exact bound.
+
+    A window shares at least ``share`` of an item's words only if it has ``need`` occurrences of the item's indexed words: those
+    with weight, and more by rarity until what is not indexed is less than that share.
+    """
+
+    def __init__(self, first: int, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, often: np.ndarray, latent: np.ndarray):
+        self.first, self.items, self.answers = first, items, answers
+        mine = np.unique(np.concatenate(items))
+        mine = mine[idf[mine] > 0]
+        self.local = np.full(len(idf), -1, np.int32)
+        self.local[mine] = np.arange(len(mine))
+        own = np.zeros((len(items), len(mine)))
+        for i, t in enumerate(items):
+            t = t[idf[t] > 0]
+            own[i, self.local[t]] = idf[t]
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+        self.space = np.linalg.qr(np.concatenate((own.T, latent[mine, : max(0, RANK - len(items))]), axis=1))[0].astype(np.float32)
+        self.target = own.astype(np.float32) @ self.space
+        # the least length whose share is MIN_LCS, by the division that decides in the end
+        self.needed = np.array([next(k for k in range(len(t) + 1) if k / len(t) >= MIN_LCS) for t in items])
+        self.need = np.empty(len(items), np.int64)
+        self.reach = np.array([max(3, -(-len(t) // BLOCK_WORDS)) for t in items])
+        terms, owners = [], []
+        for i, t in enumerate(items):
+            u, c = np.unique(t, return_counts=True)
+            order = np.argsort(often[u], kind="stable")
+            u, c = u[order], c[order]
+            rest = len(t) - np.cumsum(c)
+            take = max(int(np.argmax(rest < self.needed[i])) + 1, int((idf[u] > 0).sum()))
+            self.need[i] = self.needed[i] - rest[take - 1]
+            terms.append(np.repeat(u[:take], c[:take]))
+            owners.append(np.full(len(terms[-1]), i))
+        term, owner = np.concatenate(terms), np.concatenate(owners)
+        order = np.argsort(term, kind="stable")
+        self.owner, self.to = owner[order], np.searchsorted(term[order], np.arange(len(idf) + 1))
+
+    def cosines(self, place: np.ndarray, term: np.ndarray, idf: np.ndarray, total: int) -> np.ndarray:
+        """(passages, items) of the weighted terms at each passage, both sides projected and normalised."""
+        out = np.zeros((total, len(self.items)), np.float32)
+        local = self.local[term]
+        live = local >= 0
+        place, local, w = place[live], local[live], idf[term[live]].astype(np.float32)
+        if len(place):
+            starts = np.flatnonzero(np.append(True, np.diff(place) != 0))
+            near = np.add.reduceat(self.space[local] * w[:, None], starts)
+            near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
+            out[place[starts]] = near @ self.target.T
+        return out
+
+    def possible(self, place: np.ndarray, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(blocks, items): whether the window about a block may share enough; of distinct (block, term), with each block's document's first and last."""
+        size = self.to[term + 1] - self.to[term]
+        at = np.repeat(self.to[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        n = len(self.items)
+        score = np.bincount(np.repeat(place, size) * n + self.owner[at], minlength=len(low) * n).reshape(-1, n)
+        sums = np.zeros((len(low) + 1, n), np.int32)
+        np.cumsum(score, 0, out=sums[1:])
+        out, here = np.empty(score.shape, bool), np.arange(len(low))
+        for r in np.unique(self.reach):
+            same = np.flatnonzero(self.reach == r)
+            out[:, same] = sums[np.minimum(here + r, high)][:, same] - sums[np.maximum(here - 1, low)][:, same] >= self.need[same]
+        return out
+
+    def overlap(self, i: int, terms: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+        """For n windows with ``terms`` (in window ``which``): at most so many of the item's words are in a common subsequence."""
+        u, c = np.unique(self.items[i], return_counts=True)
+        at = np.minimum(np.searchsorted(u, terms), len(u) - 1)
+        live = u[at] == terms
+        have = np.zeros((n, len(u)), bool)
+        have[which[live], at[live]] = True
+        return have @ c
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64())])
 
 
-def _search(located: DataFrame, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, space: np.ndarray, min_cosine: float) -> DataFrame:
-    wide = np.zeros((len(items), len(idf)), np.float32)
-    for i, t in enumerate(items):
-        wide[i, t] = idf[t]
-    target = wide @ space
-    target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)
+def _search(located: DataFrame, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, often: np.ndarray, latent: np.ndarray, min_cosine: float) -> DataFrame:
+    step = RANK // 2
+    targets = [_Targets(k, items[k : k + step], answers[k : k + step], idf, often, latent) for k in range(0, len(items), step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "places", 1 << 19):
-            row, passage, term, starts = _entries(part, idf > 0, len(idf))
-            if not len(term):
-                continue
-            w = _unit(term, starts, idf).astype(np.float32)
-            near = np.add.reduceat(space[term] * w[:, None], starts) @ target.T
-            at, which = np.nonzero(near >= min_cosine)
+            row, passage, term, _ = _entries(part, idf > 0, len(idf))
             raw, off = text_bytes(column(part, "places"))
-            place = np.frombuffer(raw.tobytes(), "<i4")
+            place = np.frombuffer(raw.tobytes(), "<i4").astype(np.int64)
             terms = np.frombuffer(text_bytes(column(part, "terms"))[0].tobytes(), "<i4")
+            if not len(terms):
+                continue
             off = off // 4
-            out: list[tuple] = []
+            words = column(part, "n_words").to_numpy()
+            blocks = -(-words // BLOCK_WORDS)
+            base = np.concatenate(([0], np.cumsum(blocks)))
+            doc_of = np.repeat(np.arange(len(words)), blocks)
+            low, high = base[doc_of], base[doc_of + 1]
+            owner = np.repeat(np.arange(len(words)), np.diff(off))
+            key = np.unique((base[owner] + place // BLOCK_WORDS) * len(idf) + terms)
+            block, block_term = key // len(idf), key % len(idf)
+            spot = (owner << 40) + place
             doc = column(part, "doc_id").to_pylist()
-            words = column(part, "n_words").to_pylist()
-            for p, i in zip(at.tolist(), which.tolist(), strict=True):
-                r, b = int(row[starts[p]]), int(passage[starts[p]])
-                # the passage and a stretch to both sides, as an item need not begin with a block
-                begin, end = max(0, (b - 1) * BLOCK_WORDS), min(words[r], max(b * BLOCK_WORDS + len(items[i]), (b + 3) * BLOCK_WORDS))
-                x, y = off[r] + np.searchsorted(place[off[r] : off[r + 1]], (begin, end))
-                seen = terms[x:y]
-                common = lcs(items[i], seen)
-                if common >= MIN_LCS * len(items[i]):
-                    out.append((doc[r], i, begin, end, float(near[p, i]), common, lcs(answers[i], seen)))
+            out: list[tuple] = []
+            for x in targets:
+                near = x.cosines(base[row] + passage, term, idf, len(doc_of))
+                at, which = np.nonzero((near >= min_cosine) | x.possible(block, block_term, low, high))
+                order = np.argsort(which, kind="stable")
+                cut = np.searchsorted(which[order], np.arange(len(x.items) + 1))
+                for i, item in enumerate(x.items):
+                    for k in range(cut[i], cut[i + 1], 8192):
+                        p = at[order[k : min(k + 8192, cut[i + 1])]]
+                        r, b = doc_of[p], p - low[p]
+                        # the passage and a stretch to both sides, as an item need not begin with a block
+                        begin, end = np.maximum(0, (b - 1) * BLOCK_WORDS), np.minimum(words[r], np.maximum(b * BLOCK_WORDS + len(item), (b + 3) * BLOCK_WORDS))
+                        a, z = np.searchsorted(spot, (r << 40) + begin), np.searchsorted(spot, (r << 40) + end)
+                        size = z - a
+                        inside = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                        for j in np.flatnonzero(x.overlap(i, terms[inside], np.repeat(np.arange(len(p)), size), len(p)) >= x.needed[i]).tolist():
+                            seen = terms[a[j] : z[j]]
+                            common = lcs(item, seen)
+                            if common >= x.needed[i]:
+                                out.append((doc[r[j]], x.first + i, int(begin[j]), int(end[j]), float(near[p[j], i]), common, lcs(x.answers[i], seen)))
             if out:
                 yield rows(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*out, strict=True)), strict=True)))
 
@@ -247,7 +337,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE)
             if len(t) and not (idf[t] > 0).any():
                 idf[t] = np.maximum(np.log((n + 1) / (often[t] + 1)), 1e-3)
         space = latent_space(located, items, idf)
-        got = _search(located, items, told, idf, space, min_cosine)
+        got = _search(located, items, told, idf, often, space, min_cosine)
         names = spark.createDataFrame([(k, r.item_id, len(items[k]), len(told[k])) for k, r in enumerate(block)], "item long, item_id long, item_words long, answer_words long")
         best = got.groupBy("doc_id", "item").agg(F.max(F.struct("lcs", "answer_lcs", "cosine", (-F.col("start_word")).alias("s"), "end_word")).alias("b"))
         out = best.join(F.broadcast(names), "item")  # at most ITEMS rows
