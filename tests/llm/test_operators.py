@@ -281,6 +281,17 @@ def test_an_item_keeps_its_cosine():
     assert np.allclose(np.diag(near), 1, atol=1e-3)
 
 
+def test_the_window_with_the_answer_counts(spark):
+    """One window has more of the item without its answer, another one less but the answer."""
+    r = random.Random(3)
+    words = ["".join(r.choice("stuvwxyz") for _ in range(7)) for _ in range(400)]
+    item, answer, other = words[:30], words[30:38], words[40:]
+    text = item[:29] + other[:300] + item[:16] + answer
+    bench = spark.createDataFrame([(1, " ".join(item) + ". " + " ".join(answer) + ".")], "item_id long, text string")
+    got = leaks.leaks(spark.createDataFrame([(5, " ".join(text))], "doc_id long, text string"), bench).collect()
+    assert [(x.doc_id, x.item_id, x.lcs, x.answer_lcs) for x in got] == [(5, 1, 24, 8)]
+
+
 def test_lcs():
     r = np.random.default_rng(1)
     for _ in range(100):
