@@ -209,6 +209,22 @@ def test_near_classes_at_random(spark, monkeypatch):
         assert {x.doc_id: tuple(x)[1:] for x in jaccard.near_classes(df).collect()} == want
 
 
+def test_near_classes_of_repeated_rows(spark):
+    """A table united with itself has the classes of the table."""
+    r = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = [f"{g}w{k}" for k in range(60)]
+        for k in range(3):  # the first is linked with both others
+            words = list(base)
+            if k:
+                words[1 if k == 1 else 58] = f"x{r.randint(0, 99)}"
+            rows.append((len(rows), " ".join(words)))
+    want = brute_classes(rows)
+    got = jaccard.near_classes(spark.createDataFrame(rows + rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 2 * len(rows) and {x.doc_id: tuple(x)[1:] for x in got} == want
+
+
 def test_sketches_never_drop_a_link():
     r = np.random.default_rng(2)
     for _ in range(300):

@@ -208,7 +208,8 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
                 if len(held) > 1:
                     yield key, held
                 key, held = (one, i, j), []
-            held.append(rest)
+            if not held or held[-1] != rest:  # repeated rows stand side by side
+                held.append(rest)
         yield None
     if len(held) > 1:
         yield key, held
@@ -296,8 +297,9 @@ def _list_links(members: DataFrame) -> DataFrame:
 def _once(members: DataFrame) -> DataFrame:
     """Lists (list, doc_id, n, more) of two or more; of lists with the same members one."""
     one = Window.partitionBy("list")
-    found = members.withColumns({"members": F.count("*").over(one), "names": F.bit_xor(F.xxhash64("doc_id")).over(one), "least": F.min("doc_id").over(one), "total": F.sum("n").over(one)})
-    same = Window.partitionBy("members", "names", "least")
+    found = members.withColumns({"members": F.count("*").over(one), "names": F.bit_xor(F.xxhash64("doc_id")).over(one), "sums": F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).over(one), "least": F.min("doc_id").over(one), "total": F.sum("n").over(one)})
+    # an id of several texts stands here once for each, and twice cancels out of an xor, but not of a sum
+    same = Window.partitionBy("members", "names", "sums", "least")
     return found.where("members > 1").withColumn("first", F.min("list").over(same)).where("list = first").select("list", "doc_id", "n", "total").distinct()
 
 
@@ -326,7 +328,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     told = written(_described(docs, shingle_levels(docs), small), "sets")
     full = told.where("n > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    chosen = full.select("doc_id", "class", "tokens", "meets").join(classes, ["class", "doc_id"])
+    # rows that repeat an id and a set are one; equal sets have equal columns
+    chosen = full.select("doc_id", "class", "tokens", "meets").join(classes, ["class", "doc_id"]).dropDuplicates(["class", "doc_id"])
 
     # a list of small sets alone has nothing to find: it takes a large one
     spread = chosen.select("doc_id", "n", (F.col("n") > small).alias("large"), F.explode("tokens").alias("list"))
