@@ -225,6 +225,37 @@ def test_near_classes_of_repeated_rows(spark):
     assert len(got) == 2 * len(rows) and {x.doc_id: tuple(x)[1:] for x in got} == want
 
 
+def test_a_cluster_of_many_sets_goes_by_blocks(spark, monkeypatch):
+    """No task's matrix has more sets than a bound, and pairs of blocks give the components of the whole."""
+    r = random.Random(6)
+    rows = []
+    for _ in range(60):
+        words = [f"w{k}" for k in range(40)]
+        words[r.randrange(40)] = f"x{r.randint(0, 999)}"
+        rows.append((len(rows), " ".join(words)))
+    clusters = spark.createDataFrame([(1, k, 36, 60 * 36, 60) for k, _ in rows], "list long, doc_id long, n long, total long, sets long")
+    sizes = [x["count"] for x in jaccard._in_blocks(clusters, 8, 16).groupBy("i", "j", "side").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 30 and sum(sizes) == 60 * 4
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == brute_classes(rows)
+
+
+def test_pairs_of_blocks_link_across_only():
+    r = np.random.default_rng(8)
+    base = [r.integers(0, 2**63, 50).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.append(base[k % 6][:-2], r.integers(0, 2**63, 2).astype(np.uint64))) for k in range(40)]
+    side = np.array([1 + (k % 12 >= 5) for k in range(40)])
+    want = np.arange(40)
+    for _ in range(4):
+        for a in range(40):
+            for b in range(40):
+                common = len(np.intersect1d(sets[a], sets[b])) if side[a] != side[b] and want[a] != want[b] else 0
+                if 9 * common >= 4 * (len(sets[a]) + len(sets[b])):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert jaccard.linked_groups(sets, side).tolist() == want.tolist()
+
+
 def test_sketches_never_drop_a_link():
     r = np.random.default_rng(2)
     for _ in range(300):

@@ -32,6 +32,8 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 20
 #: Bytes of sets that one task compares at once, at most twice this.
 BLOCK_BYTES = 16 << 20
+#: Sets of a cluster that one task compares with one another, or with as many others, in a matrix.
+BLOCK_SETS = 2048
 _SLICES = 64
 
 
@@ -163,14 +165,16 @@ def _set_rows(docs: DataFrame) -> DataFrame:
 
 
 def linked_groups(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """For each set the first set of its component under links; ``side`` 1 and 2 are compared with one another only, 0 with all."""
+    """For each set the first set of its component under links; ``side`` is 0 for all, or 1 and 2, which are compared with one another only."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     value, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), n)
     live = often[token] > 1
     name = np.cumsum(often > 1) - 1
     token, owner = name[token[live]], owner[live]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    apart = (side > 0).any()
+    left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if apart else (np.arange(len(sets)),) * 2
+    common = np.zeros((len(left), len(right)), np.float32)
     step = max(1, (32 << 20) // (4 * len(sets)))
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
@@ -178,23 +182,30 @@ def linked_groups(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
         i, j = np.searchsorted(token, (a, a + step))
         m = np.zeros((len(sets), min(step, int(token[-1]) + 1 - a)), np.float32)
         m[owner[i:j], token[i:j] - a] = 1
-        for k in range(0, len(sets), 256):  # by stripes, so that no second matrix of this size is made
-            common[k : k + 256] += m[k : k + 256] @ m.T
-    link = np.zeros((len(sets), len(sets)), bool)
-    for k in range(0, len(sets), 256):
-        rows_ = slice(k, k + 256)
-        link[rows_] = (NUM + DEN) * common[rows_].astype(np.int64) >= NUM * (n[rows_, None] + n[None, :])
-        link[rows_] &= ~((side[rows_, None] == side[None, :]) & (side[rows_, None] > 0))
+        x, y = (m[left], m[right]) if apart else (m, m)
+        for k in range(0, len(left), 256):  # by stripes, so that no second matrix of this size is made
+            common[k : k + 256] += x[k : k + 256] @ y.T
+    link = np.zeros(common.shape, bool)
+    for k in range(0, len(left), 256):
+        link[k : k + 256] = (NUM + DEN) * common[k : k + 256].astype(np.int64) >= NUM * (n[left[k : k + 256], None] + n[None, right])
     del common
     first = np.arange(len(sets))
     seen = np.zeros(len(sets), bool)
+    at = np.arange(len(sets))
+    at[right] = np.arange(len(right))
+    at[left] = np.arange(len(left))
     for k in range(len(sets)):
         if not seen[k]:
             seen[k] = True
             front = np.array([k])
             while len(front):
                 first[front] = k
-                front = np.flatnonzero(link[front].any(0) & ~seen)
+                if apart:
+                    one, two = front[side[front] == 1], front[side[front] == 2]
+                    front = np.concatenate((right[link[at[one]].any(0)], left[link[:, at[two]].any(1)]))
+                else:
+                    front = np.flatnonzero(link[front].any(0))
+                front = front[~seen[front]]
                 seen[front] = True
     return first
 
@@ -303,9 +314,11 @@ def _once(members: DataFrame) -> DataFrame:
     return found.where("members > 1").withColumn("first", F.min("list").over(same)).where("list = first").select("list", "doc_id", "n", "total").distinct()
 
 
-def _in_blocks(members: DataFrame, bytes_each: int) -> DataFrame:
-    """(list, i, j, side, doc_id, n): each list whole (i = j = 0), or, where its data are too large for a task, by pairs of blocks."""
+def _in_blocks(members: DataFrame, bytes_each: int, most: int = 0) -> DataFrame:
+    """(list, i, j, side, doc_id, n): each list whole (i = j = 0), or, where its data are too large for a task or its ``sets`` more than ``most``, by pairs of blocks."""
     blocks = F.ceil(bytes_each * F.col("total") / BLOCK_BYTES).cast("int")
+    if most:
+        blocks = F.greatest(blocks, F.ceil(F.col("sets") / most).cast("int"))
     placed = members.withColumns({"blocks": blocks, "at": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
     side = F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("at") == F.col("p.i"), 1).otherwise(2)
@@ -340,11 +353,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     clusters = components(left.select(F.col("piece").alias("a"), F.col("doc_id").alias("b")))
     sizes = left.groupBy("doc_id").agg(F.min("n").alias("n"))
     clusters = clusters.select(F.col("component").alias("list"), F.col("v").alias("doc_id")).join(sizes, "doc_id")
-    totals = clusters.groupBy("list").agg(F.sum("n").alias("total"))
+    totals = clusters.groupBy("list").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
     clusters = released(written(clusters.join(totals, "list"), "clusters"))
 
     wanted = docs.join(clusters.select("doc_id"), "doc_id", "left_semi")
-    by_list = _list_links(_dealt(_in_blocks(clusters, 8).join(_set_rows(wanted), "doc_id")))
+    by_list = _list_links(_dealt(_in_blocks(clusters, 8, BLOCK_SETS).join(_set_rows(wanted), "doc_id")))
 
     meets = chosen.select("doc_id", F.explode("meets").alias("meet"))
     by_subset = meets.join(meets.groupBy("meet").agg(F.min("doc_id").alias("a")), "meet").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
