@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a local session (tests) gets a folder of its own, and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='textveil-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
