@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet into the shared folder and read them from there."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(compression="zstd", **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings that hold inside the block only; ``__`` stands for a dot."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, **settings: str) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet into the shared folder and read them from there.
+
+    Once they stand there, nothing needs the shuffle files behind them: Spark drops these at the end of the write.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **settings):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -43,11 +61,20 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows_: int = 2000) -> None:
-    """Whole texts go to Python in Arrow batches of few rows: batches of 10,000 rows would hold tens of MB for each task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows_:
-        spark.conf.set(name, str(rows_))
+#: For stages that send whole texts to Python functions of columns: batches of 10,000 rows would hold tens of MB for each task.
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
+
+
+def positional(df: DataFrame, *keep: str) -> DataFrame:
+    """All columns under names by position (__c0, __c1 and so on) but ``keep``, so that no name of the input can clash with one of an operator."""
+    return df.toDF(*[c if c in keep else f"__c{k}" for k, c in enumerate(df.columns)])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone`` (doc_id); null ids count as one id. All columns as they are."""
+    ids_ = gone.select(id_key().alias("__key")).distinct()
+    mine = positional(docs, "doc_id").withColumn("__key", id_key())
+    return mine.join(ids_, "__key", "left_anti").drop("__key").toDF(*docs.columns)
 
 
 def id_key(name: str = "doc_id") -> Column:
@@ -110,8 +137,17 @@ def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data, np.uint8).tobytes())])
 
 
-def released(df: DataFrame) -> DataFrame:
-    """Let go of the shuffle files behind a written table: nothing refers to them any more, and Spark drops such files when the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return df
+#: Keys with more than one in so many rows are sent to all tasks: no more than this many can be.
+HOT = 10_000
+
+
+def is_hot(members: Column, total: int) -> Column:
+    """At most HOT keys of ``total`` rows are: those with more than 1/HOT of them, and more than 20."""
+    return members * HOT > max(total, 20 * HOT)
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, members: str, total: int) -> DataFrame:
+    """Inner join where ``few`` has a row for each key with its number of rows in ``many``: rows of a hot key don't meet in a task, as its row of ``few`` is broadcast."""
+    hot = few.where(is_hot(F.col(members), total))
+    cold = few.where(~is_hot(F.col(members), total))
+    return many.join(F.broadcast(hot), key).unionByName(many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

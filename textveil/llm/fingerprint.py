@@ -128,16 +128,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, extra, doc_id, text) such that after each document of a bucket comes the next of the table.
 
-    Buckets are ranges of doc_id of about BUCKET_ROWS rows; the first document of each also stands, as ``extra``, at the end of
-    the bucket before it, and that of the first bucket at the end of the last. Ids that repeat go by the texts' hashes.
+    Buckets are ranges of doc_id of about equal sizes, of BUCKET_ROWS rows or more and no more of them than shuffle partitions, so
+    what the driver gets doesn't grow with the documents. The first document of each also stands, as ``extra``, at the end of the
+    bucket before it, and that of the first bucket at the end of the last. Ids that repeat go by the texts' hashes.
     """
     spark = docs.sparkSession
     base = docs.select(id_key().alias("doc_id"), "text")
     n = base.count()
     if not n:
         return base.selectExpr("0 AS bucket", "0 AS extra", "*")
-    many = max(1, -(-n // BUCKET_ROWS))
-    cuts = base.select(F.percentile_approx("doc_id", [k / many for k in range(1, many)] or [0.5], 100 * many).alias("p")).first().p or []
+    many = max(1, min(-(-n // BUCKET_ROWS), partitions(spark)))
+    cuts = base.select(F.percentile_approx("doc_id", [k / many for k in range(1, many)] or [0.5], 20 * many).alias("p")).first().p or []
     inner = sorted({float(x) for x in cuts}) if many > 1 else []
     placed = base.select(F.lit(0).alias("bucket"), "doc_id", "text")
     if inner:

@@ -27,6 +27,8 @@ from .common import binaries, chunks, column, id_key, id_value, rows, scratch, t
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 17
 EVERY = 64
+#: No more shards than this: the driver keeps a row for each.
+MAX_SHARDS = 20_000
 SHARD_TOKENS = 8_000_000
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -166,7 +168,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     code = canonical(bits)
     used = np.flatnonzero(bits)
     spark.createDataFrame(list(zip(used.tolist(), bits[used].tolist(), strict=True)), "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
-    n_shards = max(1, -(-int(counts.sum()) // shard_tokens))
+    n_shards = min(MAX_SHARDS, max(1, -(-int(counts.sum()) // shard_tokens)))  # a shard is written block by block, so it may be large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0

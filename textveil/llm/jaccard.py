@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import binaries, chunks, column, id_key, id_value, lists, partitions, released, rows, text_bytes, written
+from .common import binaries, chunks, column, id_key, id_value, is_hot, lists, partitions, rows, spread_join, text_bytes, written
 from .graph import components
 
 #: A link: NUM * union <= DEN * intersection, that is a Jaccard similarity of 0.8 or more.
@@ -329,6 +329,18 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.repartition(partitions(members.sparkSession), "list", "i", "j").sortWithinPartitions("list", "i", "j", "doc_id")
 
 
+def _by_class(rows_: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    """Adds ``component`` by class. Rows of a class of many copies don't meet in a task: its component is broadcast."""
+    large = is_hot(F.col("members"), total)
+    hot = named.where(large).select("class", F.col("component").alias("told"))
+    rows_ = rows_.join(F.broadcast(hot), "class", "left")
+    rest = named.where(~large).select(F.col("class").alias("asked"), "component")
+    # what is told already, and what has no words, is dealt by document
+    asked = F.when(F.col("told").isNull() & (F.col("n") > 0), F.col("class")).otherwise(F.concat(F.lit("-"), F.col("doc_id").cast("string")).cast("binary"))
+    out = rows_.withColumn("asked", asked).join(rest, "asked", "left")
+    return out.select("doc_id", "n", "class", F.coalesce("told", "component").alias("component"))
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``: the least doc_id that its links reach.
 
@@ -340,31 +352,33 @@ def near_classes(docs: DataFrame) -> DataFrame:
     small = boundary()
     told = written(_described(docs, shingle_levels(docs), small), "sets")
     full = told.where("n > 0")
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    classes = written(full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("members")), "classes")
+    total = told.count()
     # rows that repeat an id and a set are one; equal sets have equal columns
-    chosen = full.select("doc_id", "class", "tokens", "meets").join(classes, ["class", "doc_id"]).dropDuplicates(["class", "doc_id"])
+    chosen = full.select("doc_id", "class", "tokens", "meets").join(classes.drop("members"), ["class", "doc_id"]).dropDuplicates(["class", "doc_id"])
 
     # a list of small sets alone has nothing to find: it takes a large one
     spread = chosen.select("doc_id", "n", (F.col("n") > small).alias("large"), F.explode("tokens").alias("list"))
     large = F.max("large").over(Window.partitionBy("list"))
-    found = released(written(_once(spread.withColumn("large", large).where("large").drop("large")), "lists"))
+    found = written(_once(spread.withColumn("large", large).where("large").drop("large")), "lists")
     counts = told.where("n > 0").select("doc_id", F.col("sketch"), "class").join(classes.select("class", "doc_id"), ["class", "doc_id"]).drop("class")
-    left = released(written(_pieces(_dealt(_in_blocks(found, 1).join(counts, "doc_id"))), "pieces"))
+    left = written(_pieces(_dealt(_in_blocks(found, 1).join(counts, "doc_id"))), "pieces")
     clusters = components(left.select(F.col("piece").alias("a"), F.col("doc_id").alias("b")))
     sizes = left.groupBy("doc_id").agg(F.min("n").alias("n"))
     clusters = clusters.select(F.col("component").alias("list"), F.col("v").alias("doc_id")).join(sizes, "doc_id")
     totals = clusters.groupBy("list").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
-    clusters = released(written(clusters.join(totals, "list"), "clusters"))
+    clusters = written(spread_join(clusters, totals, "list", "sets", total), "clusters")
 
     wanted = docs.join(clusters.select("doc_id"), "doc_id", "left_semi")
     by_list = _list_links(_dealt(_in_blocks(clusters, 8, BLOCK_SETS).join(_set_rows(wanted), "doc_id")))
 
     meets = chosen.select("doc_id", F.explode("meets").alias("meet"))
-    by_subset = meets.join(meets.groupBy("meet").agg(F.min("doc_id").alias("a")), "meet").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    edges = released(written(by_list.union(by_subset), "links"))
+    least = meets.groupBy("meet").agg(F.min("doc_id").alias("a"), F.count("*").alias("sets")).where("sets > 1")
+    by_subset = spread_join(meets, least, "meet", "sets", total).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    edges = written(by_list.union(by_subset), "links")
 
     reached = components(edges)
-    named = classes.join(reached.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("component"))
-    out = told.select("doc_id", "n", "class").join(named, "class", "left")
+    named = classes.join(reached.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("class", "members", F.coalesce("component", "doc_id").alias("component"))
+    out = _by_class(told.select("doc_id", "n", "class"), named, total)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select(id_value().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != F.lit(-(2**63)), component).alias("component_id"))

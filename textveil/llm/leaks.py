@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import binaries, chunks, column, id_key, id_value, released, rows, text_bytes, written
+from .common import binaries, chunks, column, id_key, id_value, rows, text_bytes, written
 
 BLOCK_WORDS = 32
 ITEMS = 1024
@@ -332,7 +332,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE)
         answers = [item_words(r.answer if r.answer is not None else answer_of(r.text)) for r in block]
         vocabulary = np.unique(np.concatenate(words + answers))
         items, told = [np.searchsorted(vocabulary, x) for x in words], [np.searchsorted(vocabulary, x) for x in answers]
-        located = released(written(_located(docs, vocabulary), "located"))
+        located = written(_located(docs, vocabulary), "located")
         counts = _summed(located, 1, _Frequencies(len(vocabulary)))[:, 0]
         n, often = max(1.0, counts[-1]), counts[:-1]
         idf = np.log((n + 1) / (often + 1)) * (often <= max(MAX_SHARE * n, 8))

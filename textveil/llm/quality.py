@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import chunks, column, released, rows, small_batches, text_bytes, written
+from .common import SMALL_BATCHES, chunks, column, is_hot, positional, rows, text_bytes, written
 
 #: At most about this many labelled documents are fitted on, chosen by a hash of their ids.
 FIT_ROWS = 12_000
@@ -184,20 +184,31 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def _with_site(told: DataFrame, paths: DataFrame, total: int) -> DataFrame:
+    """Adds the path's posteriors. Texts of large paths don't move: they are broadcast."""
+    keys = ["__host", "__path"]
+    told_of = paths.select(*keys, "n", *[f"path_{h}" for h in HEADS])
+    hot, cold = told_of.where(is_hot(F.col("n"), total)).drop("n"), told_of.where(~is_hot(F.col("n"), total)).drop("n")
+    out = told.join(F.broadcast(hot), keys)
+    return out.unionByName(told.join(cold, keys)) if cold.limit(1).count() else out
+
+
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """All columns of ``docs`` with __low and __toxic (posteriors), __site_low, __site_toxic (its path's) and __keep.
 
-    Null hosts and paths are groups of their own. Rows that repeat are judged each. An empty table gives an empty result.
+    Null hosts and paths are groups of their own. Rows that repeat are judged each. A null or empty text has no evidence: its site
+    decides. Without labels nothing is evidence and all stay. Input columns may have any names. An empty table gives an empty
+    result. Evidence is taken of whole texts, one in memory at a time if it is long, and written once with its document.
     """
-    small_batches(docs.sparkSession)
     model = fit(docs, labels, fit_rows)
-    names = docs.columns
-    told = docs.withColumn("__e", evidence(model, F.col("text")))
-    host_, path_ = F.coalesce(F.col(host).cast("string"), F.lit("\0")), F.coalesce(F.col(path).cast("string"), F.lit("\0"))
-    told = told.withColumns({"__host": host_, "__path": path_})
+    mine = positional(docs)
+    names, at = mine.columns, {c: F.col(f"__c{k}") for k, c in enumerate(docs.columns)}
+    group = lambda c: F.coalesce(at[c].cast("string"), F.lit("\0"))
+    told = mine.withColumns({"__e": evidence(model, at["text"]), "__host": group(host), "__path": group(path)})
+    told = written(told, "evidence", **SMALL_BATCHES)
     own = {h: sigmoid(F.col(f"__e.{h}") + F.lit(float(model.prior[k]))) for k, h in enumerate(HEADS)}
     sums = [F.sum(own[h]).alias(f"s_{h}") for h in HEADS]
-    paths = released(written(told.groupBy("__host", "__path").agg(F.count("*").cast("double").alias("n"), *sums), "sites"))
+    paths = written(told.groupBy("__host", "__path").agg(F.count("*").cast("double").alias("n"), *sums), "sites")
     whole = paths.agg(F.sum("n").alias("n"), *[F.sum(f"s_{h}").alias(f"s_{h}") for h in HEADS]).first()
     sites = paths.groupBy("__host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{h}").alias(f"s_{h}") for h in HEADS])
     for h in HEADS:
@@ -207,6 +218,14 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     for h in HEADS:
         start = F.col(f"site_{h}")
         paths = paths.withColumn(f"path_{h}", posterior(h, start, strength(paths, h, start)))
-    out = told.join(paths.select("__host", "__path", *[f"path_{h}" for h in HEADS]), ["__host", "__path"])
+    out = _with_site(told, paths, int(whole.n or 0))
     post = {h: sigmoid(F.col(f"__e.{h}") + logit(F.col(f"path_{h}"))) for h in HEADS}
-    return out.select(*[F.col(f"`{c}`") for c in names], *[post[h].alias(f"__{h}") for h in HEADS], *[F.col(f"path_{h}").alias(f"__site_{h}") for h in HEADS]).withColumn("__keep", (F.col("__low") < REJECT) & (F.col("__toxic") < REJECT))
+    out = out.select(*names, *[post[h].alias(f"__{h}") for h in HEADS], *[F.col(f"path_{h}").alias(f"__site_{h}") for h in HEADS])
+    out = out.withColumn("__keep", (F.col("__low") < REJECT) & (F.col("__toxic") < REJECT))
+    return out.toDF(*docs.columns, *out.columns[len(names) :])
+
+
+def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that judge() keeps, under their own columns."""
+    mine = positional(docs, "doc_id", "text", options.get("host", "source"), options.get("path", "lang"))
+    return judge(mine, labels, **options).where("__keep").select(*mine.columns).toDF(*docs.columns)

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, id_value, scratch
+from .common import id_key, id_value, partitions, scratch
 
 BUCKET_BYTES = 16 << 20
+#: Buckets whose first places are summed up together.
+STRETCH = 8192
 
 
 def shuffle(records: DataFrame, path: str, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -29,19 +31,22 @@ def shuffle(records: DataFrame, path: str, shards: int, seed: int = 0, bucket_by
     base = records.select(id_key(key).alias("doc_id"), F.col(text).alias("text"))
     base = base.withColumns({"size": F.length(data).cast("long") + 16, "text_crc32": F.crc32(data)})
     total = base.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    n, buckets = total.n, max(1, -(-(total.b or 0) // bucket_bytes))
+    n, buckets = total.n, max(partitions(spark), -(-(total.b or 0) // bucket_bytes))
     base = base.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
-    sizes = np.zeros(buckets + 1, np.int64)
-    for r in base.groupBy("bucket").agg(F.count("*").alias("n")).collect():  # one row for each bucket
-        sizes[r.bucket + 1] = r.n
-    first = np.cumsum(sizes)
+    # first places of buckets: sums within stretches of STRETCH buckets, and of whole stretches in the driver, one row for each
+    sizes = base.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("stretch", F.expr(f"bucket div {STRETCH}"))
+    whole = {r.stretch: r.n for r in sizes.groupBy("stretch").agg(F.sum("n").alias("n")).collect()}
+    start = np.concatenate(([0], np.cumsum([whole.get(k, 0) for k in range(-(-buckets // STRETCH))]))).tolist()
+    inside = Window.partitionBy("stretch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.element_at(F.array(*map(F.lit, start)), (F.col("stretch") + 1).cast("int")) + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    base = base.join(sizes.select("bucket", before.alias("before")), "bucket")
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
         b = bucket.column("bucket")[0].as_py()
         bucket = bucket.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")])
-        place = first[b] + np.arange(bucket.num_rows)
+        place = bucket.column("before")[0].as_py() + np.arange(bucket.num_rows)
         shard = place * shards // n
-        mixed = bucket.take(np.random.default_rng([seed, b]).permutation(bucket.num_rows)).drop_columns(["bucket"])
+        mixed = bucket.take(np.random.default_rng([seed, b]).permutation(bucket.num_rows)).select(["doc_id", "text", "size", "text_crc32"])
         return mixed.append_column("slot", pa.array(place + (-shard * n) // shards)).append_column("shard", pa.array(shard.astype(np.int32)))
 
     out = base.groupBy("bucket").applyInArrow(fisher_yates, "doc_id long, text string, size long, text_crc32 long, slot long, shard int")

@@ -1,16 +1,20 @@
 """Exact removal of repeated 100-byte strings, by prefix-free parsing.
 
 Parsing. A rolling hash runs over each text; of the grams that start in a 100-byte string, the one of least hash is its
-trigger (the leftmost of equals). Neighbouring strings with one trigger make a phrase; phrases overlap by 99 bytes, so every
-100-byte string lies in just one, and equal strings have equal triggers at equal places, whatever surrounds them.
-
-Dictionary and parse. Only phrases whose trigger gram occurs again can repeat. Their fingerprints give the dictionary of
-distinct phrases with the place of each one's first occurrence: all of a later occurrence is removed. What remains are the
-suffixes of the dictionary's phrases that share a gram with another one. They are ordered by the 128-bit fingerprint of their
-first 100 bytes, then by the parse, that is by the place of their phrase's first occurrence; in that order all but the first
-of equals are removed. The full lexicographic order isn't needed, as only equality over 100 bytes counts. Before that, suffixes
-go by zones of their distance to the trigger: all strings of a zone hold the same core around it, and where no other phrase
-has that core, none of the zone's strings can repeat.
+trigger (the leftmost of equals). Neighbouring strings with one trigger make a phrase. Phrases overlap by 99 bytes, so every
+100-byte string lies in just one, and equal strings have equal triggers at equal places, whatever surrounds them. Only phrases whose trigger gram occurs again are kept.
+
+Suffix array of the parse. The phrases of all documents are sorted by phrase, then by place. The first of equal phrases is the
+dictionary's entry; every later one starts later in the corpus, so all its strings repeat.
+
+Suffix array of the dictionary. The suffixes of its phrases are sorted by their first 100 bytes, which never reach beyond their
+phrase, then by the place of the phrase in the parse. That is the corpus order at a depth of 100 bytes: each phrase's suffix stands
+for the suffixes of the text that start at its first occurrence. Neighbours in it that agree in 100 bytes are repeats, all but the first.
+Before that, suffixes go by zones of their distance to the trigger: all strings of a zone hold the same core around it, and
+where no other phrase has that core, none of the zone's strings can repeat, so these suffixes are not sorted.
+
+Both arrays are range partitions in order, by key and place together, so one phrase or string that a third of the documents hold is
+spread over as many tasks as its rows need; what ends one range is told to the next.
 """
 
 from __future__ import annotations
@@ -23,12 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import chunks, column, discard, id_key, released, rows, text_bytes, written
+from .common import binaries, chunks, column, discard, id_key, partitions, positional, rows, text_bytes, written
 
 LENGTH, GRAM = 100, 32
 #: Strings of one zone begin less than ZONE bytes apart.
 ZONE = 12
+#: Grams that a task looks through for equal ones before it sends them on.
+BUFFER = 400_000
 _BASES = (scan.BASE, 0xD6E8FEB86659FD93)
+#: A place in the corpus: a document is an id and the hash of its text (null ids and repeated ids are apart by that).
+_PLACE = ["doc", "hash", "first"]
 
 
 def parse(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,20 +82,52 @@ def _fingerprints(buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[
     return out[0], out[1]
 
 
+def _longs(part: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [column(part, c).to_numpy(zero_copy_only=False) for c in names]
+
+
 def _grams(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64())])
+    """(gram, doc, hash, n, sure): of a gram that a task meets again, all documents are ``sure``, and one row goes on to meet other tasks'."""
+    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("n", pa.int32()), ("sure", pa.bool_())])
+
+    def told(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        gram, doc, hash_ = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(gram)
+        gram, doc, hash_ = gram[order], doc[order], hash_[order]
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(gram)))
+        again = np.flatnonzero(np.repeat(size > 1, size))
+        at = np.concatenate((first, again))
+        return rows(schema, gram=gram[at], doc=doc[at], hash=hash_[at], n=np.concatenate((np.minimum(size, 2), np.zeros(len(again), np.int64))), sure=np.arange(len(at)) >= len(first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in chunks(batches):
             row, _, _, gram = parse(*text_bytes(column(part, "text")))
-            yield rows(schema, gram=gram.view(np.int64), doc_id=column(part, "doc_id").to_numpy()[row])
+            held.append((gram.view(np.int64), *(x[row] for x in _longs(part, "doc", "hash"))))
+            size += len(row)
+            if size >= BUFFER:
+                yield told(held)
+                held, size = [], 0
+        if held:
+            yield told(held)
 
-    return docs.mapInArrow(run, "gram long, doc_id long")
+    return docs.mapInArrow(run, "gram long, doc long, hash long, n int, sure boolean")
+
+
+def _repeated_grams(docs: DataFrame) -> DataFrame:
+    """(doc, hash, grams): each document's trigger grams that occur again. Sure rows meet nobody, so they are dealt by document."""
+    apart = F.when(F.col("sure"), 1 + F.pmod(F.xxhash64("doc", "hash"), F.lit(1 << 20))).otherwise(0)
+    met = _grams(docs).withColumn("apart", apart).withColumn("met", F.sum("n").over(Window.partitionBy("gram", "apart")))
+    return met.where("sure OR met > 1").groupBy("doc", "hash").agg(F.collect_set("gram").alias("grams"))
 
 
 def _phrases(docs: DataFrame) -> DataFrame:
-    """Phrases of documents (doc_id, text, grams) whose gram is among the document's ``grams``."""
-    schema = pa.schema([("gram", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("strings", pa.int64())])
+    """The parse (key, doc, hash, first, strings, phrase): phrases of documents (doc, hash, text, grams) whose gram is among ``grams``.
+
+    Of equal phrases in a chunk of documents only the first has its bytes with it.
+    """
+    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("strings", pa.int64()), ("phrase", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -101,31 +141,83 @@ def _phrases(docs: DataFrame) -> DataFrame:
             gram = gram.view(np.int64)
             for k in range(part.num_rows):
                 live[ends[k] : ends[k + 1]] = np.isin(gram[ends[k] : ends[k + 1]], names[at[k] : at[k + 1]])
-            row, first, strings, gram = row[live], first[live], strings[live], gram[live]
-            f1, f2 = _fingerprints(buf, first, first + strings + LENGTH - 1)
-            yield rows(schema, gram=gram, f1=f1, f2=f2, doc_id=column(part, "doc_id").to_numpy()[row], first=first - off[row], strings=strings)
+            row, first, strings = row[live], first[live], strings[live]
+            if not len(row):
+                continue
+            end = first + strings + LENGTH - 1
+            f1, f2 = _fingerprints(buf, first, end)
+            doc, hash_ = (x[row] for x in _longs(part, "doc", "hash"))
+            place = first - off[row]
+            order = np.lexsort((place, hash_, doc, f2, f1))
+            new = np.append(True, (f1[order[1:]] != f1[order[:-1]]) | (f2[order[1:]] != f2[order[:-1]]))
+            head = order[new][np.cumsum(new) - 1]  # rows that repeat share a place: all of them count as first
+            shown = np.zeros(len(row), bool)
+            shown[order] = (doc[order] == doc[head]) & (hash_[order] == hash_[head]) & (place[order] == place[head])
+            raw = buf.tobytes()
+            phrase = [raw[a:b] if x else None for a, b, x in zip(first.tolist(), end.tolist(), shown.tolist(), strict=True)]
+            key = binaries(np.stack((f1, f2), 1).view(np.uint8).ravel(), 16 * np.arange(len(row) + 1))
+            yield rows(schema, key=key, doc=doc, hash=hash_, first=place, strings=strings, phrase=pa.array(phrase, pa.binary()))
 
-    return docs.mapInArrow(run, "gram long, f1 long, f2 long, doc_id long, first long, strings long")
+    return docs.mapInArrow(run, "key binary, doc long, hash long, first long, strings long, phrase binary")
 
 
-def _cut_out(docs: DataFrame) -> DataFrame:
-    """Bytes of the phrases that documents (doc_id, text, firsts, sizes, grams) are asked for."""
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("strings", pa.int64()), ("phrase", pa.binary())])
+def _ordered(entries: DataFrame, width: int, name: str) -> DataFrame:
+    """The suffix array of ``entries`` (key of ``width`` bytes, doc, hash, first, and others): all their columns but the key, with ``again``, written.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            buf, off = text_bytes(column(part, "text"))
-            raw = buf.tobytes()
-            n = column(part, "firsts").value_lengths().to_numpy()
-            first, strings, gram = (column(part, c).flatten().to_numpy() for c in ("firsts", "sizes", "grams"))
-            base = np.repeat(off[:-1], n)
-            fits = base + first + strings + LENGTH - 1 <= np.repeat(off[1:], n)  # false only for another text of the same id
-            first, strings, gram, base, row = first[fits], strings[fits], gram[fits], base[fits], np.repeat(np.arange(len(n)), n)[fits]
-            begin = base + first
-            bytes_ = [raw[a:b] for a, b in zip(begin.tolist(), (begin + strings + LENGTH - 1).tolist(), strict=True)]
-            yield rows(schema, gram=gram, doc_id=column(part, "doc_id").to_numpy()[row], first=first, strings=strings, phrase=pa.array(bytes_, pa.binary()))
+    Entries are sorted by key and place over ranges of both. ``again`` tells that the key also stands at an earlier place; rows that
+    repeat a place are one. A key that goes over the end of a range is settled afterwards: each range gives its first and its last
+    entry, so what comes to the driver and is broadcast are two rows for each range, whatever the number of entries.
+    """
+    spark, others = entries.sparkSession, [f for f in entries.schema if f.name not in ("key", *_PLACE)]
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    mine = [("range", pa.int64()), ("head", pa.bool_()), ("again", pa.bool_()), ("edge", pa.int32()), ("key", pa.binary()), *[(f"{c}0", pa.int64()) for c in _PLACE], *[(c, pa.int64()) for c in _PLACE]]
+    schema = pa.schema([*mine, *[(f.name, kinds[f.dataType.simpleString()]) for f in others]])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, first long, strings long, phrase binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, groups, held = None, None, 0, None
+        for part in batches:
+            n = part.num_rows
+            if not n:
+                continue
+            table = text_bytes(column(part, "key"))[0].reshape(n, width)
+            new = np.append(key != table[0].tobytes(), (table[1:] != table[:-1]).any(1))
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            place = np.stack(_longs(part, *_PLACE), 1)
+            begin = place[at]
+            if start is not None:
+                begin[at < 0] = start
+            edge = np.zeros(n, np.int32)
+            edge[0] = held is None
+            out = {"range": column(part, "range"), "head": np.cumsum(new) + groups <= 1, "again": (place != begin).any(1), **{f"{c}0": begin[:, k] for k, c in enumerate(_PLACE)}, **{c: place[:, k] for k, c in enumerate(_PLACE)}, **{f.name: column(part, f.name) for f in others}}
+            if held is not None:
+                yield rows(schema, **held)
+            shown = np.zeros(n, bool)
+            shown[[0, -1]] = edge[0] > 0, True
+            held = out | {"edge": edge, "key": pa.array([table[k].tobytes() if x else None for k, x in enumerate(shown.tolist())], pa.binary())}
+            key, start, groups = table[-1].tobytes(), begin[-1], groups + int(new.sum())
+        if held is not None:
+            held["edge"][-1] += 2
+            yield rows(schema, **held)
+
+    ddl = ", ".join(["range long, head boolean, again boolean, edge int, key binary", *[f"{c}0 long" for c in _PLACE], *[f"{c} long" for c in _PLACE], *[f"{f.name} {f.dataType.simpleString()}" for f in others]])
+    dealt = entries.repartitionByRange(partitions(spark), "key", *_PLACE).sortWithinPartitions("key", *_PLACE)
+    out = written(dealt.withColumn("range", F.spark_partition_id().cast("long")).mapInArrow(run, ddl), name)
+
+    told, last = [], None
+    edges = sorted(out.where("edge > 0").select("range", "edge", "key", *[f"{c}0" for c in _PLACE]).collect())
+    for r in edges:
+        if r.edge != 2:
+            goes_on = last is not None and bytes(r.key) == last[0]
+            if goes_on:
+                told.append((r.range, *last[1]))
+            else:
+                last = (bytes(r.key), (r.doc0, r.hash0, r.first0))
+        if r.edge != 1 and bytes(r.key) != last[0]:
+            last = (bytes(r.key), (r.doc0, r.hash0, r.first0))
+    before = spark.createDataFrame(told, "range long, doc1 long, hash1 long, first1 long")
+    moved = F.col("head") & F.col("doc1").isNotNull()
+    again = F.when(moved, (F.col("doc") != F.col("doc1")) | (F.col("hash") != F.col("hash1")) | (F.col("first") != F.col("first1"))).otherwise(F.col("again"))
+    return out.join(F.broadcast(before), "range", "left").select(*_PLACE, *[f.name for f in others], again.alias("again"))
 
 
 def _triggers(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -140,14 +232,14 @@ def _triggers(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _zones(phrases: DataFrame) -> DataFrame:
-    """(core, doc_id, first, zone): fingerprint of what all strings of a zone of a phrase hold."""
-    schema = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("zone", pa.int32())])
+    """(core, doc, hash, first, zone): fingerprint of what all strings of a zone of a phrase hold."""
+    schema = pa.schema([("core", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("zone", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "phrase"):
             buf, off = text_bytes(column(part, "phrase"))
-            strings, trigger = column(part, "strings").to_numpy(), _triggers(buf, off)
-            doc, place = column(part, "doc_id").to_numpy(), column(part, "first").to_numpy()
+            strings, doc, hash_, place = _longs(part, "strings", *_PLACE)
+            trigger = _triggers(buf, off)
             for zone in range(-(-(LENGTH - GRAM + 1) // ZONE)):
                 # strings whose trigger is zone * ZONE ... (zone + 1) * ZONE - 1 bytes from their start
                 low, high = trigger - (zone + 1) * ZONE + 1, trigger - zone * ZONE
@@ -156,19 +248,20 @@ def _zones(phrases: DataFrame) -> DataFrame:
                 inside = (begin >= 0) & (end <= np.diff(off)[live])
                 # a core that sticks out of the phrase isn't whole here: such zones are taken as shared
                 core, _ = _fingerprints(buf, off[live][inside] + begin[inside], off[live][inside] + end[inside])
-                yield rows(schema, core=core + zone, doc_id=doc[live][inside], first=place[live][inside], zone=np.full(inside.sum(), zone, np.int32))
+                at = live[inside]
+                yield rows(schema, core=core + zone, doc=doc[at], hash=hash_[at], first=place[at], zone=np.full(len(at), zone, np.int32))
 
-    return phrases.mapInArrow(run, "core long, doc_id long, first long, zone int")
+    return phrases.mapInArrow(run, "core long, doc long, hash long, first long, zone int")
 
 
 def _suffixes(phrases: DataFrame) -> DataFrame:
-    """Fingerprints of the first 100 bytes of each suffix of phrases (doc_id, first, strings, phrase, dull); ``dull`` lists zones without repeats."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64())])
+    """(key, doc, hash, first): the first 100 bytes of each suffix of phrases (doc, hash, first, strings, phrase, dull); ``dull`` lists zones without repeats."""
+    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "phrase"):
             buf, off = text_bytes(column(part, "phrase"))
-            n = column(part, "strings").to_numpy()
+            n, doc, hash_, first = _longs(part, "strings", *_PLACE)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             row = np.repeat(np.arange(len(n)), n)
             dull = np.zeros((len(n), -(-(LENGTH - GRAM + 1) // ZONE)), bool)
@@ -176,40 +269,34 @@ def _suffixes(phrases: DataFrame) -> DataFrame:
             dull[np.repeat(np.arange(len(n)), lists_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists_.flatten().to_numpy()] = True
             live = ~dull[row, (_triggers(buf, off)[row] - within) // ZONE]
             row, within = row[live], within[live]
-            at = off[row] + within
-            k1, k2 = _fingerprints(buf, at, at + LENGTH)
-            yield rows(schema, k1=k1, k2=k2, doc_id=column(part, "doc_id").to_numpy()[row], first=column(part, "first").to_numpy()[row] + within)
+            for a in range(0, len(row), 50_000):
+                r, w = row[a : a + 50_000], within[a : a + 50_000]
+                key = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)[off[r] + w]
+                yield rows(schema, key=binaries(key.ravel(), LENGTH * np.arange(len(r) + 1)), doc=doc[r], hash=hash_[r], first=first[r] + w)
 
-    return phrases.mapInArrow(run, "k1 long, k2 long, doc_id long, first long")
+    return phrases.mapInArrow(run, "key binary, doc long, hash long, first long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts, ends): byte stretches of each document, in no order, that strings which also start earlier cover."""
-    docs = docs.select(id_key().alias("doc_id"), "text")
-    by_gram = Window.partitionBy("gram")
-    again = _grams(docs).withColumn("n", F.count("*").over(by_gram)).where("n > 1")
-    wanted = released(written(again.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "grams"))
-    nth = F.rank().over(Window.partitionBy("gram", "f1", "f2").orderBy("doc_id", "first"))
-    found = released(written(_phrases(docs.join(wanted, "doc_id")).withColumn("nth", nth).drop("f1", "f2"), "phrases"))
-    discard(wanted)
-
-    entries = found.where("nth = 1").withColumn("alike", F.count("*").over(by_gram)).where("alike > 1")
-    asked = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "strings", "gram"))).alias("p"))
-    asked = asked.select("doc_id", F.col("p.first").alias("firsts"), F.col("p.strings").alias("sizes"), F.col("p.gram").alias("grams"))
-    phrases = released(written(_cut_out(docs.join(asked, "doc_id")), "bytes"))
-    alone = _zones(phrases).groupBy("core").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("first"), F.min("zone").alias("zone"), F.count("*").alias("n")).where("n = 1")
-    dull = alone.groupBy("doc_id", "first").agg(F.collect_list("zone").alias("dull"))
-    pruned = released(written(phrases.join(dull, ["doc_id", "first"], "left"), "pruned"))
-    discard(phrases)
-    order = F.rank().over(Window.partitionBy("k1", "k2").orderBy("doc_id", "first"))
-    equal = _suffixes(pruned).withColumn("nth", order).where("nth > 1").select("doc_id", "first", (F.col("first") + LENGTH).alias("end"))
-    equal = released(written(equal, "equal"))
-    discard(pruned)
-    later = found.where("nth > 1").select("doc_id", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end"))
-    spans = later.union(equal).groupBy("doc_id").agg(F.collect_list("first").alias("starts"), F.collect_list("end").alias("ends"))
-    spans = released(written(spans, "spans"))
-    discard(found)
-    discard(equal)
+    """(doc, hash, starts, ends) of ``docs`` (doc, hash, text): byte stretches, in no order, that strings which also start earlier cover."""
+    grams = written(_repeated_grams(docs), "grams")
+    parsed = written(_phrases(docs.join(grams, ["doc", "hash"])), "parse")
+    discard(grams)
+    parse_array = _ordered(parsed, 16, "parse-array")
+    discard(parsed)
+
+    entries = parse_array.where("NOT again").select(*_PLACE, "strings", "phrase")
+    alone = _zones(entries).groupBy("core").agg(*[F.min(c).alias(c) for c in (*_PLACE, "zone")], F.count("*").alias("n")).where("n = 1")
+    dull = alone.groupBy(*_PLACE).agg(F.collect_list("zone").alias("dull"))
+    suffixes = written(_suffixes(entries.join(dull, _PLACE, "left")), "suffixes")
+    dictionary_array = _ordered(suffixes, LENGTH, "dictionary-array")
+    discard(suffixes)
+
+    later = parse_array.where("again").select("doc", "hash", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end"))
+    equal = dictionary_array.where("again").select("doc", "hash", "first", (F.col("first") + LENGTH).alias("end"))
+    spans = written(later.union(equal).groupBy("doc", "hash").agg(F.collect_list("first").alias("starts"), F.collect_list("end").alias("ends")), "spans")
+    discard(parse_array)
+    discard(dictionary_array)
     return spans
 
 
@@ -217,21 +304,23 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """All columns of ``docs``, with ``__n_bytes``, ``__kept`` (the bytes that stay; as text: without cut characters) and ``__spans`` (removed runs: start and end in bytes).
 
     A byte goes if a 100-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same text.
-    Null texts are empty; texts under 100 bytes stay as they are; null ids count as one id less than all others; rows that share
-    an id and a text are one document, whose first occurrence is the same place in each. An empty table gives an empty result.
+    Null texts are empty; texts under 100 bytes stay as they are; null ids count as one id less than all others. Rows that share
+    an id and a text are one document, whose first occurrence is the same place in each; other texts of one id are documents of
+    their own, in the order of their hashes. Input columns may have any names. An empty table gives an empty result. One text,
+    with some 50 bytes of work space for each of its own, has to fit into a task's memory.
     """
-    spans = repeated_spans(docs)
-    schema = docs.schema
-    keyed = docs.withColumn("__key", id_key())
-    joined = keyed.join(spans.withColumnRenamed("doc_id", "__key"), "__key", "left")
-    names = docs.columns
+    mine = positional(docs, "doc_id", "text").withColumns({"__doc": id_key(), "__hash": F.xxhash64("text")})
+    names = mine.columns[:-2]
+    spans = repeated_spans(mine.select(F.col("__doc").alias("doc"), F.col("__hash").alias("hash"), "text"))
+    spans = spans.toDF("__doc", "__hash", "__starts", "__ends")
+    joined = mine.join(spans, ["__doc", "__hash"], "left").select(*names, "__starts", "__ends")
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             buf, off = text_bytes(column(part, "text"))
             kept, spans_ = [], []
-            starts, ends = column(part, "starts"), column(part, "ends")
+            starts, ends = column(part, "__starts"), column(part, "__ends")
             for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 x = buf[a:b]
                 if not starts[k].is_valid:
@@ -239,8 +328,8 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
                     spans_.append([])
                     continue
                 depth = np.zeros(len(x) + 1, np.int64)
-                np.add.at(depth, np.minimum(starts[k].values.to_numpy(), len(x)), 1)
-                np.add.at(depth, np.minimum(ends[k].values.to_numpy(), len(x)), -1)
+                np.add.at(depth, starts[k].values.to_numpy(), 1)
+                np.add.at(depth, ends[k].values.to_numpy(), -1)
                 gone = np.cumsum(depth)[:-1] > 0
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
                 kept.append(x[~gone].tobytes())
@@ -249,8 +338,24 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
             stay = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([*data, pa.array(np.diff(off)), stay, pa.array(spans_, run_type)], names=[*names, "__n_bytes", "__kept", "__spans"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return joined.select(*names, "starts", "ends").mapInArrow(run, f"{ddl}, __n_bytes long, __kept {'string' if as_text else 'binary'}, __spans array<struct<start:long,end:long>>")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields[:-2])
+    cut = joined.mapInArrow(run, f"{ddl}, __n_bytes long, __kept {'string' if as_text else 'binary'}, __spans array<struct<start:long,end:long>>")
+    return cut.toDF(*docs.columns, "__n_bytes", "__kept", "__spans")
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text``, under the same columns. A cut within a character takes the whole character.
+
+    ``n_chars``, if there is such a column, follows the text; a null text stays null.
+    """
+    keep = ["doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
+    mine = positional(docs, *keep)
+    got = remove_repeats(mine, as_text=True)
+    text = F.when(F.col("text").isNull() | (F.size("__spans") == 0), F.col("text")).otherwise(F.col("__kept"))
+    new = got.withColumn("text", text).select(*mine.columns)
+    if "n_chars" in keep:
+        new = new.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return new.toDF(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
