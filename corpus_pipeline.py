@@ -12,44 +12,33 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textveil.llm import jaccard, leaks, packing, quality, substrings
-from textveil.llm.common import id_key, table, written
-
-
-def _as_documents(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+from textveil.llm.common import table, without, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("__keep").select(*_as_documents(docs))
+    """Rows are judged each; a null text has no evidence against it and stays unless its site tells. No labels: all rows stay."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share a doc_id are one document: they stay or go together, and repeated rows stay as often as they stand."""
-    classes = jaccard.near_classes(docs)
-    gone = classes.where("NOT (doc_id <=> component_id)").select(id_key().alias("__key")).distinct()
-    return docs.withColumn("__key", id_key()).join(gone, "__key", "left_anti").select(*_as_documents(docs))
+    """Rows that share a doc_id are one document: they stay or go together, and repeated rows stay as often as they stand. Null and empty texts stay."""
+    return without(docs, jaccard.near_classes(docs).where("NOT (doc_id <=> component_id)"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A cut within a character takes the whole character. n_chars follows the text; a null text stays null."""
-    got = substrings.remove_repeats(docs, as_text=True)
-    text = F.when(F.col("text").isNull(), F.col("text")).when(F.size("__spans") == 0, F.col("text")).otherwise(F.col("__kept"))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    new = got.select(*columns, text.alias("text"), *([F.col("n_chars")] if "n_chars" in docs.columns else []))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return new.select(*_as_documents(docs))
+    """A cut within a character takes the whole character. n_chars follows the text; a null text stays null; no row goes."""
+    return substrings.cut_texts(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks.leaks(docs, table(spark, sf_dir, "benchmark")).select(id_key().alias("__key")).distinct()
-    return docs.withColumn("__key", id_key()).join(found, "__key", "left_anti").select(*_as_documents(docs))
+    """Rows that share a doc_id go together. Null and empty texts stay; an empty benchmark leaves all rows."""
+    return without(docs, leaks.leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one piece of the end id. Rows that repeat are packed each; an empty table gives no pieces."""
     return packing.pack_documents(docs)
 
 
