@@ -123,11 +123,8 @@ def _repeated_grams(docs: DataFrame) -> DataFrame:
 
 
 def _phrases(docs: DataFrame) -> DataFrame:
-    """The parse (key, doc, hash, first, strings, phrase): phrases of documents (doc, hash, text, grams) whose gram is among ``grams``.
-
-    Of equal phrases in a chunk of documents only the first has its bytes with it.
-    """
-    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("strings", pa.int64()), ("phrase", pa.binary())])
+    """The parse (key, gram, doc, hash, first, strings): phrases of documents (doc, hash, text, grams) whose gram is among ``grams``."""
+    schema = pa.schema([("key", pa.binary()), ("gram", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("strings", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -141,24 +138,32 @@ def _phrases(docs: DataFrame) -> DataFrame:
             gram = gram.view(np.int64)
             for k in range(part.num_rows):
                 live[ends[k] : ends[k + 1]] = np.isin(gram[ends[k] : ends[k + 1]], names[at[k] : at[k + 1]])
-            row, first, strings = row[live], first[live], strings[live]
-            if not len(row):
-                continue
-            end = first + strings + LENGTH - 1
-            f1, f2 = _fingerprints(buf, first, end)
-            doc, hash_ = (x[row] for x in _longs(part, "doc", "hash"))
-            place = first - off[row]
-            order = np.lexsort((place, hash_, doc, f2, f1))
-            new = np.append(True, (f1[order[1:]] != f1[order[:-1]]) | (f2[order[1:]] != f2[order[:-1]]))
-            head = order[new][np.cumsum(new) - 1]  # rows that repeat share a place: all of them count as first
-            shown = np.zeros(len(row), bool)
-            shown[order] = (doc[order] == doc[head]) & (hash_[order] == hash_[head]) & (place[order] == place[head])
+            row, first, strings, gram = row[live], first[live], strings[live], gram[live]
+            key = binaries(np.stack(_fingerprints(buf, first, first + strings + LENGTH - 1), 1).view(np.uint8).ravel(), 16 * np.arange(len(row) + 1))
+            doc, hash_ = _longs(part, "doc", "hash")
+            yield rows(schema, key=key, gram=gram, doc=doc[row], hash=hash_[row], first=first - off[row], strings=strings)
+
+    return docs.mapInArrow(run, "key binary, gram long, doc long, hash long, first long, strings long")
+
+
+def _cut_out(docs: DataFrame) -> DataFrame:
+    """The dictionary (doc, hash, first, strings, phrase): of documents (doc, hash, text, firsts, sizes, lonely) the phrases at ``firsts``, but those at ``lonely``."""
+    schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("strings", pa.int64()), ("phrase", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            buf, off = text_bytes(column(part, "text"))
             raw = buf.tobytes()
-            phrase = [raw[a:b] if x else None for a, b, x in zip(first.tolist(), end.tolist(), shown.tolist(), strict=True)]
-            key = binaries(np.stack((f1, f2), 1).view(np.uint8).ravel(), 16 * np.arange(len(row) + 1))
-            yield rows(schema, key=key, doc=doc, hash=hash_, first=place, strings=strings, phrase=pa.array(phrase, pa.binary()))
+            row, gone = (np.repeat(np.arange(part.num_rows), column(part, c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) for c in ("firsts", "lonely"))
+            first, strings, lonely = (column(part, c).flatten().to_numpy() for c in ("firsts", "sizes", "lonely"))
+            live = ~np.isin(off[row] + first, off[gone] + lonely)
+            row, first, strings = row[live], first[live], strings[live]
+            begin = off[row] + first
+            phrase = [raw[a:b] for a, b in zip(begin.tolist(), (begin + strings + LENGTH - 1).tolist(), strict=True)]
+            doc, hash_ = _longs(part, "doc", "hash")
+            yield rows(schema, doc=doc[row], hash=hash_[row], first=first, strings=strings, phrase=pa.array(phrase, pa.binary()))
 
-    return docs.mapInArrow(run, "key binary, doc long, hash long, first long, strings long, phrase binary")
+    return docs.mapInArrow(run, "doc long, hash long, first long, strings long, phrase binary")
 
 
 def _ordered(entries: DataFrame, width: int, name: str) -> DataFrame:
@@ -285,10 +290,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parse_array = _ordered(parsed, 16, "parse-array")
     discard(parsed)
 
-    entries = parse_array.where("NOT again").select(*_PLACE, "strings", "phrase")
-    alone = _zones(entries).groupBy("core").agg(*[F.min(c).alias(c) for c in (*_PLACE, "zone")], F.count("*").alias("n")).where("n = 1")
+    # a gram that one entry alone has is in no other phrase: that entry's strings repeat as a whole phrase only
+    entries = parse_array.where("NOT again")
+    by_place = entries.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("first", "strings"))).alias("p"))
+    lonely = entries.groupBy("gram").agg(*[F.min(c).alias(c) for c in _PLACE], F.count("*").alias("n")).where("n = 1")
+    lonely = lonely.groupBy("doc", "hash").agg(F.collect_list("first").alias("lonely"))
+    asked = by_place.select("doc", "hash", F.col("p.first").alias("firsts"), F.col("p.strings").alias("sizes")).join(lonely, ["doc", "hash"], "left")
+    asked = asked.where("size(firsts) > coalesce(size(lonely), 0)")
+    dictionary = written(_cut_out(docs.join(asked, ["doc", "hash"])), "dictionary")
+    alone = _zones(dictionary).groupBy("core").agg(*[F.min(c).alias(c) for c in (*_PLACE, "zone")], F.count("*").alias("n")).where("n = 1")
     dull = alone.groupBy(*_PLACE).agg(F.collect_list("zone").alias("dull"))
-    suffixes = written(_suffixes(entries.join(dull, _PLACE, "left")), "suffixes")
+    suffixes = written(_suffixes(dictionary.join(dull, _PLACE, "left")), "suffixes")
+    discard(dictionary)
     dictionary_array = _ordered(suffixes, LENGTH, "dictionary-array")
     discard(suffixes)
 
