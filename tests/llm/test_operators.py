@@ -102,17 +102,33 @@ def test_plan_is_dense():
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.org/es/1?q"), (2, "https://example.org/en/12"), (3, "x://org"), (4, "http://b.com/fr/"), (5, "http://com/de/x#y"), (6, None), (7, "no scheme"), (8, "http://notorg/"), (9, "a://b://c/d"), (1, "http://A.Example.org/es/1?q")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, labels).collect()}
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
     assert got == {(1, "a.example.org", "/es/1", "example.org/es/", "block"), (2, "example.org", "/en/12", "example.org/en/1", "block"), (3, "org", "", None, "allow"), (4, "b.com", "/fr/", "com/fr/", "allow"), (5, "com", "/de/x", "com/de/", "block"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "notorg", "/", None, "allow"), (9, "b:", "//c/d", None, "allow")}
-    assert urls.judge(pages, labels).count() == len(rows) and urls.judge(pages.limit(0), labels).count() == 0
+    assert urls.judge(pages).count() == len(rows) and urls.judge(pages.limit(0)).count() == 0
 
 
-def test_mined_url_rules(spark):
+def test_rules_mined_from_labels(spark):
     pages = spark.range(600).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN 'http://spam.example.net/buy/' || id ELSE 'http://news.example.net/read/' || id END AS url")
-    labels = spark.range(500).selectExpr("id AS doc_id", "CAST(CASE WHEN id % 3 = 0 AND id % 30 <> 0 THEN 0 ELSE 1 END AS INT) AS quality", "0 AS toxic")
+    labels = pages.where("page_id < 500").selectExpr("url", "page_id % 3 = 0 AND page_id % 30 <> 0 AS bad").union(spark.sql("SELECT CAST(NULL AS STRING), true UNION ALL SELECT 'http://spam.example.net/buy/9', CAST(NULL AS BOOLEAN)"))
     bad = {r.page_id for r in urls.judge(pages, labels).where("verdict = 'block'").collect()}
     assert bad == {k for k in range(600) if k % 3 == 0}
+    assert {r.verdict for r in urls.judge(pages, labels.limit(0)).collect()} == {"allow"}
+
+
+def test_rules_mined_from_the_list(spark, tmp_path):
+    """All subsets of items, counted by brute force in SQL, give the same verdicts; some are the mined rules'."""
+    import duckdb
+    from textveil.llm import queries
+
+    r = random.Random(4)
+    made = [f"{r.choice(['http', 'https'])}://{r.choice(['', 'www.', 'm.', 'blog.'])}{r.choice(['a', 'b', 'c', 'shop'])}.example.{r.choice(['org', 'com', 'net'])}/{r.choice(['en', 'es', 'de', 'fr'])}/{r.choice(['buy/', ''])}{r.randint(1, 30)}{r.choice(['', '?page=2&ref=x', '#top'])}" for _ in range(400)]
+    rows = [(k, u) for k, u in enumerate([*made, *made[:20], None, "", "no scheme", "http://x.net?de"])]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(c.execute(queries.ORACLE_SQL["op4_url_rules"]).fetchall(), key=str)
+    got = sorted([tuple(x) for x in queries.op4_url_rules(spark, str(tmp_path)).collect()], key=str)
+    assert got == want and any(x[4] == "block" and x[3] is None for x in got)
 
 
 def test_fingerprints(table, none):

@@ -23,7 +23,7 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op5_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +72,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+_FITS = [(f"(host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{start}')", of + start, verdict) for verdict, of, start in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
+#: All subsets of each labelled url's frequent items are counted, and those of the other urls looked up among the rules.
+_OP4_SQL = f"""
+WITH p AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages
+), i AS (
+  SELECT row_number() OVER () AS k, *, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for fits, rule, _ in _FITS)} END AS rule,
+    CASE {" ".join(f"WHEN {fits} THEN '{verdict}'" for fits, _, verdict in _FITS)} END AS listed,
+    list_distinct(CASE WHEN contains(url, '://') THEN ['scheme=' || lower(string_split(url, '://')[1])] ELSE [] END
+      || list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || x)
+      || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path=' || regexp_replace(x, '[0-9]+', '0', 'g'))
+      || list_transform(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1, 's'), '&'), lambda x: x <> ''), lambda x: 'key=' || string_split(x, '=')[1])) AS items FROM p
+), n AS (SELECT count(*) AS n, count(*) FILTER (listed = 'block') AS bad, least(1.0::DOUBLE, greatest(0.002::DOUBLE, 5.0::DOUBLE / greatest(1, count(*)))) AS s FROM i WHERE listed IS NOT NULL AND url IS NOT NULL),
+often AS (SELECT item FROM (SELECT unnest(items) AS item FROM i WHERE listed IS NOT NULL AND url IS NOT NULL) x GROUP BY item HAVING count(*) >= (SELECT ceil(s * n) FROM n)),
+f AS (SELECT k, url, listed, list(item ORDER BY item) AS items FROM (SELECT k, url, listed, unnest(items) AS item FROM i) x JOIN often USING (item) GROUP BY ALL),
+sub AS (SELECT k, url, listed, list_filter(items, lambda x, j: (m >> CAST(j - 1 AS BIGINT)) & 1 = 1) AS part FROM (SELECT *, unnest(range(1, CAST(pow(2, len(items)) AS BIGINT))) AS m FROM f) x),
+rules AS (SELECT part, bad / a AS confidence FROM (SELECT part, count(*) AS a, count(*) FILTER (listed = 'block') AS bad FROM sub WHERE listed IS NOT NULL AND url IS NOT NULL GROUP BY part) c
+  WHERE bad >= (SELECT ceil(s * n) FROM n) AND bad / a >= 0.8 AND (bad / a) / (SELECT bad / n FROM n) >= 1.5),
+sure AS (SELECT k, max(confidence) AS confidence FROM sub JOIN rules USING (part) WHERE listed IS NULL AND url IS NOT NULL GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(listed, CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END) AS verdict, confidence FROM i LEFT JOIN sure USING (k)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_site_quality, op3_pattern_packing, op4_url_rules, op5_consistent_parsing, op6_repeated_strings, op7_latent_leaks, op8_jaccard_classes, op9_external_shuffle, op10_chat_format)}
-ORACLE_SQL = {"op10_chat_format": _OP10_SQL}
+ORACLE_SQL = {"op4_url_rules": _OP4_SQL, "op10_chat_format": _OP10_SQL}

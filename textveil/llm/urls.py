@@ -1,8 +1,9 @@
 """URL filter: list rules first, then association rules that FP-growth mines from labelled urls.
 
 DataFrame functions and Spark's FP-growth alone. A url's items are its scheme, host labels, path parts and query keys; labelled
-urls carry their label as one more item. Rules {items} -> bad that pass the support, confidence and lift thresholds, and that no
-shorter rule makes superfluous, are found again by an inverted index on each rule's rarest item.
+urls carry their label as one more item. Labels are a table of the user's, or else the verdicts of the list itself, which the
+mined rules carry over to the urls that the list says nothing about. Rules {items} -> bad that pass the support, confidence and
+lift thresholds, and that no shorter rule makes superfluous, are found again by an inverted index on each rule's rarest item.
 """
 
 from __future__ import annotations
@@ -46,22 +47,19 @@ def list_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def judged_items(pages: DataFrame) -> DataFrame:
+def judged_items(pages: DataFrame, rules=RULES) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     got = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    return got.withColumn("items", items_of(url, F.col("host"), F.col("path")))
+    return got.withColumns({"items": items_of(url, F.col("host"), F.col("path")), "listed": list_rule(F.col("host"), F.col("path"), rules)})
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
-    """Rules (rule_id, items, confidence, support) from pages (page_id, url) and labels (doc_id, quality, toxic).
+def mine(known: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.8, min_lift: float = 1.5) -> DataFrame:
+    """Rules (rule_id, items, rarest, confidence, support) from labelled urls ``known`` (items, bad), a row for each.
 
-    A label belongs to the page of the same id; it is bad where quality is 0 or toxic is 1. Null urls and labels take no part.
     A rule needs ``min_support`` of the labelled urls and ``min_count`` of them at least, so that few labels make no rules.
-    A rule is dropped where one with a part of its items has at least its confidence.
+    A rule is dropped where one with a part of its items has at least its confidence: that one fits wherever it does. ``rarest``
+    is the item that the fewest labelled urls have.
     """
-    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    told = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    known = judged_items(pages.where("url is not null")).join(told, "page_id")
     baskets = known.select(F.concat("items", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     support = min(1.0, max(min_support, min_count / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
@@ -70,27 +68,35 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_co
     index = rules.select("rule_id", "items", "confidence", F.explode("items").alias("item"))
     short = rules.select(F.col("items").alias("part"), F.col("confidence").alias("as_sure"), F.element_at("items", 1).alias("item"))
     covered = index.join(short, "item").where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("as_sure") >= F.col("confidence")))
-    return rules.join(covered.select("rule_id").distinct(), "rule_id", "left_anti")
+    often = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
+    rarest = index.join(often, "item").groupBy("rule_id").agg(F.min(F.struct("freq", "item"))["item"].alias("rarest"))
+    return rules.join(covered.select("rule_id").distinct(), "rule_id", "left_anti").join(rarest, "rule_id")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, confidence) of the surest rule that fits each url of ``urls`` (url, items): urls meet a rule on its rarest item."""
-    spread = rules.select("rule_id", F.explode("items").alias("item"))
-    often = spread.groupBy("item").agg(F.count("*").alias("n"))
-    rarest = spread.join(often, "item").groupBy("rule_id").agg(F.min(F.struct("n", "item"))["item"].alias("item"))
-    index = rules.join(rarest, "rule_id").select("item", F.col("items").alias("needed"), "confidence")
+    index = rules.select(F.col("rarest").alias("item"), F.col("items").alias("needed"), "confidence")
     met = urls.select("url", "items", F.explode("items").alias("item")).join(index, "item")
     return met.where(F.size(F.array_except("needed", "items")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **thresholds: float) -> DataFrame:
-    """(page_id, host, path, rule, verdict, confidence) for each row of ``pages``; the list's rule decides, else the mined rules.
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, **thresholds: float) -> DataFrame:
+    """(page_id, host, path, rule, verdict, confidence) for each row of ``pages`` (page_id, url); the list's rule decides, else the mined rules.
 
-    A url that no rule fits is allowed. Null urls have an empty host and path and are allowed; rows that repeat stay.
+    ``labels`` (url, bad) are what rules are mined from; without them the urls that the list judges are. Null urls and labels take no
+    part there, and a url counts as often as it stands. A url that no rule fits is allowed. Null urls have an empty host and path
+    and are allowed; rows that repeat stay. An empty table gives an empty result.
     """
-    got = judged_items(pages).withColumn("listed", list_rule(F.col("host"), F.col("path"), rules))
-    asked = got.where("listed is null and url is not null").select("url", "items").distinct()
-    sure = matched(asked, mine(pages, labels, **thresholds))
-    out = got.join(sure, "url", "left")
+    got = judged_items(pages, rules)
+    if labels is None:
+        known = got.where("listed is not null and url is not null").select("items", (F.col("listed.verdict") == "block").alias("bad"))
+    else:
+        known = judged_items(labels.where("url is not null and bad is not null").select(F.lit(0).alias("page_id"), "url"), rules).select("url", "items").distinct()
+        known = labels.where("bad is not null").select("url", "bad").join(known, "url").select("items", "bad")
+    open_ = F.col("listed").isNull() & F.col("url").isNotNull()
+    asked = got.where(open_).select("url", "items").distinct()
+    sure = matched(asked, mine(known, **thresholds)).withColumnRenamed("url", "key")
+    # rows that ask for nothing are dealt by their page
+    out = got.withColumn("key", F.when(open_, F.col("url")).otherwise(F.concat(F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))).join(sure, "key", "left")
     verdict = F.coalesce(F.col("listed.verdict"), F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"), "confidence")
