@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scan import bound
+
 
 def digits_of(s: Column) -> Column:
     return F.regexp_replace(s, r"\D", "")
@@ -31,21 +33,25 @@ INN_11 = [7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
 INN_12 = [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
 
 
+def _of_digits(s: Column, check) -> Column:
+    """``check`` of the digits and their number, which are taken out of the string once."""
+    return F.coalesce(bound(digits_of(s), lambda d: check(d, F.length(d))), F.lit(False))
+
+
 def is_valid_inn(s: Column) -> Column:
-    d = digits_of(s)
-    n = F.length(d)
-    return F.coalesce(F.when(n == 10, _check(d, INN_10)).when(n == 12, _check(d, INN_11) & _check(d, INN_12)), F.lit(False))
+    return _of_digits(s, lambda d, n: F.when(n == 10, _check(d, INN_10)).when(n == 12, _check(d, INN_11) & _check(d, INN_12)))
 
 
 def is_valid_snils(s: Column) -> Column:
-    d = digits_of(s)
-    rest = _weighted(d, list(range(9, 0, -1))) % 101
-    return F.coalesce(F.when(F.length(d) == 11, F.when(rest >= 100, 0).otherwise(rest) == F.substring(d, 10, 2).cast("int")), F.lit(False))
+    def check(d: Column, n: Column) -> Column:
+        rest = _weighted(d, list(range(9, 0, -1))) % 101
+        return F.when(n == 11, F.when(rest >= 100, 0).otherwise(rest) == F.substring(d, 10, 2).cast("int"))
+
+    return _of_digits(s, check)
 
 
 def _remainder(s: Column, size: int, by: int) -> Column:
-    d = digits_of(s)
-    return F.coalesce(F.when(F.length(d) == size, F.substring(d, 1, size - 1).cast("bigint") % by % 10 == _digit(d, size - 1)), F.lit(False))
+    return _of_digits(s, lambda d, n: F.when(n == size, F.substring(d, 1, size - 1).cast("bigint") % by % 10 == _digit(d, size - 1)))
 
 
 def is_valid_ogrn(s: Column) -> Column:
@@ -57,8 +63,7 @@ def is_valid_ogrnip(s: Column) -> Column:
 
 
 def is_valid_luhn(s: Column) -> Column:
-    d = digits_of(s)
-    return F.coalesce((d != "") & F.call_function("luhn_check", d), F.lit(False))
+    return _of_digits(s, lambda d, n: (n > 0) & F.call_function("luhn_check", d))
 
 
 def luhn_fixed(s: Column) -> Column:

@@ -7,25 +7,39 @@ from pyspark.sql import functions as F
 
 MARK = "\x01"
 SPAN = "array<struct<start:int,end:int>>"
+FOUND = "array<struct<start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, gate: str | None = None) -> Column:
-    """Spans of all matches of a Java pattern, in one pass: each match is wrapped in marks and the text is split at these.
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` uses it: inside a lambda an expression would run again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def cleaned(text: Column) -> Column:
+    return F.translate(text, MARK, " ")
+
+
+def found(clean: Column, pattern: str, gate: str | Column | None = None) -> Column:
+    """(start, end, value) of all matches of a Java pattern, in one pass: each match is wrapped in marks and the text is split at these.
 
-    ``gate`` is a cheap pattern that any match implies; texts without it aren't scanned. Null texts have no matches.
+    ``clean`` is a text without marks. ``gate`` is a cheap pattern that any match implies, or a condition; texts without it aren't scanned. Null texts have no matches.
     """
-    clean = F.translate(text, MARK, " ")
     pieces = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(FOUND).alias("spans"))
 
     def step(a: Column, piece: Column) -> Column:
         end = a["at"] + F.length(piece)
-        found = F.array(F.struct(a["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), (~a["hit"]).alias("hit"), F.when(a["hit"], F.concat(a["spans"], found)).otherwise(a["spans"]).alias("spans"))
+        one = F.array(F.struct(a["at"].alias("start"), end.alias("end"), piece.alias("value")))
+        return F.struct(end.alias("at"), (~a["hit"]).alias("hit"), F.when(a["hit"], F.concat(a["spans"], one)).otherwise(a["spans"]).alias("spans"))
 
     spans = F.aggregate(pieces, zero, step, lambda a: a["spans"])
-    found = F.when(F.regexp_like(clean, F.lit(pattern)) if gate is None else F.regexp_like(clean, F.lit(gate)), spans)
-    return F.coalesce(found, F.array().cast(SPAN))
+    open_ = F.regexp_like(clean, F.lit(pattern if gate is None else gate)) if not isinstance(gate, Column) else gate
+    return F.coalesce(F.when(open_, spans), F.array().cast(FOUND))
+
+
+def matches(text: Column, pattern: str, gate: str | None = None) -> Column:
+    """Spans (start, end) of all matches in any text."""
+    return F.transform(found(cleaned(text), pattern, gate), lambda s: F.struct(s["start"], s["end"])).cast(SPAN)
 
 
 def piece(text: Column, start: Column, end: Column) -> Column:
@@ -54,6 +68,12 @@ def keyword_near(s: Column, keywords: list[str], fuzzy: bool = True) -> Column:
 
 
 def tiered(lower: Column, start: Column, end: Column, keywords: list[str], near: Column, far: Column, none: Column | None = None, fuzzy: bool = True) -> Column:
-    """``near`` with a keyword within 30 characters of the span, else ``far`` within 60, else ``none`` (null: drop)."""
-    out = F.when(keyword_near(window(lower, start, end, 30), keywords, fuzzy), near).when(keyword_near(window(lower, start, end, 60), keywords, fuzzy), far)
-    return out if none is None else out.otherwise(none)
+    """``near`` with a keyword within 30 characters of the span, else ``far`` within 60, else ``none`` (null: drop). The text is cut once for both."""
+
+    def told(wide: Column) -> Column:
+        skip = F.greatest(start - 30, F.lit(0)) - F.greatest(start - 60, F.lit(0))
+        close = F.substr(wide, skip + 1, end + 30 - F.greatest(start - 30, F.lit(0)))
+        out = F.when(keyword_near(close, keywords, fuzzy), near).when(keyword_near(wide, keywords, fuzzy), far)
+        return out if none is None else out.otherwise(none)
+
+    return bound(window(lower, start, end, 60), told)

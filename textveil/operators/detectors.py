@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.scan import holds_any, matches, piece, tiered, window
+from ..functions.scan import bound, cleaned, found, holds_any, tiered, window
 from . import resolve
 
 SPANS = "array<struct<entity_type:string,start:int,end:int,score:double>>"
@@ -60,12 +60,16 @@ Score = Callable[[Column, Column, Column, Column], Column]
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern of a detector. ``score`` is given (text, lower, start, end) and returns null to drop a match."""
+    """One pattern of a detector. ``score`` is given (value, lower, start, end) and returns null to drop a match.
+
+    ``gate`` is a pattern that any match implies; with ``digits`` any match also has three digits in a row.
+    """
 
     pattern: str
     score: Score
     gate: str | None = None
     validator: Callable[[Column], Column] | None = None
+    digits: bool = False
 
 
 @dataclass(frozen=True)
@@ -73,68 +77,73 @@ class Detector:
     entity: str
     rules: tuple[Rule, ...] = field(default_factory=tuple)
 
-    def spans(self, text: Column, lower: Column) -> Column:
-        return F.concat(*[self._rule(r, text, lower) for r in self.rules]) if self.rules else F.array().cast(SPANS)
+    def spans(self, clean: Column, lower: Column, digits: Column) -> Column:
+        """Of a text without marks, its lower case, and whether it has three digits in a row."""
+        return F.concat(*[self._rule(r, clean, lower, digits) for r in self.rules]) if self.rules else F.array().cast(SPANS)
 
-    def _rule(self, rule: Rule, text: Column, lower: Column) -> Column:
-        found = matches(text, rule.pattern, rule.gate)
+    def _rule(self, rule: Rule, clean: Column, lower: Column, digits: Column) -> Column:
+        gate = rule.gate
+        if rule.digits:
+            gate = digits if gate is None else digits & F.regexp_like(clean, F.lit(gate))
+        spans = found(clean, rule.pattern, gate)
         if rule.validator:
-            found = F.filter(found, lambda s: rule.validator(piece(text, s["start"], s["end"])))
-        scored = F.transform(found, lambda s: F.struct(F.lit(self.entity).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), rule.score(text, lower, s["start"], s["end"]).cast("double").alias("score")))
+            spans = F.filter(spans, lambda s: rule.validator(s["value"]))
+        scored = F.transform(spans, lambda s: F.struct(F.lit(self.entity).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), rule.score(s["value"], lower, s["start"], s["end"]).cast("double").alias("score")))
         return F.filter(scored, lambda s: s["score"].isNotNull()).cast(SPANS)
 
 
 def by_context(words: list[str], near: float, far: float, fuzzy: bool = True) -> Score:
-    return lambda text, lower, s, e: tiered(lower, s, e, words, F.lit(near), F.lit(far), fuzzy=fuzzy)
+    return lambda value, lower, s, e: tiered(lower, s, e, words, F.lit(near), F.lit(far), fuzzy=fuzzy)
 
 
 def constant(score: float) -> Score:
-    return lambda text, lower, s, e: F.lit(score)
+    return lambda value, lower, s, e: F.lit(score)
 
 
 def _passport(base: float) -> Score:
-    return lambda text, lower, s, e: tiered(lower, s, e, PASSPORT_WORDS, F.lit(round(min(base + 0.4, 1.0), 2)), F.lit(round(base + 0.2, 2)), F.lit(base if base >= 0.5 else None).cast("double"))
+    return lambda value, lower, s, e: tiered(lower, s, e, PASSPORT_WORDS, F.lit(round(min(base + 0.4, 1.0), 2)), F.lit(round(base + 0.2, 2)), F.lit(base if base >= 0.5 else None).cast("double"))
 
 
-def _phone(text: Column, lower: Column, s: Column, e: Column) -> Column:
-    raw = piece(text, s, e)
-    n = F.length(checks.digits_of(raw))
-    shape = F.when(F.regexp_like(raw, F.lit(r"[+()\-]|\d \d")), 0.65).when(n == 11, 0.50).otherwise(0.40)
+def _phone(value: Column, lower: Column, s: Column, e: Column) -> Column:
+    n = F.length(checks.digits_of(value))
+    shape = F.when(F.regexp_like(value, F.lit(r"[+()\-]|\d \d")), 0.65).when(n == 11, 0.50).otherwise(0.40)
     return F.round(F.least(shape + 0.15 + tiered(lower, s, e, PHONE_WORDS, F.lit(0.15), F.lit(0.10), F.lit(0.0), fuzzy=False), F.lit(1.0)), 2)
 
 
 def is_phone(raw: Column) -> Column:
     """A Russian national number of ten digits from 3, 4, 8 or 9 on, with 7 or 8 before it or not, or + and 8 to 15 digits."""
-    d = checks.digits_of(raw)
-    home = F.regexp_like(d, F.lit(r"^[78]?[3489]\d{9}$"))
-    abroad = F.startswith(raw, F.lit("+")) & ~F.startswith(d, F.lit("7")) & F.length(d).between(8, 15)
-    return home | abroad
 
+    def check(d: Column) -> Column:
+        home = F.regexp_like(d, F.lit(r"^[78]?[3489]\d{9}$"))
+        abroad = F.startswith(raw, F.lit("+")) & ~F.startswith(d, F.lit("7")) & F.length(d).between(8, 15)
+        return home | abroad
+
+    return bound(checks.digits_of(raw), check)
 
-def _card(text: Column, lower: Column, s: Column, e: Column) -> Column:
-    sixteen = F.length(checks.digits_of(piece(text, s, e))) == 16
+
+def _card(value: Column, lower: Column, s: Column, e: Column) -> Column:
+    sixteen = F.length(checks.digits_of(value)) == 16
     return F.round(F.lit(0.5) + F.when(sixteen, 0.2).otherwise(0.0) + tiered(lower, s, e, CARD_WORDS, F.lit(0.3), F.lit(0.15), F.lit(0.0), fuzzy=False), 2)
 
 
 def _known_token(base: float) -> Score:
-    def score(text, lower, s, e):
-        w = window(lower, s, e, 60)
+    def told(w: Column) -> Column:
         return F.when(holds_any(w, STRONG_TOKEN_WORDS), min(0.97, base + 0.05)).when(holds_any(w, TOKEN_WORDS), min(0.95, base + 0.02)).otherwise(base)
 
-    return score
+    return lambda value, lower, s, e: bound(window(lower, s, e, 60), told)
+
 
+def _random_token(value: Column, lower: Column, s: Column, e: Column) -> Column:
+    def told(w: Column) -> Column:
+        near = holds_any(w, TOKEN_WORDS)
+        long = F.when(near, checks.entropy(value) >= 3.3).otherwise((e - s >= 32) & (checks.entropy(value) >= 3.5))
+        return F.when(long, F.when(holds_any(w, STRONG_TOKEN_WORDS), 0.90).when(near, 0.75).otherwise(0.65))
 
-def _random_token(text: Column, lower: Column, s: Column, e: Column) -> Column:
-    word, w = piece(text, s, e), window(lower, s, e, 60)
-    told = holds_any(w, TOKEN_WORDS)
-    h = checks.entropy(word)
-    long = F.when(told, (e - s >= 16) & (h >= 3.3)).otherwise((e - s >= 32) & (h >= 3.5))
-    return F.when(e - s >= 16, F.when(long, F.when(holds_any(w, STRONG_TOKEN_WORDS), 0.90).when(told, 0.75).otherwise(0.65)))
+    return F.when(e - s >= 16, bound(window(lower, s, e, 60), told))
 
 
-def _one_time_code(text: Column, lower: Column, s: Column, e: Column) -> Column:
-    w = window(lower, s, e, 40)
-    return F.when(holds_any(w, OTP_WORDS) & ~holds_any(w, NOT_OTP_WORDS), 0.80)
+def _one_time_code(value: Column, lower: Column, s: Column, e: Column) -> Column:
+    return bound(window(lower, s, e, 40), lambda w: F.when(holds_any(w, OTP_WORDS) & ~holds_any(w, NOT_OTP_WORDS), 0.80))
 
 
 #: A run of token characters; one that is under 16 characters long, dots included, is passed over at once.
@@ -142,17 +151,20 @@ _CANDIDATE = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z0-9+/=_.\-]{16})[A-Za-z0-9+/=_\-]
 _CARD_SHAPE = r"(?U)\b\d(?:[ \-]?\d){12,18}\b"
 _PHONE_SHAPE = r"(?<![\d+])(?:\+\d(?:[ ()\-]{0,2}\d){7,14}|[78](?:[ ()\-]{0,2}\d){10}|\(?\d{3}\)?(?:[ \-]?\d){7})(?!\d)"
 
-TOKEN = Detector("TOKEN", (*[Rule(p, _known_token(b), r"[-_:.]") for p, b in TOKEN_FORMATS], Rule(_CANDIDATE, _random_token, r"[A-Za-z0-9+/=_.\-]{16}"), Rule(r"(?U)\b\d{4,8}\b", _one_time_code, r"\d{4}")))
-INN = Detector("INN", tuple(Rule(rf"(?U)\b\d{{{n}}}\b", by_context(INN_WORDS, 0.9, 0.7), r"\d{10}", checks.is_valid_inn) for n in (12, 10)))
-SNILS = Detector("SNILS", (Rule(r"(?U)\b\d{3}-\d{3}-\d{3}\s\d{2}\b", constant(0.9), r"\d{3}-\d{3}-"), Rule(r"(?U)\b\d{11}\b", by_context(SNILS_WORDS, 1.0, 0.85), r"\d{11}", checks.is_valid_snils)))
-OGRN = Detector("OGRN", (Rule(r"(?U)\b[15]\d{12}\b", by_context(OGRN_WORDS, 1.0, 0.85), r"\d{13}", checks.is_valid_ogrn), Rule(r"(?U)\b[15]-\d{2}-\d{2}-\d{7}-\d\b", by_context(OGRN_WORDS, 1.0, 0.85), r"-\d{7}-", checks.is_valid_ogrn)))
-OGRNIP = Detector("OGRNIP", (Rule(r"(?U)\b[34]\d{14}\b", by_context(OGRNIP_WORDS, 1.0, 0.85), r"\d{15}", checks.is_valid_ogrnip), Rule(r"(?U)\b[34]-\d{2}-\d{2}-\d{9}-\d\b", by_context(OGRNIP_WORDS, 1.0, 0.85), r"-\d{9}-", checks.is_valid_ogrnip)))
-KPP = Detector("KPP", (Rule(r"(?iU)\b\d{4}[\dA-Z]{2}\d{3}\b", by_context(KPP_WORDS, 0.9, 0.7), r"\d{4}"), Rule(r"(?iU)\b\d{4}-[\dA-Z]{2}-\d{3}\b", by_context(KPP_WORDS, 1.0, 0.8), r"\d{4}-")))
-PASSPORT = Detector("PASSPORT_NUMBER", (Rule(r"(?iU)серия\s+\d{4}\s+номер\s+\d{6}", constant(0.90), r"\d{6}"), *[Rule(p, _passport(b), r"\d{6}") for p, b in ((r"(?U)\b\d{2}\s\d{2}\s\d{6}\b", 0.70), (r"(?U)\b\d{4}\s\d{6}\b", 0.55), (r"(?U)\b\d{4}[-]\d{6}\b", 0.55), (r"(?U)\b\d{10}\b", 0.30))]))
-CARD = Detector("BANK_CARD_NUMBER", (Rule(_CARD_SHAPE, _card, r"\d[ \-]?\d[ \-]?\d[ \-]?\d[ \-]?\d", checks.is_valid_luhn),))
-PHONE = Detector("PHONE_NUMBER", (Rule(_PHONE_SHAPE, _phone, r"\d{2}", is_phone),))
+#: What each of the known formats begins with or holds, in their order.
+_FORMAT_GATES = (r"eyJ", r"gh[psoure]_", r"github_pat_", r"glpat-", r"sk-", r"k_(?:live|test)_", r"AKIA", r"hf_", r":[A-Za-z0-9_-]{35}", r"[-_][A-Za-z0-9]{16}")
+
+TOKEN = Detector("TOKEN", (*[Rule(p, _known_token(b), g) for (p, b), g in zip(TOKEN_FORMATS, _FORMAT_GATES, strict=True)], Rule(_CANDIDATE, _random_token, r"[A-Za-z0-9+/=_.\-]{16}"), Rule(r"(?U)\b\d{4,8}\b", _one_time_code, r"\d{4}", digits=True)))
+INN = Detector("INN", tuple(Rule(rf"(?U)\b\d{{{n}}}\b", by_context(INN_WORDS, 0.9, 0.7), r"\d{10}", checks.is_valid_inn, True) for n in (12, 10)))
+SNILS = Detector("SNILS", (Rule(r"(?U)\b\d{3}-\d{3}-\d{3}\s\d{2}\b", constant(0.9), r"\d{3}-\d{3}-", digits=True), Rule(r"(?U)\b\d{11}\b", by_context(SNILS_WORDS, 1.0, 0.85), r"\d{11}", checks.is_valid_snils, True)))
+OGRN = Detector("OGRN", (Rule(r"(?U)\b[15]\d{12}\b", by_context(OGRN_WORDS, 1.0, 0.85), r"\d{13}", checks.is_valid_ogrn, True), Rule(r"(?U)\b[15]-\d{2}-\d{2}-\d{7}-\d\b", by_context(OGRN_WORDS, 1.0, 0.85), r"-\d{7}-", checks.is_valid_ogrn, True)))
+OGRNIP = Detector("OGRNIP", (Rule(r"(?U)\b[34]\d{14}\b", by_context(OGRNIP_WORDS, 1.0, 0.85), r"\d{15}", checks.is_valid_ogrnip, True), Rule(r"(?U)\b[34]-\d{2}-\d{2}-\d{9}-\d\b", by_context(OGRNIP_WORDS, 1.0, 0.85), r"-\d{9}-", checks.is_valid_ogrnip, True)))
+KPP = Detector("KPP", (Rule(r"(?iU)\b\d{4}[\dA-Z]{2}\d{3}\b", by_context(KPP_WORDS, 0.9, 0.7), r"\d{4}", digits=True), Rule(r"(?iU)\b\d{4}-[\dA-Z]{2}-\d{3}\b", by_context(KPP_WORDS, 1.0, 0.8), r"\d{4}-", digits=True)))
+PASSPORT = Detector("PASSPORT_NUMBER", (Rule(r"(?iU)серия\s+\d{4}\s+номер\s+\d{6}", constant(0.90), r"\d{6}", digits=True), *[Rule(p, _passport(b), r"\d{6}", digits=True) for p, b in ((r"(?U)\b\d{2}\s\d{2}\s\d{6}\b", 0.70), (r"(?U)\b\d{4}\s\d{6}\b", 0.55), (r"(?U)\b\d{4}[-]\d{6}\b", 0.55), (r"(?U)\b\d{10}\b", 0.30))]))
+CARD = Detector("BANK_CARD_NUMBER", (Rule(_CARD_SHAPE, _card, r"(?:\d[ \-]?){12}\d", checks.is_valid_luhn),))
+PHONE = Detector("PHONE_NUMBER", (Rule(_PHONE_SHAPE, _phone, r"(?:\d[ ()\-]{0,2}){7}\d", is_phone),))
 EMAIL = Detector("EMAIL", (Rule(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", constant(0.9), "@"),))
-CVC = Detector("CVC", (Rule(r"(?U)\b\d{3,4}\b", by_context(CVC_WORDS, 0.7, 0.5, fuzzy=False), r"\d{3}"),))
+CVC = Detector("CVC", (Rule(r"(?U)\b\d{3,4}\b", by_context(CVC_WORDS, 0.7, 0.5, fuzzy=False), digits=True),))
 #: In the order of registration, which decides ties of score between equal spans.
 ALL = (TOKEN, INN, SNILS, OGRN, OGRNIP, KPP, PASSPORT, CARD, PHONE, EMAIL, CVC)
 EXTERNAL_SCORE = 0.85
@@ -160,16 +172,16 @@ EXTERNAL_SCORE = 0.85
 
 def first_of_equal(spans: Column) -> Column:
     """Of spans with one place the first."""
-    return F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, 1, i), lambda t: (t["start"] == s["start"]) & (t["end"] == s["end"])))
+    return bound(spans, lambda all_: F.filter(all_, lambda s, i: ~F.exists(F.slice(all_, 1, i), lambda t: (t["start"] == s["start"]) & (t["end"] == s["end"]))))
 
 
-def token_spans(text: Column, lower: Column) -> Column:
+def token_spans(clean: Column, lower: Column, digits: Column) -> Column:
     """Known formats, then random words, then one-time codes; of equal places the first."""
-    return first_of_equal(TOKEN.spans(text, lower))
+    return first_of_equal(TOKEN.spans(clean, lower, digits))
 
 
-def found_spans(text: Column, lower: Column, detectors=ALL) -> Column:
-    return F.concat(*[token_spans(text, lower) if d is TOKEN else d.spans(text, lower) for d in detectors]) if detectors else F.array().cast(SPANS)
+def found_spans(clean: Column, lower: Column, digits: Column, detectors=ALL) -> Column:
+    return F.concat(*[token_spans(clean, lower, digits) if d is TOKEN else d.spans(clean, lower, digits) for d in detectors]) if detectors else F.array().cast(SPANS)
 
 
 def with_external(docs: DataFrame, external: DataFrame | None, key: str) -> DataFrame:
@@ -188,7 +200,8 @@ def detect(docs: DataFrame, text: str = "text", detectors=ALL, external: DataFra
     No shuffle but the join with ``external``, if given. A null text has no findings; an empty list of ``entities`` means all.
     """
     names = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
-    got = with_external(docs, external, key).withColumn("__lower", F.lower(text))
-    got = got.withColumn("__raw", F.concat("__external", found_spans(F.col(text), F.col("__lower"), detectors)))
+    got = with_external(docs, external, key).withColumns({"__lower": F.lower(text), "__clean": cleaned(F.col(text))})
+    got = got.withColumn("__digits", F.regexp_like("__clean", F.lit(r"\d{3}")))
+    got = got.withColumn("__raw", F.concat("__external", found_spans(F.col("__clean"), F.col("__lower"), F.col("__digits"), detectors)))
     got = got.withColumn("__kept", resolve.resolved(F.col("__raw"), F.col(text), overlap))
     return got.select(*names, resolve.wanted(F.col("__kept"), entities, min_score).alias("spans"))

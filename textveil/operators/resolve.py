@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import piece
+from ..functions.scan import bound, piece
 
 SPANS = "array<struct<entity_type:string,start:int,end:int,score:double>>"
 # Labels that are no address or token by themselves.
@@ -20,7 +20,11 @@ def without_mail(spans: Column, text: Column) -> Column:
 def best_of_equal(spans: Column) -> Column:
     """Of spans with one place the best score; of equal scores the first."""
     beats = lambda t, s, earlier: (t["start"] == s["start"]) & (t["end"] == s["end"]) & ((t["score"] > s["score"]) | (earlier & (t["score"] == s["score"])))
-    return F.filter(spans, lambda s, i: ~(F.exists(F.slice(spans, 1, i), lambda t: beats(t, s, F.lit(True))) | F.exists(F.slice(spans, i + 1, F.size(spans)), lambda t: beats(t, s, F.lit(False)))))
+
+    def kept(all_: Column) -> Column:
+        return F.filter(all_, lambda s, i: ~(F.exists(F.slice(all_, 1, i), lambda t: beats(t, s, F.lit(True))) | F.exists(F.slice(all_, i + 1, F.size(all_)), lambda t: beats(t, s, F.lit(False)))))
+
+    return bound(spans, kept)
 
 
 def by_length(spans: Column) -> Column:
