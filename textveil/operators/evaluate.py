@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import bound
+
 
 def normalized(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"(?U)\s+", " ")))
@@ -54,29 +56,34 @@ def char_match(gold: DataFrame, pred: DataFrame, labels: list[str]) -> DataFrame
     return n.select("subset", "label", z(F.col("TP")).alias("TP"), (z(F.col("p")) - z(F.col("TP"))).alias("FP"), (z(F.col("g")) - z(F.col("TP"))).alias("FN"))
 
 
-def _scores(df: DataFrame, digits: int) -> DataFrame:
-    p = F.coalesce(F.try_divide(F.col("TP"), F.col("TP") + F.col("FP")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("TP"), F.col("TP") + F.col("FN")), F.lit(0.0))
+def _score(label: Column, tp: Column, fp: Column, fn: Column, digits: int) -> Column:
+    p = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
+    r = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     f = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    return df.withColumns({"Precision": F.round(p, digits), "Recall": F.round(r, digits), "F1": F.round(f, digits)})
+    return F.struct(label.alias("label"), tp.alias("TP"), fp.alias("FP"), fn.alias("FN"), *[F.round(x, digits).alias(c) for x, c in ((p, "Precision"), (r, "Recall"), (f, "F1"))])
+
+
+def _macro(each: Column, digits: int) -> Column:
+    live = F.filter(each, lambda x: x["TP"] + x["FP"] + x["FN"] > 0)
+    total = lambda c: F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x[c])
+    mean = lambda c: F.round(F.coalesce(F.try_divide(F.aggregate(live, F.lit(0.0), lambda a, x: a + x[c]), F.size(live)), F.lit(0.0)), digits)
+    return F.struct(F.lit("MACRO").alias("label"), *[total(c).alias(c) for c in ("TP", "FP", "FN")], *[mean(c).alias(c) for c in ("Precision", "Recall", "F1")])
 
 
 def metrics(counts: DataFrame, labels: list[str], digits: int = 3, by_subset: bool = True) -> DataFrame:
     """Precision, recall and F1 for each subset (and COMBINED) and label, all ``labels`` present, and a MACRO row.
 
-    MACRO is the mean of the rounded values over the labels that have any count, with the counts summed.
+    MACRO is the mean of the rounded values over the labels that have any count, with the counts summed. ``counts`` is read once:
+    grouping sets give the subsets and their whole, and a subset's labels are one small row from then on.
     """
-    spark = counts.sparkSession
-    names = spark.createDataFrame([(x,) for x in labels], "label string")
-    whole = counts.withColumn("subset", F.lit("COMBINED"))
-    every = counts.unionByName(whole) if by_subset else whole
-    sums = every.groupBy("subset", "label").agg(*[F.sum(c).alias(c) for c in ("TP", "FP", "FN")])
-    grid = every.select("subset").distinct().select("subset", F.explode(F.array(*map(F.lit, labels))).alias("label")) if labels else names
-    full = grid.join(sums, ["subset", "label"], "left").select("subset", "label", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("TP", "FP", "FN")])
-    scored = _scores(full, digits)
-    live = F.when(F.col("TP") + F.col("FP") + F.col("FN") > 0, 1)
-    macro = scored.groupBy("subset").agg(*[F.sum(c).alias(c) for c in ("TP", "FP", "FN")], *[F.round(F.coalesce(F.avg(F.when(live == 1, F.col(c))), F.lit(0.0)), digits).alias(c) for c in ("Precision", "Recall", "F1")])
-    return scored.unionByName(macro.withColumn("label", F.lit("MACRO")))
+    asked = F.array(*map(F.lit, labels)).cast("array<string>")
+    sums = counts.where(F.col("label").isNotNull()).groupingSets([["subset", "label"], ["label"]] if by_subset else [["label"]], "subset", "label")
+    sums = sums.agg(F.grouping("subset").alias("g"), *[F.sum(c).cast("long").alias(c) for c in ("TP", "FP", "FN")]).withColumn("subset", F.when(F.col("g") == 1, "COMBINED").otherwise(F.col("subset")))
+    per = sums.groupBy("subset").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("TP", "FP", "FN")))).alias("m"))
+    n = lambda x, c: F.coalesce(F.try_element_at("m", x)[c], F.lit(0).cast("long"))
+    each = F.transform(asked, lambda x: _score(x, n(x, "TP"), n(x, "FP"), n(x, "FN"), digits))
+    rows = per.select("subset", F.explode(bound(each, lambda e: F.concat(e, F.array(_macro(e, digits))))).alias("r"))
+    return rows.select("subset", "r.*")
 
 
 def map_labels(spans: DataFrame, mapping: DataFrame) -> DataFrame:

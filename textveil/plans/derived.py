@@ -52,6 +52,34 @@ CASES: list[tuple[str, str, str, str | None, float]] = [
     ("token: ", "md5(CAST(k AS STRING)) || substr(md5(CAST(k + 1 AS STRING)), 1, 8)", ".", "TOKEN", 0.9),
     ("Звоните: тел. ", "'+7 916 ' || substr(n8, 1, 3) || ' ' || substr(n8, 4, 2) || ' ' || substr(n8, 6, 2)", ".", "PHONE_NUMBER", 0.95),
     ("Сумма заказа ", text_of("(10000 + k % 90000)"), " рублей, спасибо.", None, 0),
+    # known formats of secrets, in their order; a random word without context, and one with a weak one
+    ("Значение ", "'eyJ' || md5 || '.eyJ' || md5 || '.' || md5", " в журнале.", "TOKEN", 0.95),
+    ("Authorization: Bearer ", "'eyJ' || md5 || '.eyJ' || md5 || '.' || md5", " ушёл.", "TOKEN", 0.97),
+    ("Значение ", "'ghp_' || md5 || substr(md5, 1, 8)", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "'github_pat_' || md5", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "'glpat-' || md5", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "'sk-' || md5", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "'sk_live_' || md5", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "'AKIA' || upper(substr(md5, 1, 16))", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "'hf_' || md5", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "n8 || ':' || md5 || 'xyz'", " в журнале.", "TOKEN", 0.95),
+    ("Значение ", "'acme-' || md5", " в журнале.", "TOKEN", 0.85),
+    ("Строка ", "md5 || upper(md5)", " в журнале.", "TOKEN", 0.65),
+    ("Ваш пароль такой: ", "md5", ".", "TOKEN", 0.75),
+    ("Ваш код ", text_of("(1000 + k % 9000)"), " карта.", None, 0),
+    # keywords with one wrong letter and with two
+    ("Клиент инм ", f"inn9 || {text_of('c10')}", ".", "INN", 0.9),
+    ("Клиент имм ", f"inn9 || {text_of('c10')}", ".", None, 0),
+    # dashed numbers, and other forms of passports and phones
+    ("ОГРН ", f"'1-02-7' || substr(n8, 1, 1) || '-' || substr(n8, 2, 7) || '-' || {text_of('CAST(ogrn12 AS BIGINT) % 11 % 10')}", " от 2020 года.", "OGRN", 1.0),
+    ("ОГРНИП ", f"'3-04-77-0' || n8 || '-' || {text_of('CAST(ogrnip14 AS BIGINT) % 13 % 10')}", ".", "OGRNIP", 1.0),
+    ("Документ: ", "'серия 451' || substr(n8, 1, 1) || ' номер ' || substr(n8, 3, 6)", ", выдан.", "PASSPORT_NUMBER", 0.9),
+    ("Паспорт ", "'451' || substr(n8, 1, 1) || ' ' || substr(n8, 3, 6)", ", выдан.", "PASSPORT_NUMBER", 0.95),
+    ("Паспорт ", "'451' || substr(n8, 1, 1) || '-' || substr(n8, 3, 6)", ", выдан.", "PASSPORT_NUMBER", 0.95),
+    ("Паспорт ", "'451' || substr(n8, 1, 1) || substr(n8, 3, 6)", ", выдан.", "PASSPORT_NUMBER", 0.7),
+    ("Связь: ", "'8 (495) ' || substr(n8, 1, 3) || '-' || substr(n8, 4, 2) || '-' || substr(n8, 6, 2)", "!", "PHONE_NUMBER", 0.8),
+    ("Связь: ", "'8916' || substr(n8, 1, 7)", "!", "PHONE_NUMBER", 0.65),
+    ("Связь: ", "'+44 20 ' || substr(n8, 1, 4) || ' ' || substr(n8, 5, 4)", "!", "PHONE_NUMBER", 0.8),
 ]
 
 
@@ -62,7 +90,7 @@ def _case(values: list[str]) -> str:
 def corpus_sql(customer: str = "customer") -> str:
     """(doc_id, c, before, value, after, entity, score)"""
     s = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"
-    inner = f"SELECT c_custkey AS k, CAST(c_custkey % {len(CASES)} AS INT) AS c, {padded('(c_custkey * 7919 + 10000019) % 100000000', 8)} AS n8 FROM {customer}"
+    inner = f"SELECT c_custkey AS k, CAST(c_custkey % {len(CASES)} AS INT) AS c, {padded('(c_custkey * 7919 + 10000019) % 100000000', 8)} AS n8, md5(CAST(c_custkey AS STRING)) AS md5 FROM {customer}"
     for level, columns in enumerate((_NUMBERS, _SUMS, _MORE, _LAST)):
         inner = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM ({inner}) t{level}"
     return f"""
