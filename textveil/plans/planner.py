@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import bound
+
 # Weights of each choice.
 DOMAINS = {"DIALOG": 0.14, "DELIVERY": 0.13, "AUTO": 0.09, "BANK": 0.09, "HR": 0.08, "RE": 0.07, "TELECOM": 0.09, "MEDICAL": 0.07, "GOV": 0.08, "LEGAL": 0.08, "SOCIAL": 0.08}
 WEIGHTS: dict[str, dict[str, float]] = {
@@ -58,11 +60,16 @@ def drawn(u: Column, weights: dict[str, float]) -> Column:
 
 def plans(spark: SparkSession, n: int, seed: int = 42, weights: dict[str, dict[str, float]] = WEIGHTS, first: int = 0) -> DataFrame:
     """``n`` plans with ids from ``first`` on. No shuffle; ids continue after existing rows by ``first``, their number."""
+    return plans_for(spark.range(first, first + n), "id", seed, weights)
+
+
+def plans_for(rows: DataFrame, key: str, seed: int = 42, weights: dict[str, dict[str, float]] = WEIGHTS) -> DataFrame:
+    """A plan for each row, drawn by its integer ``key``, which becomes ``row``."""
     at = F.col("row")
     pick = lambda d, w=None: drawn(uniform(at, d, seed), w or weights[d])
     whole = sum(weights["domain"].values())
     with_extra = lambda x: {k: v / whole for k, v in weights["domain"].items()} | {x: EXTRA_DOMAIN}
-    df = spark.range(first, first + n).select(F.col("id").alias("row")).withColumn("entity_type", pick("entity_type"))
+    df = rows.select(F.col(key).alias("row")).withColumn("entity_type", pick("entity_type"))
     kind = F.col("entity_type")
     named, placed = kind.isin("NAME_ONLY", "BOTH", "NAME_CONTEXT"), kind.isin("ADDRESS_ONLY", "BOTH")
     edges = F.when(named & placed, F.array(*map(F.lit, NAME_EDGES + ADDRESS_EDGES))).when(named, F.array(*map(F.lit, NAME_EDGES))).when(placed, F.array(*map(F.lit, ADDRESS_EDGES)))
@@ -86,15 +93,19 @@ def plans(spark: SparkSession, n: int, seed: int = 42, weights: dict[str, dict[s
     return df.withColumn("id", F.format_string("%s_%04d", F.col("id_prefix"), at + 1))
 
 
-def compose_address(form: Column, edge: Column, city: Column, street_type: Column, street: Column, house: Column, apartment: Column, entrance: Column, postal_code: Column, region: Column, u: Column, village: Column | None = None) -> Column:
-    """Address text of a form with an edge case's edit; ``u`` (0 to 1) chooses the house suffix, ``village`` names one for that edge."""
-    low = edge.eqNullSafe(F.lit("lowercase_city"))
-    hamlet = edge.eqNullSafe(F.lit("village_vs_house_d"))
+def edited_address(edge: Column, city: Column, street_type: Column, street: Column, house: Column, u: Column, village: Column, village_house: Column) -> tuple[Column, Column, Column, Column]:
+    """(city, street type, street, house) after an edge case's edit; ``u`` (0 to 1) chooses the house suffix."""
+    low, hamlet = edge.eqNullSafe(F.lit("lowercase_city")), edge.eqNullSafe(F.lit("village_vs_house_d"))
     suffix = F.element_at(F.array(*map(F.lit, HOUSE_SUFFIXES)), F.floor(u * len(HOUSE_SUFFIXES)).cast("int") + 1)
+    town = F.when(low, F.lower(city)).when(hamlet, F.concat(F.lit("д. "), village)).otherwise(city)
     kind = F.when(edge.eqNullSafe(F.lit("abbr_no_dot")), F.regexp_replace(street_type, r"\.+$", "")).when(low, F.lower(street_type)).otherwise(street_type)
-    town = F.when(low, F.lower(city)).when(hamlet, F.concat(F.lit("д. "), city if village is None else village)).otherwise(city)
-    road = F.when(low, F.lower(street)).otherwise(street)
-    door = F.when(edge.eqNullSafe(F.lit("complex_house_number")), F.concat(house, suffix)).otherwise(house)
+    door = F.when(edge.eqNullSafe(F.lit("complex_house_number")), F.concat(house, suffix)).when(hamlet, village_house).otherwise(house)
+    return town, kind, F.when(low, F.lower(street)).otherwise(street), door
+
+
+def compose_address(form: Column, edge: Column, city: Column, street_type: Column, street: Column, house: Column, apartment: Column, entrance: Column, postal_code: Column, region: Column, u: Column, village: Column | None = None, village_house: Column | None = None) -> Column:
+    """Address text of a form with an edge case's edit; ``village`` and ``village_house`` are the edge's own town and house."""
+    town, kind, road, door = edited_address(edge, city, street_type, street, house, u, city if village is None else village, house if village_house is None else village_house)
     head = F.concat(kind, F.lit(" "))
     head = F.when(edge.eqNullSafe(F.lit("no_space_after_dot")), F.replace(head, F.lit(". "), F.lit("."))).otherwise(head)
     line, flat = F.concat(head, road, F.lit(" "), door), F.concat(F.lit(" кв. "), apartment)
@@ -111,10 +122,13 @@ def compose_address(form: Column, edge: Column, city: Column, street_type: Colum
         .when(form == "ADDR_INDEX", F.concat(postal_code, F.lit(", г. "), town, F.lit(", "), head, road, F.lit(", д. "), door))
         .when(form.isNotNull(), F.concat(kind, F.lit(" "), road, F.lit(" "), door))
     )
-    typo = text
-    for right, wrong in reversed(list(TYPOS.items())):
-        typo = F.when(F.contains(text, F.lit(right)), F.regexp_replace(text, f"(?s)^(.*?){right}", f"$1{wrong}")).otherwise(typo)
-    return F.when(edge.eqNullSafe(F.lit("typo_in_addr")), typo).otherwise(text)
+    def mistyped(t: Column) -> Column:
+        typo = t
+        for right, wrong in reversed(list(TYPOS.items())):
+            typo = F.when(F.contains(t, F.lit(right)), F.regexp_replace(t, f"(?s)^(.*?){right}", f"$1{wrong}")).otherwise(typo)
+        return F.when(edge.eqNullSafe(F.lit("typo_in_addr")), typo).otherwise(t)
+
+    return bound(text, mistyped)
 
 
 def compose_name(form: Column, edge: Column, surname: Column, first: Column, patronymic: Column, second: Column) -> Column:
@@ -130,6 +144,62 @@ def compose_name(form: Column, edge: Column, surname: Column, first: Column, pat
     return out
 
 
+#: Lists of parts that with_data() draws from; at most so many values come to the driver.
+PART_NAMES = ("surname_M", "surname_F", "first_M", "first_F", "patronymic_M", "patronymic_F", "city", "region", "street_type", "street")
+MAX_PARTS = 100_000
+
+
+def parts_of(table: DataFrame) -> dict[str, list[str]]:
+    """Lists of parts from a dimension table (part, value), in the order of their values."""
+    rows = table.distinct().orderBy("part", "value").limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} parts")
+    return {p: [r.value for r in rows if r.part == p] for p in dict.fromkeys(r.part for r in rows)}
+
+
+def with_data(df: DataFrame, parts: dict[str, list[str]], seed: int = 42) -> DataFrame:
+    """Adds name_data, addr_data (structs), their texts in the planned forms, and in plans of two entities name_data_2 or addr_data_2.
+
+    A second address has the form of the first and no edge case. What a plan has no use for is null.
+    """
+    u = lambda d: uniform(F.col("row"), d, seed)
+    one = lambda part, d: F.element_at(F.array(*map(F.lit, parts[part])), F.floor(u(d) * len(parts[part])).cast("int") + 1)
+    number = lambda low, high, d: (F.floor(u(d) * (high - low + 1)).cast("int") + low).cast("string")
+
+    # in layers, so that no expression stands in another one more than once: the draws, the edits, the texts
+    draws: dict[str, Column] = {}
+    for k in ("", "_2"):
+        male = u(f"gender{k}") < 0.5
+        of = lambda part, d: F.when(male, one(f"{part}_M", d)).otherwise(one(f"{part}_F", d))  # noqa: B023, E731
+        draws |= {f"__male{k}": male, f"__other{k}": of("surname", f"surname_other{k}"), **{f"__{p}{k}": of(p, f"{p}{k}") for p in ("surname", "first", "patronymic")}}
+        draws |= {f"__{p}{k}": one(p, f"{p}{k}") for p in ("city", "street_type", "street", "region")} | {f"__village{k}": one("city", f"village{k}"), f"__suffix{k}": u(f"suffix{k}")}
+        draws |= {f"__{d}{k}": number(low, high, f"{d}{k}") for d, low, high in (("house", 1, 200), ("apartment", 1, 400), ("entrance", 1, 8), ("postal_code", 100_000, 999_999), ("village_house", 1, 50))}
+    edits: dict[str, Column] = {}
+    for k, edge in (("", F.col("edge_case")), ("_2", F.lit(None).cast("string"))):
+        c = lambda d: F.col(f"__{d}{k}")  # noqa: B023, E731
+        own = (c("suffix"), c("village"), c("village_house"))
+        for d, x in zip(("town", "road_kind", "road", "number"), edited_address(edge, c("city"), c("street_type"), c("street"), c("house"), *own), strict=True):
+            edits[f"__{d}{k}"] = x
+        edits[f"__family{k}"] = F.when(edge.eqNullSafe(F.lit("hyphenated_surname")), F.concat(c("surname"), F.lit("-"), c("other"))).otherwise(c("surname"))
+        edits[f"__said{k}"] = compose_name(F.col("name_form"), edge, c("surname"), c("first"), c("patronymic"), c("other"))
+        edits[f"__where{k}"] = compose_address(F.col("addr_form"), edge, c("city"), c("street_type"), c("street"), c("house"), c("apartment"), c("entrance"), c("postal_code"), c("region"), *own)
+
+    def name(k: str) -> Column:
+        c = lambda d: F.col(f"__{d}{k}")
+        return F.struct(F.when(c("male"), "M").otherwise("F").alias("gender"), c("family").alias("surname"), c("first").alias("firstname"), c("patronymic").alias("patronymic"), F.concat_ws(" ", c("family"), c("first"), c("patronymic")).alias("full_fio"))
+
+    def address(k: str) -> Column:
+        c = lambda d: F.col(f"__{d}{k}")
+        return F.struct(c("town").alias("city"), F.lower(F.left(c("city"), F.lit(3))).alias("city_abbr"), c("region").alias("region"), c("road_kind").alias("street_type"), c("road").alias("street_name"), c("number").alias("house"), c("apartment").alias("apartment"), c("entrance").alias("entrance"), c("postal_code").alias("postal_code"), c("where").alias("address_string"))
+
+    named, placed = F.col("name_form").isNotNull(), F.col("addr_form").isNotNull()
+    again = F.col("multi_entity") & named & (~placed | (u("second") < 0.5))
+    there = F.col("multi_entity") & placed & ~again
+    out = df.withColumns(draws).withColumns(edits)
+    out = out.withColumns({"name_data": F.when(named, name("")), "name_text": F.when(named, F.col("__said")), "addr_data": F.when(placed, address("")), "name_data_2": F.when(again, name("_2")), "addr_data_2": F.when(there, address("_2"))})
+    return out.drop(*draws, *edits)
+
+
 def mix_audit(df: DataFrame, weights: DataFrame, dimensions: list[str]) -> DataFrame:
     """(dimension, value, n, share, target, difference) of the rows' values against target weights; rows without a value take no part."""
     one = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])).alias("x")

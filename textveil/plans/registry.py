@@ -116,13 +116,13 @@ FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id
 @query(_places_sql('token = "[0-9a-f]{40}"', 9, 1))
 def token_places(spark, sf_dir):
     """Secrets beside a word for them, in all documents; random words without one score less."""
-    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN,), min_score=0.7))
+    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN, D.EMAIL), entities=["TOKEN"], min_score=0.7))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
 @query(_places_sql(r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}|\b[78]?[3489][0-9]{9}\b"))
 def phone_places(spark, sf_dir):
-    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.PHONE,)))
+    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN, D.PHONE), entities=["PHONE_NUMBER"]))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
@@ -622,22 +622,90 @@ def _uniform_sql(dimension: str, key: str) -> str:
     return f"CAST(('0x' || substr(md5(CAST({key} AS STRING) || '/{dimension}/42'), 1, 8)) AS BIGINT)::DOUBLE / 4294967296"
 
 
-_PLAIN = ("entity_type", "style", "length", "expression")
-_PLAN_SQL = "SELECT row, " + ", ".join(f"{_drawn_sql(d, G.WEIGHTS[d], 'row')} AS {d}" for d in _PLAIN) + " FROM (SELECT row, " + ", ".join(f"{_uniform_sql(d, 'row')} AS u_{d}" for d in _PLAIN) + " FROM (SELECT row_number() OVER () - 1 AS row FROM customer) r) u"
+_PLAN_PARTS = {  # some values of each part, to draw from
+    "surname_M": ["Петров", "Сидоров", "Орлов"], "surname_F": ["Петрова", "Ковалёва", "Седых"], "first_M": ["Иван", "Олег"], "first_F": ["Анна", "Ольга", "Вера"],
+    "patronymic_M": ["Ильич", "Петрович"], "patronymic_F": ["Ильинична", "Петровна"], "city": ["Тверь", "Омск", "Великие Луки"], "region": ["Тверская область", "Омская область"],
+    "street_type": ["ул.", "пер.", "проспект", "переулок"], "street": ["Мира", "Садовая", "Ленина"],
+}
+_WHOLE = sum(G.WEIGHTS["domain"].values())
+_PLAN_DIMENSIONS = [*G.WEIGHTS, "edge", "edge_case", "typo", "multi", "second"] + [f"{d}{k}" for k in ("", "_2") for d in ("gender", "surname", "surname_other", "first", "patronymic", "city", "street_type", "street", "region", "house", "apartment", "entrance", "postal_code", "suffix", "village", "village_house")]
+_EDGES = {"named AND placed": G.NAME_EDGES + G.ADDRESS_EDGES, "named": G.NAME_EDGES, "placed": G.ADDRESS_EDGES}
+
+
+def _one_sql(values: list[str], u: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST(floor({u} * {len(values)}) AS INT) + 1]"
+
+
+def _number_sql(low: int, high: int, u: str) -> str:
+    return f"CAST(CAST(floor({u} * {high - low + 1}) AS INT) + {low} AS STRING)"
+
+
+def _name_sql(k: str) -> str:
+    of = lambda part, d: f"CASE WHEN u_gender{k} < 0.5 THEN {_one_sql(_PLAN_PARTS[part + '_M'], f'u_{d}{k}')} ELSE {_one_sql(_PLAN_PARTS[part + '_F'], f'u_{d}{k}')} END"
+    edge = "coalesce(edge_case, '') = 'hyphenated_surname'" if not k else "false"
+    return f"CASE WHEN u_gender{k} < 0.5 THEN 'M' ELSE 'F' END AS gender{k}, {of('surname', 'surname')} || CASE WHEN {edge} THEN '-' || {of('surname', 'surname_other')} ELSE '' END AS surname{k}, {of('first', 'first')} AS first{k}, {of('patronymic', 'patronymic')} AS patronymic{k}"
+
+
+def _address_sql(k: str) -> str:
+    edge = "coalesce(edge_case, '')" if not k else "''"
+    city, kind, street, region = (_one_sql(_PLAN_PARTS[p], f"u_{p}{k}") for p in ("city", "street_type", "street", "region"))
+    house = _number_sql(1, 200, f"u_house{k}")
+    return f"""lower(left({city}, 3)) AS abbr{k}, {region} AS region{k},
+      CASE {edge} WHEN 'lowercase_city' THEN lower({city}) WHEN 'village_vs_house_d' THEN 'д. ' || {_one_sql(_PLAN_PARTS['city'], f'u_village{k}')} ELSE {city} END AS city{k},
+      CASE {edge} WHEN 'abbr_no_dot' THEN rtrim({kind}, '.') WHEN 'lowercase_city' THEN lower({kind}) ELSE {kind} END AS kind{k}, CASE {edge} WHEN 'lowercase_city' THEN lower({street}) ELSE {street} END AS street{k},
+      CASE {edge} WHEN 'complex_house_number' THEN {house} || {_one_sql(G.HOUSE_SUFFIXES, f'u_suffix{k}')} WHEN 'village_vs_house_d' THEN {_number_sql(1, 50, f'u_village_house{k}')} ELSE {house} END AS house{k},
+      {_number_sql(1, 400, f'u_apartment{k}')} AS flat{k}, {_number_sql(1, 8, f'u_entrance{k}')} AS door{k}, {_number_sql(100_000, 999_999, f'u_postal_code{k}')} AS code{k}"""
+
+
+def _address_text_sql(k: str) -> str:
+    edge = "coalesce(edge_case, '')" if not k else "''"
+    head = f"CASE WHEN {edge} = 'no_space_after_dot' THEN replace(kind{k} || ' ', '. ', '.') ELSE kind{k} || ' ' END"
+    line = f"({head} || street{k} || ' ' || house{k})"
+    text = f"""CASE addr_form WHEN 'ADDR_FULL' THEN 'г. ' || city{k} || ', ' || {head} || street{k} || ', д. ' || house{k} || ', кв. ' || flat{k} WHEN 'ADDR_CSH' THEN city{k} || ', ' || {line}
+      WHEN 'ADDR_SHA' THEN {line} || ' кв. ' || flat{k} WHEN 'ADDR_SH' THEN {line} WHEN 'ADDR_SHAP' THEN {line} || ' кв. ' || flat{k} || ' подъезд ' || door{k}
+      WHEN 'ADDR_ABBR' THEN abbr{k} || ', ' || street{k} || ' ' || house{k} || ' кв ' || flat{k} WHEN 'ADDR_WORDS' THEN 'улица ' || street{k} || ' дом ' || house{k} || ' квартира ' || flat{k}
+      WHEN 'ADDR_REGION' THEN region{k} || ', ' || city{k} || ', ' || {line} WHEN 'ADDR_LOW' THEN lower(kind{k} || ' ' || street{k} || ' ' || house{k} || ' кв. ' || flat{k})
+      WHEN 'ADDR_INDEX' THEN code{k} || ', г. ' || city{k} || ', ' || {head} || street{k} || ', д. ' || house{k} END"""
+    typo = " ".join(f"WHEN contains({text}, '{right}') THEN regexp_replace({text}, '{right}', '{wrong}')" for right, wrong in G.TYPOS.items())
+    return f"CASE WHEN {edge} <> 'typo_in_addr' THEN {text} {typo} ELSE {text} END"
+
+
+_NAME_TEXT_SQL = """CASE regexp_replace(name_form, '_(GEN|DAT)$', '') WHEN 'NAME_FI' THEN surname || ' ' || first WHEN 'NAME_IF' THEN first || ' ' || surname WHEN 'NAME_FIO' THEN surname || ' ' || first || ' ' || patronymic
+  WHEN 'NAME_IFO' THEN first || ' ' || patronymic || ' ' || surname WHEN 'NAME_IO' THEN first || ' ' || patronymic WHEN 'NAME_I' THEN first
+  WHEN 'NAME_INITF' THEN left(first, 1) || '.' || gap || left(patronymic, 1) || '. ' || surname WHEN 'NAME_FINIT' THEN surname || ' ' || left(first, 1) || '.' || gap || left(patronymic, 1) || '.' END"""
+_NAMED = "entity_type IN ('NAME_ONLY', 'BOTH', 'NAME_CONTEXT')"
+_PLACED = "entity_type IN ('ADDRESS_ONLY', 'BOTH')"
+_PLAN_SQL = f"""
+WITH u AS (SELECT c_custkey AS row, {", ".join(f"{_uniform_sql(d, 'c_custkey')} AS u_{d}" for d in _PLAN_DIMENSIONS)} FROM customer),
+k AS (SELECT *, {_drawn_sql('entity_type', G.WEIGHTS['entity_type'], 'row')} AS entity_type FROM u),
+d AS (SELECT *, {_NAMED} AS named, {_PLACED} AS placed,
+  CASE entity_type WHEN 'NAME_ONLY' THEN {_drawn_sql('domain', {x: w / _WHOLE for x, w in G.WEIGHTS['domain'].items()} | {'NAME': G.EXTRA_DOMAIN}, 'row')}
+    WHEN 'ADDRESS_ONLY' THEN {_drawn_sql('domain', {x: w / _WHOLE for x, w in G.WEIGHTS['domain'].items()} | {'ADDRESS': G.EXTRA_DOMAIN}, 'row')} ELSE {_drawn_sql('domain', G.WEIGHTS['domain'], 'row')} END AS domain,
+  CASE WHEN {_NAMED} THEN {_drawn_sql('name_form', G.WEIGHTS['name_form'], 'row')} END AS name_form, CASE WHEN {_PLACED} THEN {_drawn_sql('addr_form', G.WEIGHTS['addr_form'], 'row')} END AS addr_form,
+  {", ".join(f"{_drawn_sql(x, G.WEIGHTS[x], 'row')} AS {x}" for x in ('style', 'length', 'expression'))},
+  CASE WHEN entity_type = 'NEGATIVE' THEN {_drawn_sql('neg_category', G.WEIGHTS['neg_category'], 'row')} END AS neg_category,
+  entity_type <> 'NEGATIVE' AND u_typo < {G.TYPO_SHARE} AS has_typo, entity_type IN ('NAME_ONLY', 'ADDRESS_ONLY', 'BOTH') AND u_multi < {G.MULTI_SHARE} AS multi_entity FROM k),
+e AS (SELECT *, CASE WHEN entity_type <> 'NEGATIVE' AND u_edge < {G.EDGE_SHARE} THEN CASE {" ".join(f"WHEN {when} THEN {_one_sql(values, 'u_edge_case')}" for when, values in _EDGES.items())} END END AS edge_case,
+  CASE WHEN entity_type = 'NEGATIVE' THEN NULL WHEN multi_entity THEN {_drawn_sql('position', G.WEIGHTS['position_multi'], 'row')} ELSE {_drawn_sql('position', G.WEIGHTS['position'], 'row')} END AS position,
+  CASE WHEN entity_type = 'NEGATIVE' THEN 'neg_synth' ELSE CASE domain {" ".join(f"WHEN '{x}' THEN '{y}'" for x, y in G.PREFIXES.items())} END END AS id_prefix FROM d),
+f AS (SELECT *, CASE WHEN coalesce(edge_case, '') = 'initials_no_space' THEN '' ELSE ' ' END AS gap, multi_entity AND named AND (NOT placed OR u_second < 0.5) AS again, {_name_sql('')}, {_name_sql('_2')}, {_address_sql('')}, {_address_sql('_2')} FROM e)
+SELECT row, entity_type, domain, name_form, addr_form, style, length, expression, neg_category, edge_case, has_typo, multi_entity, position, id_prefix, id_prefix || '_' || lpad(CAST(row + 1 AS STRING), CAST(greatest(4, length(CAST(row + 1 AS STRING))) AS INT), '0') AS id,
+  CASE WHEN named THEN gender END AS gender, CASE WHEN named THEN surname || ' ' || first || ' ' || patronymic END AS full_fio, CASE WHEN named THEN {_NAME_TEXT_SQL} END AS name_text,
+  CASE WHEN placed THEN city || '|' || abbr || '|' || region || '|' || kind || '|' || street || '|' || house || '|' || flat || '|' || door || '|' || code END AS address, CASE WHEN placed THEN {_address_text_sql('')} END AS address_text,
+  CASE WHEN again THEN surname_2 || ' ' || first_2 || ' ' || patronymic_2 END AS full_fio_2, CASE WHEN multi_entity AND placed AND NOT again THEN {_address_text_sql('_2')} END AS address_text_2 FROM f
+"""
 
 
 def _plans(spark, sf_dir):
-    return G.plans(spark, _table(spark, sf_dir, "customer").count())
-
+    return G.plans_for(_table(spark, sf_dir, "customer"), "c_custkey")
 
-@query(f"SELECT CAST(row AS BIGINT) AS row, entity_type, style, length, expression FROM ({_PLAN_SQL}) p")
-def plan_choices(spark, sf_dir):
-    return _plans(spark, sf_dir).select("row", *_PLAIN)
 
-
-@query()
+@query(_PLAN_SQL)
 def plan_rows(spark, sf_dir):
-    return _plans(spark, sf_dir)
+    got = G.with_data(_plans(spark, sf_dir), _PLAN_PARTS)
+    address = F.concat_ws("|", *[F.col(f"addr_data.{c}") for c in ("city", "city_abbr", "region", "street_type", "street_name", "house", "apartment", "entrance", "postal_code")])
+    plain = [c for c in got.columns if c not in ("name_data", "name_text", "addr_data", "name_data_2", "addr_data_2")]
+    return got.select(*plain, F.col("name_data.gender").alias("gender"), F.col("name_data.full_fio").alias("full_fio"), "name_text", F.when(F.col("addr_data").isNotNull(), address).alias("address"), F.col("addr_data.address_string").alias("address_text"), F.col("name_data_2.full_fio").alias("full_fio_2"), F.col("addr_data_2.address_string").alias("address_text_2"))
 
 
 @query(f"SELECT 'style' AS dimension, t.value, coalesce(s.n, 0) AS n, round(coalesce(s.n, 0) / (SELECT count(*) FROM customer), 6) AS share, round(t.w, 6) AS target, round(coalesce(s.n, 0) / (SELECT count(*) FROM customer) - t.w, 6) AS difference FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in G.WEIGHTS["style"].items()) + f") t(value, w) LEFT JOIN (SELECT style AS value, count(*) AS n FROM ({_PLAN_SQL}) p GROUP BY 1) s USING (value)")
