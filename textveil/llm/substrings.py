@@ -206,7 +206,7 @@ def _ordered(entries: DataFrame, width: int, name: str) -> DataFrame:
 
     ddl = ", ".join(["range long, head boolean, again boolean, edge int, key binary", *[f"{c}0 long" for c in _PLACE], *[f"{c} long" for c in _PLACE], *[f"{f.name} {f.dataType.simpleString()}" for f in others]])
     dealt = entries.repartitionByRange(partitions(spark), "key", *_PLACE).sortWithinPartitions("key", *_PLACE)
-    out = written(dealt.withColumn("range", F.spark_partition_id().cast("long")).mapInArrow(run, ddl), name)
+    out = written(dealt.withColumn("range", F.spark_partition_id().cast("long")).mapInArrow(run, ddl), name, spark__sql__execution__rangeExchange__sampleSizePerPartition="40")
 
     told, last = [], None
     edges = sorted(out.where("edge > 0").select("range", "edge", "key", *[f"{c}0" for c in _PLACE]).collect())
