@@ -241,20 +241,33 @@ def test_near_classes_of_repeated_rows(spark):
     assert len(got) == 2 * len(rows) and {x.doc_id: tuple(x)[1:] for x in got} == want
 
 
-def test_a_cluster_of_many_sets_goes_by_blocks(spark, monkeypatch):
-    """No task's matrix has more sets than a bound, and pairs of blocks give the components of the whole."""
+def edited(r, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[r.randrange(len(words))] = f"x{r.randint(0, 9999)}"
+    return words
+
+
+@pytest.mark.parametrize("kind", ["one base", "a drifting chain", "two bases", "hardly linked"])
+def test_a_cluster_of_many_sets_goes_by_leaders(spark, monkeypatch, kind):
+    """Few leaders and small parts: groups, the rest and the blocks between them give the components of the whole."""
     r = random.Random(6)
-    rows = []
-    for _ in range(60):
-        words = [f"w{k}" for k in range(40)]
-        words[r.randrange(40)] = f"x{r.randint(0, 999)}"
-        rows.append((len(rows), " ".join(words)))
-    clusters = spark.createDataFrame([(1, k, 36, 60 * 36, 60) for k, _ in rows], "list long, doc_id long, n long, total long, sets long")
-    sizes = [x["count"] for x in jaccard._in_blocks(clusters, 8, 16).groupBy("i", "j", "side").count().collect()]
-    assert len(sizes) == 16 and max(sizes) < 30 and sum(sizes) == 60 * 4
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
-    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: tuple(x)[1:] for x in got} == brute_classes(rows)
+    words, rows = [f"w{k}" for k in range(60)], []
+    for k in range(90):
+        if kind == "a drifting chain":
+            words = edited(r, words, 1)
+            rows.append((k, " ".join(words)))
+        else:
+            base = words if kind != "two bases" or k % 2 else [*words[:30], *[f"v{i}" for i in range(30)]]
+            rows.append((k, " ".join(edited(r, base, r.randint(0, 2) if kind != "hardly linked" else r.randint(1, 5)))))
+    rows += [(k + 500, rows[k][1]) for k in range(5)]
+    for name, value in (("BLOCK_SETS", 16), ("LED_SETS", 8), ("LEADERS", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    used = []
+    plain = jaccard._large_links
+    monkeypatch.setattr(jaccard, "_large_links", lambda *a: used.append(1) or plain(*a))
+    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == brute_classes(rows) and used
 
 
 def test_pairs_of_blocks_link_across_only():

@@ -8,7 +8,13 @@ counters over all documents, which keeps lists short; it never decides a link. L
 A list's members are first compared by sketches: counts of a set's hashes in about as many cells as it has members. The sum of
 two sketches' differences is at most the sets' symmetric difference, so a pair beyond what a link allows is none. What is left
 of the lists hangs together in pieces, and pieces that share a document in clusters. A cluster's documents are compared by the
-sets themselves, in one matrix product, so that each set moves once. A list or cluster too large for a task goes block by block.
+sets themselves, in one matrix product, so that each set moves once.
+
+A cluster of more than BLOCK_SETS sets goes by leaders: some LEADERS of its sets, chosen by hash, are compared with each of its
+sets, which costs rows in proportion to its size. Sets linked with leaders that hang together are one group, and sets linked with
+none are the rest. Jaccard distance is a metric, so two groups have no link if their distances to some leader lie more than 0.2 apart.
+What that bound leaves, pairs of groups and of the rest with all, is compared block by block, so no link is lost. For a group of near
+copies next to nothing is left; only a large cluster whose sets are hardly linked still costs the square of its size.
 Links become components by least labels.
 """
 
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import binaries, chunks, column, id_key, id_value, is_hot, lists, partitions, rows, spread_join, text_bytes, written
+from .common import NULL_ID, binaries, chunks, column, id_key, id_value, is_hot, lists, partitions, rows, spread_join, text_bytes, written
 from .graph import components
 
 #: A link: NUM * union <= DEN * intersection, that is a Jaccard similarity of 0.8 or more.
@@ -32,8 +38,11 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 20
 #: Bytes of sets that one task compares at once, at most twice this.
 BLOCK_BYTES = 16 << 20
-#: Sets of a cluster that one task compares with one another, or with as many others, in a matrix.
+#: Sets of a cluster that one task compares with one another in a matrix; and of a larger one, with its leaders or with as many others.
 BLOCK_SETS = 2048
+LED_SETS, LEADERS = 1024, 48
+#: Stands for the group of sets that no leader is linked with.
+REST = NULL_ID + 1
 _SLICES = 64
 
 
@@ -311,14 +320,12 @@ def _once(members: DataFrame) -> DataFrame:
     found = members.withColumns({"members": F.count("*").over(one), "names": F.bit_xor(F.xxhash64("doc_id")).over(one), "sums": F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).over(one), "least": F.min("doc_id").over(one), "total": F.sum("n").over(one)})
     # an id of several texts stands here once for each, and twice cancels out of an xor, but not of a sum
     same = Window.partitionBy("members", "names", "sums", "least")
-    return found.where("members > 1").withColumn("first", F.min("list").over(same)).where("list = first").select("list", "doc_id", "n", "total").distinct()
+    return found.where("members > 1").withColumn("first", F.min("list").over(same)).where("list = first").select("list", "doc_id", "n", "total", "members", "least").distinct()
 
 
-def _in_blocks(members: DataFrame, bytes_each: int, most: int = 0) -> DataFrame:
-    """(list, i, j, side, doc_id, n): each list whole (i = j = 0), or, where its data are too large for a task or its ``sets`` more than ``most``, by pairs of blocks."""
+def _in_blocks(members: DataFrame, bytes_each: int) -> DataFrame:
+    """(list, i, j, side, doc_id, n): each list whole (i = j = 0), or, where its data are too large for a task, by pairs of blocks. A list has at most BLOCK_SETS sets."""
     blocks = F.ceil(bytes_each * F.col("total") / BLOCK_BYTES).cast("int")
-    if most:
-        blocks = F.greatest(blocks, F.ceil(F.col("sets") / most).cast("int"))
     placed = members.withColumns({"blocks": blocks, "at": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
     side = F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("at") == F.col("p.i"), 1).otherwise(2)
@@ -329,6 +336,94 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.repartition(partitions(members.sparkSession), "list", "i", "j").sortWithinPartitions("list", "i", "j", "doc_id")
 
 
+def _led(sets: DataFrame) -> DataFrame:
+    """What leaders tell of large clusters, from ``sets`` (list, doc_id, sets, hashes).
+
+    (kind, list, doc_id, a, lows, highs): 0, a set's first linked leader ``a``, if any; 1, leaders doc_id and ``a`` that a set links
+    with one another; 2, the least and greatest distances to each leader, by their order, of the sets whose first is ``a``.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("list", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("lows", pa.list_(pa.float64())), ("highs", pa.list_(pa.float64()))])
+    parts = F.ceil(F.col("sets") / LED_SETS).cast("int")
+    members = sets.select("list", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(1).alias("led"), "doc_id", "hashes")
+    first = sets.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("sets")) < LEADERS)
+    first = first.select("list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("led"), "doc_id", "hashes")
+    dealt = members.unionByName(first).repartition(partitions(sets.sparkSession), "list", "part").sortWithinPartitions("list", "part", "led", "doc_id", "hashes")
+
+    def told(key: int, leaders: list, members: list) -> list[tuple]:
+        size = np.array([len(x) for _, x in leaders])
+        value, token = np.unique(np.concatenate([x for _, x in leaders]), return_inverse=True) if leaders else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        held = np.zeros((len(value), len(leaders)), np.int32)
+        held[token, np.repeat(np.arange(len(leaders)), size)] = 1
+        up, out, ends = np.arange(len(leaders)), [], {}
+        for doc, x in members:
+            at = np.minimum(np.searchsorted(value, x), max(0, len(value) - 1))
+            common = held[at[value[at] == x]].sum(0) if len(value) else np.zeros(0, np.int64)
+            link = np.flatnonzero((NUM + DEN) * common >= NUM * (len(x) + size))
+            for other in link[1:].tolist():
+                if up[other] != up[link[0]]:
+                    out.append((1, key, leaders[link[0]][0], leaders[other][0], None, None))
+                    _joined(up, link[0], np.array([other]))
+            a = leaders[link[0]][0] if len(link) else None
+            out.append((0, key, doc, a, None, None))
+            apart = 1 - common / np.maximum(1, len(x) + size - common)
+            low, high = ends.get(a, (apart, apart))
+            ends[a] = np.minimum(low, apart), np.maximum(high, apart)
+        return out + [(2, key, None, a, low.tolist(), high.tolist()) for a, (low, high) in ends.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leaders, members = None, [], []
+        for b in batches:
+            out: list[tuple] = []
+            for one, part, led, doc, x in zip(*(column(b, c).to_pylist() for c in ("list", "part", "led", "doc_id", "hashes")), strict=True):
+                if (one, part) != key:
+                    if members:
+                        out += told(key[0], leaders, members)
+                    key, leaders, members = (one, part), [], []
+                (members if led else leaders).append((doc, np.frombuffer(x, np.uint64)))
+            if out:
+                yield rows(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
+        if members:
+            yield rows(schema, **dict(zip(schema.names, map(list, zip(*told(key[0], leaders, members), strict=True)), strict=True)))
+
+    return dealt.mapInArrow(run, "kind int, list long, doc_id long, a long, lows array<double>, highs array<double>")
+
+
+def _large_links(sets: DataFrame, total: int) -> DataFrame:
+    """(a, b) edges within large clusters, from ``sets`` (list, doc_id, sets, hashes): stars of leaders, and what the bound leaves, by blocks."""
+    told = written(_led(sets), "led")
+    merges = told.where("kind = 1").select(F.col("doc_id").alias("a"), F.col("a").alias("b"))
+    named = components(merges).select(F.col("v").alias("a"), F.col("component").alias("g"))
+    with_group = lambda df: df.join(named, "a", "left").withColumn("g", F.coalesce("g", "a", F.lit(REST)))
+    linked = told.where("kind = 0 AND a IS NOT NULL").select("list", "a", "doc_id")
+    stars = linked.select("a", F.col("doc_id").alias("b"))
+    grouped = spread_join(linked, with_group(linked.groupBy("a").agg(F.count("*").alias("n"))), "a", "n", total).select("list", "g", "doc_id")
+    placed = written(grouped.union(told.where("kind = 0 AND a IS NULL").select("list", F.lit(REST).alias("g"), "doc_id")), "groups")
+
+    ends = with_group(told.where("kind = 2")).select("list", "g", F.posexplode(F.arrays_zip("lows", "highs")).alias("k", "x"))
+    ends = ends.groupBy("list", "g", "k").agg(F.min("x.lows").alias("low"), F.max("x.highs").alias("high"))
+    ends = ends.groupBy("list", "g").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("ends"))
+    groups = written(placed.groupBy("list", "g").agg(F.count("*").alias("n")).join(ends, ["list", "g"], "left"), "ends")
+    # at most LEADERS + 1 groups for a cluster; the slack is for rounding
+    other = groups.select("list", F.col("g").alias("h"), F.col("n").alias("m"), F.col("ends").alias("others"))
+    far = F.exists(F.arrays_zip("ends", "others"), lambda z: (z["ends"]["low"] - z["others"]["high"] > 0.2 + 1e-9) | (z["others"]["low"] - z["ends"]["high"] > 0.2 + 1e-9))
+    left = groups.join(other, "list").where(((F.col("g") < F.col("h")) & ~F.coalesce(far, F.lit(False))) | ((F.col("g") == F.col("h")) & (F.col("g") == REST)))
+    blocks = lambda c: F.ceil(F.col(c) / LED_SETS).cast("int")
+    left = left.select("list", "g", "h", F.xxhash64("list", "g", "h").alias("pair"), blocks("n").alias("mine"), blocks("m").alias("theirs"))
+    one = F.struct("pair", (F.col("g") == F.col("h")).alias("own"), F.lit(1).alias("side"), F.col("mine"), F.col("theirs"))
+    two = F.struct("pair", F.lit(False).alias("own"), F.lit(2).alias("side"), F.col("theirs").alias("mine"), F.col("mine").alias("theirs"))
+    asks = left.select("list", F.col("g").alias("of"), one.alias("p")).union(left.where("g <> h").select("list", F.col("h").alias("of"), two.alias("p")))
+    asks = asks.groupBy("list", F.col("of").alias("g")).agg(F.collect_list("p").alias("ps")).join(groups.select("list", "g", "n"), ["list", "g"])
+    keyed = lambda df: df.withColumn("key", F.xxhash64("list", "g"))
+    met = spread_join(keyed(placed).select("key", "doc_id"), keyed(asks).select("key", "n", "ps"), "key", "n", total).select("doc_id", F.explode("ps").alias("p")).select("doc_id", "p.*")
+    at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("mine")).cast("int")
+    met = met.withColumn("at", at).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+    i = F.when(F.col("own"), F.least("at", "k")).when(F.col("side") == 1, F.col("at")).otherwise(F.col("k"))
+    j = F.when(F.col("own"), F.greatest("at", "k")).when(F.col("side") == 1, F.col("k")).otherwise(F.col("at"))
+    side = F.when(~F.col("own"), F.col("side")).when(i == j, 0).when(F.col("at") == i, 1).otherwise(2)
+    met = met.select(F.col("pair").alias("list"), i.alias("i"), j.alias("j"), side.alias("side"), "doc_id")
+    return stars.union(merges).union(_list_links(_dealt(met.join(sets.select("doc_id", "hashes"), "doc_id"))))
+
+
 def _by_class(rows_: DataFrame, named: DataFrame, total: int) -> DataFrame:
     """Adds ``component`` by class. Rows of a class of many copies don't meet in a task: its component is broadcast."""
     large = is_hot(F.col("members"), total)
@@ -362,15 +457,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     large = F.max("large").over(Window.partitionBy("list"))
     found = written(_once(spread.withColumn("large", large).where("large").drop("large")), "lists")
     counts = told.where("n > 0").select("doc_id", F.col("sketch"), "class").join(classes.select("class", "doc_id"), ["class", "doc_id"]).drop("class")
-    left = written(_pieces(_dealt(_in_blocks(found, 1).join(counts, "doc_id"))), "pieces")
+    left = _pieces(_dealt(_in_blocks(found.where(F.col("members") <= BLOCK_SETS), 1).join(counts, "doc_id"))).select("piece", "doc_id", "n")
+    # a list of more is a piece as it stands: its sets are compared by leaders
+    left = written(left.union(found.where(F.col("members") > BLOCK_SETS).select("least", "doc_id", "n")), "pieces")
     clusters = components(left.select(F.col("piece").alias("a"), F.col("doc_id").alias("b")))
     sizes = left.groupBy("doc_id").agg(F.min("n").alias("n"))
     clusters = clusters.select(F.col("component").alias("list"), F.col("v").alias("doc_id")).join(sizes, "doc_id")
     totals = clusters.groupBy("list").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
     clusters = written(spread_join(clusters, totals, "list", "sets", total), "clusters")
 
-    wanted = docs.join(clusters.select("doc_id"), "doc_id", "left_semi")
-    by_list = _list_links(_dealt(_in_blocks(clusters, 8, BLOCK_SETS).join(_set_rows(wanted), "doc_id")))
+    small_ones, large_ones = clusters.where(F.col("sets") <= BLOCK_SETS), clusters.where(F.col("sets") > BLOCK_SETS)
+    sets_of = lambda some: _set_rows(docs.join(some.select("doc_id"), "doc_id", "left_semi"))
+    by_list = _list_links(_dealt(_in_blocks(small_ones, 8).join(sets_of(small_ones), "doc_id")))
+    if large_ones.limit(1).count():
+        by_list = by_list.union(_large_links(written(large_ones.join(sets_of(large_ones), "doc_id").select("list", "doc_id", "sets", "hashes"), "large"), total))
 
     meets = chosen.select("doc_id", F.explode("meets").alias("meet"))
     least = meets.groupBy("meet").agg(F.min("doc_id").alias("a"), F.count("*").alias("sets")).where("sets > 1")
