@@ -91,3 +91,15 @@ def test_stream_restores_in_time(spark, tmp_path):
     q.awaitTermination()
     got = {r.request_id: r.restored for r in spark.table("restored_now").collect()}
     assert got[1] == "x" and got.get(2, "<T_1>") == "<T_1>"
+
+
+def test_exact_split_refines_its_cut(spark, monkeypatch):
+    import hashlib
+
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    order = sorted(range(3000), key=lambda k: hashlib.md5(f"{k}/42".encode()).hexdigest())
+    for most in (1, 100_000):
+        monkeypatch.setattr(P, "RANKED_ROWS", most)
+        for ratio in (0.0, 0.9, 1.0):
+            got = {r.k for r in P.split(df, "k", ratio, exact=True).where("split = 'train'").collect()}
+            assert got == set(order[: int(3000 * ratio)])

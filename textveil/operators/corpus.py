@@ -22,6 +22,7 @@ MERGEABLE = [
     ("COUNTRY", "REGION"), ("COUNTRY", "CITY"), ("REGION", "CITY"), ("REGION", "DISTRICT"), ("CITY", "DISTRICT"), ("CITY", "STREET"),
     ("CITY", "HOUSE"), ("DISTRICT", "STREET"), ("DISTRICT", "HOUSE"), ("STREET", "HOUSE"), ("STREET", "STREET"), ("HOUSE", "HOUSE"),
 ]
+# Fixed value: what may stand between the parts of one address.
 _SEPARATORS = r"^[ ,.:;/\-()№#\n\t]*$"
 
 
@@ -260,6 +261,10 @@ def annotate_substrings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(~bad).withColumn("__s", spans.cast(ENTS)).withColumn("ents", without_overlaps(snapped(F.col("__s"), F.col("text")))).drop("__s"), df.where(bad)
 
 
+#: Rows that an exact split ranks in one task, unless more share 30 digits of their hash.
+RANKED_ROWS = 100_000
+
+
 def ordered_by_seed(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")))
 
@@ -271,18 +276,23 @@ def split(df: DataFrame, key: str, ratio: float = 0.9, seed: int = 42, exact: bo
         return df.withColumn("split", F.when(h < int(ratio * 2**32), "train").otherwise("test"))
     ranked = df.select(F.col(key).alias("__k"), ordered_by_seed(key, seed).alias("__h"))
     take = int(ranked.count() * ratio)
-    # counts by the hash's first three digits place the cut; only that digit group is ranked
-    cells = {r.c: r.n for r in ranked.groupBy(F.substring("__h", 1, 3).alias("c")).agg(F.count("*").alias("n")).collect()}
-    before, cut = 0, "~"
-    for c in sorted(cells):
-        if before + cells[c] > take:
-            cut = c
+    # counts by the hash's next three digits place the cut, again and again until few rows share its digits; these alone are ranked
+    before, cut = 0, ""
+    while True:
+        cells = {r.c: r.n for r in ranked.where(F.startswith("__h", F.lit(cut))).groupBy(F.substring("__h", 1, len(cut) + 3).alias("c")).agg(F.count("*").alias("n")).collect()}
+        for c in sorted(cells):
+            if before + cells[c] > take:
+                cut = c
+                break
+            before += cells[c]
+        else:
+            cut = "~"
+        if cut == "~" or cells[cut] <= RANKED_ROWS or len(cut) >= 30:
             break
-        before += cells[c]
-    group = ranked.where(F.substring("__h", 1, 3) == cut)
+    group = ranked.where(F.startswith("__h", F.lit(cut)))
     last = group.withColumn("__r", F.row_number().over(Window.orderBy("__h", "__k"))).where(F.col("__r") <= take - before).select("__k").withColumn("__in", F.lit(1))
     told = df.join(last, F.col(key) == F.col("__k"), "left").drop("__k")
-    return told.withColumn("split", F.when((F.substring(ordered_by_seed(key, seed), 1, 3) < cut) | F.col("__in").isNotNull(), "train").otherwise("test")).drop("__in")
+    return told.withColumn("split", F.when((F.substring(ordered_by_seed(key, seed), 1, len(cut)) < cut) | F.col("__in").isNotNull(), "train").otherwise("test")).drop("__in")
 
 
 def split_stats(df: DataFrame) -> DataFrame:
