@@ -85,3 +85,9 @@ def test_tagger_hook(spark):
 
     docs = spark.createDataFrame([(1, "Иван"), (2, None)], "doc_id long, text string")
     assert [tuple(r) for r in tagged(docs, load).collect()] == [(1, "NAME", 0, 4, 0.85)]
+
+
+def test_phone_plans(spark):
+    rows = [("+1 (743) 555-3824", True), ("+1 (017) 555-3824", False), ("+7 916 123-45-67", True), ("+7 216 123-45-67", False), ("89161234567", True), ("4951234567", True), ("5951234567", False), ("+380 44 123 45 67", True), ("+380 44 123 45", False), ("+44 20 7946 0958", True), ("+297 123 4567", True), (None, None)]
+    df = spark.createDataFrame(rows, "s string, want boolean")
+    assert [tuple(r) for r in df.select("s", D.is_phone(F.col("s")).alias("got")).collect()] == rows

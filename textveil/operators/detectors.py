@@ -110,13 +110,22 @@ def _phone(value: Column, lower: Column, s: Column, e: Column) -> Column:
     return F.round(F.least(shape + 0.15 + tiered(lower, s, e, PHONE_WORDS, F.lit(0.15), F.lit(0.10), F.lit(0.0), fuzzy=False), F.lit(1.0)), 2)
 
 
+#: Lengths of national numbers by country code, for codes with few lengths; codes that are not here may have any.
+NATIONAL_LENGTHS = {
+    "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "40": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9),
+    "52": (10, 10), "55": (10, 11), "61": (9, 9), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "351": (9, 9), "353": (7, 9), "355": (8, 9), "359": (7, 9),
+    "370": (8, 8), "371": (8, 8), "372": (7, 8), "373": (8, 8), "374": (8, 8), "375": (9, 9), "380": (9, 9), "381": (8, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9), "852": (8, 8), "971": (8, 9), "972": (8, 9),
+    "976": (8, 8), "992": (9, 9), "993": (8, 8), "994": (9, 9), "995": (9, 9), "996": (9, 9), "998": (9, 9),
+}
+_ABROAD = r"^(?:1[2-9]\d{2}[2-9]\d{6}|" + "|".join(f"{code}\\d{{{low},{high}}}" for code, (low, high) in NATIONAL_LENGTHS.items()) + f"|(?![17]|{'|'.join(NATIONAL_LENGTHS)})\\d{{8,15}})$"
+
+
 def is_phone(raw: Column) -> Column:
-    """A Russian national number of ten digits from 3, 4, 8 or 9 on, with 7 or 8 before it or not, or + and 8 to 15 digits."""
+    """A Russian national number of ten digits from 3, 4, 8 or 9 on, with 7 or 8 before it or not, or + and a number of another country's length."""
 
     def check(d: Column) -> Column:
-        home = F.regexp_like(d, F.lit(r"^[78]?[3489]\d{9}$"))
-        abroad = F.startswith(raw, F.lit("+")) & ~F.startswith(d, F.lit("7")) & F.length(d).between(8, 15)
-        return home | abroad
+        away = F.startswith(raw, F.lit("+"))
+        return F.regexp_like(d, F.when(away, r"^7[3489]\d{9}$").otherwise(r"^[78]?[3489]\d{9}$")) | (away & F.regexp_like(d, F.lit(_ABROAD)))
 
     return bound(checks.digits_of(raw), check)
 
@@ -149,7 +158,7 @@ def _one_time_code(value: Column, lower: Column, s: Column, e: Column) -> Column
 #: A run of token characters; one that is under 16 characters long, dots included, is passed over at once.
 _CANDIDATE = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z0-9+/=_.\-]{16})[A-Za-z0-9+/=_\-]+(?:\.[A-Za-z0-9+/=_\-]+)*"
 _CARD_SHAPE = r"(?U)\b\d(?:[ \-]?\d){12,18}\b"
-_PHONE_SHAPE = r"(?<![\d+])(?:\+\d(?:[ ()\-]{0,2}\d){7,14}|[78](?:[ ()\-]{0,2}\d){10}|\(?\d{3}\)?(?:[ \-]?\d){7})(?!\d)"
+_PHONE_SHAPE = r"(?<![\d+])(?:\+1(?:[ ()\-]{0,2}\d){10}(?!\d)|\+\d(?:[ ()\-]{0,2}\d){7,14}|[78](?:[ ()\-]{0,2}\d){10}|\(?\d{3}\)?(?:[ \-]?\d){7})(?!\d)"
 
 #: What each of the known formats begins with or holds, in their order.
 _FORMAT_GATES = (r"eyJ", r"gh[psoure]_", r"github_pat_", r"glpat-", r"sk-", r"k_(?:live|test)_", r"AKIA", r"hf_", r":[A-Za-z0-9_-]{35}", r"[-_][A-Za-z0-9]{16}")

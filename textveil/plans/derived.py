@@ -64,8 +64,8 @@ CASES: list[tuple[str, str, str, str | None, float]] = [
     ("Значение ", "'hf_' || md5", " в журнале.", "TOKEN", 0.95),
     ("Значение ", "n8 || ':' || md5 || 'xyz'", " в журнале.", "TOKEN", 0.95),
     ("Значение ", "'acme-' || md5", " в журнале.", "TOKEN", 0.85),
-    ("Строка ", "md5 || upper(md5)", " в журнале.", "TOKEN", 0.65),
-    ("Ваш пароль такой: ", "md5", ".", "TOKEN", 0.75),
+    ("Строка ", "md5 || 'QwZxKjPvTy' || upper(md5)", " в журнале.", "TOKEN", 0.65),
+    ("Ваш пароль такой: ", "md5 || 'QwZxKjPvTy'", ".", "TOKEN", 0.75),
     ("Ваш код ", text_of("(1000 + k % 9000)"), " карта.", None, 0),
     # keywords with one wrong letter and with two
     ("Клиент инм ", f"inn9 || {text_of('c10')}", ".", "INN", 0.9),
@@ -79,6 +79,8 @@ CASES: list[tuple[str, str, str, str | None, float]] = [
     ("Паспорт ", "'451' || substr(n8, 1, 1) || substr(n8, 3, 6)", ", выдан.", "PASSPORT_NUMBER", 0.7),
     ("Связь: ", "'8 (495) ' || substr(n8, 1, 3) || '-' || substr(n8, 4, 2) || '-' || substr(n8, 6, 2)", "!", "PHONE_NUMBER", 0.8),
     ("Связь: ", "'8916' || substr(n8, 1, 7)", "!", "PHONE_NUMBER", 0.65),
+    ("Связь: ", "'+1 (017) 555-' || substr(n8, 1, 4)", "!", None, 0),
+    ("Связь: ", "'+1 (917) 555-' || substr(n8, 1, 4)", "!", "PHONE_NUMBER", 0.8),
     ("Связь: ", "'+44 20 ' || substr(n8, 1, 4) || ' ' || substr(n8, 5, 4)", "!", "PHONE_NUMBER", 0.8),
 ]
 

@@ -120,7 +120,7 @@ def token_places(spark, sf_dir):
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
-@query(_places_sql(r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}|\b[78]?[3489][0-9]{9}\b"))
+@query(_places_sql(r"[+]1 [(][2-9][0-9]{2}[)] [2-9][0-9]{2}-[0-9]{4}|\b[78]?[3489][0-9]{9}\b"))
 def phone_places(spark, sf_dir):
     found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN, D.PHONE), entities=["PHONE_NUMBER"]))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
