@@ -196,3 +196,60 @@ def test_long_items_are_found(spark):
     docs += [(1000 + k, say(1500)) for k in range(10)] + [(2000, None), (2001, " ".join(words[:2]) * 40_000)]
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(d, d // 2) for d in range(2 * len(items))}
+
+
+# --- the pipeline ---
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Each stage on what the one before it kept, against the plain version of the same step."""
+    from test_operators import brute_classes, brute_leaks, brute_spans, reference_ids
+
+    import corpus_pipeline as P
+
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(700)]
+    bad, good = words[:20], words[20:]
+    say = lambda n: " ".join(r.choice(good) for _ in range(n))
+    items = [(k, say(r.randint(20, 40))) for k in range(12)]
+    shared = say(60)
+    docs, labels = [], []
+    for k in range(420):
+        low = k % 6 == 0
+        text = " ".join(r.choice(bad if low and r.random() < 0.35 else good) for _ in range(r.randint(40, 110)))
+        if k % 17 == 5:
+            text = docs[-1][1]
+        elif k % 17 == 6:
+            text = docs[-1][1] + " " + say(2)
+        elif k % 19 == 3:
+            text = say(10) + " " + shared + " " + say(10)
+        elif k % 23 == 7:
+            text = say(15) + " " + items[k % 12][1] + " " + say(12)
+        docs.append((k, text, f"l{k % 2}", f"s{k % 3}", len(text)))
+        if k % 4:
+            labels.append((k, int(not low), 0 if k % 50 else 1))
+    d = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    steps, df = [spark.read.parquet(f"{d}/documents.parquet")], None
+    for name, stage in P.STAGES:
+        df = P.written(stage(spark, steps[-1], d), name)
+        steps.append(df)
+    texts = [{x.doc_id: x.text for x in s.collect()} for s in steps[:-1]]
+
+    post = plain_quality([(k, t, s, g) for k, t, g, s, _ in docs], {k: (q, t) for k, q, t in labels})
+    assert set(texts[1]) == {x[0] for k, x in enumerate(docs) if max(post[k, 0], post[k, 1]) < quality.REJECT} and len(texts[1]) < len(docs)
+    assert set(texts[2]) == {k for k, (_, c) in brute_classes(sorted(texts[1].items())).items() if k == c} and len(texts[2]) < len(texts[1])
+    want = brute_spans(sorted(texts[2].items()))
+    assert {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts[3].items()} == {k: v[3] for k, v in want.items()} and texts[3] != texts[2]
+    assert {x.doc_id: x.n_chars for x in steps[3].collect()} == {k: len(t) for k, t in texts[3].items()}
+    leaked = {k for k, _ in brute_leaks(sorted(texts[3].items()), items)}
+    assert set(texts[4]) == set(texts[3]) - leaked and leaked
+    packed = steps[5].collect()
+    assert {k: sum(x.length for x in packed if x.doc_id == k) for k in texts[4]} == {k: len(reference_ids(t)) for k, t in texts[4].items()}
+    for s in {x.sequence_id for x in packed}:
+        mine = sorted((x.offset, x.length) for x in packed if x.sequence_id == s)
+        assert all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and mine[0][0] == 0 and sum(mine[-1]) <= 4096
+    assert len({x.sequence_id for x in packed}) == -(-sum(x.length for x in packed) // 4096)
