@@ -24,14 +24,15 @@ def shuffle(records: DataFrame, path: str, shards: int, seed: int = 0, bucket_by
     """Write the records to ``path`` by shard and return what stands there: doc_id, text, size, text_crc32, slot, shard.
 
     Rows with equal key and text are told apart only by their order in the input, which doesn't matter: they are equal.
-    Null ids are ids of their own; a null text has no bytes and stays null. An empty table gives empty shards.
+    Null ids are ids of their own; a null text has no bytes and stays null. An empty table gives empty shards. A bucket is held whole,
+    and so is a text that is longer than one. Columns but ``text`` and ``key`` are not read.
     """
     spark = records.sparkSession
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     base = records.select(id_key(key).alias("doc_id"), F.col(text).alias("text"))
     base = base.withColumns({"size": F.length(data).cast("long") + 16, "text_crc32": F.crc32(data)})
     total = base.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    n, buckets = total.n, max(partitions(spark), -(-(total.b or 0) // bucket_bytes))
+    n, buckets = total.n, max(8 * partitions(spark), -(-(total.b or 0) // bucket_bytes))  # several for each task, so that tasks are even
     base = base.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
     # first places of buckets: sums within stretches of STRETCH buckets, and of whole stretches in the driver, one row for each
     sizes = base.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("stretch", F.expr(f"bucket div {STRETCH}"))
