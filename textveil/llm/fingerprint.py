@@ -128,7 +128,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, extra, doc_id, text) such that after each document of a bucket comes the next of the table.
 
-    Buckets are ranges of doc_id of about equal sizes, of BUCKET_ROWS rows or more and no more of them than shuffle partitions, so
+    Buckets are ranges of doc_id of about equal sizes, of BUCKET_ROWS rows or more and no more of them than 8 for each shuffle partition, so
     what the driver gets doesn't grow with the documents. The first document of each also stands, as ``extra``, at the end of the
     bucket before it, and that of the first bucket at the end of the last. Ids that repeat go by the texts' hashes.
     """
@@ -137,7 +137,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = base.count()
     if not n:
         return base.selectExpr("0 AS bucket", "0 AS extra", "*")
-    many = max(1, min(-(-n // BUCKET_ROWS), partitions(spark)))
+    many = max(1, min(-(-n // BUCKET_ROWS), 8 * partitions(spark)))
     cuts = base.select(F.percentile_approx("doc_id", [k / many for k in range(1, many)] or [0.5], 20 * many).alias("p")).first().p or []
     inner = sorted({float(x) for x in cuts}) if many > 1 else []
     placed = base.select(F.lit(0).alias("bucket"), "doc_id", "text")
@@ -162,6 +162,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has the first floor(n/4) code points of the next document (by doc_id; after the last the first) in place of its own
     last ones. Null texts are empty; an empty text's fingerprint has no names and is like an empty text only. Null ids come first.
+    Rows that repeat stand side by side and are compared each. An empty table gives an empty result. Columns but doc_id and text are
+    not read. One text and its neighbour, with some 60 bytes of work space for each of theirs, have to fit into a task's memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
