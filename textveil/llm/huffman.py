@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import binaries, chunks, column, id_key, id_value, rows, scratch, text_bytes, written
+from .common import binaries, chunks, column, discard, id_key, id_value, rows, scratch, text_bytes, written
 
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 17
@@ -199,6 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield flush()
 
     tokens.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, _BLOCKS_SQL).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def read(spark, path: str) -> DataFrame:
