@@ -241,6 +241,29 @@ def test_near_classes_of_repeated_rows(spark):
     assert len(got) == 2 * len(rows) and {x.doc_id: tuple(x)[1:] for x in got} == want
 
 
+@pytest.mark.parametrize("small", [1, 5, 12, None])
+def test_small_sets_by_any_boundary(spark, monkeypatch, small):
+    """Wherever the boundary is, links between small sets, large ones and both are found."""
+    r = random.Random(1)
+    rows = []
+    for g in range(25):
+        words = [f"{g % 9}w{k}" for k in range(r.randint(4, 20))]
+        for k in range(4):
+            rows.append((len(rows), " ".join(words[k % 2 : len(words) - k // 2])))
+    if small:
+        monkeypatch.setattr(jaccard, "boundary", lambda sizes, often: small)
+    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == brute_classes(rows)
+
+
+def test_the_boundary_follows_the_cost():
+    sizes = np.append(0, np.full(jaccard.SMALLEST, 10))
+    at = [jaccard.boundary(sizes, often) for often in (0, 1, 3, 10, 100)]
+    assert at == sorted(at) and at[0] < at[-1] == jaccard.SMALLEST
+    for n in range(1, 13):
+        assert jaccard.subsets(n, n) >= len(jaccard._subsets(np.arange(n, dtype=np.uint64), n)) > 0
+
+
 def edited(r, words, n):
     words = list(words)
     for _ in range(n):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import NULL_ID, binaries, chunks, column, id_key, id_value, is_hot, lists, partitions, rows, spread_join, text_bytes, written
+from .common import NULL_ID, binaries, chunks, column, discard, id_key, id_value, is_hot, lists, partitions, rows, spread_join, text_bytes, written
 from .graph import components
 
 #: A link: NUM * union <= DEN * intersection, that is a Jaccard similarity of 0.8 or more.
@@ -39,8 +39,8 @@ COUNTERS = 1 << 20
 #: Bytes of sets that one task compares at once, at most twice this.
 BLOCK_BYTES = 16 << 20
 #: Sets of a cluster that one task compares with one another in a matrix; and of a larger one, with its leaders or with as many others.
-BLOCK_SETS = 2048
-LED_SETS, LEADERS = 1024, 48
+BLOCK_SETS = 1024
+LED_SETS, LEADERS = 512, 48
 #: Stands for the group of sets that no leader is linked with.
 REST = NULL_ID + 1
 _SLICES = 64
@@ -59,12 +59,22 @@ def partners(n: int) -> range:
     return range(-(-NUM * n // DEN), DEN * n // NUM + 1)
 
 
-def boundary() -> int:
-    """The largest size up to which subsets cost no more than lists: a subset is a row, a list entry a row and the set's hashes."""
-    n = 1
-    while sum(comb(n + 1, needed(n + 1, b)) for b in partners(n + 1) if needed(n + 1, b) <= n + 1) <= prefix(n + 1) * (n + 2):
-        n += 1
-    return n
+#: Sizes up to which subsets are thought of.
+SMALLEST = 12
+
+
+def subsets(n: int, small: int) -> int:
+    """How many subsets a set of n has to meet all linked sets of up to ``small``."""
+    return sum(comb(n, needed(n, b)) for b in partners(n) if b <= small and needed(n, b) <= n)
+
+
+def boundary(sizes: np.ndarray, often: float) -> int:
+    """The largest size for which subsets are taken, at the least cost in rows, from the numbers of sets of each size and the mean length of a list.
+
+    A subset is a row. A list entry is a row, and is compared with the others of its list.
+    """
+    cost = lambda small: sum(sizes[n] * (subsets(n, small) if n <= small else prefix(n) * (1 + often)) for n in range(1, SMALLEST + 1))
+    return min(range(1, SMALLEST + 1), key=cost)
 
 
 def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -73,21 +83,23 @@ def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return scan.distinct(*scan.shingles(h, row, part.num_rows))
 
 
-def shingle_levels(docs: DataFrame) -> np.ndarray:
-    """For each of COUNTERS cells how far, in powers of two, its shingles are above four times the mean: 0 for most.
+def shingle_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """For each of COUNTERS cells how far, in powers of two, its shingles are above four times the mean (0 for most), and the boundary of small sets.
 
-    Tasks add up counters over all their documents, slices of them are added in Spark, and COUNTERS bytes come back.
+    Tasks add up counters and sizes over all their documents, slices of them are added in Spark, and COUNTERS bytes come back.
     """
     each = COUNTERS // _SLICES
     schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total, sizes = np.zeros(COUNTERS, np.int64), np.zeros(SMALLEST + 1, np.int64)
         for part in chunks(batches):
-            u, _ = _sets(part)
+            u, off = _sets(part)
             total += np.bincount((u >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            n = np.diff(off)
+            sizes += np.bincount(n[n <= SMALLEST], minlength=SMALLEST + 1)
         if total.any():
-            yield rows(schema, slice=np.arange(_SLICES, dtype=np.int32), counts=[x.astype("<i4").tobytes() for x in total.reshape(_SLICES, each)])
+            yield rows(schema, slice=np.arange(_SLICES + 1, dtype=np.int32), counts=[x.astype("<i4").tobytes() for x in (*total.reshape(_SLICES, each), sizes)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -97,11 +109,10 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
         if sums:
             yield rows(schema, slice=list(sums), counts=[x.astype("<i8").tobytes() for x in sums.values()])
 
-    got = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros((_SLICES, each), np.int64)
-    for r in got:
-        total[r.slice] = np.frombuffer(r.counts, "<i8")
-    return np.log2(np.maximum(total.ravel() / (4 * total.mean() + 1), 1)).astype(np.uint8)
+    got = {r.slice: np.frombuffer(r.counts, "<i8") for r in docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()}
+    total = np.concatenate([got.get(k, np.zeros(each, np.int64)) for k in range(_SLICES)])
+    levels = np.log2(np.maximum(total / (4 * total.mean() + 1), 1)).astype(np.uint8)
+    return levels, boundary(got.get(_SLICES, np.zeros(SMALLEST + 1)), total.sum() / max(1, np.count_nonzero(total)))
 
 
 def _fingerprint(u: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -440,12 +451,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``: the least doc_id that its links reach.
 
     A null or wordless text has no shingles and is linked with nothing. Rows that share a doc_id are one document in several
-    texts; a null doc_id is an id of its own, less than all others. An empty table gives an empty result.
+    texts; a null doc_id is an id of its own, less than all others. An empty table gives an empty result. Columns but doc_id and
+    text are not read. One text's set, with some 100 bytes for each of its words, has to fit into a task's memory.
     """
     spark = docs.sparkSession
     docs = docs.select(id_key().alias("doc_id"), "text")
-    small = boundary()
-    told = written(_described(docs, shingle_levels(docs), small), "sets")
+    levels, small = shingle_counts(docs)
+    told = written(_described(docs, levels, small), "sets")
     full = told.where("n > 0")
     classes = written(full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("members")), "classes")
     total = told.count()
@@ -460,11 +472,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     left = _pieces(_dealt(_in_blocks(found.where(F.col("members") <= BLOCK_SETS), 1).join(counts, "doc_id"))).select("piece", "doc_id", "n")
     # a list of more is a piece as it stands: its sets are compared by leaders
     left = written(left.union(found.where(F.col("members") > BLOCK_SETS).select("least", "doc_id", "n")), "pieces")
+    discard(found)
     clusters = components(left.select(F.col("piece").alias("a"), F.col("doc_id").alias("b")))
     sizes = left.groupBy("doc_id").agg(F.min("n").alias("n"))
     clusters = clusters.select(F.col("component").alias("list"), F.col("v").alias("doc_id")).join(sizes, "doc_id")
     totals = clusters.groupBy("list").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
     clusters = written(spread_join(clusters, totals, "list", "sets", total), "clusters")
+    discard(left)
 
     small_ones, large_ones = clusters.where(F.col("sets") <= BLOCK_SETS), clusters.where(F.col("sets") > BLOCK_SETS)
     sets_of = lambda some: _set_rows(docs.join(some.select("doc_id"), "doc_id", "left_semi"))
@@ -476,6 +490,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     least = meets.groupBy("meet").agg(F.min("doc_id").alias("a"), F.count("*").alias("sets")).where("sets > 1")
     by_subset = spread_join(meets, least, "meet", "sets", total).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     edges = written(by_list.union(by_subset), "links")
+    discard(clusters)
 
     reached = components(edges)
     named = classes.join(reached.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("class", "members", F.coalesce("component", "doc_id").alias("component"))
