@@ -3,12 +3,13 @@
 Documents are passages of two blocks of 32 words, one block apart. Passages and benchmark items are TF-IDF vectors over the
 words of the items, with document frequencies counted over all passages; words that more than MAX_SHARE of the passages hold
 say nothing and have no weight. A randomised SVD of the passages' and items' matrix A (Gaussian sketch of A'A, summed over
-Spark's partitions, then a Nystrom decomposition) gives the latent directions. RANK/2 items at a time have a space of their own:
-their span, so that each keeps its length, and the leading directions. A passage is a candidate for an item where both, projected,
-have a cosine of MIN_COSINE or more. The rest has an exact way: the window about a block is a candidate too if it holds so many of
-the item's words that their longest common subsequence may be long enough, by an inverted index of the item's rarer words. So no
-window of any block is missed, whatever its cosine. For candidates the longest common subsequence of words decides, with the
-item's answer (its own column, else its last sentence) held to a share of its own.
+Spark's partitions, then a Nystrom decomposition) gives the latent directions. TOGETHER items at a time have a space of their
+own: their span, so that each keeps its length, and the RANK leading directions. A passage is a candidate for an item where both, projected,
+have a cosine of MIN_COSINE or more. Candidates are checked, the nearest first: the window about a passage has to hold so many of
+the item's words that their longest common subsequence may be long enough (a bound by an inverted index of the item's rarer
+words, then a count of all), then that subsequence decides, with the item's answer (its own column, else its last sentence) held to
+a share of its own. The rest has an exact way: where no candidate settles an item in a document, every other window that the bound
+allows is checked alike. So no window of any block is missed, whatever its cosine.
 
 Items are a stated query set: they are taken in blocks, each against all passages.
 """
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import binaries, chunks, column, id_key, id_value, rows, text_bytes, written
+from .common import binaries, chunks, column, discard, id_key, id_value, rows, text_bytes, written
 
 BLOCK_WORDS = 32
 ITEMS = 1024
-RANK = 96
+#: Latent directions, and items that have a space of their own with these.
+RANK, TOGETHER = 32, 64
 MAX_SHARE = 0.02
 MIN_COSINE = 0.3
 MIN_LCS, MIN_ANSWER, SURE_LCS = 0.6, 0.5, 0.85
@@ -186,7 +188,7 @@ def latent_space(located: DataFrame, items: list[np.ndarray], idf: np.ndarray, r
 
 
 class _Targets:
-    """Some of the items, with a space of RANK that holds each of them whole, and their index for the exact bound.
+    """Some of the items, with a space that holds each of them whole, and their index for the exact bound.
 
     A window shares at least ``share`` of an item's words only if it has ``need`` occurrences of the item's indexed words: those
     with weight, and more by rarity until what is not indexed is less than that share.
@@ -203,15 +205,16 @@ class _Targets:
             t = t[idf[t] > 0]
             own[i, self.local[t]] = idf[t]
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-        self.space = np.linalg.qr(np.concatenate((own.T, latent[mine, : max(0, RANK - len(items))]), axis=1))[0].astype(np.float32)
+        self.space = np.linalg.qr(np.concatenate((own.T, latent[mine]), axis=1))[0].astype(np.float32)
         self.target = own.astype(np.float32) @ self.space
         # the least length whose share is MIN_LCS, by the division that decides in the end
         self.needed = np.array([next(k for k in range(len(t) + 1) if k / len(t) >= MIN_LCS) for t in items])
         self.need = np.empty(len(items), np.int64)
         self.reach = np.array([max(3, -(-len(t) // BLOCK_WORDS)) for t in items])
-        terms, owners = [], []
+        terms, owners, self.count = [], [], np.zeros((len(items), len(idf)), np.int32)
         for i, t in enumerate(items):
             u, c = np.unique(t, return_counts=True)
+            self.count[i, u] = c
             order = np.argsort(often[u], kind="stable")
             u, c = u[order], c[order]
             rest = len(t) - np.cumsum(c)
@@ -250,22 +253,20 @@ class _Targets:
             out[:, same] = sums[np.minimum(here + r, high)][:, same] - sums[np.maximum(here - 1, low)][:, same] >= self.need[same]
         return out
 
-    def overlap(self, i: int, terms: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
-        """For n windows with ``terms`` (in window ``which``): at most so many of the item's words are in a common subsequence."""
-        u, c = np.unique(self.items[i], return_counts=True)
-        at = np.minimum(np.searchsorted(u, terms), len(u) - 1)
-        live = u[at] == terms
-        have = np.zeros((n, len(u)), bool)
-        have[which[live], at[live]] = True
-        return have @ c
+    def overlap(self, which: np.ndarray, pair: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """For pairs of a window and the item ``which``, with the windows' ``terms`` (of ``pair``): at most so many of the item's words are in a common subsequence."""
+        c = self.count[which[pair], terms]
+        live = np.flatnonzero(c)
+        key = pair[live] * self.count.shape[1] + terms[live]
+        once = np.unique(key, return_index=True)[1]
+        return np.bincount(pair[live][once], c[live][once], len(which))
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64())])
 
 
 def _search(located: DataFrame, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, often: np.ndarray, latent: np.ndarray, min_cosine: float) -> DataFrame:
-    step = RANK // 2
-    targets = [_Targets(k, items[k : k + step], answers[k : k + step], idf, often, latent) for k in range(0, len(items), step)]
+    targets = [_Targets(k, items[k : k + TOGETHER], answers[k : k + TOGETHER], idf, often, latent) for k in range(0, len(items), TOGETHER)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "places", 1 << 19):
@@ -285,30 +286,40 @@ def _search(located: DataFrame, items: list[np.ndarray], answers: list[np.ndarra
             key = np.unique((base[owner] + place // BLOCK_WORDS) * len(idf) + terms)
             block, block_term = key // len(idf), key % len(idf)
             spot = (owner << 40) + place
-            doc = column(part, "doc_id").to_pylist()
+            doc, where = column(part, "doc_id").to_pylist(), base[row] + passage
             out: list[tuple] = []
             for x in targets:
-                near = x.cosines(base[row] + passage, term, idf, len(doc_of))
-                at, which = np.nonzero((near >= min_cosine) | x.possible(block, block_term, low, high))
-                order = np.argsort(which, kind="stable")
-                cut = np.searchsorted(which[order], np.arange(len(x.items) + 1))
-                for i, item in enumerate(x.items):
-                    for k in range(cut[i], cut[i + 1], 8192):
-                        p = at[order[k : min(k + 8192, cut[i + 1])]]
-                        r, b = doc_of[p], p - low[p]
-                        # the passage and a stretch to both sides, as an item need not begin with a block
-                        begin, end = np.maximum(0, (b - 1) * BLOCK_WORDS), np.minimum(words[r], np.maximum(b * BLOCK_WORDS + len(item), (b + 3) * BLOCK_WORDS))
-                        a, z = np.searchsorted(spot, (r << 40) + begin), np.searchsorted(spot, (r << 40) + end)
-                        size = z - a
-                        inside = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        for j in np.flatnonzero(x.overlap(i, terms[inside], np.repeat(np.arange(len(p)), size), len(p)) >= x.needed[i]).tolist():
-                            seen = terms[a[j] : z[j]]
-                            common = lcs(item, seen)
-                            if common >= x.needed[i]:
-                                told = lcs(x.answers[i], seen)
-                                # each window by itself: the one of greatest lcs need not be the one with the answer
-                                if common / len(item) >= SURE_LCS or told >= MIN_ANSWER * len(x.answers[i]):
-                                    out.append((doc[r[j]], x.first + i, int(begin[j]), int(end[j]), float(near[p[j], i]), common, told))
+                allowed = x.possible(block, block_term, low, high)
+                # a passage whose window can hold no item needs no cosines
+                live = allowed.any(1)[where]
+                near = x.cosines(where[live], term[live], idf, len(doc_of))
+                # those of the cosine search first, the nearest leading; the rest follows
+                at, which = np.nonzero(allowed)
+                found = near[at, which]
+                order = np.lexsort((-found, found < min_cosine))
+                at, which, settled = at[order], which[order], set()
+                size = np.fromiter(map(len, x.items), np.int64, len(x.items))
+                for k in range(0, len(at), 8192):
+                    p, i = at[k : k + 8192], which[k : k + 8192]
+                    r, b = doc_of[p], p - low[p]
+                    # the passage and a stretch to both sides, as an item need not begin with a block
+                    begin, end = np.maximum(0, (b - 1) * BLOCK_WORDS), np.minimum(words[r], np.maximum(b * BLOCK_WORDS + size[i], (b + 3) * BLOCK_WORDS))
+                    a, z = np.searchsorted(spot, (r << 40) + begin), np.searchsorted(spot, (r << 40) + end)
+                    n = z - a
+                    inside = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    for j in np.flatnonzero(x.overlap(i, np.repeat(np.arange(len(p)), n), terms[inside]) >= x.needed[i]).tolist():
+                        pair = int(r[j]) * len(x.items) + int(i[j])
+                        if pair in settled:  # a nearer passage of this document holds the item almost whole
+                            continue
+                        item, answer, seen = x.items[i[j]], x.answers[i[j]], terms[a[j] : z[j]]
+                        common = lcs(item, seen)
+                        if common / len(item) >= SURE_LCS:
+                            settled.add(pair)
+                        if common >= x.needed[i[j]]:
+                            told = lcs(answer, seen)
+                            # each window by itself: the one of greatest lcs need not be the one with the answer
+                            if common / len(item) >= SURE_LCS or told >= MIN_ANSWER * len(answer):
+                                out.append((doc[r[j]], x.first + int(i[j]), int(begin[j]), int(end[j]), float(near[p[j], i[j]]), common, told))
             if out:
                 yield rows(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*out, strict=True)), strict=True)))
 
@@ -320,6 +331,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE)
 
     ``benchmark`` has item_id, text and may have answer. Items without a word are in no document. Null texts are empty; null ids
     of documents are ids of their own; items that repeat are found each. Words are compared in lower case (A-Z) without punctuation.
+    Rows that repeat a doc_id give one row for each item. An empty table on either side gives an empty result. Other columns are not
+    read. One text, with some 40 bytes for each of its own, has to fit into a task's memory, and so have ITEMS items.
     """
     spark = docs.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -342,7 +355,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE)
         space = latent_space(located, items, idf)
         got = _search(located, items, told, idf, often, space, min_cosine)
         names = spark.createDataFrame([(k, r.item_id, len(items[k]), len(told[k])) for k, r in enumerate(block)], "item long, item_id long, item_words long, answer_words long")
-        best = got.groupBy("doc_id", "item").agg(F.max(F.struct("lcs", "answer_lcs", "cosine", (-F.col("start_word")).alias("s"), "end_word")).alias("b"))
+        here = written(got, "found")
+        discard(located)
+        best = here.groupBy("doc_id", "item").agg(F.max(F.struct("lcs", "answer_lcs", "cosine", (-F.col("start_word")).alias("s"), "end_word")).alias("b"))
         out = best.join(F.broadcast(names), "item")  # at most ITEMS rows
         return out.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.end_word").alias("end_word"), F.col("b.cosine").alias("cosine"), F.col("b.lcs").alias("lcs"), "item_words", F.col("b.answer_lcs").alias("answer_lcs"), "answer_words")
 
