@@ -95,5 +95,26 @@ sure AS (SELECT k, max(confidence) AS confidence FROM sub JOIN rules USING (part
 SELECT page_id, host, path, rule, coalesce(listed, CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END) AS verdict, confidence FROM i LEFT JOIN sure USING (k)
 """
 
+#: All strings of 100 bytes as hexadecimal text; the first of equals stays.
+_OP6_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM h) x),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM w) x WHERE nth > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM again) x) y GROUP BY doc_id, run),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS begun FROM runs),
+kept AS (SELECT doc_id, any_value(length(h) // 2) AS n_bytes, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * begun + 1, 2 * (a - begun)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k FROM cut JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM h LEFT JOIN (SELECT doc_id, n_removed, n_spans, k FROM kept) x USING (doc_id)
+"""
+
+#: All pairs of documents that share a shingle, and the closure of the links.
+_OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS v, doc_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) e ON e.a = r.v)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT v, min(c) AS component_id FROM r GROUP BY v) c ON c.v = s.doc_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_site_quality, op3_pattern_packing, op4_url_rules, op5_consistent_parsing, op6_repeated_strings, op7_latent_leaks, op8_jaccard_classes, op9_external_shuffle, op10_chat_format)}
-ORACLE_SQL = {"op4_url_rules": _OP4_SQL, "op10_chat_format": _OP10_SQL}
+ORACLE_SQL = {"op4_url_rules": _OP4_SQL, "op6_repeated_strings": _OP6_SQL, "op8_jaccard_classes": _OP8_SQL, "op10_chat_format": _OP10_SQL}
