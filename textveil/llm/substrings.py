@@ -166,9 +166,11 @@ def _cut_out(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, hash long, first long, strings long, phrase binary")
 
 
-def _ordered(entries: DataFrame, width: int, name: str) -> DataFrame:
+def _ordered(entries: DataFrame, width: int, name: str, firsts: bool) -> DataFrame:
     """The suffix array of ``entries`` (key of ``width`` bytes, doc, hash, first, and others): all their columns but the key, with ``again``, written.
 
+    Without ``firsts``, rows that are the first of their key may be left out: only repeats are asked for.
+
     Entries are sorted by key and place over ranges of both. ``again`` tells that the key also stands at an earlier place; rows that
     repeat a place are one. A key that goes over the end of a range is settled afterwards: each range gives its first and its last
     entry, so what comes to the driver and is broadcast are two rows for each range, whatever the number of entries.
@@ -193,12 +195,17 @@ def _ordered(entries: DataFrame, width: int, name: str) -> DataFrame:
                 begin[at < 0] = start
             edge = np.zeros(n, np.int32)
             edge[0] = held is None
-            out = {"range": column(part, "range"), "head": np.cumsum(new) + groups <= 1, "again": (place != begin).any(1), **{f"{c}0": begin[:, k] for k, c in enumerate(_PLACE)}, **{c: place[:, k] for k, c in enumerate(_PLACE)}, **{f.name: column(part, f.name) for f in others}}
-            if held is not None:
-                yield rows(schema, **held)
             shown = np.zeros(n, bool)
             shown[[0, -1]] = edge[0] > 0, True
-            held = out | {"edge": edge, "key": pa.array([table[k].tobytes() if x else None for k, x in enumerate(shown.tolist())], pa.binary())}
+            again, head = (place != begin).any(1), np.cumsum(new) + groups <= 1
+            live = np.arange(n) if firsts else np.flatnonzero(again | head | shown)
+            names = np.full(len(live), None, object)
+            names[shown[live]] = [table[k].tobytes() for k in np.flatnonzero(shown)]
+            if held is not None:
+                yield rows(schema, **held)
+            held = {"range": column(part, "range").take(pa.array(live)), "head": head[live], "again": again[live], "edge": edge[live], "key": pa.array(names, pa.binary())}
+            held |= {f"{c}0": pa.array(begin[live, k], pa.int64(), mask=~shown[live]) for k, c in enumerate(_PLACE)} | {c: place[live, k] for k, c in enumerate(_PLACE)}
+            held |= {f.name: column(part, f.name).take(pa.array(live)) for f in others}
             key, start, groups = table[-1].tobytes(), begin[-1], groups + int(new.sum())
         if held is not None:
             held["edge"][-1] += 2
@@ -287,7 +294,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     grams = written(_repeated_grams(docs), "grams")
     parsed = written(_phrases(docs.join(grams, ["doc", "hash"])), "parse")
     discard(grams)
-    parse_array = _ordered(parsed, 16, "parse-array")
+    parse_array = _ordered(parsed, 16, "parse-array", True)
     discard(parsed)
 
     # a gram that one entry alone has is in no other phrase: that entry's strings repeat as a whole phrase only
@@ -302,7 +309,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dull = alone.groupBy(*_PLACE).agg(F.collect_list("zone").alias("dull"))
     suffixes = written(_suffixes(dictionary.join(dull, _PLACE, "left")), "suffixes")
     discard(dictionary)
-    dictionary_array = _ordered(suffixes, LENGTH, "dictionary-array")
+    dictionary_array = _ordered(suffixes, LENGTH, "dictionary-array", False)
     discard(suffixes)
 
     later = parse_array.where("again").select("doc", "hash", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end"))
