@@ -66,7 +66,8 @@ def _score(label: Column, tp: Column, fp: Column, fn: Column, digits: int) -> Co
 def _macro(each: Column, digits: int) -> Column:
     live = F.filter(each, lambda x: x["TP"] + x["FP"] + x["FN"] > 0)
     total = lambda c: F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x[c])
-    mean = lambda c: F.round(F.coalesce(F.try_divide(F.aggregate(live, F.lit(0.0), lambda a, x: a + x[c]), F.size(live)), F.lit(0.0)), digits)
+    # in units of the last digit: their sum is exact, so a mean halfway between two values is rounded up whatever the order
+    mean = lambda c: F.round(F.coalesce(F.try_divide(F.aggregate(live, F.lit(0.0), lambda a, x: a + F.round(x[c] * 10**digits)), F.size(live)), F.lit(0.0))) / 10**digits
     return F.struct(F.lit("MACRO").alias("label"), *[total(c).alias(c) for c in ("TP", "FP", "FN")], *[mean(c).alias(c) for c in ("Precision", "Recall", "F1")])
 
 
@@ -101,7 +102,7 @@ def recall_any_type(gold: DataFrame, pred: DataFrame) -> DataFrame:
 def compare_models(scores: DataFrame, models: list[str]) -> DataFrame:
     """F1 by label and model, with a row of macro means."""
     wide = scores.groupBy("label").pivot("model", models).agg(F.max("F1"))
-    macro = wide.agg(*[F.round(F.avg(F.col(f"`{m}`")), 4).alias(m) for m in models]).select(F.lit("MACRO").alias("label"), *[F.col(f"`{m}`") for m in models])
+    macro = wide.agg(*[(F.round(F.avg(F.round(F.col(f"`{m}`") * 10_000))) / 10_000).alias(m) for m in models]).select(F.lit("MACRO").alias("label"), *[F.col(f"`{m}`") for m in models])
     return wide.unionByName(macro)
 
 

@@ -323,7 +323,7 @@ f AS (SELECT s.subset, l.label, CAST(coalesce(sum(TP), 0) AS BIGINT) AS TP, CAST
 p AS (SELECT *, CASE WHEN TP + FP = 0 THEN 0 ELSE TP / (TP + FP) END AS p, CASE WHEN TP + FN = 0 THEN 0 ELSE TP / (TP + FN) END AS r FROM f),
 m AS (SELECT subset, label, TP, FP, FN, round(p, {digits}) AS "Precision", round(r, {digits}) AS "Recall", round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, {digits}) AS "F1" FROM p)
 SELECT * FROM m UNION ALL SELECT subset, 'MACRO', CAST(sum(TP) AS BIGINT), CAST(sum(FP) AS BIGINT), CAST(sum(FN) AS BIGINT),
-  round(avg("Precision") FILTER (TP + FP + FN > 0), {digits}), round(avg("Recall") FILTER (TP + FP + FN > 0), {digits}), round(avg("F1") FILTER (TP + FP + FN > 0), {digits}) FROM m GROUP BY subset
+  round(avg(round("Precision" * {10**digits})) FILTER (TP + FP + FN > 0)) / {10**digits}, round(avg(round("Recall" * {10**digits})) FILTER (TP + FP + FN > 0)) / {10**digits}, round(avg(round("F1" * {10**digits})) FILTER (TP + FP + FN > 0)) / {10**digits} FROM m GROUP BY subset
 """
 
 
@@ -377,7 +377,7 @@ def mapped_labels(spark, sf_dir):
 _F1 = f"SELECT label, \"F1\" FROM ({_metrics_sql('{counts}', 4)}) m WHERE subset = 'COMBINED' AND label <> 'MACRO'"
 
 
-@query(f"WITH x AS ({_F1.replace('{counts}', _match_sql('subset, doc_id, label, s, e', True))}), y AS ({_F1.replace('{counts}', _CHARS)}), w AS (SELECT label, x.\"F1\" AS places, y.\"F1\" AS chars FROM x JOIN y USING (label)) SELECT * FROM w UNION ALL SELECT 'MACRO', round(avg(places), 4), round(avg(chars), 4) FROM w")
+@query(f"WITH x AS ({_F1.replace('{counts}', _match_sql('subset, doc_id, label, s, e', True))}), y AS ({_F1.replace('{counts}', _CHARS)}), w AS (SELECT label, x.\"F1\" AS places, y.\"F1\" AS chars FROM x JOIN y USING (label)) SELECT * FROM w UNION ALL SELECT 'MACRO', round(avg(round(places * 10000))) / 10000, round(avg(round(chars * 10000))) / 10000 FROM w")
 def compared_models(spark, sf_dir):
     gold, pred = _sides(spark, sf_dir)
     one = lambda counts, name: E.metrics(counts, _LABELS, 4, by_subset=False).where("label <> 'MACRO'").select("label", F.lit(name).alias("model"), "F1")
