@@ -151,3 +151,20 @@ def spread_join(many: DataFrame, few: DataFrame, key: str, members: str, total:
     hot = few.where(is_hot(F.col(members), total))
     cold = few.where(~is_hot(F.col(members), total))
     return many.join(F.broadcast(hot), key).unionByName(many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows, written, with ``rank``: each row's place (long, from 0) in the order of the columns, nulls first. Rows that are equal in these take any order among them.
+
+    Ranges of the order are sorted side by side, and equal rows may lie in several ranges. The driver takes one sum for each range.
+    """
+    n = 4 * partitions(df.sparkSession)
+    salted = df.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
+    put = written(salted.repartitionByRange(n, *order, "__salt").sortWithinPartitions(*order).drop("__salt").withColumn("__at", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dict(put.groupBy(part.alias("part")).agg(F.max(place) + 1).collect())
+    starts, total = [], 0
+    for k in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    return put.withColumn("rank", F.element_at(F.array(*map(F.lit, starts)).cast("array<long>"), part + 1) + place).drop("__at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, huffman, jaccard, leaks, packing, quality, shuffle, substrings, urls
+from . import chat, fingerprint, huffman, jaccard, language, leaks, manifest, packing, quality, shuffle, substrings, trie, urls
 from .common import table
 
 
@@ -56,6 +56,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(odd)))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_nested_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    got = manifest.manifest(table(spark, sf_dir, "documents"), {"text": tampered})
+    return got.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judged(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
 _OP10_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -116,5 +133,45 @@ r AS (SELECT doc_id AS v, doc_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT v, min(c) AS component_id FROM r GROUP BY v) c ON c.v = s.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_site_quality, op3_pattern_packing, op4_url_rules, op5_consistent_parsing, op6_repeated_strings, op7_latent_leaks, op8_jaccard_classes, op9_external_shuffle, op10_chat_format)}
-ORACLE_SQL = {"op4_url_rules": _OP4_SQL, "op6_repeated_strings": _OP6_SQL, "op8_jaccard_classes": _OP8_SQL, "op10_chat_format": _OP10_SQL}
+#: DuckDB has no crc32: eight shifts for each byte of a decimal.
+_CRC32 = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: list_reduce(list_prepend(xor(a, c), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+_CRC = lambda value: f"xor({_CRC32.format(value)}, CAST(4294967295 AS BIGINT))"
+_TOLD = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = lambda text: f"sha256({' || '.join(_TOLD(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+#: Level by level: ``g`` has the nodes of the languages' trees, ``t`` those of the tree over their roots, ``s`` each node's siblings.
+_OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {_CRC('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS later FROM documents),
+l AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF('text')} AS leaf, {_LEAF('later')} AS late FROM d),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM l),
+g AS (SELECT 0 AS lvl, tree, i, leaf AS d, n FROM r UNION ALL SELECT lvl + 1, tree, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM g WHERE n > 1 GROUP BY lvl, tree, i // 8, n),
+sub AS MATERIALIZED (SELECT tree, d, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM g WHERE n = 1),
+t AS (SELECT 0 AS lvl, i, d, n FROM sub UNION ALL SELECT lvl + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY lvl, i // 8, n),
+s AS MATERIALIZED (SELECT *, coalesce(string_agg(d, '') OVER (PARTITION BY top, tree, lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER (PARTITION BY top, tree, lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT 0 AS top, tree, lvl, i, d FROM g WHERE n > 1 UNION ALL SELECT 1, '', lvl, i, d FROM t WHERE n > 1) x),
+f AS (SELECT row_number() OVER () AS k, doc_id, leaf, tree, 0 AS top, i, 0 AS lvl, n, late AS fold, '' AS proof FROM r
+  UNION ALL SELECT k, doc_id, leaf, f.tree, CASE WHEN s.lvl IS NULL THEN 1 ELSE f.top END, CASE WHEN s.lvl IS NULL THEN sub.i ELSE f.i // 8 END, CASE WHEN s.lvl IS NULL THEN 0 ELSE f.lvl + 1 END, f.n,
+    CASE WHEN s.lvl IS NULL THEN fold ELSE sha256(s.l || fold || s.r) END, CASE WHEN s.lvl IS NULL THEN proof ELSE proof || s.l || s.r END
+  FROM f LEFT JOIN s ON s.top = f.top AND s.tree = CASE WHEN f.top = 1 THEN '' ELSE f.tree END AND s.lvl = f.lvl AND s.i = f.i JOIN sub ON sub.tree = f.tree WHERE s.lvl IS NOT NULL OR f.top = 0)
+SELECT doc_id, leaf, sub.d AS subroot, (SELECT d FROM t WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT d FROM t WHERE n = 1) AS verified
+FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY top DESC, lvl DESC) = 1) x JOIN sub USING (tree)
+"""
+
+#: Every prefix of every conversation, and of every prefix all that it begins with.
+_OP13_SQL = rf"""
+WITH o AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS k, md5(strlen(role) || ':' || role || text) AS m,
+  len(regexp_extract_all(text, '[^ 	-]+')) AS w FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) x),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o) x),
+b AS (SELECT c.conv_id, o.k, o.m, o.w FROM c JOIN o ON o.conv_id = c.base AND o.k <= c.h UNION ALL SELECT c.conv_id, o.k, o.m, o.w FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h),
+q AS MATERIALIZED (SELECT conv_id, list(m ORDER BY k) AS m, list(w ORDER BY k) AS w FROM b GROUP BY conv_id UNION ALL SELECT conv_id, [], [] FROM c WHERE conv_id NOT IN (SELECT conv_id FROM b)),
+p AS (SELECT conv_id, d, len(m) = d AS whole, array_to_string(m[1:d], '') AS key, CASE WHEN d > 0 THEN array_to_string(m[1:d - 1], '') END AS up, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(m) + 1)) AS d FROM q) x),
+n AS MATERIALIZED (SELECT key, d, up, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (whole), '')) AS ends FROM p GROUP BY key, d, up),
+kids AS MATERIALIZED (SELECT up, count(*) AS n FROM n GROUP BY up),
+t AS (SELECT a.key, count(*) FILTER (kids.n IS NULL) AS leaves, sum((x.n - 1) * x.w) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM n) x JOIN n a ON a.key = left(x.key, 32 * x.j) LEFT JOIN kids ON kids.up = x.key GROUP BY a.key)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN t USING (key) LEFT JOIN kids ON kids.up = n.key LEFT JOIN n u ON u.key = n.up
+"""
+
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_site_quality, op3_pattern_packing, op4_url_rules, op5_consistent_parsing, op6_repeated_strings, op7_latent_leaks, op8_jaccard_classes, op9_external_shuffle, op10_chat_format, op11_nested_manifest, op12_language_bits, op13_prefix_trie)}
+ORACLE_SQL = {"op4_url_rules": _OP4_SQL, "op6_repeated_strings": _OP6_SQL, "op8_jaccard_classes": _OP8_SQL, "op10_chat_format": _OP10_SQL, "op11_nested_manifest": _OP11_SQL, "op13_prefix_trie": _OP13_SQL}
