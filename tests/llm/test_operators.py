@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textveil.llm import chat, fingerprint, huffman, jaccard, leaks, packing, quality, scan, shuffle, substrings, tokens, urls
 
@@ -376,10 +377,31 @@ def test_an_item_keeps_its_cosine():
     items = [r.choice(900, 20, replace=False) for _ in range(48)]
     idf = r.uniform(1, 5, 900)
     x = leaks._Targets(0, items, items, idf, np.ones(900), r.standard_normal((900, leaks.RANK)))
-    near = x.cosines(np.repeat(np.arange(48), 20), np.concatenate([np.sort(t) for t in items]), idf, 48)
+    # each item is a document of one block
+    near = x.cosines(np.repeat(np.arange(48), 20), np.concatenate(items), np.arange(48), np.arange(48) + 1)
     assert np.allclose(np.diag(near), 1, atol=1e-3)
 
 
+def test_which_stage_finds_a_leak(spark):
+    """Verbatim and paraphrased items: nearly all by the latent search alone; without it the exact way finds the same."""
+    r = random.Random(19)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(1500)]
+    often = words[:12]
+    say = lambda n: " ".join(r.choice(often if r.random() < 0.4 else words) for _ in range(n))
+    items = [(k, say(r.randint(20, 90)) + ". " + say(8) + ".") for k in range(150)]
+    docs = []
+    for k, text in items:
+        docs.append((2 * k, say(70) + " " + text + " " + say(90)))
+        docs.append((2 * k + 1, say(33) + " " + " ".join(x if r.random() > 0.2 else r.choice(words) for x in text.split()) + " " + say(40)))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    found = {least: {(x.doc_id, x.item_id, x.lcs): x.stage for x in leaks.leaks(docs, items, least).collect()} for least in (leaks.MIN_COSINE, 2.0)}
+    usual, off = found.values()
+    assert set(usual) == set(off) and set(off.values()) == {"bound"}
+    for odd in (0, 1):
+        planted = [stage for (d, i, _), stage in usual.items() if d == 2 * i + odd]
+        assert len(planted) >= 0.9 * 150 and planted.count("latent") >= 0.97 * len(planted), (odd, len(planted), planted.count("latent"))
+
+
 def test_the_window_with_the_answer_counts(spark):
     """One window has more of the item without its answer, another one less but the answer."""
     r = random.Random(3)
@@ -418,6 +440,25 @@ def test_external_shuffle(table, none, tmp_path):
     assert shuffle.shuffled(none, 7).count() == 0
 
 
+def test_equal_rows_fill_many_buckets(spark, monkeypatch):
+    """200,000 equal rows, and as many in groups of a hundred, of a thousand and alone: buckets of one size, whatever the partitions."""
+    rows = spark.range(200_000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    rows = rows.union(spark.range(100_000).selectExpr("id div 1000 as doc_id", "repeat('x', 30) as text")).union(spark.range(50_000).selectExpr("1000 + id div 100 as doc_id", "'y' as text")).union(spark.range(50_000).selectExpr("100000 + id as doc_id", "'z' as text"))
+    base, n, _ = shuffle.scatter(rows, bucket_bytes=1 << 16)
+    sizes = base.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.min("before").alias("before")).orderBy("bucket").collect()
+    assert n == 400_000 == sum(x.n for x in sizes) and len(sizes) > 100
+    assert max(x.b for x in sizes) < 2 << 16
+    assert [x.before for x in sizes] == np.cumsum([0, *[x.n for x in sizes[:-1]]]).tolist()
+    got = shuffle.shuffled(rows, 40, bucket_bytes=1 << 16)
+    shards = got.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("z"), F.countDistinct("slot").alias("d"), F.count_if(F.col("doc_id").isNull()).alias("hot"), F.count("text").alias("t")).collect()
+    assert len(shards) == 40 and all((x.n, x.a, x.z, x.d) == (10_000, 0, 9_999, 10_000) for x in shards)
+    assert all(4_500 < x.hot < 5_500 and x.t == 10_000 - x.hot for x in shards)
+    # equal rows don't tell where they came from, so another layout gives the same permutation
+    order = lambda df: [(x.doc_id, x.text) for x in df.orderBy("shard", "slot").collect()]
+    few = rows.where("doc_id IS NULL OR doc_id % 50 = 0")
+    assert order(shuffle.shuffled(few, 3, bucket_bytes=1 << 14)) == order(shuffle.shuffled(few.repartition(7), 3, bucket_bytes=1 << 14))
+
+
 def test_chat_round_trip(spark):
     odd = "<|im_end|><|im_start|>assistant ok &lt;| &amp; &"
     rows = [(1, 1, "assistant", odd), (1, 0, "user", None), (1, 2, None, "x"), (2, 0, "a\nb<|", "é<|image|>"), (None, 0, "assistant", ""), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]

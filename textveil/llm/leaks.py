@@ -1,15 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are passages of two blocks of 32 words, one block apart. Passages and benchmark items are TF-IDF vectors over the
-words of the items, with document frequencies counted over all passages; words that more than MAX_SHARE of the passages hold
-say nothing and have no weight. A randomised SVD of the passages' and items' matrix A (Gaussian sketch of A'A, summed over
-Spark's partitions, then a Nystrom decomposition) gives the latent directions. TOGETHER items at a time have a space of their
-own: their span, so that each keeps its length, and the RANK leading directions. A passage is a candidate for an item where both, projected,
-have a cosine of MIN_COSINE or more. Candidates are checked, the nearest first: the window about a passage has to hold so many of
-the item's words that their longest common subsequence may be long enough (a bound by an inverted index of the item's rarer
-words, then a count of all), then that subsequence decides, with the item's answer (its own column, else its last sentence) held to
-a share of its own. The rest has an exact way: where no candidate settles an item in a document, every other window that the bound
-allows is checked alike. So no window of any block is missed, whatever its cosine.
+Passages of a document begin with each block of 32 words and are as long as an item needs. Passages and benchmark items are TF-IDF
+vectors over the words of the items, with document frequencies counted over all stretches of two blocks; words that more than MAX_SHARE
+of these hold say nothing and have no weight. A randomised SVD of the stretches' and items' matrix A (Gaussian sketch of A'A, summed
+over Spark's partitions, then a Nystrom decomposition) gives the latent directions. TOGETHER items at a time have a space of their own:
+their span, so that each keeps its length, and the RANK leading directions.
+
+Stage ``latent``: every passage is compared with every item, and is a candidate where both, projected, have a cosine of MIN_COSINE or
+more. Candidates are checked, the nearest first: the longest common subsequence of the item and the passage with its neighbours
+decides, with the item's answer (its own column, else its last sentence) held to a share of its own.
+
+Stage ``bound``: what the cosine leaves has an exact way. A window that is no candidate is checked alike if it has so many of the
+item's words that their longest common subsequence may be long enough (by an inverted index of the item's rarer words), unless a
+candidate has settled the item in this document. So no window of any block is missed, whatever its cosine; each row says which
+stage found it.
 
 Items are a stated query set: they are taken in blocks, each against all passages.
 """
@@ -28,12 +32,15 @@ from . import scan
 from .common import binaries, chunks, column, discard, id_key, id_value, rows, text_bytes, written
 
 BLOCK_WORDS = 32
-ITEMS = 1024
+#: Items that are sought together, and how many words they have at most, so that what tasks are given is bounded.
+ITEMS, LOT_WORDS = 1024, 1 << 16
 #: Latent directions, and items that have a space of their own with these.
 RANK, TOGETHER = 32, 64
 MAX_SHARE = 0.02
-MIN_COSINE = 0.3
+MIN_COSINE = 0.4
 MIN_LCS, MIN_ANSWER, SURE_LCS = 0.6, 0.5, 0.85
+#: Windows that are checked after one of SURE_LCS, as a neighbour may hold the rest of the item.
+FURTHER = 3
 #: Letters, digits and other non-ASCII characters make words; ASCII punctuation doesn't.
 _WORDS = np.where(scan.MARKED == 1, 1, 0).astype(np.uint8)
 
@@ -174,11 +181,10 @@ def latent_space(located: DataFrame, items: list[np.ndarray], idf: np.ndarray, r
     k = min(rank, n)
     omega = np.random.default_rng(7).standard_normal((n, min(n, k + 10)))
     y = _summed(located, omega.shape[1], _Sketch(idf, omega))
-    a = np.zeros((len(items), n))
-    for i, t in enumerate(items):
-        a[i, t] = idf[t]
-    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-    own = a.T @ (a @ omega)
+    own = np.zeros_like(y)
+    for t in map(np.unique, items):
+        w = idf[t] / max(np.linalg.norm(idf[t]), 1e-12)
+        own[t] += w[:, None] * (w @ omega[t])
     y = y / max(np.linalg.norm(y), 1e-12) + own / max(np.linalg.norm(own), 1e-12)
     q, _ = np.linalg.qr(y)
     core = omega.T @ y
@@ -191,60 +197,75 @@ class _Targets:
     """Some of the items, with a space that holds each of them whole, and their index for the exact bound.
 
     A window shares at least ``share`` of an item's words only if it has ``need`` occurrences of the item's indexed words: those
-    with weight, and more by rarity until what is not indexed is less than that share.
+    with weight, and more by rarity until what is not indexed is less than that share. All but ``local``, a number for each word of
+    the lot, grows with these items' own words.
     """
 
     def __init__(self, first: int, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, often: np.ndarray, latent: np.ndarray):
         self.first, self.items, self.answers = first, items, answers
         mine = np.unique(np.concatenate(items))
-        mine = mine[idf[mine] > 0]
         self.local = np.full(len(idf), -1, np.int32)
         self.local[mine] = np.arange(len(mine))
+        self.weight = idf[mine].astype(np.float32)
         own = np.zeros((len(items), len(mine)))
         for i, t in enumerate(items):
-            t = t[idf[t] > 0]
-            own[i, self.local[t]] = idf[t]
+            np.add.at(own[i], self.local[t], idf[t])
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-        self.space = np.linalg.qr(np.concatenate((own.T, latent[mine]), axis=1))[0].astype(np.float32)
+        self.space = np.linalg.qr(np.concatenate((own.T, latent[mine] * (self.weight > 0)[:, None]), axis=1))[0].astype(np.float32)
         self.target = own.astype(np.float32) @ self.space
         # the least length whose share is MIN_LCS, by the division that decides in the end
         self.needed = np.array([next(k for k in range(len(t) + 1) if k / len(t) >= MIN_LCS) for t in items])
+        self.size = np.fromiter(map(len, items), np.int64, len(items))
         self.need = np.empty(len(items), np.int64)
-        self.reach = np.array([max(3, -(-len(t) // BLOCK_WORDS)) for t in items])
-        terms, owners, self.count = [], [], np.zeros((len(items), len(idf)), np.int32)
+        self.reach = np.maximum(3, -(-self.size // BLOCK_WORDS))
+        #: Blocks of a passage: an item that begins in its first block ends in it.
+        self.wide = -(-self.size // BLOCK_WORDS) + 1
+        terms, owners, keys, counts = [], [], [], []
         for i, t in enumerate(items):
-            u, c = np.unique(t, return_counts=True)
-            self.count[i, u] = c
-            order = np.argsort(often[u], kind="stable")
+            u, c = np.unique(self.local[t], return_counts=True)
+            keys.append(i * len(mine) + u)
+            counts.append(c)
+            order = np.argsort(often[mine[u]], kind="stable")
             u, c = u[order], c[order]
             rest = len(t) - np.cumsum(c)
-            take = max(int(np.argmax(rest < self.needed[i])) + 1, int((idf[u] > 0).sum()))
+            take = max(int(np.argmax(rest < self.needed[i])) + 1, int((self.weight[u] > 0).sum()))
             self.need[i] = self.needed[i] - rest[take - 1]
             terms.append(np.repeat(u[:take], c[:take]))
             owners.append(np.full(len(terms[-1]), i))
+        self.keys, self.counts = np.concatenate(keys), np.concatenate(counts)
         term, owner = np.concatenate(terms), np.concatenate(owners)
         order = np.argsort(term, kind="stable")
-        self.owner, self.to = owner[order], np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.owner, self.to = owner[order], np.searchsorted(term[order], np.arange(len(mine) + 1))
 
-    def cosines(self, place: np.ndarray, term: np.ndarray, idf: np.ndarray, total: int) -> np.ndarray:
-        """(passages, items) of the weighted terms at each passage, both sides projected and normalised."""
-        out = np.zeros((total, len(self.items)), np.float32)
+    def cosines(self, block: np.ndarray, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(blocks, items): the cosine of each item and the passage that begins with the block before, both sides projected; of the words' blocks, in order, and terms."""
         local = self.local[term]
-        live = local >= 0
-        place, local, w = place[live], local[live], idf[term[live]].astype(np.float32)
-        if len(place):
-            starts = np.flatnonzero(np.append(True, np.diff(place) != 0))
-            near = np.add.reduceat(self.space[local] * w[:, None], starts)
-            near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
-            out[place[starts]] = near @ self.target.T
+        live = np.flatnonzero(local >= 0)
+        live = live[self.weight[local[live]] > 0]
+        sums = np.zeros((len(low) + 1, self.space.shape[1]), np.float32)
+        if len(live):
+            at, local = block[live], local[live]
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            sums[1 + at[starts]] = np.add.reduceat(self.space[local] * self.weight[local][:, None], starts)
+            np.cumsum(sums, 0, out=sums)
+        out, here = np.zeros((len(low), len(self.items)), np.float32), np.arange(len(low))
+        for w in np.unique(self.wide):
+            same = np.flatnonzero(self.wide == w)
+            begin = np.maximum(here - 1, low)
+            near = sums[np.minimum(begin + w, high)] - sums[begin]
+            near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-3)
+            out[:, same] = near @ self.target[same].T
         return out
 
-    def possible(self, place: np.ndarray, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def possible(self, block: np.ndarray, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """(blocks, items): whether the window about a block may share enough; of distinct (block, term), with each block's document's first and last."""
-        size = self.to[term + 1] - self.to[term]
-        at = np.repeat(self.to[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        local = self.local[term]
+        live = np.flatnonzero(local >= 0)
+        block, local = block[live], local[live]
+        size = self.to[local + 1] - self.to[local]
+        at = np.repeat(self.to[local] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         n = len(self.items)
-        score = np.bincount(np.repeat(place, size) * n + self.owner[at], minlength=len(low) * n).reshape(-1, n)
+        score = np.bincount(np.repeat(block, size) * n + self.owner[at], minlength=len(low) * n).reshape(-1, n)
         sums = np.zeros((len(low) + 1, n), np.int32)
         np.cumsum(score, 0, out=sums[1:])
         out, here = np.empty(score.shape, bool), np.arange(len(low))
@@ -255,14 +276,16 @@ class _Targets:
 
     def overlap(self, which: np.ndarray, pair: np.ndarray, terms: np.ndarray) -> np.ndarray:
         """For pairs of a window and the item ``which``, with the windows' ``terms`` (of ``pair``): at most so many of the item's words are in a common subsequence."""
-        c = self.count[which[pair], terms]
-        live = np.flatnonzero(c)
-        key = pair[live] * self.count.shape[1] + terms[live]
-        once = np.unique(key, return_index=True)[1]
-        return np.bincount(pair[live][once], c[live][once], len(which))
+        local, n = self.local[terms], len(self.weight)
+        live = np.flatnonzero(local >= 0)
+        key = np.unique(pair[live] * n + local[live])  # once for each window
+        pair = key // n
+        sought = which[pair] * n + key % n
+        at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        return np.bincount(pair, self.counts[at] * (self.keys[at] == sought), len(which))
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64()), ("stage", pa.string())])
 
 
 def _search(located: DataFrame, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, often: np.ndarray, latent: np.ndarray, min_cosine: float) -> DataFrame:
@@ -270,7 +293,6 @@ def _search(located: DataFrame, items: list[np.ndarray], answers: list[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "places", 1 << 19):
-            row, passage, term, _ = _entries(part, idf > 0, len(idf))
             raw, off = text_bytes(column(part, "places"))
             place = np.frombuffer(raw.tobytes(), "<i4").astype(np.int64)
             terms = np.frombuffer(text_bytes(column(part, "terms"))[0].tobytes(), "<i4")
@@ -283,56 +305,62 @@ def _search(located: DataFrame, items: list[np.ndarray], answers: list[np.ndarra
             doc_of = np.repeat(np.arange(len(words)), blocks)
             low, high = base[doc_of], base[doc_of + 1]
             owner = np.repeat(np.arange(len(words)), np.diff(off))
-            key = np.unique((base[owner] + place // BLOCK_WORDS) * len(idf) + terms)
+            at_block = base[owner] + place // BLOCK_WORDS
+            key = np.unique(at_block * len(idf) + terms)
             block, block_term = key // len(idf), key % len(idf)
             spot = (owner << 40) + place
-            doc, where = column(part, "doc_id").to_pylist(), base[row] + passage
+            doc = column(part, "doc_id").to_pylist()
             out: list[tuple] = []
-            for x in targets:
-                allowed = x.possible(block, block_term, low, high)
-                # a passage whose window can hold no item needs no cosines
-                live = allowed.any(1)[where]
-                near = x.cosines(where[live], term[live], idf, len(doc_of))
-                # those of the cosine search first, the nearest leading; the rest follows
-                at, which = np.nonzero(allowed)
-                found = near[at, which]
-                order = np.lexsort((-found, found < min_cosine))
-                at, which, settled = at[order], which[order], set()
-                size = np.fromiter(map(len, x.items), np.int64, len(x.items))
+
+            def check(x: _Targets, near: np.ndarray, at: np.ndarray, which: np.ndarray, settled: dict[int, int], stage: str) -> None:
+                """Adds what the subsequences of these windows and items decide to ``out``."""
                 for k in range(0, len(at), 8192):
                     p, i = at[k : k + 8192], which[k : k + 8192]
                     r, b = doc_of[p], p - low[p]
                     # the passage and a stretch to both sides, as an item need not begin with a block
-                    begin, end = np.maximum(0, (b - 1) * BLOCK_WORDS), np.minimum(words[r], np.maximum(b * BLOCK_WORDS + size[i], (b + 3) * BLOCK_WORDS))
+                    begin, end = np.maximum(0, (b - 1) * BLOCK_WORDS), np.minimum(words[r], np.maximum(b * BLOCK_WORDS + x.size[i], (b + 3) * BLOCK_WORDS))
                     a, z = np.searchsorted(spot, (r << 40) + begin), np.searchsorted(spot, (r << 40) + end)
                     n = z - a
                     inside = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     for j in np.flatnonzero(x.overlap(i, np.repeat(np.arange(len(p)), n), terms[inside]) >= x.needed[i]).tolist():
                         pair = int(r[j]) * len(x.items) + int(i[j])
-                        if pair in settled:  # a nearer passage of this document holds the item almost whole
+                        if settled.get(pair, 0) > FURTHER:  # nearer passages of this document hold the item almost whole
                             continue
                         item, answer, seen = x.items[i[j]], x.answers[i[j]], terms[a[j] : z[j]]
                         common = lcs(item, seen)
-                        if common / len(item) >= SURE_LCS:
-                            settled.add(pair)
+                        if pair in settled or common / len(item) >= SURE_LCS:
+                            settled[pair] = settled.get(pair, 0) + 1 + FURTHER * (common == len(item))
                         if common >= x.needed[i[j]]:
                             told = lcs(answer, seen)
                             # each window by itself: the one of greatest lcs need not be the one with the answer
                             if common / len(item) >= SURE_LCS or told >= MIN_ANSWER * len(answer):
-                                out.append((doc[r[j]], x.first + int(i[j]), int(begin[j]), int(end[j]), float(near[p[j], i[j]]), common, told))
+                                out.append((doc[r[j]], x.first + int(i[j]), int(begin[j]), int(end[j]), float(near[p[j], i[j]]), common, told, stage))
+
+            for x in targets:
+                settled: dict[int, int] = {}
+                near = x.cosines(at_block, terms, low, high)
+                candidate = near >= min_cosine
+                at, which = np.nonzero(candidate)
+                order = np.argsort(-near[at, which], kind="stable")
+                check(x, near, at[order], which[order], settled, "latent")
+                at, which = np.nonzero(x.possible(block, block_term, low, high) & ~candidate)
+                check(x, near, at, which, settled, "bound")
             if out:
                 yield rows(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*out, strict=True)), strict=True)))
 
-    return located.mapInArrow(run, "doc_id long, item long, start_word long, end_word long, cosine double, lcs long, answer_lcs long")
+    return located.mapInArrow(run, "doc_id long, item long, start_word long, end_word long, cosine double, lcs long, answer_lcs long, stage string")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(doc_id, item_id, start_word, end_word, cosine, lcs, item_words, answer_lcs, answer_words), a row for each document and item found.
+    """(doc_id, item_id, start_word, end_word, cosine, lcs, item_words, answer_lcs, answer_words, stage), a row for each document and item found.
+
+    ``stage`` is ``latent`` where the cosine search finds the item in the document, ``bound`` where only the exact way does.
 
     ``benchmark`` has item_id, text and may have answer. Items without a word are in no document. Null texts are empty; null ids
     of documents are ids of their own; items that repeat are found each. Words are compared in lower case (A-Z) without punctuation.
     Rows that repeat a doc_id give one row for each item. An empty table on either side gives an empty result. Other columns are not
-    read. One text, with some 40 bytes for each of its own, has to fit into a task's memory, and so have ITEMS items.
+    read. One text, with some 40 bytes for each of its own, has to fit into a task's memory, and so have a lot of items: ITEMS, or
+    LOT_WORDS words, whichever comes first.
     """
     spark = docs.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -357,17 +385,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE)
         names = spark.createDataFrame([(k, r.item_id, len(items[k]), len(told[k])) for k, r in enumerate(block)], "item long, item_id long, item_words long, answer_words long")
         here = written(got, "found")
         discard(located)
-        best = here.groupBy("doc_id", "item").agg(F.max(F.struct("lcs", "answer_lcs", "cosine", (-F.col("start_word")).alias("s"), "end_word")).alias("b"))
+        best = here.groupBy("doc_id", "item").agg(F.max(F.struct("lcs", "answer_lcs", "cosine", (-F.col("start_word")).alias("s"), "end_word")).alias("b"), F.max("stage").alias("stage"))
         out = best.join(F.broadcast(names), "item")  # at most ITEMS rows
-        return out.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.end_word").alias("end_word"), F.col("b.cosine").alias("cosine"), F.col("b.lcs").alias("lcs"), "item_words", F.col("b.answer_lcs").alias("answer_lcs"), "answer_words")
+        return out.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.end_word").alias("end_word"), F.col("b.cosine").alias("cosine"), F.col("b.lcs").alias("lcs"), "item_words", F.col("b.answer_lcs").alias("answer_lcs"), "answer_words", "stage")
 
+    size = 0
     for r in listed.toLocalIterator():
-        if len(item_words(r.text)):
+        if n := len(item_words(r.text)):
+            if block and (len(block) == ITEMS or size + n > LOT_WORDS):
+                found, block, size = search(block) if found is None else found.union(search(block)), [], 0
             block.append(r)
-        if len(block) == ITEMS:
-            found, block = search(block) if found is None else found.union(search(block)), []
+            size += n
     if block:
         found = search(block) if found is None else found.union(search(block))
     if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, start_word long, end_word long, cosine double, lcs long, item_words long, answer_lcs long, answer_words long")
+        return spark.createDataFrame([], "doc_id long, item_id long, start_word long, end_word long, cosine double, lcs long, item_words long, answer_lcs long, answer_words long, stage string")
     return found.withColumn("doc_id", id_value())
