@@ -198,7 +198,7 @@ class _Targets:
 
     A window shares at least ``share`` of an item's words only if it has ``need`` occurrences of the item's indexed words: those
     with weight, and more by rarity until what is not indexed is less than that share. All but ``local``, a number for each word of
-    the lot, grows with these items' own words.
+    the lot, grows with these items' own words, of which a lot has LOT_WORDS at most.
     """
 
     def __init__(self, first: int, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, often: np.ndarray, latent: np.ndarray):
@@ -213,6 +213,7 @@ class _Targets:
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         self.space = np.linalg.qr(np.concatenate((own.T, latent[mine] * (self.weight > 0)[:, None]), axis=1))[0].astype(np.float32)
         self.target = own.astype(np.float32) @ self.space
+        self.space *= self.weight[:, None]
         # the least length whose share is MIN_LCS, by the division that decides in the end
         self.needed = np.array([next(k for k in range(len(t) + 1) if k / len(t) >= MIN_LCS) for t in items])
         self.size = np.fromiter(map(len, items), np.int64, len(items))
@@ -220,11 +221,12 @@ class _Targets:
         self.reach = np.maximum(3, -(-self.size // BLOCK_WORDS))
         #: Blocks of a passage: an item that begins in its first block ends in it.
         self.wide = -(-self.size // BLOCK_WORDS) + 1
-        terms, owners, keys, counts = [], [], [], []
+        #: How often each item has each of these words.
+        self.count = np.zeros((len(items), len(mine)), np.int32)
+        terms, owners = [], []
         for i, t in enumerate(items):
             u, c = np.unique(self.local[t], return_counts=True)
-            keys.append(i * len(mine) + u)
-            counts.append(c)
+            self.count[i, u] = c
             order = np.argsort(often[mine[u]], kind="stable")
             u, c = u[order], c[order]
             rest = len(t) - np.cumsum(c)
@@ -232,7 +234,6 @@ class _Targets:
             self.need[i] = self.needed[i] - rest[take - 1]
             terms.append(np.repeat(u[:take], c[:take]))
             owners.append(np.full(len(terms[-1]), i))
-        self.keys, self.counts = np.concatenate(keys), np.concatenate(counts)
         term, owner = np.concatenate(terms), np.concatenate(owners)
         order = np.argsort(term, kind="stable")
         self.owner, self.to = owner[order], np.searchsorted(term[order], np.arange(len(mine) + 1))
@@ -246,7 +247,7 @@ class _Targets:
         if len(live):
             at, local = block[live], local[live]
             starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            sums[1 + at[starts]] = np.add.reduceat(self.space[local] * self.weight[local][:, None], starts)
+            sums[1 + at[starts]] = np.add.reduceat(self.space[local], starts)
             np.cumsum(sums, 0, out=sums)
         out, here = np.zeros((len(low), len(self.items)), np.float32), np.arange(len(low))
         for w in np.unique(self.wide):
@@ -276,13 +277,11 @@ class _Targets:
 
     def overlap(self, which: np.ndarray, pair: np.ndarray, terms: np.ndarray) -> np.ndarray:
         """For pairs of a window and the item ``which``, with the windows' ``terms`` (of ``pair``): at most so many of the item's words are in a common subsequence."""
-        local, n = self.local[terms], len(self.weight)
-        live = np.flatnonzero(local >= 0)
-        key = np.unique(pair[live] * n + local[live])  # once for each window
-        pair = key // n
-        sought = which[pair] * n + key % n
-        at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
-        return np.bincount(pair, self.counts[at] * (self.keys[at] == sought), len(which))
+        local = self.local[terms]
+        has = np.where(local >= 0, self.count[which[pair], local], 0)
+        live = np.flatnonzero(has)
+        _, once = np.unique(pair[live] * len(self.weight) + local[live], return_index=True)  # once for each window
+        return np.bincount(pair[live][once], has[live][once], len(which))
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64()), ("stage", pa.string())])
