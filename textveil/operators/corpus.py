@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import matches, piece
+from .resolve import disjoint
 
 ENTS = "array<struct<start:int,end:int,label:string>>"
 PARTS = "array<struct<start:int,end:int,label:string,type:string,first:int,last:int>>"
@@ -221,9 +222,8 @@ def snapped(ents: Column, text: Column) -> Column:
 
 def without_overlaps(ents: Column) -> Column:
     """The longest first, then the earliest; what overlaps a kept entity goes. In the order of the text."""
-    keyed = F.sort_array(F.transform(ents, lambda e: F.struct((e["start"] - e["end"]).alias("a"), e["start"].alias("b"), e["label"].alias("c"), e.alias("e"))))
-    kept = F.aggregate(F.transform(keyed, lambda x: x["e"]), F.array().cast(ENTS), lambda k, e: F.when(F.exists(k, lambda x: (x["start"] < e["end"]) & (e["start"] < x["end"])), k).otherwise(F.concat(k, F.array(e))).cast(ENTS))
-    return F.sort_array(kept)
+    order = lambda e: F.struct((e["start"] - e["end"]).alias("a"), e["start"].alias("b"), e["label"].alias("c"))
+    return F.sort_array(disjoint(ents, order, ENTS))
 
 
 def occurrences(text: Column, word: Column) -> Column:

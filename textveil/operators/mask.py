@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import piece
+from ..functions.scan import bound, chunked, cut, piece, running
 from . import resolve
 from .detectors import EXTERNAL_SCORE, SPANS, detect
 
@@ -16,10 +16,14 @@ PLACEHOLDER = r"<[A-Z_]+_[0-9]+>"
 
 def _rewritten(text: Column, spans: Column, shown, limit: int | None = None) -> Column:
     """The text with each of ``spans`` (in order, disjoint) replaced by ``shown(span)``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], piece(text, a["at"], s["start"]), shown(s)).alias("out"))
-    whole = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
-    return whole if limit is None else F.left(whole, F.lit(limit))
+
+    def whole(all_: Column, chunks: Column) -> Column:
+        before = lambda s, k: F.concat(cut(chunks, F.coalesce(F.get(all_, k - 1)["end"], F.lit(0)), s["start"]), shown(s))
+        rest = cut(chunks, F.element_at(all_, -1)["end"], F.length(text))
+        return F.concat(F.array_join(F.transform(all_, before), ""), rest)
+
+    out = F.when(F.size(spans) > 0, bound(spans, lambda all_: bound(chunked(text), lambda c: whole(all_, c)))).otherwise(text)
+    return out if limit is None else F.left(out, F.lit(limit))
 
 
 def masked_text(text: Column, spans: Column) -> Column:
@@ -29,15 +33,10 @@ def masked_text(text: Column, spans: Column) -> Column:
 
 def masked_items(spans: Column) -> Column:
     """The placeholders with their places in the masked text."""
-    zero = F.struct(F.lit(0).alias("shift"), F.array().cast(ITEMS).alias("items"))
-
-    def step(a: Column, s: Column) -> Column:
-        shown = F.concat(F.lit("<"), s["entity_type"], F.lit(">"))
-        start = s["start"] + a["shift"]
-        item = F.struct(F.lit("replace").alias("operator"), s["entity_type"].alias("entity_type"), start.alias("start"), (start + F.length(shown)).alias("end"), shown.alias("text"))
-        return F.struct((a["shift"] + F.length(shown) - (s["end"] - s["start"])).alias("shift"), F.concat(a["items"], F.array(item)).cast(ITEMS).alias("items"))
-
-    return F.aggregate(resolve.best_disjoint(spans), zero, step, lambda a: a["items"])
+    shown = lambda s: F.concat(F.lit("<"), s["entity_type"], F.lit(">"))
+    further = lambda shift, s: shift + F.length(shown(s)) - (s["end"] - s["start"])
+    item = lambda shift, s: F.struct(F.lit("replace").alias("operator"), s["entity_type"].alias("entity_type"), (s["start"] + shift).alias("start"), (s["start"] + shift + F.length(shown(s))).alias("end"), shown(s).alias("text"))
+    return running(resolve.best_disjoint(spans), F.lit(0), further, lambda shift, s: F.array(item(shift, s)).cast(ITEMS), ITEMS)
 
 
 def mask(df: DataFrame, text: str = "text", spans: str = "spans", items: bool = False) -> DataFrame:
@@ -57,7 +56,8 @@ def mask_with(docs: DataFrame, spans: DataFrame, redetect_missing: bool = False,
 
 def numbered(text: Column, spans: Column) -> Column:
     """Spans in order with their value and number: one number for each distinct value of a type, by first appearance in the message."""
-    full = F.transform(resolve.best_disjoint(spans), lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), piece(text, s["start"], s["end"]).alias("value")))
+    one = lambda s, chunks: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), cut(chunks, s["start"], s["end"]).alias("value"))
+    full = bound(chunked(text), lambda c: F.transform(resolve.best_disjoint(spans), lambda s: one(s, c)))
 
     def shown(all_: Column, s: Column) -> Column:
         values = F.array_distinct(F.transform(F.filter(all_, lambda t: t["entity_type"] == s["entity_type"]), lambda t: t["value"]))
@@ -69,11 +69,12 @@ def numbered(text: Column, spans: Column) -> Column:
     return F.element_at(F.transform(F.array(full), every), 1)
 
 
-def apply_policy(df: DataFrame, policy: dict[str, str], text: str = "text", key: str = "request_id", role: str | None = None, roles: tuple[str, ...] = ("user",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_policy(df: DataFrame, policy: dict[str, str], text: str = "text", key: str = "request_id", role: str | None = None, roles: tuple[str, ...] = ("user",), values: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(passed, rejected, vault) of messages with ``spans``.
 
     A message with a span of a BLOCK type is rejected whole. In others MASK types get numbered placeholders; the vault has (key,
-    placeholder, value). Types without a policy stay as they are. Rows of other roles than ``roles`` pass unchanged.
+    placeholder, value). Types without a policy stay as they are. Rows of other roles than ``roles`` pass unchanged. ``values`` names a
+    column of what passes, a map of the message's placeholders to their values.
     """
     blocked = [t for t, a in policy.items() if a == "BLOCK"]
     hidden = [t for t, a in policy.items() if a == "MASK"]
@@ -82,7 +83,11 @@ def apply_policy(df: DataFrame, policy: dict[str, str], text: str = "text", key:
     rejected = df.where(bad)
     mine = F.when(judged, F.filter("spans", lambda s: s["entity_type"].isin(hidden))).otherwise(F.array().cast(SPANS))
     told = df.where(~bad).withColumn("__n", numbered(F.col(text), mine))
-    passed = told.withColumn("masked", _rewritten(F.col(text), F.col("__n"), lambda s: s["placeholder"])).drop("__n")
+    passed = told.withColumn("masked", _rewritten(F.col(text), F.col("__n"), lambda s: s["placeholder"]))
+    if values:  # a value that comes twice has one placeholder
+        pairs = F.array_distinct(F.transform("__n", lambda s: F.struct(s["placeholder"].alias("key"), s["value"].alias("value"))))
+        passed = passed.withColumn(values, F.map_from_entries(pairs))
+    passed = passed.drop("__n")
     vault = told.select(key, F.explode("__n").alias("n")).select(key, "n.placeholder", "n.value").distinct()
     return passed, rejected, vault
 
