@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,43 @@ def test_exact_split_refines_its_cut(spark, monkeypatch):
         for ratio in (0.0, 0.9, 1.0):
             got = {r.k for r in P.split(df, "k", ratio, exact=True).where("split = 'train'").collect()}
             assert got == set(order[: int(3000 * ratio)])
+
+
+def test_plans_count_on_and_draw_by_weight(spark):
+    rows = spark.createDataFrame([(k * k * 37 - 5,) for k in range(1, 2001)], "key long").repartition(5)
+    got = [r.row for r in G.plans_for(rows, "key", existing=rows.limit(30)).collect()]
+    assert sorted(got) == list(range(30, 2030))
+    weights = {"a": 0.5, "b": 0.25, "c": 0.2, "d": 0.05, "e": 0.0}
+    table = G.aliases(weights)
+    share = {v: 0.0 for v in weights}
+    for value, other, part in table:
+        assert 0 <= part <= 1
+        share[value] += part / len(table)
+        share[other] += (1 - part) / len(table)
+    assert all(abs(share[v] - w) < 1e-12 for v, w in weights.items())
+    seen = spark.range(40_000).select(G.drawn(G.uniform(F.col("id"), "x", 3), weights).alias("v")).groupBy("v").count().collect()
+    assert all(abs(r["count"] / 40_000 - weights[r.v]) < 0.01 for r in seen) and "e" not in {r.v for r in seen}
+    assert G.aliases({"one": 3.0}) == [("one", "one", 1.0)]
+
+
+def test_characters_are_swept(spark):
+    r = random.Random(4)
+    one = lambda: [("s", r.randrange(6), r.choice("AB"), a, a + r.randint(-1, 12), "") for a in (r.randrange(60) for _ in range(60))]
+    gold, pred = one(), one() + [("s", 1, "C", 0, 5, ""), ("t", 1, "A", 0, 5, "")]
+    schema = "subset string, doc_id long, label string, start int, end int, text string"
+    got = {(x.subset, x.label): (x.TP, x.FP, x.FN) for x in E.char_match(spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema), ["A", "B"]).collect()}
+    want = {}
+    for key in {(x[0], x[2]) for x in gold + pred if x[2] != "C"}:
+        chars = lambda side: {(x[1], k) for x in side if (x[0], x[2]) == key for k in range(x[3], x[4])}  # noqa: B023, E731
+        g, p = chars(gold), chars(pred)
+        want[key] = (len(g & p), len(p - g), len(g - p))
+    assert got == want
+
+
+def test_counts_are_taken_by_the_write(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(k, "train" if k % 3 else "dev") for k in range(100)] + [(100, None)], "k long, split string").repartition(3)
+    assert S.write_annotated(df, f"{tmp_path}/a").count() == 101
+    read = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: read(self, path).where("k <> 7"))
+    with pytest.raises(ValueError, match="differ"):
+        S.write_annotated(df, f"{tmp_path}/c")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import bound
+from ..sources.shared import counted
 
 # Weights of each choice.
 DOMAINS = {"DIALOG": 0.14, "DELIVERY": 0.13, "AUTO": 0.09, "BANK": 0.09, "HR": 0.08, "RE": 0.07, "TELECOM": 0.09, "MEDICAL": 0.07, "GOV": 0.08, "LEGAL": 0.08, "SOCIAL": 0.08}
@@ -48,28 +49,53 @@ def uniform(row: Column, dimension: str, seed: int) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 2**32
 
 
+def aliases(weights: dict[str, float]) -> list[tuple[str, str, float]]:
+    """Walker's table of some weights: as many cells as values, each with a value, another one, and the share of the first in the cell."""
+    n, total = len(weights), sum(weights.values())
+    cells = {v: w * n / total for v, w in weights.items()}
+    poor, rich = [v for v in weights if cells[v] < 1], [v for v in weights if cells[v] >= 1]
+    out = {}
+    while poor and rich:
+        low, high = poor.pop(), rich[-1]
+        out[low] = (low, high, cells[low])
+        cells[high] -= 1 - cells[low]
+        if cells[high] < 1:
+            poor.append(rich.pop())
+    return [out.get(v, (v, v, 1.0)) for v in weights]
+
+
 def drawn(u: Column, weights: dict[str, float]) -> Column:
-    """The first value whose cumulative share is above ``u``."""
-    total, upto, out = sum(weights.values()), 0.0, None
-    for value, w in weights.items():
-        upto += w
-        test = u * total < upto
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(list(weights)[-1])
+    """A value by its weight, in one look at the cell that ``u`` (0 to 1) falls into, however many values there are."""
+    table = aliases(weights)
+    cells = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(other).alias("other"), F.lit(share).alias("share")) for v, other, share in table])
+    place = u * len(table)
+    return bound(place, lambda p: bound(F.element_at(cells, F.floor(p).cast("int") + 1), lambda c: F.when(p - F.floor(p) < c["share"], c["value"]).otherwise(c["other"])))
+
+
+def weights_of(table: DataFrame) -> dict[str, dict[str, float]]:
+    """Weights by dimension from a table (dimension, value, weight)."""
+    rows = table.select("dimension", "value", "weight").orderBy("dimension", "value").limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} weights")
+    return {d: {r.value: r.weight for r in rows if r.dimension == d} for d in dict.fromkeys(r.dimension for r in rows)}
 
 
 def plans(spark: SparkSession, n: int, seed: int = 42, weights: dict[str, dict[str, float]] = WEIGHTS, first: int = 0) -> DataFrame:
     """``n`` plans with ids from ``first`` on. No shuffle; ids continue after existing rows by ``first``, their number."""
-    return plans_for(spark.range(first, first + n), "id", seed, weights)
+    return _planned(spark.range(first, first + n).select(F.col("id").alias("row")), seed, weights)
+
+
+def plans_for(rows: DataFrame, key: str, seed: int = 42, weights: dict[str, dict[str, float]] = WEIGHTS, existing: DataFrame | None = None) -> DataFrame:
+    """A plan for each row of a table with a unique ``key``, in the key's order, whatever gaps it has; ``row`` counts on from the number of ``existing`` rows, 0 if there are none."""
+    return _planned(counted(rows.select(key), key, "row", 0 if existing is None else existing.count()).select("row"), seed, weights)
 
 
-def plans_for(rows: DataFrame, key: str, seed: int = 42, weights: dict[str, dict[str, float]] = WEIGHTS) -> DataFrame:
-    """A plan for each row, drawn by its integer ``key``, which becomes ``row``."""
+def _planned(rows: DataFrame, seed: int, weights: dict[str, dict[str, float]]) -> DataFrame:
     at = F.col("row")
     pick = lambda d, w=None: drawn(uniform(at, d, seed), w or weights[d])
     whole = sum(weights["domain"].values())
     with_extra = lambda x: {k: v / whole for k, v in weights["domain"].items()} | {x: EXTRA_DOMAIN}
-    df = rows.select(F.col(key).alias("row")).withColumn("entity_type", pick("entity_type"))
+    df = rows.withColumn("entity_type", pick("entity_type"))
     kind = F.col("entity_type")
     named, placed = kind.isin("NAME_ONLY", "BOTH", "NAME_CONTEXT"), kind.isin("ADDRESS_ONLY", "BOTH")
     edges = F.when(named & placed, F.array(*map(F.lit, NAME_EDGES + ADDRESS_EDGES))).when(named, F.array(*map(F.lit, NAME_EDGES))).when(placed, F.array(*map(F.lit, ADDRESS_EDGES)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
+from ..functions.scan import chunked
 from ..functions.tagger import tagged
 from ..operators import corpus as P
 from ..operators import detectors as D
@@ -85,12 +86,12 @@ def detect_min_score(spark, sf_dir):
 
 _MAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 _CARD = r"\b\d(?:[ \-]?\d){12,18}\b"
-_LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 1 THEN CASE WHEN 2 * CAST(d[i] AS INT) > 9 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END ELSE CAST(d[i] AS INT) END)) % 10 = 0"
+_LUHN = "list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN (len({d}) - i) % 2 = 1 THEN CASE WHEN 2 * CAST({d}[i] AS INT) > 9 THEN 2 * CAST({d}[i] AS INT) - 9 ELSE 2 * CAST({d}[i] AS INT) END ELSE CAST({d}[i] AS INT) END)) % 10 = 0"
 
 
 @query(f"""
 SELECT 'EMAIL' AS entity_type, CAST(sum(len(regexp_extract_all(text, '{_MAIL}'))) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{_MAIL}') HAVING n > 0
-UNION ALL SELECT 'BANK_CARD_NUMBER', count(*) FROM (SELECT regexp_replace(unnest(regexp_extract_all(text, '{_CARD}')), '[^0-9]', '', 'g') AS d FROM documents) t WHERE {_LUHN} HAVING count(*) > 0
+UNION ALL SELECT 'BANK_CARD_NUMBER', count(*) FROM (SELECT regexp_replace(unnest(regexp_extract_all(text, '{_CARD}')), '[^0-9]', '', 'g') AS d FROM documents) t WHERE {_LUHN.format(d='d')} HAVING count(*) > 0
 """)
 def findings_by_type(spark, sf_dir):
     return R.findings_by_type(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.CARD, D.EMAIL)))
@@ -120,13 +121,42 @@ def token_places(spark, sf_dir):
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
-@query(_places_sql(r"[+]1 [(][2-9][0-9]{2}[)] [2-9][0-9]{2}-[0-9]{4}|\b[78]?[3489][0-9]{9}\b"))
+_PHONE = r"[+]1 [(][2-9][0-9]{2}[)] [2-9][0-9]{2}-[0-9]{4}|\b[78]?[3489][0-9]{9}\b"
+
+
+@query(_places_sql(_PHONE))
 def phone_places(spark, sf_dir):
     found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN, D.PHONE), entities=["PHONE_NUMBER"]))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
-@query()
+_PREFIXES = ["7916", "7495", "7800", "7216", "7701", "1917", "1212", "1911", "1017", "4420", "4460", "380", "297", "86", "998", "49", "7", "1"]
+_NUMBERS_SQL = f"SELECT c_custkey, '+' || element_at(array({', '.join(f"'{p}'" for p in _PREFIXES)}), CAST(c_custkey % {len(_PREFIXES)} AS INT) + 1) || substr(CAST(c_custkey * 104729 + 10000000019 AS STRING), 2, CAST(6 + c_custkey % 5 AS INT)) AS number FROM {{customer}}"
+
+
+@query(f"""
+WITH n AS ({_NUMBERS_SQL.replace('element_at(array(', 'list_extract(list_value(').replace('{customer}', 'customer')}),
+p(prefix, region, low, high, spot, digits) AS (VALUES {", ".join(f"('{p.prefix}', '{p.region}', {p.low}, {p.high}, {p.at}, '{p.digits}')" for p in D.PLANS)}),
+m AS (SELECT n.*, p.*, row_number() OVER (PARTITION BY c_custkey ORDER BY length(prefix) DESC) AS best FROM n JOIN p ON starts_with(substr(number, 2), prefix))
+SELECT c_custkey, number, prefix, region, high > 0 AND length(number) - 1 - length(prefix) BETWEEN low AND high AND contains(digits, substr(number, CAST(2 + length(prefix) + spot AS INT), 1)) AS valid FROM m WHERE best = 1
+""")
+def phone_plans(spark, sf_dir):
+    """Numbers of many countries by the plan of their longest prefix: cities and networks, area codes, services, codes without numbers, wrong lengths."""
+    n = spark.sql(_NUMBERS_SQL, customer=_table(spark, sf_dir, "customer"))
+    plan = D.plan_of(F.substr("number", F.lit(2)))
+    return n.select("c_custkey", "number", plan["prefix"].alias("prefix"), plan["region"].alias("region"), D.is_phone(F.col("number")).alias("valid"))
+
+
+_SECRET = 'token = "[0-9a-f]{40}"'
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{_MAIL}', '<EMAIL>', 'g'), '{_SECRET}', 'token = "<TOKEN>"', 'g'), '{_PHONE}', '<PHONE_NUMBER>', 'g') AS r,
+  {" + ".join(f"coalesce(len(regexp_extract_all(text, '{p}')), 0)" for p in (_MAIL, _SECRET, _PHONE))} AS n FROM documents),
+c AS (SELECT doc_id, n, regexp_split_to_array(r, '{_CARD}') AS gap, list_transform(regexp_extract_all(r, '{_CARD}'), lambda x: CASE WHEN {_LUHN.format(d="regexp_replace(x, '[^0-9]', '', 'g')")} THEN '<BANK_CARD_NUMBER>' ELSE x END) AS card FROM t)
+SELECT doc_id, CAST(n + coalesce(len(list_filter(card, lambda x: x = '<BANK_CARD_NUMBER>')), 0) AS INT) AS n,
+  sha256(array_to_string(list_transform(range(1, len(gap) + 1), lambda i: gap[i] || coalesce(card[i], '')), '')) AS masked_sha256 FROM c
+""")
 def findings_all_types(spark, sf_dir):
     """All rules over all documents, masked: the whole of the first workload."""
     found = M.mask(D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -232,7 +262,7 @@ _LABELLED = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Адрес достав
 def labels_and_mail_out(spark, sf_dir):
     df = spark.sql(_LABELLED, corpus=corpus(spark, sf_dir))
     one = F.array(F.struct(F.col("kind").alias("entity_type"), F.lit(0).alias("start"), F.length("word").alias("end"), F.lit(0.85).alias("score"))).cast(D.SPANS)
-    return _spans(df.withColumn("spans", R.resolved(one, F.col("word"))))
+    return _spans(df.withColumn("spans", R.resolved(one, chunked(F.col("word")))))
 
 
 # --- masking -------------------------------------------------------------------
@@ -612,11 +642,11 @@ def tagged_spans(spark, sf_dir):
 
 
 def _drawn_sql(dimension: str, weights: dict[str, float], key: str) -> str:
-    total, upto, tests = sum(weights.values()), 0.0, []
-    for value, w in weights.items():
-        upto += w
-        tests.append(f"WHEN u_{dimension} * {total!r} < {upto!r} THEN '{value}'")
-    return f"CASE {' '.join(tests)} ELSE '{list(weights)[-1]}' END"
+    """The alias table's cells as three lists."""
+    table = G.aliases(weights)
+    values, others, shares = (", ".join(f"'{v}'" for v in x) if k < 2 else ", ".join(f"{v!r}::DOUBLE" for v in x) for k, x in enumerate(zip(*table, strict=True)))
+    at, cell = f"u_{dimension} * {len(table)}", f"CAST(floor(u_{dimension} * {len(table)}) AS INT) + 1"
+    return f"CASE WHEN {at} - floor({at}) < [{shares}][{cell}] THEN [{values}][{cell}] ELSE [{others}][{cell}] END"
 
 
 def _uniform_sql(dimension: str, key: str) -> str:
@@ -677,7 +707,8 @@ _NAME_TEXT_SQL = """CASE regexp_replace(name_form, '_(GEN|DAT)$', '') WHEN 'NAME
 _NAMED = "entity_type IN ('NAME_ONLY', 'BOTH', 'NAME_CONTEXT')"
 _PLACED = "entity_type IN ('ADDRESS_ONLY', 'BOTH')"
 _PLAN_SQL = f"""
-WITH u AS (SELECT c_custkey AS row, {", ".join(f"{_uniform_sql(d, 'c_custkey')} AS u_{d}" for d in _PLAN_DIMENSIONS)} FROM customer),
+WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 + (SELECT count(*) FROM nation) AS row FROM customer),
+u AS (SELECT row, {", ".join(f"{_uniform_sql(d, 'row')} AS u_{d}" for d in _PLAN_DIMENSIONS)} FROM r),
 k AS (SELECT *, {_drawn_sql('entity_type', G.WEIGHTS['entity_type'], 'row')} AS entity_type FROM u),
 d AS (SELECT *, {_NAMED} AS named, {_PLACED} AS placed,
   CASE entity_type WHEN 'NAME_ONLY' THEN {_drawn_sql('domain', {x: w / _WHOLE for x, w in G.WEIGHTS['domain'].items()} | {'NAME': G.EXTRA_DOMAIN}, 'row')}
@@ -698,7 +729,8 @@ SELECT row, entity_type, domain, name_form, addr_form, style, length, expression
 
 
 def _plans(spark, sf_dir):
-    return G.plans_for(_table(spark, sf_dir, "customer"), "c_custkey")
+    """Keys with gaps, and ids that continue after as many rows as nation has."""
+    return G.plans_for(_table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7919 + 11).alias("key")), "key", existing=_table(spark, sf_dir, "nation"))
 
 
 @query(_PLAN_SQL)
@@ -709,9 +741,16 @@ def plan_rows(spark, sf_dir):
     return got.select(*plain, F.col("name_data.gender").alias("gender"), F.col("name_data.full_fio").alias("full_fio"), "name_text", F.when(F.col("addr_data").isNotNull(), address).alias("address"), F.col("addr_data.address_string").alias("address_text"), F.col("name_data_2.full_fio").alias("full_fio_2"), F.col("addr_data_2.address_string").alias("address_text_2"))
 
 
-@query(f"SELECT 'style' AS dimension, t.value, coalesce(s.n, 0) AS n, round(coalesce(s.n, 0) / (SELECT count(*) FROM customer), 6) AS share, round(t.w, 6) AS target, round(coalesce(s.n, 0) / (SELECT count(*) FROM customer) - t.w, 6) AS difference FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in G.WEIGHTS["style"].items()) + f") t(value, w) LEFT JOIN (SELECT style AS value, count(*) AS n FROM ({_PLAN_SQL}) p GROUP BY 1) s USING (value)")
+_MIXED_DIMENSIONS = ["entity_type", "name_form", "addr_form", "style", "length", "expression", "neg_category"]
+
+
+@query(f"WITH p AS ({_PLAN_SQL}), s AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS n FROM p WHERE {d} IS NOT NULL GROUP BY 2" for d in _MIXED_DIMENSIONS) + """),
+a AS (SELECT dimension, value, n / sum(n) OVER (PARTITION BY dimension) AS share, n FROM s),
+w AS (SELECT dimension, value, w / sum(w) OVER (PARTITION BY dimension) AS w FROM (VALUES """ + ", ".join(f"('{d}', '{k}', {v}::DOUBLE)" for d in _MIXED_DIMENSIONS for k, v in G.WEIGHTS[d].items()) + """) t(dimension, value, w))
+SELECT w.dimension, w.value, coalesce(n, 0) AS n, round(coalesce(share, 0), 6) AS share, round(w, 6) AS target, round(coalesce(share, 0) - w, 6) AS difference FROM w LEFT JOIN a USING (dimension, value)""")
 def plan_mix(spark, sf_dir):
-    return G.mix_audit(_plans(spark, sf_dir), G.weight_table(spark), ["style"])
+    """All dimensions that each plan draws once, against their weights."""
+    return G.mix_audit(_plans(spark, sf_dir), G.weight_table(spark), _MIXED_DIMENSIONS)
 
 
 _FORMS = list(G.WEIGHTS["addr_form"])
@@ -787,3 +826,29 @@ def restored_stream(spark, sf_dir):
     out = restore_stream(stream("answers"), stream("vault"))
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out").where("restored <> text").select("request_id", "restored")
+
+
+_IN_TIME = "(doc_id % 3 = 1 OR (doc_id % 3 = 2 AND doc_id % 4 = 0))"
+
+
+@query(f"SELECT doc_id AS request_id, 'Ответ: ' || before || CASE WHEN entity IS NULL OR {_IN_TIME} THEN value ELSE '<' || entity || '_1>' END || after AS restored, {_IN_TIME} AS in_time FROM {_CORPUS} c WHERE entity IS NULL OR entity NOT IN {_BLOCKED}")
+def guarded_and_restored(spark, sf_dir):
+    """Requests through the guard, and their own answers restored from what it wrote: after 30, 70 or 600 seconds, of which 60 are in time.
+
+    Every fourth request is sent again after 20 seconds, so 70 are in time for it; each has one answer.
+    """
+    from ..streaming.guard import guard, restore_requests
+
+    base = _new_folder(spark, "chain")
+    asked = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 60)
+    again = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(0), F.lit(20))).otherwise(F.array(F.lit(0)))
+    sent = corpus(spark, sf_dir).select(F.col("doc_id").alias("request_id"), "text", asked.alias("ts"), F.explode(again).alias("after"))
+    sent.select("request_id", "text", (F.col("ts") + F.make_dt_interval(secs=F.col("after"))).alias("ts")).write.parquet(f"{base}/messages")
+    stream = lambda path: spark.readStream.schema(spark.read.parquet(f"{base}/{path}").schema).parquet(f"{base}/{path}")
+    guard(stream("messages"), _POLICY, f"{base}/out", f"{base}/guard", key="request_id", role=None, ts="ts").awaitTermination()
+    first = spark.read.parquet(f"{base}/out/passed").groupBy("request_id", "masked").agg(F.min("ts").alias("ts"))
+    wait = F.element_at(F.array(F.lit(600), F.lit(30), F.lit(70)), (F.col("request_id") % 3 + 1).cast("int"))
+    first.select("request_id", F.concat(F.lit("Ответ: "), "masked").alias("text"), (F.col("ts") + F.make_dt_interval(secs=wait)).alias("ts")).write.parquet(f"{base}/answers")
+    out = restore_requests(stream("answers"), stream("out/requests").select("request_id", "values", "ts"))
+    out.writeStream.format("parquet").option("path", f"{base}/restored").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/restored").select("request_id", "restored", "in_time")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +18,26 @@ def shared_folder(spark: SparkSession) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='textveil-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several results need, or whose order has to stand: written once into the shared folder and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
+    """Adds ``name``: numbers without gaps from ``first`` on, in the order of a key without repetitions.
+
+    Ranges of the key are sorted side by side; a range's first number is the number of rows before it. The driver takes one sum for each range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    put = written(df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()), "counted")
+    part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dict(put.groupBy(part.alias("part")).agg(F.max(place) + 1).collect())
+    starts, total = [], first
+    for k in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    return put.withColumn(name, F.element_at(F.array(*map(F.lit, starts)).cast("array<long>"), part + 1) + place).drop("__at")
