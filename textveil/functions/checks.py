@@ -17,10 +17,9 @@ def _digit(d: Column, k: int) -> Column:
 
 
 def _weighted(d: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for k, w in enumerate(weights):
-        total = total + _digit(d, k) * w
-    return total
+    """The sum of the first digits by their weights."""
+    each = F.zip_with(F.split(F.left(d, F.lit(len(weights))), ""), F.lit(weights), lambda x, w: x.cast("int") * w)
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
 def _check(d: Column, weights: list[int]) -> Column:

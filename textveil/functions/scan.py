@@ -45,7 +45,7 @@ def running(items: Column, start: Column, step: Callable[[Column, Column], Colum
 
 
 def cleaned(text: Column) -> Column:
-    return F.translate(text, MARK, " ")
+    return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
 
 
 def found(clean: Column, pattern: str | Column, gate: str | Column | None = None) -> Column:

@@ -68,14 +68,16 @@ DIGITS = r"[+(]?\p{Nd}[\p{Nd}\p{IsWhite_Space}()\-+]*"
 TOKENS = r"(?<![A-Za-z0-9+/=_.:\-])[A-Za-z0-9+/=_.:\-]{16,}|eyJ[A-Za-z0-9_.\-]{7,12}"
 #: A run of digits that is a word of its own.
 RUN = r"(?U)\b\d{3,15}\b"
+REACH = 12
 
 
 @dataclass(frozen=True)
 class Rule:
     """One pattern of a detector, and how its matches score.
 
-    ``within`` tells where matches lie: in the ``text``, wholly in a stretch of DIGITS or TOKENS (``digits``, ``tokens``), or they are a
-    whole RUN of digits (``run``), against which ``pattern`` is held then. ``gate`` is a pattern that any match implies, of the text or
+    ``within`` tells where matches lie: in the ``text``, wholly in a stretch of DIGITS or TOKENS (``digits``, ``tokens``), from digits on
+    and less than REACH characters beyond their stretch (``beyond``), or they are a whole RUN of digits (``run``), against which
+    ``pattern`` is held then. ``gate`` is a pattern that any match implies, of the text or
     of the stretch; no match is shorter than ``least`` or, in a run, longer than ``most``. ``check`` names a test of the match.
 
     A match scores ``near`` if one of ``words`` stands within ``close`` characters of it, else ``far`` if one of ``more`` stands within
@@ -230,8 +232,8 @@ INN = Detector("INN", tuple(Rule("", "run", "", n, n, "inn", **by_context(INN_WO
 SNILS = Detector("SNILS", (Rule(r"(?U)\b\d{3}-\d{3}-\d{3}\s\d{2}\b", "digits", "-", 14, **constant(0.9)), Rule("", "run", "", 11, 11, "snils", **by_context(SNILS_WORDS, 1.0, 0.85))))
 OGRN = Detector("OGRN", (Rule("^[15]", "run", "", 13, 13, "ogrn", **by_context(OGRN_WORDS, 1.0, 0.85)), Rule(r"(?U)\b[15]-\d{2}-\d{2}-\d{7}-\d\b", "digits", "-", 17, 0, "ogrn", **by_context(OGRN_WORDS, 1.0, 0.85))))
 OGRNIP = Detector("OGRNIP", (Rule("^[34]", "run", "", 15, 15, "ogrnip", **by_context(OGRNIP_WORDS, 1.0, 0.85)), Rule(r"(?U)\b[34]-\d{2}-\d{2}-\d{9}-\d\b", "digits", "-", 19, 0, "ogrnip", **by_context(OGRNIP_WORDS, 1.0, 0.85))))
-KPP = Detector("KPP", (Rule(r"(?iU)\b\d{4}[\dA-Z]{2}\d{3}\b", "text", r"(?U)\d{4}[\dA-Za-z\u017F\u212A]{2}\d{3}", **by_context(KPP_WORDS, 0.9, 0.7)), Rule(r"(?iU)\b\d{4}-[\dA-Z]{2}-\d{3}\b", "text", r"(?U)\d{4}-[\dA-Za-z\u017F\u212A]{2}-\d{3}", **by_context(KPP_WORDS, 1.0, 0.8))))
-PASSPORT = Detector("PASSPORT_NUMBER", (Rule(r"(?iU)серия\s+\d{4}\s+номер\s+\d{6}", "text", r"(?iu)серия", **constant(0.90)), *[Rule(p, "digits", "", 11, **_passport(b)) for p, b in ((r"(?U)\b\d{2}\s\d{2}\s\d{6}\b", 0.70), (r"(?U)\b\d{4}\s\d{6}\b", 0.55), (r"(?U)\b\d{4}[-]\d{6}\b", 0.55))], Rule("", "run", "", 10, 10, **_passport(0.30))))
+KPP = Detector("KPP", (Rule(r"(?iU)\b\d{4}[\dA-Z]{2}\d{3}\b", "beyond", "", 4, **by_context(KPP_WORDS, 0.9, 0.7)), Rule(r"(?iU)\b\d{4}-[\dA-Z]{2}-\d{3}\b", "beyond", "-", 4, **by_context(KPP_WORDS, 1.0, 0.8))))
+PASSPORT = Detector("PASSPORT_NUMBER", (Rule(r"(?iU)серия\s+\d{4}\s+номер\s+\d{6}", "text", "[Сс][Ее][Рр][Ии][Яя]", **constant(0.90)), *[Rule(p, "digits", "", 11, **_passport(b)) for p, b in ((r"(?U)\b\d{2}\s\d{2}\s\d{6}\b", 0.70), (r"(?U)\b\d{4}\s\d{6}\b", 0.55), (r"(?U)\b\d{4}[-]\d{6}\b", 0.55))], Rule("", "run", "", 10, 10, **_passport(0.30))))
 CARD = Detector("BANK_CARD_NUMBER", (Rule(_CARD_SHAPE, "digits", "", 13, 0, "luhn", "card", **by_context(CARD_WORDS, 0.3, 0.15, 0.0, fuzzy=False)),))
 PHONE = Detector("PHONE_NUMBER", (Rule(_PHONE_SHAPE, "digits", "", 8, 0, "phone", "phone", **by_context(PHONE_WORDS, 0.15, 0.10, 0.0, fuzzy=False)),))
 EMAIL = Detector("EMAIL", (Rule(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "text", "@", **constant(0.9)),))
@@ -279,31 +281,45 @@ def found_spans(text: Column, detectors=ALL) -> Column:
     hits = lambda t, r: found(t, r["pattern"], (r["gate"] == "") | F.regexp_like(t, r["gate"]))
     kind = "array<struct<start:int,end:int,value:string,r:" + _RULE[6:-1] + ">>"
 
-    def matches(chunks: Column) -> Column:
-        # a stretch with a character to each side, as patterns look there
-        seen = lambda pattern, name: F.transform(found(text, pattern), lambda s: F.struct(F.lit(name).alias("within"), (s["end"] - s["start"]).alias("size"), F.greatest(s["start"] - 1, F.lit(0)).alias("at"), cut(chunks, F.greatest(s["start"] - 1, F.lit(0)), s["end"] + 1).alias("text")))
-        scans = [seen(p, name) for p, name, where in ((DIGITS, "digits", ("digits", "run")), (TOKENS, "tokens", ("tokens",))) if of(*where)]
-        parts = []
-        if of("text"):
-            parts.append(F.flatten(F.transform(_rules(of("text")), lambda r: moved(hits(text, r), F.lit(0), r))).cast(kind))
-
-        def inside(stretches: Column) -> Column:
-            inner = []
-            if of("digits", "tokens"):
-                fits = lambda r: F.filter(stretches, lambda s: (s["within"] == r["within"]) & (s["size"] >= r["least"]))
-                inner.append(F.flatten(F.transform(_rules(of("digits", "tokens")), lambda r: F.flatten(F.transform(fits(r), lambda s: moved(hits(s["text"], r), s["at"], r))))).cast(kind))
-            if of("run"):
-                takes = lambda x: F.filter(_rules(of("run")), lambda r: F.length(x["value"]).between(r["least"], r["most"]) & ((r["pattern"] == "") | F.regexp_like(x["value"], r["pattern"])))
-                routed = lambda x, by: F.transform(takes(x), lambda r: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value"), r.alias("r")))
-                digits = F.filter(stretches, lambda s: (s["within"] == "digits") & (s["size"] >= 3))
-                inner.append(F.flatten(F.transform(digits, lambda s: F.flatten(F.transform(found(s["text"], RUN), lambda x: routed(x, s["at"]))))).cast(kind))
-            return F.concat(*inner)
-
-        if scans:
-            parts.append(bound(F.concat(*scans), inside))
-        return F.concat(*parts) if parts else F.array().cast(kind)
-
-    def scored(lower: Column) -> Callable[[Column], Column]:
+    # stretches with a character to each side, as patterns look there, and one with all that a match can reach
+    widths = {"digits": 1, "beyond": REACH, "tokens": 1}
+    wanted = lambda *where: [w for w in where if of(w)]
+
+    def scan(pattern: str, gate: Column, kinds: list[str]) -> Column:
+        one = lambda s, k: F.struct(F.lit(k).alias("within"), (s["end"] - s["start"]).alias("size"), F.greatest(s["start"] - 1, F.lit(0)).alias("at"), s["end"].alias("end"), (s["end"] + widths[k]).alias("to"))
+        return F.flatten(F.transform(found(text, pattern, gate), lambda s: F.array(*[one(s, k) for k in kinds])))
+
+    def inside(stretches: Column) -> Column:
+        inner = []
+        if of("digits", "beyond", "tokens"):
+            fits = lambda r: F.filter(stretches, lambda s: (s["within"] == r["within"]) & (s["size"] >= r["least"]))
+            begun = lambda s, r: F.filter(moved(hits(s["text"], r), s["at"], r), lambda x: x["start"] < s["end"])  # a match belongs to the stretch that it begins in
+            inner.append(F.flatten(F.transform(_rules(of("digits", "beyond", "tokens")), lambda r: F.flatten(F.transform(fits(r), lambda s: begun(s, r))))).cast(kind))
+        if of("run"):
+            takes = lambda x: F.filter(_rules(of("run")), lambda r: F.length(x["value"]).between(r["least"], r["most"]) & ((r["pattern"] == "") | F.regexp_like(x["value"], r["pattern"])))
+            routed = lambda x, by: F.transform(takes(x), lambda r: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value"), r.alias("r")))
+            digits = F.filter(stretches, lambda s: (s["within"] == "digits") & (s["size"] >= 3))
+            inner.append(F.flatten(F.transform(digits, lambda s: F.flatten(F.transform(found(s["text"], RUN), lambda x: routed(x, s["at"]))))).cast(kind))
+        return F.concat(*inner)
+
+    def in_stretches() -> Column:
+        # words are seldom that long, and a blank is told faster than a character of a secret
+        has = lambda p: F.regexp_like(text, F.lit(p))
+        scans = [scan(DIGITS, has(r"\p{Nd}"), sorted({"digits", *wanted("beyond")}))] if of("digits", "run", "beyond") else []
+        scans += [scan(TOKENS, has(r"\S{16}") | F.contains(text, F.lit("eyJ")), ["tokens"])] if of("tokens") else []
+        cut_out = lambda s, c: F.struct(s["within"].alias("within"), s["size"].alias("size"), s["at"].alias("at"), s["end"].alias("end"), cut(c, s["at"], s["to"]).alias("text"))
+        texts = lambda all_: bound(chunked(text), lambda c: bound(F.transform(all_, lambda s: cut_out(s, c)), inside))
+        least = min(3 if r["within"] == "run" else r["least"] for r in of("digits", "run", "beyond", "tokens"))
+        return bound(F.filter(F.concat(*scans), lambda s: s["size"] >= least), lambda all_: F.when(F.size(all_) > 0, texts(all_)).otherwise(F.array().cast(kind)))
+
+    parts = []
+    if of("text"):
+        parts.append(F.flatten(F.transform(_rules(of("text")), lambda r: moved(hits(text, r), F.lit(0), r))).cast(kind))
+    if of("digits", "run", "beyond", "tokens"):
+        parts.append(in_stretches())
+    matches = F.concat(*parts) if parts else F.array().cast(kind)
+
+    def scored(chunks: Column) -> Callable[[Column], Column]:
         def of_match(m: Column) -> Column:
             r, s, e = m["r"], m["start"], m["end"]
             left = F.greatest(s - r["wide"], F.lit(0))
@@ -318,7 +334,7 @@ def found_spans(text: Column, detectors=ALL) -> Column:
                 return F.when(~bad & _named(r["needs"], used("needs"), NEEDS, True, m["value"], told), out)
 
             shape = _named(r["shape"], used("shape"), SHAPES, 0.0, m["value"])
-            context = F.when(F.size(r["words"]) + F.size(r["more"]) > 0, bound(cut(lower, left, e + r["wide"]), level)).otherwise(r["none"])
+            context = F.when(F.size(r["words"]) + F.size(r["more"]) > 0, bound(F.lower(cut(chunks, left, e + r["wide"])), level)).otherwise(r["none"])
             total = bound(shape + context, lambda x: F.round(F.when(x > 1.0, 1.0).otherwise(x), 2))  # null where the match is dropped
             return F.struct(r["rank"].alias("rank"), s.alias("start"), e.alias("end"), r["entity"].alias("entity_type"), total.alias("score"))
 
@@ -326,12 +342,12 @@ def found_spans(text: Column, detectors=ALL) -> Column:
 
     def judged(all_: Column) -> Column:
         valid = F.filter(all_, lambda m: _named(m["r"]["check"], used("check"), CHECKS, True, m["value"]))
-        told = bound(chunked(F.lower(text)), lambda lower: F.sort_array(F.filter(F.transform(valid, scored(lower)), lambda s: s["score"].isNotNull())))
+        told = bound(chunked(text), lambda c: F.sort_array(F.filter(F.transform(valid, scored(c)), lambda s: s["score"].isNotNull())))
         spans = F.transform(told, lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))).cast(SPANS)
         return resolve.once_per(spans, lambda s, i: F.when(s["entity_type"] == "TOKEN", -1).otherwise(i), lambda s: F.lit(0))
 
     none = F.array().cast(SPANS)
-    return F.coalesce(bound(bound(chunked(text), matches), lambda all_: F.when(F.size(all_) > 0, judged(all_)).otherwise(none)), none)
+    return F.coalesce(bound(matches, lambda all_: F.when(F.size(all_) > 0, judged(all_)).otherwise(none)), none)
 
 
 def with_external(docs: DataFrame, external: DataFrame | None, key: str) -> DataFrame:

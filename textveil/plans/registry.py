@@ -114,14 +114,15 @@ FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id
 """
 
 
-@query(_places_sql('token = "[0-9a-f]{40}"', 9, 1))
+@query(_places_sql('(?:token|TOKEN|Token) = "[0-9a-fA-F]{40}"', 9, 1))
 def token_places(spark, sf_dir):
     """Secrets beside a word for them, in all documents; random words without one score less."""
     found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN, D.EMAIL), entities=["TOKEN"], min_score=0.7))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
-_PHONE = r"[+]1 [(][2-9][0-9]{2}[)] [2-9][0-9]{2}-[0-9]{4}|\b[78]?[3489][0-9]{9}\b"
+#: Area codes that end in 11 are services'.
+_PHONE = r"[+]1 [(][2-9](?:[02-9][0-9]|1[02-9])[)] [2-9][0-9]{2}-[0-9]{4}|\b[78]?[3489][0-9]{9}\b"
 
 
 @query(_places_sql(_PHONE))
@@ -147,11 +148,11 @@ def phone_plans(spark, sf_dir):
     return n.select("c_custkey", "number", plan["prefix"].alias("prefix"), plan["region"].alias("region"), D.is_phone(F.col("number")).alias("valid"))
 
 
-_SECRET = 'token = "[0-9a-f]{40}"'
+_SECRET = '(token|TOKEN|Token) = "[0-9a-fA-F]{40}"'
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{_MAIL}', '<EMAIL>', 'g'), '{_SECRET}', 'token = "<TOKEN>"', 'g'), '{_PHONE}', '<PHONE_NUMBER>', 'g') AS r,
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{_MAIL}', '<EMAIL>', 'g'), '{_SECRET}', '\\1 = "<TOKEN>"', 'g'), '{_PHONE}', '<PHONE_NUMBER>', 'g') AS r,
   {" + ".join(f"coalesce(len(regexp_extract_all(text, '{p}')), 0)" for p in (_MAIL, _SECRET, _PHONE))} AS n FROM documents),
 c AS (SELECT doc_id, n, regexp_split_to_array(r, '{_CARD}') AS gap, list_transform(regexp_extract_all(r, '{_CARD}'), lambda x: CASE WHEN {_LUHN.format(d="regexp_replace(x, '[^0-9]', '', 'g')")} THEN '<BANK_CARD_NUMBER>' ELSE x END) AS card FROM t)
 SELECT doc_id, CAST(n + coalesce(len(list_filter(card, lambda x: x = '<BANK_CARD_NUMBER>')), 0) AS INT) AS n,
