@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_classes, brute_spans
 
 import corpus_pipeline
-from textveil.llm import common, fingerprint, huffman, jaccard, leaks, packing, quality, shuffle, substrings
+from textveil.llm import chat, common, fingerprint, huffman, jaccard, leaks, packing, quality, shuffle, substrings, urls
 
 ODD = ["starts", "ends", "__key", "__rank", "component_id", "a.b", "__e", "__host", "key", "doc", "hash", "first", "grams", "__kept", "__c0", "range", "again", "bucket", "n", "class", "list", "item", "__group", "length"]
 
@@ -86,3 +88,66 @@ def test_hot_classes_and_rare_ones(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 2)
     hot = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == hot == brute_classes(rows)
+
+
+def test_pages_and_chats_with_clashing_columns(spark):
+    """op4 and op10 beside columns of their own names, and with a very long url and text."""
+    long = "https://a.example.org/" + "/".join(f"p{k}" for k in range(20_000)) + "?" + "&".join(f"k{k}=1" for k in range(5_000))
+    pages = [(1, "http://EXAMPLE.org/es/x"), (2, "http://b.com/de/"), (3, None), (4, long), (5, ""), (5, "http://c.net/?q")]
+    odd = ["host", "path", "rule", "verdict", "items", "listed", "key", "confidence", "rule_id", "item", "rarest", "html"]
+    df = spark.createDataFrame([(*p, *range(len(odd))) for p in pages], "page_id long, url string, " + ", ".join(f"`{c}` long" for c in odd))
+    got = {(r.page_id, r.host, r.rule, r.verdict) for r in urls.judge(df).collect()}
+    assert got == {(1, "example.org", "example.org/es/", "block"), (2, "b.com", "com/de/", "block"), (3, "", None, "allow"), (4, "a.example.org", "org/", "allow"), (5, "", None, "allow"), (5, "c.net", None, "allow")}
+
+    odd = ["head", "body", "refs", "before", "at", "t", "formatted", "loss_spans", "attachments", "learn", "turns", "loss"]
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>" + "é& " * 200_000), (2, 0, None, None)]
+    df = spark.createDataFrame([(*t, *range(len(odd))) for t in turns], "conv_id long, turn long, role string, text string, " + ", ".join(f"`{c}` long" for c in odd))
+    got = {r.conv_id: r for r in chat.digests(chat.format_chats(df)).collect()}
+    loss = turns[1][3]
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (2, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\nhi\nassistant\n{loss}\n".encode()).hexdigest() and got[2].loss_chars == 0
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    """A text of some MB beside short ones: equal texts have equal fingerprints, one with a changed end a near one."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(5_000)]
+    long = " ".join(r.choice(words) for _ in range(400_000))
+    rows = [(1, long), (2, "short"), (3, long), (4, long[:-4000] + "x" * 4000), (5, None)]
+    got = {x.doc_id: x for x in fingerprint.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].fingerprint == got[3].fingerprint != got[2].fingerprint and got[1].n_chars == len(long)
+    assert got[3].near_next > 0.9 and got[1].near_next < 0.1 and 0.5 < got[1].near_edited < 0.95
+
+
+def test_rules_hold_on_urls_that_they_were_not_mined_from(spark):
+    """A tenth of the listed urls is held out in turn: what the mined rules say of them against the list."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    listed = urls.judged_items(pages).where("listed IS NOT NULL AND url IS NOT NULL").select("url", "items", (F.col("listed.verdict") == "block").alias("bad"), F.pmod(F.xxhash64("url"), F.lit(10)).alias("fold")).persist()
+    right = wrong = missed = 0
+    for fold in range(3):
+        rules = urls.mine(listed.where(F.col("fold") != fold).select("items", "bad")).persist()
+        told = listed.where(F.col("fold") == fold).dropDuplicates(["url"])
+        said = told.join(urls.matched(told.select("url", "items"), rules), "url", "left").groupBy("bad", F.col("confidence").isNotNull().alias("blocked")).count().collect()
+        n = {(x.bad, x.blocked): x["count"] for x in said}
+        right, wrong, missed = right + n.get((True, True), 0), wrong + n.get((False, True), 0), missed + n.get((True, False), 0)
+    print("held-out urls: blocked rightly, wrongly, missed:", right, wrong, missed)
+    assert right >= 3 * wrong and right > 20
+
+
+def test_small_sets_meet_on_subsets_alone(spark, monkeypatch):
+    """Where all sets are small, every link between different sets comes from the light half."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(9)]
+    rows = []
+    for k in range(900):
+        text = [r.choice(words) for _ in range(r.randint(6, 10))] if k % 3 else rows[r.randrange(len(rows))][1].split()[: r.choice([8, 9, 10])] + r.choice([[], ["w1"], ["zz"]]) if rows else ["w1"] * 9
+        rows.append((k, " ".join(text)))
+    links = jaccard._list_links
+    monkeypatch.setattr(jaccard, "boundary", lambda sizes, often: 8)
+    monkeypatch.setattr(jaccard, "_list_links", lambda members: links(members).where("a IS NULL"))  # the heavy half says nothing
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and max(n for n, _ in want.values()) <= 8
+    sets = {k: frozenset(zip(*[t.split()[i:] for i in range(5)])) for k, t in rows}
+    joined = {c for k, (_, c) in want.items() if sets[k] != sets[c] and sets[k]}
+    assert len(joined) > 10  # classes of different sets, which only a subset can have joined

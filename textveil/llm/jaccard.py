@@ -132,7 +132,9 @@ def _subsets(u: np.ndarray, small: int) -> list[int]:
         if b <= small and (size := needed(n, b)) <= n:
             key = np.uint64((min(n, b) * 64 + max(n, b)) * scan.BASE % (1 << 64))
             at = np.array(list(combinations(range(n), size)), np.int64)
-            out.append(scan.mixed(h[at].sum(1) * np.uint64(2 * size + 1) + key))
+            met = scan.mixed(h[at].sum(1) * np.uint64(2 * size + 1) + key)
+            # odd where sets of one size meet; elsewhere two of one size are no link by themselves
+            out.append(met >> np.uint64(1) << np.uint64(1) | np.uint64(b == n))
     return np.unique(np.concatenate(out)).astype(np.int64).tolist() if out else []
 
 
@@ -486,8 +488,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     if large_ones.limit(1).count():
         by_list = by_list.union(_large_links(written(large_ones.join(sets_of(large_ones), "doc_id").select("list", "doc_id", "sets", "hashes"), "large"), total))
 
-    meets = chosen.select("doc_id", F.explode("meets").alias("meet"))
-    least = meets.groupBy("meet").agg(F.min("doc_id").alias("a"), F.count("*").alias("sets")).where("sets > 1")
+    # a place for sets of two sizes holds a link once both are there, and then all of them hang together
+    meets = chosen.select("doc_id", "n", F.explode("meets").alias("meet"))
+    least = meets.groupBy("meet").agg(F.min("doc_id").alias("a"), F.count("*").alias("sets"), F.min("n").alias("low"), F.max("n").alias("high")).where("sets > 1 AND (meet & 1 = 1 OR low < high)").drop("low", "high")
+    meets = meets.drop("n")
     by_subset = spread_join(meets, least, "meet", "sets", total).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     edges = written(by_list.union(by_subset), "links")
     discard(clusters)
