@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["findings_by_type", "email_places", "contained_spans_out", "best_disjoint_spans", "exact_scores", "char_scores", "united_intervals", "exact_split", "length_statistics", "longest_entities", "token_annotations", "plan_rows", "record_checks", "chat_round_trip", "detect_all", "check_digits", "first_of_equal_spans", "overlaps_out", "masked_or_searched", "policy_by_role", "json_records", "json_rejects", "annotated_files", "offset_annotations", "strict_tag_parts", "tagged_spans", "address_checks", "restored_stream"]
+SOME = ["findings_by_type", "email_places", "contained_spans_out", "best_disjoint_spans", "exact_scores", "char_scores", "united_intervals", "exact_split", "length_statistics", "longest_entities", "token_annotations", "plan_rows", "record_checks", "chat_round_trip", "detect_all", "check_digits", "first_of_equal_spans", "overlaps_out", "masked_or_searched", "policy_by_role", "json_records", "json_rejects", "annotated_files", "offset_annotations", "strict_tag_parts", "tagged_spans", "address_checks", "restored_stream", "findings_all_types", "phone_plans", "plan_mix", "guarded_and_restored"]
 
 
 def test_keys():
@@ -22,7 +22,7 @@ def told(value):
 def test_against_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("customer", "orders", "documents", "conversations"):
+    for t in ("customer", "orders", "documents", "conversations", "nation"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     a, b = entry.queries()[name](spark, DIR).toPandas(), c.execute(entry.oracle_sql()[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
