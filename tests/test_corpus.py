@@ -145,3 +145,26 @@ def test_counts_are_taken_by_the_write(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: read(self, path).where("k <> 7"))
     with pytest.raises(ValueError, match="differ"):
         S.write_annotated(df, f"{tmp_path}/c")
+
+
+def test_small_tables_are_dealt_and_large_ones_left(spark, tmp_path):
+    from textveil.sources.shared import dealt_if_small
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    dealt = dealt_if_small(table)
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(dealt.toPandas()["id"]) == list(range(1000))
+    assert dealt_if_small(table, at_most=0) is table
+
+
+def test_places_count_once_and_texts_as_often_as_they_stand(spark):
+    from textveil.operators.evaluate import bag_match, exact_match
+
+    schema = "subset string, doc_id long, label string, start int, end int, text string"
+    gold = spark.createDataFrame([("a", 1, "NAME", 0, 3, "Аня"), ("a", 1, "NAME", 0, 3, "аня "), ("a", 1, "CVC", 5, 8, "123"), ("a", None, "CVC", 0, 3, None), ("a", 2, "OTHER", 0, 1, "x")], schema)
+    pred = spark.createDataFrame([("a", 1, "NAME", 0, 3, "Аня"), ("a", 1, "CVC", 5, 9, "123"), ("a", None, "CVC", 0, 3, None)], schema)
+    told = lambda d: {tuple(r) for r in d.collect()}
+    assert told(bag_match(gold, pred, ["NAME", "CVC"])) == {("a", "NAME", 1, 0, 1), ("a", "CVC", 2, 0, 0)}
+    assert told(exact_match(gold, pred, ["NAME", "CVC"])) == {("a", "NAME", 1, 0, 0), ("a", "CVC", 1, 1, 1)}
+    assert told(exact_match(gold.limit(0), pred.limit(0), ["NAME"])) == set()

@@ -13,9 +13,9 @@ def normalized(s: Column) -> Column:
 
 
 def _counts(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    g = gold.groupBy(*keys).agg(F.count("*").alias("g"))
-    p = pred.groupBy(*keys).agg(F.count("*").alias("p"))
-    return g.join(p, keys, "full").select(*keys, F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"))
+    """(keys, g, p): how often each side has a key. Both go into one aggregation, added up before the shuffle; nothing is joined."""
+    side = lambda d, g, p: d.select(*keys, F.lit(g).alias("g"), F.lit(p).alias("p"))
+    return side(gold, 1, 0).union(side(pred, 0, 1)).groupBy(*keys).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
 
 
 def _summed(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -31,8 +31,9 @@ def bag_match(gold: DataFrame, pred: DataFrame, labels: list[str]) -> DataFrame:
 def exact_match(gold: DataFrame, pred: DataFrame, labels: list[str]) -> DataFrame:
     """The same over (start, end, label); a place given twice counts once."""
     keys = ["subset", "doc_id", "label", "start", "end"]
-    on = lambda d: d.where(F.col("label").isin(labels)).select(*keys).distinct()
-    return _summed(_counts(on(gold), on(pred), keys), ["subset", "label"])
+    on = lambda d: d.where(F.col("label").isin(labels))
+    once = [F.least(c, F.lit(1).cast("long")).alias(c) for c in ("g", "p")]
+    return _summed(_counts(on(gold), on(pred), keys).select(*keys, *once), ["subset", "label"])
 
 
 def union_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:

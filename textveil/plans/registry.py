@@ -17,7 +17,7 @@ from ..operators import evaluate as E
 from ..operators import mask as M
 from ..operators import resolve as R
 from ..sources import corpora as S
-from ..sources.shared import shared_folder
+from ..sources.shared import dealt_if_small, shared_folder
 from . import planner as G
 from . import quality as Q
 from .derived import CASES, GOLD_SQL, PRED_SQL, corpus, corpus_sql
@@ -45,6 +45,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt_if_small(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _spans(df: DataFrame, key: str = "doc_id") -> DataFrame:
     s = df.select(key, F.explode("spans").alias("s"))
     return s.select(key, "s.entity_type", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"), F.round("s.score", 2).alias("score"))
@@ -94,7 +98,7 @@ SELECT 'EMAIL' AS entity_type, CAST(sum(len(regexp_extract_all(text, '{_MAIL}'))
 UNION ALL SELECT 'BANK_CARD_NUMBER', count(*) FROM (SELECT regexp_replace(unnest(regexp_extract_all(text, '{_CARD}')), '[^0-9]', '', 'g') AS d FROM documents) t WHERE {_LUHN.format(d='d')} HAVING count(*) > 0
 """)
 def findings_by_type(spark, sf_dir):
-    return R.findings_by_type(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.CARD, D.EMAIL)))
+    return R.findings_by_type(D.detect(_documents(spark, sf_dir), detectors=(D.CARD, D.EMAIL)))
 
 
 @query(f"""
@@ -102,7 +106,7 @@ SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coal
 FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS m, regexp_split_to_array(text, '{_MAIL}') AS g FROM documents) a) b
 """)
 def email_places(spark, sf_dir):
-    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.EMAIL,)))
+    found = R.findings(D.detect(_documents(spark, sf_dir), detectors=(D.EMAIL,)))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
@@ -117,7 +121,7 @@ FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id
 @query(_places_sql('(?:token|TOKEN|Token) = "[0-9a-fA-F]{40}"', 9, 1))
 def token_places(spark, sf_dir):
     """Secrets beside a word for them, in all documents; random words without one score less."""
-    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN, D.EMAIL), entities=["TOKEN"], min_score=0.7))
+    found = R.findings(D.detect(_documents(spark, sf_dir), detectors=(D.TOKEN, D.EMAIL), entities=["TOKEN"], min_score=0.7))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
@@ -127,7 +131,7 @@ _PHONE = r"[+]1 [(][2-9](?:[02-9][0-9]|1[02-9])[)] [2-9][0-9]{2}-[0-9]{4}|\b[78]
 
 @query(_places_sql(_PHONE))
 def phone_places(spark, sf_dir):
-    found = R.findings(D.detect(_table(spark, sf_dir, "documents"), detectors=(D.TOKEN, D.PHONE), entities=["PHONE_NUMBER"]))
+    found = R.findings(D.detect(_documents(spark, sf_dir), detectors=(D.TOKEN, D.PHONE), entities=["PHONE_NUMBER"]))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), "snippet")
 
 
@@ -160,7 +164,7 @@ SELECT doc_id, CAST(n + coalesce(len(list_filter(card, lambda x: x = '<BANK_CARD
 """)
 def findings_all_types(spark, sf_dir):
     """All rules over all documents, masked: the whole of the first workload."""
-    found = M.mask(D.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = M.mask(D.detect(_documents(spark, sf_dir)))
     return found.select("doc_id", F.size("spans").alias("n"), F.sha2("masked", 256).alias("masked_sha256"))
 
 
@@ -214,7 +218,8 @@ _MANY = "SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN
 
 def _many_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct("ord", F.struct("entity_type", F.col("s").alias("start"), F.col("e").alias("end"), "score").alias("x"))
-    rows = spark.sql(_MANY, orders=_table(spark, sf_dir, "orders"))
+    # few bytes, but much to do for each row: a number that is given isn't coalesced
+    rows = spark.sql(_MANY, orders=_table(spark, sf_dir, "orders")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["x"]).cast(D.SPANS).alias("spans"))
 
 

@@ -27,6 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_if_small(df: DataFrame, at_most: int = 128 << 20) -> DataFrame:
+    """A table of files of ``at_most`` bytes in all, dealt over all cores; a larger one as it is.
+
+    So small a table can be one row group, which one task reads whole, and then searches alone where a search costs far more than
+    a shuffle of these few bytes. Larger tables are read in splits as they stand and aren't shuffled.
+    """
+    spark = df.sparkSession
+    conf, size = spark._jsc.hadoopConfiguration(), 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+        if size > at_most:
+            return df
+    return df.repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def counted(df: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
     """Adds ``name``: numbers without gaps from ``first`` on, in the order of a key without repetitions.
 
