@@ -78,6 +78,34 @@ def test_a_string_in_all_documents_goes_over_many_ranges(spark, monkeypatch):
     assert [x.n_removed for x in got] == [0] * 5
 
 
+def test_few_phrases_and_suffixes_are_sorted_over_all_tasks(spark, monkeypatch):
+    """Of edited copies, what a buffer or a range of grams holds alone is settled there; only the rest goes through the arrays over all ranges."""
+    r = random.Random(9)
+    say = lambda n: "".join(r.choice("abcdefg hij") for _ in range(n))
+    base = [say(3000) for _ in range(8)]
+    edited = lambda t: "".join(c if r.random() > 0.004 else r.choice("xyz") for c in t)
+    rows = [(k, edited(base[k % 8])) for k in range(64)]
+    sent, ordered = [], substrings._ordered
+    monkeypatch.setattr(substrings, "_ordered", lambda entries, *more: sent.append(entries.count()) or ordered(entries, *more))
+    with common.setting(spark, spark__sql__shuffle__partitions="3"):
+        got = {x.doc_id: tuple(x)[1:] for x in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_spans(rows)
+    assert sum(sent) < sum(len(t) for _, t in rows) / 20, sent
+
+
+def test_a_gram_of_many_phrases_goes_over_many_ranges(spark, monkeypatch):
+    """Phrases of one gram with other words around it, more than one range takes, are settled over several."""
+    r = random.Random(3)
+    say = lambda n: "".join(r.choice("abcdefg hij") for _ in range(n))
+    line = say(260)
+    rows = [(k, say(r.randint(0, 90)) + line[r.randint(0, 60) : 260 - r.randint(0, 60)] + say(r.randint(0, 90))) for k in range(100)]
+    want = brute_spans(rows)
+    for many in (3, 20):
+        monkeypatch.setattr(substrings, "MANY", many)
+        got = {x.doc_id: tuple(x)[1:] for x in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+        assert got == want
+
+
 def test_hot_classes_and_rare_ones(spark, monkeypatch):
     """With a low bound for hot keys, classes of many copies go the broadcast way and give the same classes."""
     r = random.Random(2)
