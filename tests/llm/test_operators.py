@@ -294,6 +294,47 @@ def test_a_cluster_of_many_sets_goes_by_leaders(spark, monkeypatch, kind):
     assert {x.doc_id: tuple(x)[1:] for x in got} == brute_classes(rows) and used
 
 
+@pytest.mark.parametrize("few, band", [(2, 1 << 30), (4, 2000), (16, 1)])
+def test_pairs_are_counted_in_bands(spark, monkeypatch, few, band):
+    """Texts of few words share shingles by chance; short lists, longer ones and any bands of sizes give the links of brute force."""
+    r = random.Random(few)
+    rows = []
+    for g in range(40):
+        base = [r.choice("abcdef") for _ in range(r.choice([8, 30, 90, 180, 400]))]
+        for _ in range(r.choice([1, 1, 2, 3, 9])):
+            words = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 40))):
+                words[r.randrange(len(words))] = r.choice("abcdefx")
+            rows.append((len(rows), " ".join(words[: len(words) - r.randint(0, len(words) // 12)])))
+    rows += [(k, " ".join(rows[k][1].split()[::-1])) for k in range(3)]  # ids of two texts
+    for name, value in (("FEW", few), ("BAND", band)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.near_classes(spark.createDataFrame(rows[:-3], "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == brute_classes(rows[:-3])
+    assert jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+def test_unrelated_texts_bring_no_sketches(spark, monkeypatch):
+    """Nearly all shingles of a prefix stand in some other text too, but no two texts share more than a few."""
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choices("abcdefgh", k=300))) for k in range(300)]
+    seen = []
+    plain = jaccard._pieces
+    monkeypatch.setattr(jaccard, "_pieces", lambda members: seen.append(members.count()) or plain(members))
+    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.component_id == x.doc_id for x in got) and seen[0] < 3000  # of some 18,000 entries
+
+
+def test_least_common_and_spared(spark):
+    """Linked sets of sizes a <= b share 1 + a // MORE of their prefixes at least; what one of them may leave leaves least_common(a)."""
+    left = dict(spark.range(1, 3000).select("id", jaccard.spared(F.col("id"))).collect())
+    for a in range(1, 2400):
+        for b in {a, a + a // 9, jaccard.partners(a)[-1]}:
+            shared = jaccard.needed(a, b) - max(a - jaccard.extended(a), b - jaccard.extended(b))
+            both = min(1 + a // jaccard.MORE, 1 + b // jaccard.MORE)
+            assert shared >= 1 and both - max(left[a], left[b]) >= jaccard.least_common(a) >= 1
+
+
 def test_pairs_of_blocks_link_across_only():
     r = np.random.default_rng(8)
     base = [r.integers(0, 2**63, 50).astype(np.uint64) for _ in range(6)]

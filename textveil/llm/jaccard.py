@@ -3,9 +3,16 @@
 Documents with equal sets are one class. Two small sets meet on a whole common subset of the size that a link between sets of
 their sizes needs, so a meeting is a link. A pair with a large set meets on the inverted list of a prefix shingle: in any one
 order of all shingles, linked sets share one of the first n - ceil(0.8 n) + 1. The order puts frequent shingles last, by
-counters over all documents, which keeps lists short; it never decides a link. Lists with the same members are one.
+counters over all documents, which keeps lists short; it never decides a link.
 
-A list's members are first compared by sketches: counts of a set's hashes in about as many cells as it has members. The sum of
+The more documents there are, the more shingles stand in two unrelated ones by chance, so no list brings sets or sketches along
+before its pairs are counted. Prefixes are longer by n // 25, and so linked sets share least_common(n) of their shingles. Lists of up
+to FEW documents give pairs, which are added up over all lists; a pair that meets less often than that is none. Longer lists count
+for half of what is needed at most: documents that have fewer entries in them are told by their pairs alone and leave them. What
+stays of the longer lists is that of near copies; those with the same members are one. Lists are made for one band of sizes after the
+other, each with the larger partners of its sets, so that no more than about BAND entries are dealt at a time.
+
+A list's members, or a pair's, are first compared by sketches: counts of a set's hashes in about as many cells as it has members. The sum of
 two sketches' differences is at most the sets' symmetric difference, so a pair beyond what a link allows is none. What is left
 of the lists hangs together in pieces, and pieces that share a document in clusters. A cluster's documents are compared by the
 sets themselves, in one matrix product, so that each set moves once.
@@ -26,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
@@ -35,7 +42,11 @@ from .graph import components
 
 #: A link: NUM * union <= DEN * intersection, that is a Jaccard similarity of 0.8 or more.
 NUM, DEN = 4, 5
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+#: Documents of a list whose pairs are counted, and shingles for each of which a prefix is longer by one.
+FEW, MORE = 16, 25
+#: Entries of lists that are dealt at a time, beside those of the larger partners.
+BAND = 64 << 20
 #: Bytes of sets that one task compares at once, at most twice this.
 BLOCK_BYTES = 16 << 20
 #: Sets of a cluster that one task compares with one another in a matrix; and of a larger one, with its leaders or with as many others.
@@ -55,6 +66,26 @@ def prefix(n):
     return n - -(-NUM * n // DEN) + 1
 
 
+def extended(n):
+    """Shingles of a prefix of which linked sets share 1 + n // MORE, for the smaller one's n: each more of the prefix is one more in common."""
+    return prefix(n) + n // MORE
+
+
+def _common(n):
+    """What a set of n shares with any set that it is linked with, at least, in both prefixes: a partner has 0.8 n or more."""
+    return 1 + -(-NUM * n // DEN) // MORE
+
+
+def least_common(n):
+    """How often two linked sets meet in short lists, at least, n being the smaller one's size, unless both keep their entries in longer ones."""
+    return (_common(n) + 1) // 2
+
+
+def spared(n: Column) -> Column:
+    """Entries in longer lists that a set of n can leave: the rest of what it shares is least_common(n) or more."""
+    return F.floor((F.floor(F.ceil(n * NUM / DEN) / MORE) + 1) / 2)
+
+
 def partners(n: int) -> range:
     return range(-(-NUM * n // DEN), DEN * n // NUM + 1)
 
@@ -83,36 +114,42 @@ def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return scan.distinct(*scan.shingles(h, row, part.num_rows))
 
 
+def _cell(u: np.ndarray) -> np.ndarray:
+    return (u >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+
+
 def shingle_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """For each of COUNTERS cells how far, in powers of two, its shingles are above four times the mean (0 for most), and the boundary of small sets.
+    """For each of COUNTERS cells how far, in half powers of two, its shingles are above twice the mean (0 for most), and the boundary of small sets.
 
-    Tasks add up counters and sizes over all their documents, slices of them are added in Spark, and COUNTERS bytes come back.
+    Tasks add up counters and sizes over all their documents, slices of them are added in Spark, and 8 * COUNTERS bytes come back.
     """
     each = COUNTERS // _SLICES
     schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sizes = np.zeros(COUNTERS, np.int64), np.zeros(SMALLEST + 1, np.int64)
+        total, sizes = np.zeros(COUNTERS, np.int32), np.zeros(SMALLEST + 1, np.int64)
         for part in chunks(batches):
             u, off = _sets(part)
-            total += np.bincount((u >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(total, _cell(u), 1)
             n = np.diff(off)
             sizes += np.bincount(n[n <= SMALLEST], minlength=SMALLEST + 1)
         if total.any():
-            yield rows(schema, slice=np.arange(_SLICES + 1, dtype=np.int32), counts=[x.astype("<i4").tobytes() for x in (*total.reshape(_SLICES, each), sizes)])
+            short = np.minimum(total, 65535).astype("<u2")  # one task's; beyond that a shingle is frequent anyway
+            yield rows(schema, slice=np.arange(_SLICES + 1, dtype=np.int32), counts=[x.tobytes() for x in (*short.reshape(_SLICES, each), sizes.astype("<i4"))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for s, x in zip(column(b, "slice").to_pylist(), column(b, "counts").to_pylist(), strict=True):
-                sums[s] = sums.get(s, 0) + np.frombuffer(x, "<i4").astype(np.int64)
+                sums[s] = sums.get(s, 0) + np.frombuffer(x, "<i4" if s == _SLICES else "<u2").astype(np.int64)
         if sums:
             yield rows(schema, slice=list(sums), counts=[x.astype("<i8").tobytes() for x in sums.values()])
 
     got = {r.slice: np.frombuffer(r.counts, "<i8") for r in docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()}
     total = np.concatenate([got.get(k, np.zeros(each, np.int64)) for k in range(_SLICES)])
-    levels = np.log2(np.maximum(total / (4 * total.mean() + 1), 1)).astype(np.uint8)
-    return levels, boundary(got.get(_SLICES, np.zeros(SMALLEST + 1)), total.sum() / max(1, np.count_nonzero(total)))
+    levels = (2 * np.log2(np.maximum(total / (2 * total.mean() + 1), 1))).astype(np.uint8)
+    lists_ = total.reshape(-1, 4).sum(1)
+    return levels, boundary(got.get(_SLICES, np.zeros(SMALLEST + 1)), total.sum() / max(1, np.count_nonzero(lists_)))
 
 
 def _fingerprint(u: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -161,11 +198,11 @@ def _described(docs: DataFrame, levels: np.ndarray, small: int) -> DataFrame:
         for part in chunks(batches):
             u, off = _sets(part)
             n = np.diff(off)
-            level = levels[(u >> np.uint64(44)).astype(np.int64)]
+            level = levels[_cell(u)]
             row = np.repeat(np.arange(len(n)), n)
             # rows are in the order of their hashes already: a stable sort by (row, level) does the rest
             order = np.argsort(row * 64 + level, kind="stable") if level.any() else np.arange(len(u))
-            count = np.where(n > 0, prefix(n), 0)
+            count = np.where(n > 0, extended(n), 0)
             to = np.concatenate(([0], np.cumsum(count)))
             at = np.repeat(off[:-1] - to[:-1], count) + np.arange(to[-1])
             meets = [_subsets(u[a:b], small) if 0 < b - a <= small else [] for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -327,6 +364,73 @@ def _list_links(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def bands(entries: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges [low, high) of sizes that hold about BAND entries each, from (least size, entries) of stretches of sizes in their order."""
+    at, held = [], 0
+    for low, n in entries or [(1, 0)]:
+        if not at or held + n > BAND:
+            at, held = [*at, low], 0
+        held += n
+    return list(zip(at, [*at[1:], 1 << 60], strict=True))
+
+
+def _meetings(entries: DataFrame, small: int, below: int) -> DataFrame:
+    """(long, a, b, n) from ``entries`` (list, doc_id, n): for a list of up to FEW each pair a < b of sets that can be linked, are not both
+    small and not both of ``below`` or more, which has to meet n times; of a longer list each entry, as list a and document b with its n."""
+    schema = pa.schema([("long", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def told(t: np.ndarray, d: np.ndarray, n: np.ndarray, whole: bool = False) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        size = np.diff(np.append(start, len(t)))
+        many = np.ones(len(t), bool) if whole else np.repeat(size > FEW, size)
+        out = [(np.ones(many.sum(), bool), t[many], d[many], n[many])]
+        for step in range(1, min(FEW, int(size.max()))):
+            x = np.flatnonzero((t[step:] == t[:-step]) & ~many[step:])
+            y = x + step
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            fits = (NUM * high <= DEN * low) & (high > small) & (low < below) & (d[x] != d[y])
+            x, y, low = x[fits], y[fits], low[fits]
+            out.append((np.zeros(len(x), bool), np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), least_common(low)))
+        return rows(schema, **dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, going = tuple(np.empty(0, np.int64) for _ in range(3)), None  # rows of a list that may go on; a longer list that does
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = tuple(np.concatenate((x, column(b, c).to_numpy())) for x, c in zip(held, ("list", "doc_id", "n"), strict=True))
+            held = tuple(x[:0] for x in now)
+            if going is not None and (more := int(np.argmax(np.append(now[0] != going, True)))):
+                yield told(*(x[:more] for x in now), whole=True)
+                now = tuple(x[more:] for x in now)
+            if not len(now[0]):
+                continue
+            last = int(np.flatnonzero(now[0] == now[0][-1])[0])
+            going = int(now[0][-1]) if len(now[0]) - last > FEW else None
+            if going is None:
+                held, now = tuple(x[last:] for x in now), tuple(x[:last] for x in now)
+            if len(now[0]):
+                yield told(*now)
+        if len(held[0]):
+            yield told(*held)
+
+    dealt = entries.repartition(partitions(entries.sparkSession), "list").sortWithinPartitions("list")
+    return dealt.mapInArrow(run, "long boolean, a long, b long, n long")
+
+
+def _met(chosen: DataFrame, small: int) -> DataFrame:
+    """What is left of _meetings() of all bands: pairs that meet as often as they have to, and entries of longer lists (band, long, a, b, n)."""
+    step = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
+    sizes = chosen.groupBy(step.alias("step")).agg(F.min("n").alias("low"), F.sum(F.size("tokens")).alias("entries")).orderBy("step").collect()
+    out = None
+    for k, (low, high) in enumerate(bands([(r.low, r.entries) for r in sizes])):
+        mine = chosen.where((F.col("n") >= low) & (NUM * F.col("n") <= DEN * (high - 1)))
+        met = _meetings(mine.select(F.explode("tokens").alias("list"), "doc_id", "n"), small, high).groupBy("long", "a", "b")
+        met = written(met.agg(F.count("*").alias("often"), F.min("n").alias("n")).where("long OR often >= n").select(F.lit(k).alias("band"), "long", "a", "b", "n"), "meetings")
+        out = met if out is None else out.union(met)
+    return out
+
+
 def _once(members: DataFrame) -> DataFrame:
     """Lists (list, doc_id, n, more) of two or more; of lists with the same members one."""
     one = Window.partitionBy("list")
@@ -459,22 +563,31 @@ def near_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(id_key().alias("doc_id"), "text")
     levels, small = shingle_counts(docs)
-    told = written(_described(docs, levels, small), "sets")
-    full = told.where("n > 0")
+    whole = written(_described(docs, levels, small), "sets")
+    full = whole.where("n > 0")
     classes = written(full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("members")), "classes")
-    total = told.count()
     # rows that repeat an id and a set are one; equal sets have equal columns
     chosen = full.select("doc_id", "class", "tokens", "meets").join(classes.drop("members"), ["class", "doc_id"]).dropDuplicates(["class", "doc_id"])
-
+    chosen = written(chosen.select("doc_id", "n", "tokens", "meets"), "chosen")
+    told = written(whole.select("doc_id", "n", "class", "sketch"), "sets")
+    discard(whole)
+    full, total = told.where("n > 0"), told.count()
+
+    met = _met(chosen.select("doc_id", "n", "tokens"), small)
+    entries = met.where("long").select("band", F.xxhash64("a", "band").alias("list"), F.col("b").alias("doc_id"), "n")
+    stay = entries.groupBy("band", "doc_id").agg(F.count("*").alias("entries"), F.min("n").alias("n")).where(F.col("entries") > spared(F.col("n"))).select("band", "doc_id")
+    entries = entries.join(stay, ["band", "doc_id"]).drop("band")
     # a list of small sets alone has nothing to find: it takes a large one
-    spread = chosen.select("doc_id", "n", (F.col("n") > small).alias("large"), F.explode("tokens").alias("list"))
-    large = F.max("large").over(Window.partitionBy("list"))
-    found = written(_once(spread.withColumn("large", large).where("large").drop("large")), "lists")
-    counts = told.where("n > 0").select("doc_id", F.col("sketch"), "class").join(classes.select("class", "doc_id"), ["class", "doc_id"]).drop("class")
-    left = _pieces(_dealt(_in_blocks(found.where(F.col("members") <= BLOCK_SETS), 1).join(counts, "doc_id"))).select("piece", "doc_id", "n")
+    large = F.max("n").over(Window.partitionBy("list")) > small
+    found = written(_once(entries.withColumn("large", large).where("large").drop("large")), "lists")
+    pairs = met.where("NOT long").select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("doc_id"))
+    pairs = pairs.select("list", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc_id")
+    counts = full.select("doc_id", "n", "sketch", "class").join(classes.select("class", "doc_id"), ["class", "doc_id"]).drop("class")
+    left = _pieces(_dealt(_in_blocks(found.where(F.col("members") <= BLOCK_SETS), 1).drop("n").unionByName(pairs).join(counts, "doc_id"))).select("piece", "doc_id", "n")
     # a list of more is a piece as it stands: its sets are compared by leaders
     left = written(left.union(found.where(F.col("members") > BLOCK_SETS).select("least", "doc_id", "n")), "pieces")
     discard(found)
+    discard(met)
     clusters = components(left.select(F.col("piece").alias("a"), F.col("doc_id").alias("b")))
     sizes = left.groupBy("doc_id").agg(F.min("n").alias("n"))
     clusters = clusters.select(F.col("component").alias("list"), F.col("v").alias("doc_id")).join(sizes, "doc_id")
@@ -495,6 +608,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     by_subset = spread_join(meets, least, "meet", "sets", total).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     edges = written(by_list.union(by_subset), "links")
     discard(clusters)
+    discard(chosen)
 
     reached = components(edges)
     named = classes.join(reached.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("class", "members", F.coalesce("component", "doc_id").alias("component"))
