@@ -168,3 +168,17 @@ def test_places_count_once_and_texts_as_often_as_they_stand(spark):
     assert told(bag_match(gold, pred, ["NAME", "CVC"])) == {("a", "NAME", 1, 0, 1), ("a", "CVC", 2, 0, 0)}
     assert told(exact_match(gold, pred, ["NAME", "CVC"])) == {("a", "NAME", 1, 0, 0), ("a", "CVC", 1, 1, 1)}
     assert told(exact_match(gold.limit(0), pred.limit(0), ["NAME"])) == set()
+
+
+def test_substrings_are_searched_once(spark):
+    """The tokens of a text and its entities stand once in the plan, whatever is asked of the result; many of both give the places of each."""
+    text = "Иван-Пётр, ул. Мира 5; " * 3
+    ents = [("Мира", "ADDRESS"), ("Иван", "NAME"), ("ул. Мира", "ADDRESS"), ("нет", "NAME"), (".", "X")]
+    df = spark.createDataFrame([(1, text, ents), (2, text, []), (3, None, ents), (4, text, None)], "id long, text string, entities array<struct<text:string,type:string>>")
+    good, bad = P.annotate_substrings(df)
+    rows = good.select("id", F.explode("ents").alias("e")).select("id", "e.*")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\w+|[^\w\s]") == 1
+    n = len(text) // 3
+    want = {(1, k * n + a, k * n + b, t) for k in range(3) for a, b, t in ((0, 4, "NAME"), (11, 19, "ADDRESS"))}
+    assert {tuple(r) for r in rows.collect()} == want and {r.id: len(r.ents) for r in good.collect()} == {1: 6, 2: 0} and {r.id for r in bad.collect()} == {3, 4}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import matches, piece
+from ..functions.scan import bound, matches, piece
 from .resolve import disjoint
 
 ENTS = "array<struct<start:int,end:int,label:string>>"
@@ -211,19 +211,23 @@ def united_names(spans: Column, text: Column) -> Column:
 
 def snapped(ents: Column, text: Column) -> Column:
     """Entities widened to the tokens (words, or single marks) that they touch; those that touch none go."""
-    tokens = matches(text, r"(?U)\w+|[^\w\s]")
 
-    def one(e: Column) -> Column:
+    def one(tokens: Column, e: Column) -> Column:
         hit = F.filter(tokens, lambda t: (t["start"] < e["end"]) & (e["start"] < t["end"]))
-        return F.when(F.size(hit) > 0, F.struct(F.element_at(hit, 1)["start"].alias("start"), F.element_at(hit, -1)["end"].alias("end"), e["label"].alias("label")))
+        return bound(hit, lambda h: F.when(F.size(h) > 0, F.struct(F.element_at(h, 1)["start"].alias("start"), F.element_at(h, -1)["end"].alias("end"), e["label"].alias("label"))))
 
-    return F.filter(F.transform(ents, one), lambda e: e.isNotNull()).cast(ENTS)
+    # the text's tokens and the entities are made once, not for each entity and use
+    def all_(es: Column) -> Column:
+        touched = bound(matches(text, r"(?U)\w+|[^\w\s]"), lambda tokens: F.filter(F.transform(es, lambda e: one(tokens, e)), lambda e: e.isNotNull()).cast(ENTS))
+        return F.when(F.size(es) > 0, touched).otherwise(es)
+
+    return bound(ents.cast(ENTS), all_)
 
 
 def without_overlaps(ents: Column) -> Column:
     """The longest first, then the earliest; what overlaps a kept entity goes. In the order of the text."""
     order = lambda e: F.struct((e["start"] - e["end"]).alias("a"), e["start"].alias("b"), e["label"].alias("c"))
-    return F.sort_array(disjoint(ents, order, ENTS))
+    return bound(ents, lambda es: F.sort_array(disjoint(es, order, ENTS)))
 
 
 def occurrences(text: Column, word: Column) -> Column:
@@ -258,7 +262,10 @@ def annotate_substrings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = F.col("text").isNull() | F.col("entities").isNull() | F.exists("entities", lambda e: e["text"].isNull() | e["type"].isNull())
     bad = F.coalesce(bad, F.lit(True))
     spans = F.flatten(F.transform("entities", lambda e: F.transform(occurrences(F.col("text"), e["text"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), e["type"].alias("label")))))
-    return df.where(~bad).withColumn("__s", spans.cast(ENTS)).withColumn("ents", without_overlaps(snapped(F.col("__s"), F.col("text")))).drop("__s"), df.where(bad)
+    # a row that comes out of a generator: conditions on ents stay above it, so that nothing is searched again for each
+    ents = bound(spans.cast(ENTS), lambda s: without_overlaps(snapped(s, F.col("text"))))
+    names = [F.col(f"`{c}`") for c in df.columns if c != "ents"]
+    return df.where(~bad).select(*names, F.explode(F.array(ents)).alias("ents")), df.where(bad)
 
 
 #: Rows that an exact split ranks in one task, unless more share 30 digits of their hash.
